@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 # comparable with the SQL oracle; the UI is a server and stays off.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
