@@ -1 +1,207 @@
-"""Queries registered in later steps."""
+"""Access-role queries over the grant fixtures and the full role spec."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.operators import access
+from ledgerline.plans.registry import register
+from ledgerline.sources.fixtures import fixture, oracle_cte
+
+CTE = oracle_cte("future_grants_db", "databases", "future_grants_schema", "schemata", "grants_to_roles",
+                 "roles", "role_grants", "role_spec_all", "role_custom", "privilege_model")
+
+_GRANTS_SQL = """,
+dbg as (select * from future_grants_db
+         where db_name in (select database_name from databases where database_owner not in ('ACCOUNTADMIN'))),
+scg as (select g.db_name, g.sc_name, g.db_name || '.' || g.sc_name as db_sc, g.grantee_name
+          from future_grants_schema g
+         where exists (select 1 from schemata s where s.catalog_name = g.db_name and s.schema_name = g.sc_name
+                         and s.schema_owner not in ('ACCOUNTADMIN') and s.schema_name not like '%-%'
+                         and s.schema_name not in ('INTERNAL', 'PUBLIC', 'INFORMATION_SCHEMA')
+                         and s.catalog_name not in ('DEMO_DB') and s.deleted is null)),
+whg as (select name as wh_name, name, granted_on, deleted_on, grantee_name from grants_to_roles
+         where deleted_on is null and granted_on = 'WAREHOUSE')"""
+
+
+def _resolve_sql(rule: str) -> str:
+    inc = rule == "INCLUDE"
+    g = lambda prefix: f" and g.grantee_name like '{prefix}%_' || s.role_type || '_AR'" if inc else ""
+    return f"""
+select s.role_name, 'AR' as kind, g.grantee_name as granted_name from role_spec_all s join dbg g
+    on g.db_name like s.db_pattern{g('_DB_')} where s.rule = '{rule}' and s.obj_type = 'DATABASE'
+union
+select s.role_name, 'AR', g.grantee_name from role_spec_all s join scg g
+    on g.db_name like s.db_pattern and g.sc_name like s.sc_pattern{g('_SC_')}
+ where s.rule = '{rule}' and s.obj_type = 'SCHEMA'
+union
+select s.role_name, 'AR', g.grantee_name from role_spec_all s join whg g
+    on g.wh_name like s.wh_pattern{g('_WH_')} where s.rule = '{rule}' and s.obj_type = 'WAREHOUSE'
+union
+select s.role_name, 'FR', r.name from role_spec_all s join roles r on r.name like s.role_pattern
+ where r.deleted_on is null and s.rule = '{rule}' and s.obj_type = 'ROLE'"""
+
+
+def _custom_sql(rule: str) -> str:
+    return f"""
+select role_name, case when regexp_matches(role_ref, '_AR$') then 'AR' else 'FR' end as kind, role_ref as granted_name
+  from role_custom where rule = 'CUSTOM_{rule}' and (regexp_matches(role_ref, '_AR$') or regexp_matches(role_ref, '_FR$'))"""
+
+
+_SETS_SQL = CTE + _GRANTS_SQL + f""",
+inc as ({_resolve_sql('INCLUDE')} union {_custom_sql('INCLUDE')}),
+exc as ({_resolve_sql('EXCLUDE')} union {_custom_sql('EXCLUDE')}),
+want as (select * from inc except select * from exc),
+spec_roles as (select role_name from role_spec_all union select role_name from role_custom),
+have as (
+  select role_name, 'AR' as kind, granted_name from role_grants
+   where privilege = 'USAGE' and regexp_matches(granted_name, '_(\\w{{2,3}})_AR$')
+     and role_name in (select role_name from spec_roles)
+  union
+  select role_name, 'FR', granted_name from role_grants
+   where privilege = 'USAGE' and regexp_matches(granted_name, '_FR$')
+     and role_name in (select role_name from spec_roles))"""
+
+
+def _inputs(spark, sf_dir):
+    fx = lambda n: fixture(spark, sf_dir, n)
+    db = access.future_grants_db(fx("future_grants_db"), fx("databases"))
+    sc = access.future_grants_schema(fx("future_grants_schema"), fx("schemata"))
+    wh = access.warehouse_grants(fx("grants_to_roles"))
+    return dict(db_grants=db, sc_grants=sc, wh_grants=wh, roles=fx("roles"),
+                role_grants=fx("role_grants"), spec=fx("role_spec_all"), custom=fx("role_custom"))
+
+
+@register("future_grants_db", CTE + _GRANTS_SQL + "\nselect * from dbg")
+def future_grants_db(spark, sf_dir):
+    return _inputs(spark, sf_dir)["db_grants"]
+
+
+@register("future_grants_schema", CTE + _GRANTS_SQL + "\nselect * from scg")
+def future_grants_schema(spark, sf_dir):
+    return _inputs(spark, sf_dir)["sc_grants"].select("db_name", "sc_name", "db_sc", "grantee_name")
+
+
+@register("warehouse_grants", CTE + _GRANTS_SQL + "\nselect * from whg")
+def warehouse_grants(spark, sf_dir):
+    return _inputs(spark, sf_dir)["wh_grants"]
+
+
+def _resolve(spark, sf_dir, rule):
+    i = _inputs(spark, sf_dir)
+    return access.resolve_rules(i["spec"], i["db_grants"], i["sc_grants"], i["wh_grants"], i["roles"], rule)
+
+
+@register("role_include", CTE + _GRANTS_SQL + _resolve_sql("INCLUDE"))
+def role_include(spark, sf_dir):
+    return _resolve(spark, sf_dir, "INCLUDE")
+
+
+@register("role_exclude", CTE + _GRANTS_SQL + _resolve_sql("EXCLUDE"))
+def role_exclude(spark, sf_dir):
+    return _resolve(spark, sf_dir, "EXCLUDE")
+
+
+@register("role_custom_lists", CTE + "\nselect 'INCLUDE' as rule, * from (" + _custom_sql("INCLUDE")
+          + ") union all select 'EXCLUDE', * from (" + _custom_sql("EXCLUDE") + ")")
+def role_custom_lists(spark, sf_dir):
+    c = _inputs(spark, sf_dir)["custom"]
+    return (access.custom_rules(c, "INCLUDE").select(F.lit("INCLUDE").alias("rule"), "*")
+            .unionByName(access.custom_rules(c, "EXCLUDE").select(F.lit("EXCLUDE").alias("rule"), "*")))
+
+
+@register("role_wanted", _SETS_SQL + "\nselect * from want")
+def role_wanted(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.wanted(i["spec"], i["db_grants"], i["sc_grants"], i["wh_grants"], i["roles"], i["custom"])
+
+
+@register("role_existing", _SETS_SQL + "\nselect * from have")
+def role_existing(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.existing(i["role_grants"], access.spec_roles(i["spec"], i["custom"])).distinct()
+
+
+@register("role_unclassified", CTE + "\nselect * from role_grants where privilege not in ('OWNERSHIP', 'USAGE')")
+def role_unclassified(spark, sf_dir):
+    return access.unclassified(_inputs(spark, sf_dir)["role_grants"])
+
+
+_MISSING_SQL = """
+select role_name, 'CREATE' as action, cast(null as varchar) as kind, cast(null as varchar) as granted_name
+  from spec_roles where role_name not in (select role_name from role_grants)"""
+
+
+@register("role_missing", _SETS_SQL + _MISSING_SQL)
+def role_missing(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.missing_roles(access.spec_roles(i["spec"], i["custom"]), i["role_grants"])
+
+
+@register("role_delta", _SETS_SQL + """
+select role_name, 'GRANT' as action, kind, granted_name from (select * from want except select * from have)
+union all
+select role_name, 'REVOKE', kind, granted_name from (select * from have except select * from want)
+union all""" + _MISSING_SQL)
+def role_delta(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.role_delta(i["spec"], i["db_grants"], i["sc_grants"], i["wh_grants"], i["roles"],
+                             i["role_grants"], i["custom"])
+
+
+_HELD_AR = """,
+held as (select distinct role_name, granted_name from role_grants
+          where privilege = 'USAGE' and regexp_matches(granted_name, '_(\\w{2,3})_AR$'))"""
+
+
+@register("role_spec_reverse", CTE + _GRANTS_SQL + _HELD_AR + """
+select distinct h.role_name, 'WAREHOUSE' as obj_type, cast(null as varchar) as db_name, cast(null as varchar) as sc_name,
+       w.wh_name, regexp_extract(h.granted_name, '_(\\w{2,3})_AR$', 1) as role
+  from held h join whg w on h.granted_name = w.grantee_name
+union
+select h.role_name, 'SCHEMA', c.db_name, c.sc_name, null, regexp_extract(h.granted_name, '_(\\w{2,3})_AR$', 1)
+  from held h join scg c on h.granted_name = c.grantee_name
+union
+select h.role_name, 'DATABASE', d.db_name, null, null, regexp_extract(h.granted_name, '_(\\w{2,3})_AR$', 1)
+  from held h join dbg d on h.granted_name = d.grantee_name
+union
+select role_name, 'ROLE', null, null, null, granted_name from role_grants
+ where privilege = 'USAGE' and regexp_matches(granted_name, '_FR$')""")
+def role_spec_reverse(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.reverse_spec(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
+
+
+@register("role_spec_custom", CTE + _GRANTS_SQL + _HELD_AR + """
+select distinct role_name, granted_name from held
+ where granted_name not in (select grantee_name from dbg union select grantee_name from scg
+                            union select grantee_name from whg)""")
+def role_spec_custom(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.reverse_custom(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
+
+
+@register("role_spec_json")
+def role_spec_json(spark, sf_dir):
+    """Generated spec document per role (JSON text: rows-only check)."""
+    i = _inputs(spark, sf_dir)
+    rules = access.reverse_spec(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
+    custom = access.reverse_custom(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
+    return access.assemble_spec(rules, custom)
+
+
+@register("role_spec_lint", CTE + """,
+lv as (select distinct obj_type as h_type, role as h_role from privilege_model),
+s as (select * from role_spec_all left join lv on obj_type = h_type and role_type = h_role),
+v as (
+  select *, 'invalid TYPE' as violation from s where obj_type not in ('DATABASE', 'SCHEMA', 'WAREHOUSE')
+  union all select *, 'missing ROLE' from s where rule = 'INCLUDE' and role_type is null
+  union all select *, 'ROLE not in hierarchy' from s
+   where rule = 'INCLUDE' and obj_type in ('DATABASE', 'SCHEMA', 'WAREHOUSE') and role_type is not null and h_role is null
+  union all select *, 'missing DATABASE' from s where obj_type in ('DATABASE', 'SCHEMA') and db_pattern is null
+  union all select *, 'missing SCHEMA' from s where obj_type = 'SCHEMA' and sc_pattern is null
+  union all select *, 'missing WAREHOUSE' from s where obj_type = 'WAREHOUSE' and wh_pattern is null)
+select role_name, rule, obj_type, db_pattern, sc_pattern, wh_pattern, role_type, violation from v""")
+def role_spec_lint(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return access.lint_spec(i["spec"], fixture(spark, sf_dir, "privilege_model"))

@@ -134,6 +134,38 @@ select n_name as catalog_name,
        case when c_custkey % 10 = 1 then timestamp '2024-01-01 00:00:00' else null end
          as deleted
   from {customer} join {nation} on c_nationkey = n_nationkey""",
+    "databases": """
+select n_name as database_name,
+       case when n_nationkey % 6 = 0 then 'ACCOUNTADMIN' else 'SYSADMIN' end as database_owner
+  from {nation}""",
+    # Role spec with every rule kind, one row per rule: the schema rules above,
+    # database includes (some naming a level missing from the hierarchy),
+    # warehouse includes and excludes, and role includes.
+    "role_spec_all": """
+select 'TEAM_' || cast(n_nationkey as string) || '_FR' as role_name, 'INCLUDE' as rule,
+       'SCHEMA' as obj_type, n_name as db_pattern, 'SC_1%' as sc_pattern,
+       cast(null as string) as wh_pattern, cast(null as string) as role_pattern, 'RO' as role_type
+  from {nation}
+union all
+select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'EXCLUDE', 'SCHEMA', n_name, '%7', null, null, null
+  from {nation}
+union all
+select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'INCLUDE', 'DATABASE', n_name, null, null, null,
+       case when n_nationkey % 5 = 0 then 'XX' else 'RX' end
+  from {nation}
+union all
+select 'TEAM_' || cast(s_suppkey % 30 as string) || '_FR', 'INCLUDE', 'WAREHOUSE', null, null,
+       'WH_' || cast(s_suppkey as string), null,
+       case when s_suppkey % 4 = 0 then 'MON' else 'USE' end
+  from {supplier}
+union all
+select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'EXCLUDE', 'WAREHOUSE', null, null,
+       'WH_' || cast(n_nationkey as string) || '%', null, null
+  from {nation}
+union all
+select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'INCLUDE', 'ROLE', null, null, null,
+       'TEAM_' || cast((n_nationkey + 1) % 25 as string) || '%', null
+  from {nation}""",
     # Per-customer functional-role spec rows (custom lists): grows with customer.
     "role_custom": """
 select 'TEAM_' || cast(c_custkey % 25 as string) || '_FR' as role_name,
@@ -155,7 +187,11 @@ union all select 'SCHEMA', '_SC_', 1, 'RW', 'ALL', 'TABLES'
 union all select 'SCHEMA', '_SC_', 1, 'RW', 'ALL', 'EXTERNAL TABLES'
 union all select 'SCHEMA', '_SC_', 1, 'RW', 'ALL', 'VIEWS'
 union all select 'SCHEMA', '_SC_', 2, 'RX', 'READ, WRITE', 'STAGES'
-union all select 'SCHEMA', '_SC_', 3, 'RO', 'SELECT', 'TABLES'""",
+union all select 'SCHEMA', '_SC_', 3, 'RO', 'SELECT', 'TABLES'
+union all select 'WAREHOUSE', '_WH_', 0, 'ADM', 'ALL', 'WAREHOUSE'
+union all select 'WAREHOUSE', '_WH_', 1, 'MOD', 'MODIFY', 'WAREHOUSE'
+union all select 'WAREHOUSE', '_WH_', 2, 'MON', 'MONITOR', 'WAREHOUSE'
+union all select 'WAREHOUSE', '_WH_', 3, 'USE', 'USAGE, OPERATE', 'WAREHOUSE'""",
     # Objects the model is expanded over: one database per nation, one schema
     # per customer (the live schemata above).
     "model_objects": """
@@ -163,7 +199,9 @@ select 'DATABASE' as obj_type, n_name as db_nm, cast(null as string) as sc_nm
   from {nation}
 union all
 select 'SCHEMA', n_name, 'SC_' || cast(c_custkey as string)
-  from {customer} join {nation} on c_nationkey = n_nationkey""",
+  from {customer} join {nation} on c_nationkey = n_nationkey
+union all
+select 'WAREHOUSE', 'WH_' || cast(s_suppkey as string), null from {supplier}""",
     # --- catalog snapshot ---------------------------------------------------
     # One procedure or function per order, one overload per line item.
     "catalog_objects": """
