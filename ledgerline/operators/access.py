@@ -79,6 +79,12 @@ def live_roles(roles: DataFrame) -> DataFrame:
     return roles.filter(F.col("deleted_on").isNull())
 
 
+def functional_roles(roles: DataFrame) -> DataFrame:
+    """Every functional role (name LIKE '%_FR'); the literal ALL, which
+    callers use to ask for this list, is never part of it."""
+    return roles.filter(F.col("name").like("%_FR") & (F.col("name") != "ALL")).select("name", "deleted_on")
+
+
 # --- A4-A7: resolve rules to granted names ------------------------------------
 def _grantee_like(obj_type: str) -> Column:
     """grantee_name LIKE '<prefix>%_<role>_AR' (wildcards as in the reference)."""

@@ -188,15 +188,23 @@ class Tieout:
         nn = _all_not_null(self.key)
         return self.profile.filter(nn & (F.col("from_cnt") > 0) & (F.col("to_cnt") > 0))
 
+    def _sided(self, side: str) -> DataFrame:
+        """One side's rows of shared keys, carrying the key's (from_cnt, to_cnt).
+
+        Both the clean and the duplicate path branch off this frame, so each
+        table is shuffled by key once and the exchange is reused.
+        """
+        df = self.from_df if side == "f" else self.to_df
+        names = self.shared if side == "f" else [self._to_name[c] for c in self.shared]
+        rows = df.select(*self.key, *[F.col(n).alias(f"{side}__{i}") for i, n in enumerate(names)])
+        return rows.join(self._shared_keys().select(*self.key, "from_cnt", "to_cnt"), self.key, "inner")
+
     def _clean_join(self) -> DataFrame:
         """Rows of keys with exactly one row per side, both sides' shared columns."""
-        clean = (self._shared_keys()
-                 .filter((F.col("from_cnt") == 1) & (F.col("to_cnt") == 1))
-                 .select(*self.key))
-        f = self.from_df.select(*self.key, *[F.col(c).alias(f"f__{i}") for i, c in enumerate(self.shared)])
-        t = self.to_df.select(*self.key, *[F.col(self._to_name[c]).alias(f"t__{i}")
-                                           for i, c in enumerate(self.shared)])
-        return f.join(clean, self.key, "left_semi").join(t, self.key, "inner")
+        one = (F.col("from_cnt") == 1) & (F.col("to_cnt") == 1)
+        f = self._sided("f").filter(one).drop("from_cnt", "to_cnt")
+        t = self._sided("t").filter(one).drop("from_cnt", "to_cnt")
+        return f.join(t, self.key, "inner")
 
     def _clean_flags(self, j: DataFrame) -> list[Column]:
         flags = []
@@ -210,22 +218,23 @@ class Tieout:
                 .filter((F.col("from_cnt") > 1) | (F.col("to_cnt") > 1))
                 .select(*self.key, "from_cnt", "to_cnt"))
 
-    def _long(self, df: DataFrame, side: str, with_raw: bool) -> DataFrame:
+    def _long(self, side: str, with_raw: bool) -> DataFrame:
         """Unpivot one side's duplicate-key rows to counts per (key, idx, cmp[, raw]).
 
         The key's (from_cnt, to_cnt) ride along so later steps need no re-join.
+        Partial aggregation collapses a hot key's repeated values map-side.
         """
         ft, tt = self._types()
         items = []
         for i, c in enumerate(self.shared):
-            src = c if side == "f" else self._to_name[c]
-            dt = ft[c] if side == "f" else tt[src]
+            dt = ft[c] if side == "f" else tt[self._to_name[c]]
+            v = F.col(f"{side}__{i}")
             fields = [F.lit(i).alias("idx"),
-                      compare_value(F.col(src), dt, self.case_insensitive, self.null_as_blank, True).alias("cmp")]
+                      compare_value(v, dt, self.case_insensitive, self.null_as_blank, True).alias("cmp")]
             if with_raw:
-                fields.append(as_text(F.col(src), dt).alias("raw"))
+                fields.append(as_text(v, dt).alias("raw"))
             items.append(F.struct(*fields))
-        rows = df.join(self._dup_keys(), self.key, "inner")
+        rows = self._sided(side).filter((F.col("from_cnt") > 1) | (F.col("to_cnt") > 1))
         group = [*self.key, "idx", "cmp"] + (["raw"] if with_raw else [])
         return (rows.select(*self.key, "from_cnt", "to_cnt", F.explode(F.array(*items)).alias("_v"))
                 .select(*self.key, "from_cnt", "to_cnt", "_v.*")
@@ -265,8 +274,8 @@ class Tieout:
         # Duplicate keys: differing pairs = m*n - sum_v cF(v)*cT(v) per key and
         # column. sum over keys of w*m*n is column-independent (one number);
         # the matched part comes from one equi-join on (key, idx, value).
-        fv = self._long(self.from_df, "f", with_raw=False).alias("a")
-        tv = self._long(self.to_df, "t", with_raw=False).select(*self.key, "idx", "cmp", "c").alias("b")
+        fv = self._long("f", with_raw=False).alias("a")
+        tv = self._long("t", with_raw=False).select(*self.key, "idx", "cmp", "c").alias("b")
         cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
                 + [F.col("a.idx") == F.col("b.idx"), F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])
         m, n = F.col("a.m"), F.col("a.n")
@@ -319,8 +328,8 @@ class Tieout:
                  .select(*self.key, "x.col_nm", "x.from_val", "x.to_val",
                          F.lit(1).cast("bigint").alias("diff_cnt")))
 
-        fl = self._long(self.from_df, "f", with_raw=True).alias("a")
-        tl = self._long(self.to_df, "t", with_raw=True).select(*self.key, "idx", "cmp", "raw", "c").alias("b")
+        fl = self._long("f", with_raw=True).alias("a")
+        tl = self._long("t", with_raw=True).select(*self.key, "idx", "cmp", "raw", "c").alias("b")
         names = F.array(*[F.lit(c) for c in self.shared])
         cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
                 + [F.col("a.idx") == F.col("b.idx"), ~F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])

@@ -205,3 +205,8 @@ select role_name, rule, obj_type, db_pattern, sc_pattern, wh_pattern, role_type,
 def role_spec_lint(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return access.lint_spec(i["spec"], fixture(spark, sf_dir, "privilege_model"))
+
+
+@register("role_functional", oracle_cte("roles") + "\nselect name, deleted_on from roles where name like '%_FR'")
+def role_functional(spark, sf_dir):
+    return access.functional_roles(fixture(spark, sf_dir, "roles"))
