@@ -1,0 +1 @@
+"""DataFrame operators, one module per question the library answers."""

@@ -100,7 +100,7 @@ def resolve_rules(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
     kind is AR for access roles, FR for roles matched by ROLE rules.
     """
     s = spec.filter(F.col("rule") == rule)
-    s = _checked_broadcast(s).alias("s")
+    _checked_broadcast(s)  # size check once; each kind below broadcasts its own rules only
     include = rule == "INCLUDE"
     parts = []
     conds = {
@@ -109,14 +109,16 @@ def resolve_rules(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
         "WAREHOUSE": (wh_grants, "g.wh_name like s.wh_pattern"),
     }
     for obj_type, (grants, cond) in conds.items():
-        c = F.expr(cond) & (F.col("s.obj_type") == obj_type)
+        rules = F.broadcast(s.filter(F.col("obj_type") == obj_type)).alias("s")
+        c = F.expr(cond)
         if include:
             c = c & _grantee_like(obj_type)
-        parts.append(grants.select("*").alias("g").join(s, c, "inner")
+        parts.append(grants.select("*").alias("g").join(rules, c, "inner")
                      .select(F.col("s.role_name").alias("role_name"), F.lit("AR").alias("kind"),
                              F.col("g.grantee_name").alias("granted_name")))
     r = live_roles(roles).alias("g")
-    parts.append(r.join(s, F.expr("g.name like s.role_pattern") & (F.col("s.obj_type") == "ROLE"), "inner")
+    role_rules = F.broadcast(s.filter(F.col("obj_type") == "ROLE")).alias("s")
+    parts.append(r.join(role_rules, F.expr("g.name like s.role_pattern"), "inner")
                  .select(F.col("s.role_name").alias("role_name"), F.lit("FR").alias("kind"),
                          F.col("g.name").alias("granted_name")))
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()

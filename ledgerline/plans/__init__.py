@@ -1,0 +1 @@
+"""Registered queries: Spark plans paired with DuckDB oracle SQL."""

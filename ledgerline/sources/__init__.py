@@ -1,0 +1 @@
+"""Inputs (parquet tables, fixtures, spec documents) and outputs (sinks)."""

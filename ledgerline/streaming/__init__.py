@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+The reference has no stream, watermark, window or state handling: every
+question it answers is a batch comparison of tables or catalog listings, so
+nothing here needs Structured Streaming. Incremental work (catalog snapshots,
+copy refresh) is expressed as batch jobs against the previous run's manifest
+or the catalog's change times.
+"""
