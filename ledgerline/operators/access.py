@@ -92,15 +92,17 @@ def _grantee_like(obj_type: str) -> Column:
 
 
 def resolve_rules(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
-                  wh_grants: DataFrame, roles: DataFrame, rule: str) -> DataFrame:
+                  wh_grants: DataFrame, roles: DataFrame, rule: str, checked: bool = False) -> DataFrame:
     """``(role_name, kind, granted_name)`` matched by INCLUDE or EXCLUDE rules.
 
     INCLUDE also requires the grantee to be an access role of the rule's level;
     EXCLUDE does not, so it removes every level of the matched object.
     kind is AR for access roles, FR for roles matched by ROLE rules.
     """
-    s = spec.filter(F.col("rule") == rule)
-    _checked_broadcast(s)  # size check once; each kind below broadcasts its own rules only
+    # One broadcast of the whole spec, reused by every join below; the cheap
+    # equalities come first in each condition so LIKE only runs on rules of
+    # the right rule and kind.
+    s = (F.broadcast(spec) if checked else _checked_broadcast(spec)).alias("s")
     include = rule == "INCLUDE"
     parts = []
     conds = {
@@ -109,16 +111,15 @@ def resolve_rules(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
         "WAREHOUSE": (wh_grants, "g.wh_name like s.wh_pattern"),
     }
     for obj_type, (grants, cond) in conds.items():
-        rules = F.broadcast(s.filter(F.col("obj_type") == obj_type)).alias("s")
-        c = F.expr(cond)
+        c = (F.col("s.rule") == rule) & (F.col("s.obj_type") == obj_type) & F.expr(cond)
         if include:
             c = c & _grantee_like(obj_type)
-        parts.append(grants.select("*").alias("g").join(rules, c, "inner")
+        parts.append(grants.select("*").alias("g").join(s, c, "inner")
                      .select(F.col("s.role_name").alias("role_name"), F.lit("AR").alias("kind"),
                              F.col("g.grantee_name").alias("granted_name")))
     r = live_roles(roles).alias("g")
-    role_rules = F.broadcast(s.filter(F.col("obj_type") == "ROLE")).alias("s")
-    parts.append(r.join(role_rules, F.expr("g.name like s.role_pattern"), "inner")
+    c = (F.col("s.rule") == rule) & (F.col("s.obj_type") == "ROLE") & F.expr("g.name like s.role_pattern")
+    parts.append(r.join(s, c, "inner")
                  .select(F.col("s.role_name").alias("role_name"), F.lit("FR").alias("kind"),
                          F.col("g.name").alias("granted_name")))
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
@@ -135,8 +136,9 @@ def custom_rules(custom: DataFrame, rule: str) -> DataFrame:
 
 def wanted(spec, db_grants, sc_grants, wh_grants, roles, custom=None) -> DataFrame:
     """(include ∪ custom include) − (exclude ∪ custom exclude), per kind."""
-    inc = resolve_rules(spec, db_grants, sc_grants, wh_grants, roles, "INCLUDE")
-    exc = resolve_rules(spec, db_grants, sc_grants, wh_grants, roles, "EXCLUDE")
+    _checked_broadcast(spec)
+    inc = resolve_rules(spec, db_grants, sc_grants, wh_grants, roles, "INCLUDE", checked=True)
+    exc = resolve_rules(spec, db_grants, sc_grants, wh_grants, roles, "EXCLUDE", checked=True)
     if custom is not None:
         inc = inc.unionByName(custom_rules(custom, "INCLUDE"))
         exc = exc.unionByName(custom_rules(custom, "EXCLUDE"))

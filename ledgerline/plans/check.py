@@ -77,8 +77,9 @@ def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     if s_cols != o_cols:
         res["status"] = f"COLUMNS spark={s_cols} oracle={o_cols}"
     elif s_rows != o_rows:
-        extra = [r for r in s_rows if r not in set(o_rows)][:3]
-        missing = [r for r in o_rows if r not in set(s_rows)][:3]
+        o_set, s_set = set(o_rows), set(s_rows)
+        extra = [r for r in s_rows if r not in o_set][:3]
+        missing = [r for r in o_rows if r not in s_set][:3]
         res["status"] = f"VALUES spark-only={extra} oracle-only={missing}"
     else:
         res["status"] = "match"
