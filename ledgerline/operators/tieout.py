@@ -380,6 +380,6 @@ def run_validations(spark, tables: dict[str, DataFrame], validations: Sequence[V
                    from_tbl=v.from_tbl, to_tbl=v.to_tbl, ignore_cols=v.ignore_cols, **options)
         outs["overview"].append(t.overview)
         outs["summary"].append(t.summary)
-        outs["detail"].append(t.detail().drop("from_val", "to_val"))
+        outs["detail"].append(t.detail())
         outs["skipped"].append(t.skipped(spark))
     return {k: reduce(lambda a, b: a.unionByName(b), v) for k, v in outs.items()}

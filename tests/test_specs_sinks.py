@@ -62,3 +62,23 @@ def test_write_tieouts_and_swap(spark, sf):
     v1 = sinks.swap_in(spark, spark.range(3), "swap_demo")
     v2 = sinks.swap_in(spark, spark.range(5), "swap_demo")
     assert v1 != v2 and spark.table("swap_demo").count() == 5
+
+
+def test_yaml_target_end_to_end(spark, sf, tmp_path):
+    """Validation spec → all validations of the target → the stored outputs."""
+    from ledgerline.operators.tieout import run_validations
+
+    p = tmp_path / "t.yaml"
+    p.write_text("SAMPLE:\n  OUTPUT_DB: OUT\n  OUTPUT_SC: TIE\n  OUTPUT_PREFIX: S\n  VALIDATIONS:\n"
+                 "    - NAME: ORD\n      KEY: [o_orderkey]\n      FROM_TBL: DB.SC.TIE_FROM\n      TO_TBL: DB.SC.TIE_TO\n"
+                 "      IGNORE_COLS: [_ignore_me]\n"
+                 "    - NAME: DUP\n      KEY: [l_orderkey, l_linenumber]\n      FROM_TBL: DB.SC.DUP_FROM\n"
+                 "      TO_TBL: DB.SC.DUP_TO\n")
+    _, vals = specs.read_validations([str(p)], "SAMPLE")
+    tables = {f"DB.SC.{n.upper()}": fixture(spark, sf, n) for n in ("tie_from", "tie_to", "dup_from", "dup_to")}
+    out = run_validations(spark, tables, vals)
+    summ = {(r.name, r.col_nm): r.col_diff_cnt for r in out["summary"].collect()}
+    assert summ[("ORD", "o_orderstatus")] == 292 and summ[("DUP", "l_returnflag")] == 16161
+    assert out["overview"].count() == 2 and out["skipped"].count() == 2
+    assert out["detail"].groupBy("name").agg(F.sum("diff_cnt").alias("n")).filter("name = 'DUP'").first().n \
+        == summ[("DUP", "l_returnflag")] + summ[("DUP", "l_linestatus")]
