@@ -10,7 +10,9 @@ Plan shape (per validation):
   tables on the key carrying *every* shared column; per-column difference
   flags, one aggregate for all column counts, one ``explode(filter(...))`` for
   the detail rows. The reference re-joins both tables once per column.
-* **duplicate keys** (more than one row on either side) — never expanded into
+* **duplicate keys with few pairs** (``m*n <= pair_limit``) — compared pair by
+  pair in the same join, each differing pair weighted ``m*n`` (reference) or 1.
+* **hot keys** (``m*n > pair_limit``) — never expanded into
   row pairs. Each side is unpivoted to ``(key, column, value)`` and counted;
   with ``m`` from-rows, ``n`` to-rows and per-value counts ``cF(v)``, ``cT(v)``
   the differing pairs of a key are ``m*n - sum_v cF(v)*cT(v)``. The reference
@@ -33,6 +35,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ledgerline.functions.compare import as_text, compare_value, differs
 
 MULTIPLICITIES = ("reference", "pairs")
+# Keys whose m*n row pairs stay at or below this are compared pair by pair in
+# the main join; larger (hot) keys go through the pair-free value counts.
+# Both paths are exact; the limit only bounds the pairs any one key emits.
+DEFAULT_PAIR_LIMIT = 64
 
 
 @dataclass(frozen=True)
@@ -100,7 +106,8 @@ class Tieout:
     def __init__(self, from_df: DataFrame, to_df: DataFrame, key: Sequence[str], *,
                  name: str = "TIEOUT", from_tbl: str = "FROM", to_tbl: str = "TO",
                  ignore_cols: Sequence[str] = (), case_insensitive: bool = False,
-                 null_as_blank: bool = False, multiplicity: str = "reference"):
+                 null_as_blank: bool = False, multiplicity: str = "reference",
+                 pair_limit: int = DEFAULT_PAIR_LIMIT):
         if not key:
             raise ValueError("a tie-out needs at least one key column")
         if multiplicity not in MULTIPLICITIES:
@@ -108,6 +115,7 @@ class Tieout:
         self.name, self.from_tbl, self.to_tbl = name, from_tbl, to_tbl
         self.case_insensitive, self.null_as_blank = case_insensitive, null_as_blank
         self.multiplicity = multiplicity
+        self.pair_limit = max(1, int(pair_limit))
         fkey = _resolve(from_df, key, f"{name} from-table key")
         tkey = _resolve(to_df, key, f"{name} to-table key")
         # Canonical spelling = from side; rename the to side's key to match.
@@ -199,13 +207,22 @@ class Tieout:
         rows = df.select(*self.key, *[F.col(n).alias(f"{side}__{i}") for i, n in enumerate(names)])
         return rows.join(self._shared_keys().select(*self.key, "from_cnt", "to_cnt"), self.key, "inner")
 
-    def _clean_join(self) -> DataFrame:
-        """Rows of keys with exactly one row per side, both sides' shared columns."""
-        one = (F.col("from_cnt") == 1) & (F.col("to_cnt") == 1)
-        f = self._sided("f").filter(one).drop("from_cnt", "to_cnt")
-        t = self._sided("t").filter(one).drop("from_cnt", "to_cnt")
+    def _small(self) -> Column:
+        return (F.col("from_cnt") * F.col("to_cnt")) <= F.lit(self.pair_limit)
+
+    def _pair_join(self) -> DataFrame:
+        """Row pairs of keys with at most ``pair_limit`` pairs (m*n), both
+        sides' shared columns side by side, with the key's (from_cnt, to_cnt).
+        Unique keys (m = n = 1) are the common case: one row per key."""
+        f = self._sided("f").filter(self._small())
+        t = self._sided("t").filter(self._small()).drop("from_cnt", "to_cnt")
         return f.join(t, self.key, "inner")
 
+    def _clean_join(self) -> DataFrame:
+        """Pairs of keys with exactly one row per side."""
+        return (self._pair_join().filter((F.col("from_cnt") == 1) & (F.col("to_cnt") == 1))
+                .drop("from_cnt", "to_cnt"))
+
     def _clean_flags(self, j: DataFrame) -> list[Column]:
         flags = []
         for i, c in enumerate(self.shared):
@@ -213,13 +230,12 @@ class Tieout:
             flags.append(differs(a, b))
         return flags
 
-    def _dup_keys(self) -> DataFrame:
-        return (self._shared_keys()
-                .filter((F.col("from_cnt") > 1) | (F.col("to_cnt") > 1))
-                .select(*self.key, "from_cnt", "to_cnt"))
+    def _big_keys(self) -> DataFrame:
+        return self._shared_keys().filter(~self._small()).select(*self.key, "from_cnt", "to_cnt")
 
     def _long(self, side: str, with_raw: bool) -> DataFrame:
-        """Unpivot one side's duplicate-key rows to counts per (key, idx, cmp[, raw]).
+        """Unpivot one side's rows of big keys (m*n > pair_limit) to counts per
+        (key, idx, cmp[, raw]).
 
         The key's (from_cnt, to_cnt) ride along so later steps need no re-join.
         Partial aggregation collapses a hot key's repeated values map-side.
@@ -234,7 +250,7 @@ class Tieout:
             if with_raw:
                 fields.append(as_text(v, dt).alias("raw"))
             items.append(F.struct(*fields))
-        rows = self._sided(side).filter((F.col("from_cnt") > 1) | (F.col("to_cnt") > 1))
+        rows = self._sided(side).filter(~self._small())
         group = [*self.key, "idx", "cmp"] + (["raw"] if with_raw else [])
         return (rows.select(*self.key, "from_cnt", "to_cnt", F.explode(F.array(*items)).alias("_v"))
                 .select(*self.key, "from_cnt", "to_cnt", "_v.*")
@@ -264,14 +280,17 @@ class Tieout:
         if not self.shared:
             return cols.select(F.lit(self.name).alias("name"), "col_nm",
                                F.lit(0).cast("bigint").alias("col_diff_cnt"))
-        j = self._clean_join()
+        # Keys with few pairs: one join, every column compared per pair, each
+        # differing pair weighted like the reference (m*n) or once.
+        j = self._pair_join()
         flags = self._clean_flags(j)
-        wide = j.agg(*[F.count(F.when(d, 1)).alias(f"d{i}") for i, d in enumerate(flags)])
-        clean = wide.select(F.explode(F.array(*[
+        w = self._weight(F.col("from_cnt"), F.col("to_cnt"))
+        wide = j.agg(*[F.coalesce(F.sum(F.when(d, w)), F.lit(0)).alias(f"d{i}") for i, d in enumerate(flags)])
+        paired = wide.select(F.explode(F.array(*[
             F.struct(F.lit(i).cast("bigint").alias("idx"), F.col(f"d{i}").cast("bigint").alias("n"))
             for i in range(len(self.shared))])).alias("x")).select("x.idx", "x.n")
 
-        # Duplicate keys: differing pairs = m*n - sum_v cF(v)*cT(v) per key and
+        # Big keys: differing pairs = m*n - sum_v cF(v)*cT(v) per key and
         # column. sum over keys of w*m*n is column-independent (one number);
         # the matched part comes from one equi-join on (key, idx, value).
         fv = self._long("f", with_raw=False).alias("a")
@@ -282,13 +301,13 @@ class Tieout:
         eq = (fv.join(tv, cond, "inner")
               .groupBy(F.col("a.idx").alias("idx"))
               .agg(F.sum(self._weight(m, n) * F.col("a.c") * F.col("b.c")).alias("eq")))
-        dk = self._dup_keys()
-        total = dk.agg(F.coalesce(F.sum(self._weight(F.col("from_cnt"), F.col("to_cnt"))
-                                        * F.col("from_cnt") * F.col("to_cnt")), F.lit(0))
-                       .alias("tw")).withColumn("_one", F.lit(1))
+        total = (self._big_keys()
+                 .agg(F.coalesce(F.sum(self._weight(F.col("from_cnt"), F.col("to_cnt"))
+                                       * F.col("from_cnt") * F.col("to_cnt")), F.lit(0)).alias("tw"))
+                 .withColumn("_one", F.lit(1)))
         return (cols.withColumn("_one", F.lit(1))
                 .join(F.broadcast(total), "_one", "inner")          # one-row frame
-                .join(F.broadcast(clean), "idx", "left")
+                .join(F.broadcast(paired), "idx", "left")
                 .join(F.broadcast(eq), "idx", "left")
                 .select(F.lit(self.name).alias("name"), "col_nm",
                         (F.coalesce(F.col("n"), F.lit(0)) + F.col("tw")
@@ -311,35 +330,41 @@ class Tieout:
         would repeat for this value pair.
         """
         spark = self.from_df.sparkSession
-        j = self._clean_join()
-        flags = self._clean_flags(j)
         ft, tt = self._types()
+        if not self.shared:
+            schema = StructType([self.from_df.schema[k] for k in self.key] + [
+                StructField("col_nm", StringType()), StructField("from_val", StringType()),
+                StructField("to_val", StringType()), StructField("diff_cnt", LongType())])
+            return spark.createDataFrame([], schema)
+        j = self._pair_join()
+        flags = self._clean_flags(j)
         items = [F.struct(F.lit(c).alias("col_nm"),
                           as_text(F.col(f"f__{i}"), ft[c]).alias("from_val"),
                           as_text(F.col(f"t__{i}"), tt[self._to_name[c]]).alias("to_val"),
                           flags[i].alias("d"))
                  for i, c in enumerate(self.shared)]
-        if not items:
-            schema = StructType([j.schema[k] for k in self.key] + [
-                StructField("col_nm", StringType()), StructField("from_val", StringType()),
-                StructField("to_val", StringType()), StructField("diff_cnt", LongType())])
-            return spark.createDataFrame([], schema)
-        clean = (j.select(*self.key, F.explode(F.filter(F.array(*items), lambda x: x["d"])).alias("x"))
-                 .select(*self.key, "x.col_nm", "x.from_val", "x.to_val",
-                         F.lit(1).cast("bigint").alias("diff_cnt")))
+        w = self._weight(F.col("from_cnt"), F.col("to_cnt")).cast("bigint")
+        pairs = (j.select(*self.key, "from_cnt", "to_cnt",
+                          F.explode(F.filter(F.array(*items), lambda x: x["d"])).alias("x"))
+                 .select(*self.key, "x.col_nm", "x.from_val", "x.to_val", w.alias("diff_cnt")))
+        # A key with a few duplicate rows can repeat a value pair: merge them.
+        # The pairs are already hash-partitioned by key, so this aggregation
+        # needs no shuffle; unique keys pass through it unchanged.
+        small = (pairs.groupBy(*self.key, "col_nm", "from_val", "to_val")
+                 .agg(F.sum("diff_cnt").cast("bigint").alias("diff_cnt")))
 
         fl = self._long("f", with_raw=True).alias("a")
         tl = self._long("t", with_raw=True).select(*self.key, "idx", "cmp", "raw", "c").alias("b")
         names = F.array(*[F.lit(c) for c in self.shared])
         cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
                 + [F.col("a.idx") == F.col("b.idx"), ~F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])
-        dups = (fl.join(tl, cond, "inner")
-                .select(*[F.col(f"a.{k}").alias(k) for k in self.key],
-                        F.element_at(names, F.col("a.idx") + 1).alias("col_nm"),
-                        F.col("a.raw").alias("from_val"), F.col("b.raw").alias("to_val"),
-                        (self._weight(F.col("a.m"), F.col("a.n")) * F.col("a.c") * F.col("b.c"))
-                        .cast("bigint").alias("diff_cnt")))
-        return clean.unionByName(dups)
+        big = (fl.join(tl, cond, "inner")
+               .select(*[F.col(f"a.{k}").alias(k) for k in self.key],
+                       F.element_at(names, F.col("a.idx") + 1).alias("col_nm"),
+                       F.col("a.raw").alias("from_val"), F.col("b.raw").alias("to_val"),
+                       (self._weight(F.col("a.m"), F.col("a.n")) * F.col("a.c") * F.col("b.c"))
+                       .cast("bigint").alias("diff_cnt")))
+        return small.unionByName(big)
 
     def detail(self, expand: bool = False) -> DataFrame:
         """K3 rows: name, col_nm, key_vals (key *names*), data_vals JSON, values, count.

@@ -112,3 +112,19 @@ def test_composite_key_nulls_excluded_from_counts(spark):
     t = spark.createDataFrame([(1, 2), (1, None)], "a int, b int")
     r = Tieout(f, t, ["a", "b"]).key_stats.first()
     assert (r.from_rowcount, r.overlap_rowcount, r.from_unique, r.to_unique) == (1, 1, 0, 0)
+
+
+@pytest.mark.parametrize("ci,nb", [(False, False), (True, True)])
+def test_pair_path_equals_count_path(spark, sf, ci, nb):
+    """Every key through the value-count path (limit 1) or through row pairs
+    (huge limit) must give the same summary and the same detail."""
+    f, t = fixture(spark, sf, "dup_from"), fixture(spark, sf, "dup_to")
+    key = ["l_orderkey", "l_linenumber"]
+    opts = dict(case_insensitive=ci, null_as_blank=nb)
+    lo, hi = Tieout(f, t, key, pair_limit=1, **opts), Tieout(f, t, key, pair_limit=10**9, **opts)
+    assert _summary(lo) == _summary(hi)
+    a, b = lo.detail_rows(), hi.detail_rows()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    p1, p2 = (Tieout(f, t, key, pair_limit=1, multiplicity="pairs", **opts),
+              Tieout(f, t, key, pair_limit=10**9, multiplicity="pairs", **opts))
+    assert _summary(p1) == _summary(p2)
