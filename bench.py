@@ -71,7 +71,8 @@ def main():
         "tieout_orders_summary": lambda: ot.summary,
         "tieout_orders_detail": lambda: ot.detail(),
     }
-    for name in ("tieout_overview", "tieout_columns_summary", "tieout_summary_duplicate_keys", "sum_detail",
+    for name in ("tieout_overview", "tieout_columns_summary", "tieout_summary_duplicate_keys",
+                 "tieout_hot_key_summary", "sum_detail",
                  "copy_refresh_plan", "role_delta", "model_audit", "snapshot_changes", "snapshot_content",
                  "name_parse"):
         queries[name] = (lambda n=name: PLANS[n](spark, sf_dir))

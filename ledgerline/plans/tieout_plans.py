@@ -301,3 +301,34 @@ def value_soundex(spark, sf_dir):
     return pairs.select("from_val", "to_val", F.soundex("from_val").alias("from_soundex"),
                         F.soundex("to_val").alias("to_soundex"),
                         soundex_equal(F.col("from_val"), F.col("to_val")).alias("soundex"))
+
+
+# --- one hot key ----------------------------------------------------------------
+HOT_COLS = ["l_linestatus", "l_quantity", "l_returnflag"]
+
+
+def _hot_sql() -> str:
+    """Differing pairs per column from per-(key, value) counts (each pair once)."""
+    parts = []
+    for c in HOT_COLS:
+        parts.append(f"""
+select 'HOT' as name, '{c}' as col_nm,
+       cast(coalesce(sum(kk.m * kk.n - coalesce(eq.e, 0)), 0) as bigint) as col_diff_cnt
+  from kk left join (
+        select fv.l_orderkey, sum(fv.c * tv.c) as e
+          from (select l_orderkey, {c} as v, count(*) as c from hot_from group by 1, 2) fv
+          join (select l_orderkey, {c} as v, count(*) as c from hot_to group by 1, 2) tv
+            on fv.l_orderkey = tv.l_orderkey and fv.v is not distinct from tv.v
+         group by 1) eq on kk.l_orderkey = eq.l_orderkey""")
+    return (oracle_cte("hot_from", "hot_to") + """,
+kk as (select f.l_orderkey, f.m, t.n
+         from (select l_orderkey, count(*) as m from hot_from where l_orderkey is not null group by 1) f
+         join (select l_orderkey, count(*) as n from hot_to where l_orderkey is not null group by 1) t
+           on f.l_orderkey = t.l_orderkey)""" + "\nunion all".join(parts))
+
+
+@register("tieout_hot_key_summary", _hot_sql())
+def tieout_hot_key_summary(spark, sf_dir):
+    """A third of all rows under one key: counted without emitting its pairs."""
+    f, t = fixture(spark, sf_dir, "hot_from"), fixture(spark, sf_dir, "hot_to")
+    return Tieout(f, t, ["l_orderkey"], name="HOT", multiplicity="pairs").summary

@@ -44,6 +44,17 @@ select l_orderkey, l_linenumber, l_returnflag, l_linestatus from {lineitem}""",
 select l_orderkey, l_linenumber,
        case when l_partkey % 4 = 0 then null else l_returnflag end as l_returnflag,
        l_linestatus
+  from {lineitem} where l_suppkey % 6 <> 1""",
+    # --- tie-out with one hot key: a third of all rows share order key 0 ----
+    "hot_from": """
+select case when l_orderkey % 3 = 0 then 0 else l_orderkey end as l_orderkey,
+       l_returnflag, l_linestatus, l_quantity
+  from {lineitem}""",
+    "hot_to": """
+select case when l_orderkey % 3 = 0 then 0 else l_orderkey end as l_orderkey,
+       case when l_partkey % 4 = 0 then null else l_returnflag end as l_returnflag,
+       l_linestatus,
+       case when l_partkey % 13 = 0 then l_quantity + 1 else l_quantity end as l_quantity
   from {lineitem} where l_suppkey % 6 <> 1""",
     # --- wide tie-out used by the benchmark (all lineitem columns) ----------
     "line_to": """
