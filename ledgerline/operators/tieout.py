@@ -138,7 +138,7 @@ class Tieout:
         return self._profile
 
     def _counts(self) -> list[Column]:
-        p, nn = self.profile, _all_not_null(self.key)
+        nn = _all_not_null(self.key)
         return [
             F.coalesce(F.sum(F.when(nn, F.col("from_cnt"))), F.lit(0)).cast("bigint").alias("from_rowcount"),
             F.coalesce(F.sum(F.when(nn, F.col("to_cnt"))), F.lit(0)).cast("bigint").alias("to_rowcount"),
@@ -171,8 +171,9 @@ class Tieout:
         )
 
     # -- columns ------------------------------------------------------------
-    def skipped(self, spark) -> DataFrame:
+    def skipped(self, spark=None) -> DataFrame:
         """K4 rows: one-sided columns with the table that owns them."""
+        spark = spark or self.from_df.sparkSession
         rows = [(self.name, self.from_tbl if s == "FROM" else self.to_tbl, c)
                 for s, c in self.columns if s != "BOTH"]
         schema = StructType([StructField("name", StringType(), False),
@@ -207,15 +208,16 @@ class Tieout:
         rows = df.select(*self.key, *[F.col(n).alias(f"{side}__{i}") for i, n in enumerate(names)])
         return rows.join(self._shared_keys().select(*self.key, "from_cnt", "to_cnt"), self.key, "inner")
 
-    def _small(self) -> Column:
-        return (F.col("from_cnt") * F.col("to_cnt")) <= F.lit(self.pair_limit)
+    def _small(self, limit: int | None = None) -> Column:
+        limit = self.pair_limit if limit is None else limit
+        return (F.col("from_cnt") * F.col("to_cnt")) <= F.lit(limit)
 
-    def _pair_join(self) -> DataFrame:
+    def _pair_join(self, limit: int | None = None) -> DataFrame:
         """Row pairs of keys with at most ``pair_limit`` pairs (m*n), both
         sides' shared columns side by side, with the key's (from_cnt, to_cnt).
         Unique keys (m = n = 1) are the common case: one row per key."""
-        f = self._sided("f").filter(self._small())
-        t = self._sided("t").filter(self._small()).drop("from_cnt", "to_cnt")
+        f = self._sided("f").filter(self._small(limit))
+        t = self._sided("t").filter(self._small(limit)).drop("from_cnt", "to_cnt")
         return f.join(t, self.key, "inner")
 
     def _clean_join(self) -> DataFrame:
@@ -233,7 +235,7 @@ class Tieout:
     def _big_keys(self) -> DataFrame:
         return self._shared_keys().filter(~self._small()).select(*self.key, "from_cnt", "to_cnt")
 
-    def _long(self, side: str, with_raw: bool) -> DataFrame:
+    def _long(self, side: str, with_raw: bool, limit: int | None = None) -> DataFrame:
         """Unpivot one side's rows of big keys (m*n > pair_limit) to counts per
         (key, idx, cmp[, raw]).
 
@@ -250,7 +252,7 @@ class Tieout:
             if with_raw:
                 fields.append(as_text(v, dt).alias("raw"))
             items.append(F.struct(*fields))
-        rows = self._sided(side).filter(~self._small())
+        rows = self._sided(side).filter(~self._small(limit))
         group = [*self.key, "idx", "cmp"] + (["raw"] if with_raw else [])
         return (rows.select(*self.key, "from_cnt", "to_cnt", F.explode(F.array(*items)).alias("_v"))
                 .select(*self.key, "from_cnt", "to_cnt", "_v.*")
@@ -336,25 +338,21 @@ class Tieout:
                 StructField("col_nm", StringType()), StructField("from_val", StringType()),
                 StructField("to_val", StringType()), StructField("diff_cnt", LongType())])
             return spark.createDataFrame([], schema)
-        j = self._pair_join()
+        # Detail pairs only unique keys (one row per key and column, nothing to
+        # merge); every duplicate key goes through the value counts, which
+        # emit each distinct value pair once instead of m*n row pairs.
+        j = self._pair_join(limit=1)
         flags = self._clean_flags(j)
         items = [F.struct(F.lit(c).alias("col_nm"),
                           as_text(F.col(f"f__{i}"), ft[c]).alias("from_val"),
                           as_text(F.col(f"t__{i}"), tt[self._to_name[c]]).alias("to_val"),
                           flags[i].alias("d"))
                  for i, c in enumerate(self.shared)]
-        w = self._weight(F.col("from_cnt"), F.col("to_cnt")).cast("bigint")
-        pairs = (j.select(*self.key, "from_cnt", "to_cnt",
-                          F.explode(F.filter(F.array(*items), lambda x: x["d"])).alias("x"))
-                 .select(*self.key, "x.col_nm", "x.from_val", "x.to_val", w.alias("diff_cnt")))
-        # A key with a few duplicate rows can repeat a value pair: merge them.
-        # The pairs are already hash-partitioned by key, so this aggregation
-        # needs no shuffle; unique keys pass through it unchanged.
-        small = (pairs.groupBy(*self.key, "col_nm", "from_val", "to_val")
-                 .agg(F.sum("diff_cnt").cast("bigint").alias("diff_cnt")))
-
-        fl = self._long("f", with_raw=True).alias("a")
-        tl = self._long("t", with_raw=True).select(*self.key, "idx", "cmp", "raw", "c").alias("b")
+        small = (j.select(*self.key, F.explode(F.filter(F.array(*items), lambda x: x["d"])).alias("x"))
+                 .select(*self.key, "x.col_nm", "x.from_val", "x.to_val", F.lit(1).cast("bigint").alias("diff_cnt")))
+
+        fl = self._long("f", with_raw=True, limit=1).alias("a")
+        tl = self._long("t", with_raw=True, limit=1).select(*self.key, "idx", "cmp", "raw", "c").alias("b")
         names = F.array(*[F.lit(c) for c in self.shared])
         cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
                 + [F.col("a.idx") == F.col("b.idx"), ~F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])
