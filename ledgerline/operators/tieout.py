@@ -232,9 +232,6 @@ class Tieout:
             flags.append(differs(a, b))
         return flags
 
-    def _big_keys(self) -> DataFrame:
-        return self._shared_keys().filter(~self._small()).select(*self.key, "from_cnt", "to_cnt")
-
     def _long(self, side: str, with_raw: bool, limit: int | None = None) -> DataFrame:
         """Unpivot one side's rows of big keys (m*n > pair_limit) to counts per
         (key, idx, cmp[, raw]).
@@ -293,27 +290,23 @@ class Tieout:
             for i in range(len(self.shared))])).alias("x")).select("x.idx", "x.n")
 
         # Big keys: differing pairs = m*n - sum_v cF(v)*cT(v) per key and
-        # column. sum over keys of w*m*n is column-independent (one number);
-        # the matched part comes from one equi-join on (key, idx, value).
+        # column. Since sum_v cF(v) = m, the from-side counts left-joined to
+        # the to-side counts on (key, idx, value) give both terms per column
+        # in one aggregate: sum(w*cF*n) - sum(w*cF*cT).
         fv = self._long("f", with_raw=False).alias("a")
         tv = self._long("t", with_raw=False).select(*self.key, "idx", "cmp", "c").alias("b")
         cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
                 + [F.col("a.idx") == F.col("b.idx"), F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])
-        m, n = F.col("a.m"), F.col("a.n")
-        eq = (fv.join(tv, cond, "inner")
-              .groupBy(F.col("a.idx").alias("idx"))
-              .agg(F.sum(self._weight(m, n) * F.col("a.c") * F.col("b.c")).alias("eq")))
-        total = (self._big_keys()
-                 .agg(F.coalesce(F.sum(self._weight(F.col("from_cnt"), F.col("to_cnt"))
-                                       * F.col("from_cnt") * F.col("to_cnt")), F.lit(0)).alias("tw"))
-                 .withColumn("_one", F.lit(1)))
-        return (cols.withColumn("_one", F.lit(1))
-                .join(F.broadcast(total), "_one", "inner")          # one-row frame
-                .join(F.broadcast(paired), "idx", "left")
-                .join(F.broadcast(eq), "idx", "left")
+        w = self._weight(F.col("a.m"), F.col("a.n"))
+        big = (fv.join(tv, cond, "left")
+               .groupBy(F.col("a.idx").cast("bigint").alias("idx"))
+               .agg(F.sum(w * F.col("a.c") * (F.col("a.n") - F.coalesce(F.col("b.c"), F.lit(0))))
+                    .alias("dn")))
+        return (cols.join(F.broadcast(paired), "idx", "left")
+                .join(F.broadcast(big), "idx", "left")
                 .select(F.lit(self.name).alias("name"), "col_nm",
-                        (F.coalesce(F.col("n"), F.lit(0)) + F.col("tw")
-                         - F.coalesce(F.col("eq"), F.lit(0))).cast("bigint").alias("col_diff_cnt")))
+                        (F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("dn"), F.lit(0)))
+                        .cast("bigint").alias("col_diff_cnt")))
 
     def summary_from_detail(self, detail: DataFrame) -> DataFrame:
         """K2 derived from already written K3 rows (sum of diff_cnt per column)."""
