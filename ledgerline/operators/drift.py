@@ -189,3 +189,25 @@ def refresh_apply(plan: DataFrame, read: Callable[[str, str], DataFrame],
 
     with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
         return list(pool.map(one, todo))
+
+
+def refresh_rows(plan: DataFrame, data: DataFrame, db_sc_col: str = "db_sc",
+                 table_col: str = "table_name") -> DataFrame:
+    """C10 for tables kept as partitions of one dataset ``(db_sc, table_name, ...)``:
+    the new content of every copy the plan marks REFRESH is its source's rows,
+    relabelled with the copy's schema. One join of the (catalog-sized) plan with
+    the data; no per-table loop.
+    """
+    todo = (plan.filter(F.col("action") == "REFRESH")
+            .select(F.col("src_db_sc").alias("_src"), F.col("clone_db_sc").alias("_dst"),
+                    F.col("table_name").alias("_tbl")).distinct())
+    rows = data.join(todo, (data[db_sc_col] == todo["_src"]) & (data[table_col] == todo["_tbl"]), "inner")
+    cols = [c for c in data.columns if c != db_sc_col]
+    return rows.select(F.col("_dst").alias(db_sc_col), *cols)
+
+
+def write_refreshed(rows: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> None:
+    """Replace only the refreshed copies' partitions (dynamic partition overwrite);
+    every other table in the dataset is left as it is."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(db_sc_col, table_col).parquet(path))

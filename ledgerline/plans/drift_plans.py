@@ -150,3 +150,15 @@ def copy_refresh_counts(spark, sf_dir):
     t, m = _inputs(spark, sf_dir)
     p = drift.refresh_plan(t, m, *SRC, *DST)
     return p.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("action") == "SKIP", 1)).alias("skipped"))
+
+
+
+@register("copy_refresh_apply", "select p.clone_db_sc as db_sc, d.table_name, d.l_linenumber, d.l_quantity, "
+          "d.l_returnflag from (" + _plan_sql(True) + ") p join (" + oracle_cte("table_data")
+          + " select * from table_data) d on d.db_sc = p.src_db_sc and d.table_name = p.table_name "
+          "where p.action = 'REFRESH'")
+def copy_refresh_apply(spark, sf_dir):
+    """The rows every refreshed copy holds after the refresh (its source's rows)."""
+    t, m = _inputs(spark, sf_dir)
+    plan = drift.refresh_plan(t, m, *SRC, *DST)
+    return drift.refresh_rows(plan, fixture(spark, sf_dir, "table_data"))

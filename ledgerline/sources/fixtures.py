@@ -94,6 +94,13 @@ select o_orderkey as id,
        o_custkey % 3 as active_bytes, o_custkey % 2 as retained_for_clone_bytes,
        o_orderkey % 20 = 4 as deleted
   from {orders}""",
+    # Table contents for the copy-drift catalog: table T_k of SC_1 holds the
+    # lines of order 2k, its namesake in SC_2 those of order 2k+1.
+    "table_data": """
+select case when l_orderkey % 2 = 0 then 'TEST_DB.SC_1' else 'TEST_DB.SC_2' end as db_sc,
+       'T_' || cast(cast(floor(l_orderkey / 2) as bigint) as string) as table_name,
+       l_linenumber, l_quantity, l_returnflag
+  from {lineitem}""",
     # --- access roles -------------------------------------------------------
     "future_grants_schema": f"""
 select n_name as db_name, 'SC_' || cast(c_custkey as string) as sc_name,

@@ -45,3 +45,22 @@ def test_signature_normalisation(spark):
     df = spark.createDataFrame([("()",), ("(A VARCHAR)",), ("(A VARCHAR, B NUMBER)",), ("(A NUMBER) RETURN TABLE",)], "s string")
     got = [r[0] for r in df.select(snapshot.normalise_signature(F.col("s"))).collect()]
     assert got == ["()", "(VARCHAR)", "(VARCHAR, NUMBER)", "(NUMBER)"]
+
+
+def test_partition_refresh_replaces_only_refreshed_copies(spark, sf):
+    t, m = fixture(spark, sf, "cat_tables"), fixture(spark, sf, "storage_metrics")
+    plan = drift.refresh_plan(t, m, "TEST_DB", "SC_1", "TEST_DB", "SC_2")
+    data = fixture(spark, sf, "table_data")
+    path = scratch_path(spark, "partition_refresh")
+    data.write.mode("overwrite").partitionBy("db_sc", "table_name").parquet(path)
+    drift.write_refreshed(drift.refresh_rows(plan, data), path)
+    after = spark.read.parquet(path)
+    cols = ["l_linenumber", "l_quantity", "l_returnflag"]
+    refreshed = plan.filter("action = 'REFRESH'").first().table_name
+    src = data.filter(f"db_sc = 'TEST_DB.SC_1' and table_name = '{refreshed}'").select(*cols)
+    dst = after.filter(f"db_sc = 'TEST_DB.SC_2' and table_name = '{refreshed}'").select(*cols)
+    assert src.count() > 0 and src.exceptAll(dst).count() == 0 and dst.exceptAll(src).count() == 0
+    skipped = plan.filter("action = 'SKIP'").first().table_name
+    before = data.filter(f"db_sc = 'TEST_DB.SC_2' and table_name = '{skipped}'").select(*cols)
+    kept = after.filter(f"db_sc = 'TEST_DB.SC_2' and table_name = '{skipped}'").select(*cols)
+    assert before.exceptAll(kept).count() == 0 and kept.exceptAll(before).count() == 0
