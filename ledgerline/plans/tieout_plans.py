@@ -210,6 +210,22 @@ def tieout_detail_duplicate_keys(spark, sf_dir):
                     "from_val", "to_val", "diff_cnt"))
 
 
+def _soundex_sql(x: str) -> str:
+    """Spark's soundex in DuckDB string functions (DuckDB has none): first
+    letter kept, H/W ignored, runs of one code collapsed, vowels and
+    non-letters separate runs, padded to four; non-letter first character →
+    input unchanged."""
+    s = f"upper({x})"
+    codes = (f"translate(regexp_replace({s}, '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+             f"'01230127022455012623017202')")
+    col = f"replace({codes}, '7', '')"
+    for d in "0123456":
+        col = f"regexp_replace({col}, '{d}+', '{d}', 'g')"
+    rest = f"replace(substr({col}, 2), '0', '')"
+    return (f"case when {x} = '' then '' when not regexp_matches(substr({x}, 1, 1), '^[A-Za-z]$') then {x} "
+            f"else substr({s}, 1, 1) || rpad(substr({rest}, 1, 3), 3, '0') end")
+
+
 # --- reports ------------------------------------------------------------------
 def _multi(spark, sf_dir):
     ts = [_tieout(spark, sf_dir, v) for v in (ORD, DUP)]
@@ -267,15 +283,18 @@ select dt.name, ov.overlap_rowcount, dt.col_nm,
        dt.from_val, dt.to_val, cast(sum(dt.diff_cnt) as bigint) as col_diff_cnt,
        round(cast(sum(dt.diff_cnt) as double) * 100 / nullif(ov.overlap_rowcount, 0), 3) as col_diff_pct,
        round(jaro_winkler_similarity(dt.from_val, dt.to_val), 4) as jarowinkler_score,
-       levenshtein(dt.from_val, dt.to_val) as editdistance
+       cast(round(jaro_winkler_similarity(dt.from_val, dt.to_val) * 100) as integer) as jarowinkler_similarity,
+       levenshtein(dt.from_val, dt.to_val) as editdistance,
+       (SDX_FROM) = (SDX_TO) as soundex
   from dt join ov on dt.name = ov.name
- group by dt.name, ov.overlap_rowcount, dt.col_nm, dt.from_val, dt.to_val""")
+ group by dt.name, ov.overlap_rowcount, dt.col_nm, dt.from_val, dt.to_val""".replace(
+    "SDX_FROM", _soundex_sql("dt.from_val")).replace("SDX_TO", _soundex_sql("dt.to_val")))
 def sum_detail(spark, sf_dir):
     o, _, d = _multi(spark, sf_dir)
     r = reports.sum_detail(o, d)
     return r.select("name", "overlap_rowcount", "col_nm", F.concat_ws(",", "key_vals").alias("key_names"),
                     "from_val", "to_val", "col_diff_cnt", "col_diff_pct", "jarowinkler_score",
-                    F.col("editdistance"))
+                    "jarowinkler_similarity", "editdistance", "soundex")
 
 
 @register("value_similarity", CTE + ",\ndt as (" + _detail_sql(ORD, ORD_COLS, "tie_from", "tie_to") + """)
@@ -293,9 +312,12 @@ def value_similarity(spark, sf_dir):
                         edit_distance(F.col("from_val"), F.col("to_val")).alias("editdistance"))
 
 
-@register("value_soundex")
+@register("value_soundex", CTE + ",\ndt as (" + _detail_sql(ORD, ORD_COLS, "tie_from", "tie_to") + """),
+pv as (select distinct from_val, to_val from dt)
+select from_val, to_val, """ + _soundex_sql("from_val") + " as from_soundex, " + _soundex_sql("to_val")
+          + " as to_soundex, (" + _soundex_sql("from_val") + ") = (" + _soundex_sql("to_val") + ") as soundex from pv")
 def value_soundex(spark, sf_dir):
-    """Soundex equality of differing value pairs (DuckDB has no soundex: rows-only check)."""
+    """Soundex codes and their equality for the differing value pairs."""
     from ledgerline.functions.similarity import soundex_equal
     pairs = _tieout(spark, sf_dir, ORD).detail_rows().select("from_val", "to_val").distinct()
     return pairs.select("from_val", "to_val", F.soundex("from_val").alias("from_soundex"),
