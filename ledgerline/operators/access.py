@@ -268,3 +268,22 @@ def lint_spec(spec: DataFrame, hierarchy: DataFrame) -> DataFrame:
     problems = F.array_compact(F.array(*[F.when(c, F.lit(msg)) for c, msg in checks]))
     return (s.select("role_name", "rule", "obj_type", "db_pattern", "sc_pattern", "wh_pattern",
                      "role_type", F.explode(problems).alias("violation")))
+
+
+# Keys every role entry of a spec needs, and which must be lists.
+SPEC_KEYS = ("ORDER", "INCLUDE", "EXCLUDE", "CUSTOM_INCLUDE", "CUSTOM_EXCLUDE", "SCIM_ROLES")
+SPEC_LIST_KEYS = ("INCLUDE", "EXCLUDE", "CUSTOM_INCLUDE", "CUSTOM_EXCLUDE", "SCIM_ROLES")
+
+
+def lint_spec_documents(docs: DataFrame) -> DataFrame:
+    """A21, document level: per role, missing keys and keys that are not lists.
+
+    ``docs(doc STRING)`` holds role-spec JSON documents. Each role entry is
+    parsed as key → raw JSON text, so a wrong shape is reported instead of
+    silently becoming NULL.
+    """
+    roles = docs.select(F.explode(F.from_json("doc", "map<string,map<string,string>>")).alias("role_name", "entry"))
+    checks = [F.when(~F.map_contains_key("entry", k), F.lit(f"missing {k}")) for k in SPEC_KEYS]
+    checks += [F.when(F.map_contains_key("entry", k) & ~F.ltrim(F.col("entry")[k]).startswith("["),
+                      F.lit(f"{k} is not a list")) for k in SPEC_LIST_KEYS]
+    return (roles.select("role_name", F.explode(F.array_compact(F.array(*checks))).alias("violation")))

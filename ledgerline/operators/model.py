@@ -33,6 +33,8 @@ SINGULAR_KIND = {
     "TASKS": "TASK",
 }
 ROLE_OWNER = "SYSADMIN"
+# An object is dropped after all of its roles (sorts after any level).
+OBJECT_DROP_POS = 1_000_000
 
 
 def object_name(obj_type: Column, db: Column, sc: Column) -> Column:
@@ -62,7 +64,12 @@ def roles(model: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def edges(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
-    """P2 + P3: role-to-role grants.
+    """P2 + P3: role-to-role grants (see :func:`_edges`)."""
+    return _edges(model, objects, owner).drop("pos")
+
+
+def _edges(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
+    """P2 + P3: role-to-role grants, with the granted role's level ``pos``.
 
     HIERARCHY: each level granted to the next higher level of the same object,
     the top level to the owner role. SCHEMA_TO_DATABASE: each schema role to
@@ -78,19 +85,24 @@ def edges(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> Data
             .join(up_lv, ["obj_type", "pos"], "left")
             .select("obj_type", "object_name", F.col("role_name").alias("granted_role"),
                     F.when(F.col("higher").isNull(), F.lit(owner)).otherwise(higher).alias("grantee_role"),
-                    F.lit("HIERARCHY").alias("edge")))
+                    F.lit("HIERARCHY").alias("edge"), "pos"))
     dbp = F.broadcast(levels(model).filter(F.col("obj_type") == "DATABASE")
                       .select(F.col("ar_prefix").alias("db_prefix"), F.col("role").alias("level")))
     up = (r.filter(F.col("obj_type") == "SCHEMA").join(dbp, "level", "inner")
           .select("obj_type", "object_name", F.col("role_name").alias("granted_role"),
                   F.concat(F.col("db_prefix"), F.col("db_nm"), F.lit("_"), F.col("level"), F.lit("_AR"))
                   .alias("grantee_role"),
-                  F.lit("SCHEMA_TO_DATABASE").alias("edge")))
+                  F.lit("SCHEMA_TO_DATABASE").alias("edge"), "pos"))
     return hier.unionByName(up)
 
 
 def privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
-    """P4 + P5 + P7: object privileges per role.
+    """P4 + P5 + P7: object privileges per role (see :func:`_privileges`)."""
+    return _privileges(model, objects).drop("pos")
+
+
+def _privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
+    """P4 + P5 + P7: object privileges per role, with the role's level ``pos``.
 
     scope OBJECT: on the object itself (database / warehouse kinds);
     scope ALL / FUTURE: on all existing / future objects of ``kind`` inside a
@@ -104,21 +116,26 @@ def privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
                ["obj_type", "level"], "inner")
     on_self = ((F.col("obj_type") == "DATABASE") & (F.col("kind") == "DATABASE")) | (F.col("obj_type") == "WAREHOUSE")
     inside = ((F.col("obj_type") == "DATABASE") & ~F.col("kind").isin("DATABASE", "SCHEMA")) | (F.col("obj_type") == "SCHEMA")
-    cols = ["obj_type", "object_name", "role_name", "privilege", "kind"]
+    cols = ["obj_type", "object_name", "role_name", "privilege", "kind", "pos"]
     own = j.filter(on_self).select(*cols, F.lit("OBJECT").alias("scope"))
     scoped = (j.filter(inside).select(*cols, F.explode(F.array(F.lit("ALL"), F.lit("FUTURE"))).alias("scope")))
     lowest = F.broadcast(levels(model).filter(F.col("obj_type") == "SCHEMA").agg(F.max("pos").alias("pos")))
     low = r.filter(F.col("obj_type") == "SCHEMA").join(lowest, "pos", "left_semi")
     base = (low.select("obj_type", F.col("db_nm").alias("object_name"), "role_name",
-                       F.lit("USAGE").alias("privilege"), F.lit("DATABASE").alias("kind"), F.lit("BASE").alias("scope"))
+                       F.lit("USAGE").alias("privilege"), F.lit("DATABASE").alias("kind"), "pos",
+                       F.lit("BASE").alias("scope"))
             .unionByName(low.select("obj_type", "object_name", "role_name", F.lit("USAGE").alias("privilege"),
-                                    F.lit("SCHEMA").alias("kind"), F.lit("BASE").alias("scope"))))
+                                    F.lit("SCHEMA").alias("kind"), "pos", F.lit("BASE").alias("scope"))))
     return own.unionByName(scoped).unionByName(base)
 
 
 def create_privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
     """CREATE <singular kind> on each schema, once per kind, given to the
     lowest level whose ALL privilege covers that kind."""
+    return _create_privileges(model, objects).drop("pos")
+
+
+def _create_privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
     kinds = F.create_map(*[x for k, v in SINGULAR_KIND.items() for x in (F.lit(k), F.lit(v))])
     all_rows = (model.filter((F.col("obj_type") == "SCHEMA") & (F.col("privilege") == "ALL") & F.col("kind").isNotNull())
                 .select(F.col("role").alias("level"), "pos", kinds[F.col("kind")].alias("create_kind"))
@@ -128,7 +145,7 @@ def create_privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
     r = roles(model, objects).filter(F.col("obj_type") == "SCHEMA")
     return (r.join(chosen, ["pos", "level"], "inner")
             .select("obj_type", "object_name", "role_name", F.concat(F.lit("CREATE "), F.col("create_kind")).alias("privilege"),
-                    "create_kind"))
+                    "create_kind", "pos"))
 
 
 def ownership(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
@@ -143,23 +160,26 @@ def ownership(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) ->
 
 
 def reverse_plan(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
-    """What dropping the objects undoes, in order: object-privilege
-    revokes, role-edge revokes, then drops of roles and objects (phase 1-3)."""
-    p = privileges(model, objects).unionByName(
-        create_privileges(model, objects).drop("create_kind").withColumn("kind", F.lit(None).cast("string"))
+    """What dropping the objects undoes. Ordered by ``(phase, pos)``:
+    phase 1 revokes object privileges, phase 2 revokes role edges, phase 3
+    drops the roles and then the object; within a phase the highest level
+    (``pos`` 0) goes first — the creation order reversed."""
+    null = F.lit(None).cast("string")
+    p = _privileges(model, objects).unionByName(
+        _create_privileges(model, objects).drop("create_kind").withColumn("kind", null)
         .withColumn("scope", F.lit("CREATE")))
-    rev_priv = p.select(F.lit(1).alias("phase"), F.lit("REVOKE").alias("action"), "role_name", "privilege",
-                        "kind", "scope", "object_name", F.lit(None).cast("string").alias("from_role"))
-    e = edges(model, objects, owner)
-    rev_edge = e.select(F.lit(2).alias("phase"), F.lit("REVOKE ROLE").alias("action"),
-                        F.col("granted_role").alias("role_name"), F.lit(None).cast("string").alias("privilege"),
-                        F.lit(None).cast("string").alias("kind"), F.col("edge").alias("scope"), "object_name",
+    rev_priv = p.select(F.lit(1).alias("phase"), "pos", F.lit("REVOKE").alias("action"), "role_name", "privilege",
+                        "kind", "scope", "object_name", null.alias("from_role"))
+    e = _edges(model, objects, owner)
+    rev_edge = e.select(F.lit(2).alias("phase"), "pos", F.lit("REVOKE ROLE").alias("action"),
+                        F.col("granted_role").alias("role_name"), null.alias("privilege"),
+                        null.alias("kind"), F.col("edge").alias("scope"), "object_name",
                         F.col("grantee_role").alias("from_role"))
-    null = F.lit(None).cast("string")
-    drop_role = roles(model, objects).select(F.lit(3).alias("phase"), F.lit("DROP ROLE").alias("action"), "role_name",
-                                             null.alias("privilege"), null.alias("kind"), null.alias("scope"),
-                                             "object_name", null.alias("from_role"))
-    drop_obj = objects.select(F.lit(3).alias("phase"), F.concat(F.lit("DROP "), F.col("obj_type")).alias("action"),
+    drop_role = roles(model, objects).select(F.lit(3).alias("phase"), "pos", F.lit("DROP ROLE").alias("action"),
+                                             "role_name", null.alias("privilege"), null.alias("kind"),
+                                             null.alias("scope"), "object_name", null.alias("from_role"))
+    drop_obj = objects.select(F.lit(3).alias("phase"), F.lit(OBJECT_DROP_POS).alias("pos"),
+                              F.concat(F.lit("DROP "), F.col("obj_type")).alias("action"),
                               null.alias("role_name"), null.alias("privilege"), null.alias("kind"), null.alias("scope"),
                               object_name(F.col("obj_type"), F.col("db_nm"), F.col("sc_nm")).alias("object_name"),
                               null.alias("from_role"))

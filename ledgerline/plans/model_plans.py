@@ -23,10 +23,11 @@ _EDGES_SQL = """,
 e as (
 select obj_type, object_name, role_name as granted_role,
        coalesce(lag(role_name) over (partition by obj_type, db_nm, sc_nm order by pos), 'SYSADMIN') as grantee_role,
-       'HIERARCHY' as edge
+       'HIERARCHY' as edge, pos
   from r
 union all
-select r.obj_type, r.object_name, r.role_name, d.ar_prefix || r.db_nm || '_' || r.level || '_AR', 'SCHEMA_TO_DATABASE'
+select r.obj_type, r.object_name, r.role_name, d.ar_prefix || r.db_nm || '_' || r.level || '_AR', 'SCHEMA_TO_DATABASE',
+       r.pos
   from r join (select distinct ar_prefix, role from privilege_model where obj_type = 'DATABASE') d on d.role = r.level
  where r.obj_type = 'SCHEMA')"""
 
@@ -34,17 +35,17 @@ _PRIV_SQL = """,
 j as (select r.*, p.privilege, p.kind from r join privilege_model p
         on r.obj_type = p.obj_type and r.level = p.role where p.kind is not null),
 pv as (
-select obj_type, object_name, role_name, privilege, kind, 'OBJECT' as scope from j
+select obj_type, object_name, role_name, privilege, kind, 'OBJECT' as scope, pos from j
  where (obj_type = 'DATABASE' and kind = 'DATABASE') or obj_type = 'WAREHOUSE'
 union all
-select obj_type, object_name, role_name, privilege, kind, s.scope
+select obj_type, object_name, role_name, privilege, kind, s.scope, pos
   from j cross join (select 'ALL' as scope union all select 'FUTURE') s
  where (obj_type = 'DATABASE' and kind not in ('DATABASE', 'SCHEMA')) or obj_type = 'SCHEMA'
 union all
-select obj_type, db_nm, role_name, 'USAGE', 'DATABASE', 'BASE' from r
+select obj_type, db_nm, role_name, 'USAGE', 'DATABASE', 'BASE', pos from r
  where obj_type = 'SCHEMA' and pos = (select max(pos) from privilege_model where obj_type = 'SCHEMA')
 union all
-select obj_type, object_name, role_name, 'USAGE', 'SCHEMA', 'BASE' from r
+select obj_type, object_name, role_name, 'USAGE', 'SCHEMA', 'BASE', pos from r
  where obj_type = 'SCHEMA' and pos = (select max(pos) from privilege_model where obj_type = 'SCHEMA'))"""
 
 _CREATE_SQL = """,
@@ -57,7 +58,7 @@ m as (select role, pos,
         from privilege_model where obj_type = 'SCHEMA' and privilege = 'ALL' and kind is not null),
 ck as (select create_kind, max(pos) as pos from m where create_kind is not null group by create_kind),
 ch as (select distinct m.create_kind, m.pos, m.role from m join ck on m.create_kind = ck.create_kind and m.pos = ck.pos),
-cp as (select r.obj_type, r.object_name, r.role_name, 'CREATE ' || ch.create_kind as privilege, ch.create_kind
+cp as (select r.obj_type, r.object_name, r.role_name, 'CREATE ' || ch.create_kind as privilege, ch.create_kind, r.pos
          from r join ch on r.pos = ch.pos and r.level = ch.role where r.obj_type = 'SCHEMA')"""
 
 
@@ -70,17 +71,20 @@ def model_roles(spark, sf_dir):
     return model.roles(*_inputs(spark, sf_dir))
 
 
-@register("model_edges", CTE + _ROLES_SQL + _EDGES_SQL + "\nselect * from e")
+@register("model_edges", CTE + _ROLES_SQL + _EDGES_SQL
+          + "\nselect obj_type, object_name, granted_role, grantee_role, edge from e")
 def model_edges(spark, sf_dir):
     return model.edges(*_inputs(spark, sf_dir))
 
 
-@register("model_privileges", CTE + _ROLES_SQL + _PRIV_SQL + "\nselect * from pv")
+@register("model_privileges", CTE + _ROLES_SQL + _PRIV_SQL
+          + "\nselect obj_type, object_name, role_name, privilege, kind, scope from pv")
 def model_privileges(spark, sf_dir):
     return model.privileges(*_inputs(spark, sf_dir))
 
 
-@register("model_create_privileges", CTE + _ROLES_SQL + _CREATE_SQL + "\nselect * from cp")
+@register("model_create_privileges", CTE + _ROLES_SQL + _CREATE_SQL
+          + "\nselect obj_type, object_name, role_name, privilege, create_kind from cp")
 def model_create_privileges(spark, sf_dir):
     return model.create_privileges(*_inputs(spark, sf_dir))
 
@@ -96,16 +100,17 @@ def model_ownership(spark, sf_dir):
 
 
 @register("model_reverse_plan", CTE + _ROLES_SQL + _EDGES_SQL + _PRIV_SQL + _CREATE_SQL + """
-select 1 as phase, 'REVOKE' as action, role_name, privilege, kind, scope, object_name, cast(null as varchar) as from_role
+select 1 as phase, pos, 'REVOKE' as action, role_name, privilege, kind, scope, object_name,
+       cast(null as varchar) as from_role
   from pv
 union all
-select 1, 'REVOKE', role_name, privilege, null, 'CREATE', object_name, null from cp
+select 1, pos, 'REVOKE', role_name, privilege, null, 'CREATE', object_name, null from cp
 union all
-select 2, 'REVOKE ROLE', granted_role, null, null, edge, object_name, grantee_role from e
+select 2, pos, 'REVOKE ROLE', granted_role, null, null, edge, object_name, grantee_role from e
 union all
-select 3, 'DROP ROLE', role_name, null, null, null, object_name, null from r
+select 3, pos, 'DROP ROLE', role_name, null, null, null, object_name, null from r
 union all
-select 3, 'DROP ' || obj_type, null, null, null, null,
+select 3, 1000000, 'DROP ' || obj_type, null, null, null, null,
        case when obj_type = 'SCHEMA' then db_nm || '.' || sc_nm else db_nm end, null from model_objects""")
 def model_reverse_plan(spark, sf_dir):
     return model.reverse_plan(*_inputs(spark, sf_dir))

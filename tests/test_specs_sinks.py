@@ -82,3 +82,12 @@ def test_yaml_target_end_to_end(spark, sf, tmp_path):
     assert out["overview"].count() == 2 and out["skipped"].count() == 2
     assert out["detail"].groupBy("name").agg(F.sum("diff_cnt").alias("n")).filter("name = 'DUP'").first().n \
         == summ[("DUP", "l_returnflag")] + summ[("DUP", "l_linestatus")]
+
+
+def test_spec_document_lint(spark):
+    from ledgerline.operators.access import lint_spec_documents
+    bad = {"A_FR": {"ORDER": "INCEXC", "INCLUDE": {"TYPE": "SCHEMA"}, "EXCLUDE": [], "CUSTOM_INCLUDE": [],
+                    "CUSTOM_EXCLUDE": []},
+           "B_FR": ROLE_DOC["READER_FR"]}
+    got = sorted((r.role_name, r.violation) for r in lint_spec_documents(specs.docs_frame(spark, [bad])).collect())
+    assert got == [("A_FR", "INCLUDE is not a list"), ("A_FR", "missing SCIM_ROLES")]
