@@ -5,9 +5,10 @@ The reference ships no data, so the catalog-shaped inputs the operators need
 catalog objects, a manifest, names) are derived from the TPC-H-style tables.
 Each fixture is one SQL text that runs unchanged on Spark (base tables bound as
 DataFrame arguments) and on DuckDB (base tables as views), so the oracle and
-the Spark job read identical inputs. Every fixture reads whole tables; the
-only row filters drop a slice of the *to* side on purpose, because missing rows
-are what a reconciliation has to find.
+the Spark job read identical inputs. Every fixture reads whole tables and keeps
+every row: rows a *to* side should be missing get a NULL key instead of being
+filtered out — NULL keys are never counted, shared or joined, so they are
+missing to the reconciliation while the job still reads and shuffles them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ select o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate,
        o_custkey % 5 as from_extra, o_orderkey as _ignore_me
   from {orders}""",
     "tie_to": """
-select case when o_orderkey % 97 = 0 then o_orderkey + 100000000
+select case when o_orderkey % 50 = 3 then null when o_orderkey % 97 = 0 then o_orderkey + 100000000
             when o_orderkey % 211 = 5 then null else o_orderkey end as o_orderkey,
        case when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey end as o_custkey,
        case when o_orderkey % 10 = 0 then null when o_orderkey % 9 = 0 then ''
@@ -36,44 +37,45 @@ select case when o_orderkey % 97 = 0 then o_orderkey + 100000000
        case when o_orderkey % 7 = 0 then lower(o_orderpriority) else o_orderpriority end
          as o_orderpriority,
        o_orderdate, 'x' as to_extra, o_orderkey + 1 as _ignore_me
-  from {orders} where o_orderkey % 50 <> 3""",
+  from {orders}""",
     # --- tie-out, duplicate keys -------------------------------------------
     "dup_from": """
 select l_orderkey, l_linenumber, l_returnflag, l_linestatus from {lineitem}""",
     "dup_to": """
-select l_orderkey, l_linenumber,
+select case when l_suppkey % 6 = 1 then null else l_orderkey end as l_orderkey, l_linenumber,
        case when l_partkey % 4 = 0 then null else l_returnflag end as l_returnflag,
        l_linestatus
-  from {lineitem} where l_suppkey % 6 <> 1""",
+  from {lineitem}""",
     # --- tie-out with one hot key: a third of all rows share order key 0 ----
     "hot_from": """
 select case when l_orderkey % 3 = 0 then 0 else l_orderkey end as l_orderkey,
        l_returnflag, l_linestatus, l_quantity
   from {lineitem}""",
     "hot_to": """
-select case when l_orderkey % 3 = 0 then 0 else l_orderkey end as l_orderkey,
+select case when l_suppkey % 6 = 1 then null when l_orderkey % 3 = 0 then 0 else l_orderkey end as l_orderkey,
        case when l_partkey % 4 = 0 then null else l_returnflag end as l_returnflag,
        l_linestatus,
        case when l_partkey % 13 = 0 then l_quantity + 1 else l_quantity end as l_quantity
-  from {lineitem} where l_suppkey % 6 <> 1""",
+  from {lineitem}""",
     # --- wide tie-out used by the benchmark (all lineitem columns) ----------
     "line_to": """
-select l_orderkey, l_partkey, l_suppkey, l_linenumber,
+select case when l_suppkey % 6 = 1 then null else l_orderkey end as l_orderkey, l_partkey, l_suppkey, l_linenumber,
        case when l_partkey % 13 = 0 then l_quantity + 1 else l_quantity end as l_quantity,
        l_extendedprice, l_discount,
        case when l_suppkey % 17 = 0 then null else l_tax end as l_tax,
        case when l_partkey % 4 = 0 then lower(l_returnflag) else l_returnflag end as l_returnflag,
        l_linestatus, l_shipdate
-  from {lineitem} where l_suppkey % 6 <> 1""",
+  from {lineitem}""",
     "orders_to": """
-select case when o_orderkey % 97 = 0 then o_orderkey + 100000000 else o_orderkey end as o_orderkey,
+select case when o_orderkey % 50 = 3 then null when o_orderkey % 97 = 0 then o_orderkey + 100000000
+            else o_orderkey end as o_orderkey,
        o_custkey,
        case when o_orderkey % 10 = 0 then null else o_orderstatus end as o_orderstatus,
        case when o_orderkey % 11 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice,
        o_orderdate,
        case when o_orderkey % 7 = 0 then lower(o_orderpriority) else o_orderpriority end
          as o_orderpriority
-  from {orders} where o_orderkey % 50 <> 3""",
+  from {orders}""",
     # --- copy drift ---------------------------------------------------------
     "cat_tables": """
 select 'TEST_DB' as table_catalog,
