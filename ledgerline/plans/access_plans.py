@@ -154,7 +154,7 @@ held as (select distinct role_name, granted_name from role_grants
           where privilege = 'USAGE' and regexp_matches(granted_name, '_(\\w{2,3})_AR$'))"""
 
 
-@register("role_spec_reverse", CTE + _GRANTS_SQL + _HELD_AR + """
+_REVERSE_BODY = """
 select distinct h.role_name, 'WAREHOUSE' as obj_type, cast(null as varchar) as db_name, cast(null as varchar) as sc_name,
        w.wh_name, regexp_extract(h.granted_name, '_(\\w{2,3})_AR$', 1) as role
   from held h join whg w on h.granted_name = w.grantee_name
@@ -166,24 +166,49 @@ select h.role_name, 'DATABASE', d.db_name, null, null, regexp_extract(h.granted_
   from held h join dbg d on h.granted_name = d.grantee_name
 union
 select role_name, 'ROLE', null, null, null, granted_name from role_grants
- where privilege = 'USAGE' and regexp_matches(granted_name, '_FR$')""")
+ where privilege = 'USAGE' and regexp_matches(granted_name, '_FR$')"""
+
+
+@register("role_spec_reverse", CTE + _GRANTS_SQL + _HELD_AR + "\n" + _REVERSE_BODY)
 def role_spec_reverse(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return access.reverse_spec(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
 
 
-@register("role_spec_custom", CTE + _GRANTS_SQL + _HELD_AR + """
+_CUSTOM_BODY = """
 select distinct role_name, granted_name from held
  where granted_name not in (select grantee_name from dbg union select grantee_name from scg
-                            union select grantee_name from whg)""")
+                            union select grantee_name from whg)"""
+
+
+@register("role_spec_custom", CTE + _GRANTS_SQL + _HELD_AR + "\n" + _CUSTOM_BODY)
 def role_spec_custom(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return access.reverse_custom(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
 
 
-@register("role_spec_json")
+@register("role_spec_json", CTE + _GRANTS_SQL + _HELD_AR + """,
+rules as (""" + _REVERSE_BODY + """),
+cust as (""" + _CUSTOM_BODY + """),
+inc as (
+  select role_name,
+         '[' || string_agg(j, ',' order by obj_type, db_name nulls first, sc_name nulls first,
+                                        wh_name nulls first, role nulls first) || ']' as inc
+    from (select distinct role_name, obj_type, db_name, sc_name, wh_name, role,
+                 '{"TYPE":"' || obj_type || '"' || coalesce(',"DATABASE":"' || db_name || '"', '')
+                 || coalesce(',"SCHEMA":"' || sc_name || '"', '') || coalesce(',"WAREHOUSE":"' || wh_name || '"', '')
+                 || coalesce(',"ROLE":"' || role || '"', '') || '}' as j
+            from rules)
+   group by role_name),
+cus as (
+  select role_name, '[' || string_agg('"' || granted_name || '"', ',' order by granted_name) || ']' as cus
+    from (select distinct role_name, granted_name from cust) group by role_name)
+select coalesce(i.role_name, c.role_name) as role_name,
+       '{"ORDER":"INCEXC","INCLUDE":' || coalesce(i.inc, '[]') || ',"EXCLUDE":[],"CUSTOM_INCLUDE":'
+       || coalesce(c.cus, '[]') || ',"CUSTOM_EXCLUDE":[],"SCIM_ROLES":[]}' as spec_json
+  from inc i full outer join cus c on i.role_name = c.role_name""")
 def role_spec_json(spark, sf_dir):
-    """Generated spec document per role (JSON text: rows-only check)."""
+    """Generated spec document per role (JSON text)."""
     i = _inputs(spark, sf_dir)
     rules = access.reverse_spec(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
     custom = access.reverse_custom(i["role_grants"], i["db_grants"], i["sc_grants"], i["wh_grants"])
