@@ -21,9 +21,6 @@ from ledgerline.operators import access, drift, reports, snapshot
 from ledgerline.operators.tieout import Tieout, Validation
 from ledgerline.sources import sinks, specs
 
-REPORTS = ("5_SUM_OVERVIEW", "6_SUM_COLUMN", "7_SUM_DETAIL", "8_SUM_FIELD")
-
-
 def tieout_target(spark: SparkSession, validations: Sequence[Validation],
                   tables: Mapping[str, DataFrame] | Callable[[str], DataFrame], output_root: str,
                   prefix: str = "TIEOUT", **options) -> dict[str, str]:

@@ -220,11 +220,6 @@ class Tieout:
         t = self._sided("t").filter(self._small(limit)).drop("from_cnt", "to_cnt")
         return f.join(t, self.key, "inner")
 
-    def _clean_join(self) -> DataFrame:
-        """Pairs of keys with exactly one row per side."""
-        return (self._pair_join().filter((F.col("from_cnt") == 1) & (F.col("to_cnt") == 1))
-                .drop("from_cnt", "to_cnt"))
-
     def _clean_flags(self, j: DataFrame) -> list[Column]:
         flags = []
         for i, c in enumerate(self.shared):

@@ -22,7 +22,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in BASE_TABLES:
         raise ValueError(f"unknown base table {name!r}; known: {', '.join(BASE_TABLES)}")
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def read_tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
-    return {n: read_table(spark, sf_dir, n) for n in names}

@@ -47,3 +47,14 @@ def test_refresh_dry_run_and_grants_swap(spark, sf):
     assert set(out) == {"allfuturegrantsdb", "allfuturegrantssc", "allgrantswh"}
     assert spark.table("t_allgrantswh").count() == fixture(spark, sf, "grants_to_roles").filter(
         "deleted_on is null and granted_on = 'WAREHOUSE'").count()
+
+
+def test_checkpoint_dir_prefers_cluster_setting(spark, tmp_path):
+    from ledgerline.session import checkpoint_dir
+    old = spark.conf.get("spark.checkpoint.dir")
+    try:
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        assert checkpoint_dir(spark) == str(tmp_path)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
+        assert checkpoint_dir(spark) == old
