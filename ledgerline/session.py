@@ -45,20 +45,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_LOCAL_CHECKPOINT_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and build-aside tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    The cluster names it in ``spark.checkpoint.dir``; that value always wins
+    (it is a core setting, read from the session, never overwritten). Only
+    when it is unset (local tests) one scratch folder is created per process.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    global _LOCAL_CHECKPOINT_DIR
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not current:
+        if _LOCAL_CHECKPOINT_DIR is None:
+            _LOCAL_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+        current = _LOCAL_CHECKPOINT_DIR
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
