@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, MapType, StructType, ArrayType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
 
 def as_text(c: Column, dtype: DataType | None = None) -> Column:
@@ -29,6 +29,8 @@ def compare_value(c: Column, dtype: DataType | None, case_insensitive: bool,
       blank string cannot be coerced to a number or date under ANSI mode.
     """
     needs_text = case_insensitive or null_as_blank or force_text or isinstance(dtype, MapType)
+    if needs_text and isinstance(dtype, (FloatType, DoubleType)):
+        c = c + F.lit(0.0)  # -0.0 + 0.0 = 0.0: text equality then matches typed equality
     v = as_text(c, dtype) if needs_text else c
     if null_as_blank:
         v = F.coalesce(v, F.lit(""))

@@ -10,16 +10,17 @@ Plan shape (per validation):
   tables on the key carrying *every* shared column; per-column difference
   flags, one aggregate for all column counts, one ``explode(filter(...))`` for
   the detail rows. The reference re-joins both tables once per column.
-* **duplicate keys with few pairs** (``m*n <= pair_limit``) — compared pair by
+* **duplicate keys with few pairs** (``m*n <= pair_limit``) — counted pair by
   pair in the same join, each differing pair weighted ``m*n`` (reference) or 1.
-* **hot keys** (``m*n > pair_limit``) — never expanded into
-  row pairs. Each side is unpivoted to ``(key, column, value)`` and counted;
-  with ``m`` from-rows, ``n`` to-rows and per-value counts ``cF(v)``, ``cT(v)``
-  the differing pairs of a key are ``m*n - sum_v cF(v)*cT(v)``. The reference
+* **hot keys** (``m*n > pair_limit``) — never expanded into row pairs. Each
+  side is unpivoted to ``(key, column, value)`` and counted; with ``m``
+  from-rows, ``n`` to-rows and per-value counts ``cF(v)``, ``cT(v)`` the
+  differing pairs of a key are ``m*n - sum_v cF(v)*cT(v)``. The reference
   counts every differing pair ``m*n`` times (its shared-key CTE is not
   distinct); ``multiplicity='reference'`` keeps that, ``'pairs'`` counts once.
-  Detail rows are emitted per distinct value pair with their multiplicity in
-  ``diff_cnt`` instead of repeating identical rows.
+* **detail** — unique keys come straight from the join; every duplicate key
+  goes through the value counts and yields one row per distinct differing
+  value pair, its multiplicity in ``diff_cnt``, instead of repeated rows.
 """
 
 from __future__ import annotations

@@ -128,3 +128,12 @@ def test_pair_path_equals_count_path(spark, sf, ci, nb):
     p1, p2 = (Tieout(f, t, key, pair_limit=1, multiplicity="pairs", **opts),
               Tieout(f, t, key, pair_limit=10**9, multiplicity="pairs", **opts))
     assert _summary(p1) == _summary(p2)
+
+
+def test_negative_zero_equals_zero_on_both_paths(spark):
+    rows_f = [(1, 0.0), (2, -0.0), (2, -0.0)]
+    rows_t = [(1, -0.0), (2, 0.0), (2, 0.0)]
+    f = spark.createDataFrame(rows_f, "k int, x double")
+    t = spark.createDataFrame(rows_t, "k int, x double")
+    assert _summary(Tieout(f, t, ["k"], pair_limit=1)) == {"x": 0}
+    assert _summary(Tieout(f, t, ["k"], pair_limit=100)) == {"x": 0}
