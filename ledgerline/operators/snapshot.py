@@ -4,16 +4,16 @@ since the last snapshot, and the content to write for them.
 The reference walks a local directory and fetches object source one by one.
 Here the previous run's manifest is a table ``(db_nm, sc_nm, file_nm,
 file_last_modified)`` and object source is a ``ddl`` column, so the whole
-decision is one window, one full outer join and one grouped concatenation.
-Snapshot content is one *row* per file (``K7``), written partitioned by
-database and schema.
+decision is one aggregation, one full outer join and one grouped
+concatenation. Snapshot content is one *row* per file (``K7``; per part for a
+file with very many overloads), written partitioned by database and schema.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File extension per object type.
@@ -79,9 +79,14 @@ def normalise_signature(sig: Column) -> Column:
 
 
 def with_overload_time(objects: DataFrame) -> DataFrame:
-    """Every signature carries its name's latest change time (one window)."""
-    w = Window.partitionBy("db_nm", "sc_nm", "obj_type", "obj_name")
-    return objects.withColumn("obj_last_altered", F.max("last_altered").over(w))
+    """Every signature carries its name's latest change time.
+
+    A grouped max (partial aggregation) joined back by name rather than a
+    window: a name with very many overloads is then never buffered in one
+    task, and AQE can split the join if one name is hot."""
+    keys = ["db_nm", "sc_nm", "obj_type", "obj_name"]
+    latest = objects.groupBy(*keys).agg(F.max("last_altered").alias("obj_last_altered"))
+    return objects.join(latest, keys, "inner")
 
 
 def extension(obj_type: Column) -> Column:
@@ -122,21 +127,39 @@ def changes(objects: DataFrame, manifest: DataFrame, delete: bool = False,
     return j.select(*keys, "obj_type", "obj_name", "obj_last_altered", "file_last_modified", status.alias("status"))
 
 
-def content(objects: DataFrame, files_to_write: DataFrame | None = None) -> DataFrame:
-    """One content per file; overloads concatenated in signature order.
+DEFAULT_MAX_PARTS = 1000
+
+
+def content(objects: DataFrame, files_to_write: DataFrame | None = None,
+            max_parts: int = DEFAULT_MAX_PARTS) -> DataFrame:
+    """The content of each file; overloads concatenated in signature order.
 
     ``objects`` needs ``argument_signature`` (NULL for non-overloaded kinds)
     and ``ddl``. ``files_to_write`` (db_nm, sc_nm, file_nm) limits the work to
     files that changed — source text is only assembled for them.
+
+    Rows: (db_nm, sc_nm, file_nm, part, content, n_parts). A file with at most
+    ``max_parts`` overloads is one row (``part`` = '') holding the whole
+    content. A file with more is never gathered into one task: it comes out as
+    one row per overload, ``part`` = its signature, which is the order the
+    parts are written in. Either way every overload is present.
     """
+    keys = ["db_nm", "sc_nm", "file_nm"]
     o = objects.withColumn("file_nm", F.concat(F.col("obj_name"), extension(F.col("obj_type"))))
     if files_to_write is not None:
-        o = o.join(files_to_write.select("db_nm", "sc_nm", "file_nm"), ["db_nm", "sc_nm", "file_nm"], "left_semi")
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("argument_signature"), F.lit("")).alias("sig"),
-                                                 F.col("ddl").alias("ddl"))))
-    return (o.groupBy("db_nm", "sc_nm", "file_nm")
-            .agg(F.concat_ws("\n", F.transform(parts, lambda x: x["ddl"])).alias("content"),
-                 F.count(F.lit(1)).alias("n_parts")))
+        o = o.join(files_to_write.select(*keys), keys, "left_semi")
+    o = o.withColumn("sig", F.coalesce(F.col("argument_signature"), F.lit("")))
+    sizes = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    small = o.join(sizes.filter(F.col("n") <= max_parts).select(*keys), keys, "left_semi")
+    large = o.join(sizes.filter(F.col("n") > max_parts).select(*keys), keys, "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct(F.col("sig"), F.col("ddl"))))
+    whole = (small.groupBy(*keys)
+             .agg(F.concat_ws("\n", F.transform(parts, lambda x: x["ddl"])).alias("content"),
+                  F.count(F.lit(1)).alias("n_parts"))
+             .select(*keys, F.lit("").alias("part"), "content", "n_parts"))
+    split = large.select(*keys, F.col("sig").alias("part"), F.col("ddl").alias("content"),
+                         F.lit(1).cast("bigint").alias("n_parts"))
+    return whole.unionByName(split)
 
 
 def next_manifest(changed: DataFrame, run_ts: Column, delete: bool = False) -> DataFrame:

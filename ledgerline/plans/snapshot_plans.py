@@ -103,7 +103,7 @@ def snapshot_scope(spark, sf_dir):
 
 
 @register("snapshot_content", CTE + _OBJ_SQL + """
-select o.db_nm, o.sc_nm, o.obj_name || """ + _EXT_SQL.replace("obj_type", "o.obj_type") + """ as file_nm,
+select o.db_nm, o.sc_nm, o.obj_name || """ + _EXT_SQL.replace("obj_type", "o.obj_type") + """ as file_nm, '' as part,
        string_agg(o.ddl, chr(10) order by coalesce(o.argument_signature, ''), o.ddl) as content,
        count(*) as n_parts
   from objs o join chg c on o.db_nm = c.db_nm and o.sc_nm = c.sc_nm

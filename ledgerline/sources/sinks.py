@@ -74,5 +74,6 @@ def swap_in(spark: SparkSession, df: DataFrame, name: str) -> str:
 
 
 def write_snapshot(content: DataFrame, path: str) -> str:
-    """K7: one row per object file (file_nm, content), partitioned by db and schema."""
-    return write_table(content.select("db_nm", "sc_nm", "file_nm", "content"), path, ("db_nm", "sc_nm"))
+    """K7: one row per object file (file_nm, content) — or per part of a very
+    large file, ordered by ``part`` — partitioned by db and schema."""
+    return write_table(content.select("db_nm", "sc_nm", "file_nm", "part", "content"), path, ("db_nm", "sc_nm"))

@@ -64,3 +64,14 @@ def test_partition_refresh_replaces_only_refreshed_copies(spark, sf):
     before = data.filter(f"db_sc = 'TEST_DB.SC_2' and table_name = '{skipped}'").select(*cols)
     kept = after.filter(f"db_sc = 'TEST_DB.SC_2' and table_name = '{skipped}'").select(*cols)
     assert before.exceptAll(kept).count() == 0 and kept.exceptAll(before).count() == 0
+
+
+def test_large_files_split_into_ordered_parts(spark, sf):
+    objs = fixture(spark, sf, "catalog_objects")
+    whole = {(r.file_nm): r.content for r in snapshot.content(objs).collect()}
+    split = snapshot.content(objs, max_parts=1)
+    assert split.filter("part = ''").count() == split.filter("n_parts = 1 and part = ''").count()
+    rebuilt = {}
+    for r in sorted(split.collect(), key=lambda r: (r.file_nm, r.part, r.content)):
+        rebuilt.setdefault(r.file_nm, []).append(r.content)
+    assert {k: "\n".join(v) for k, v in rebuilt.items()} == whole
