@@ -34,9 +34,10 @@ MAX_BROADCAST_RULES = 200_000
 
 
 def _checked_broadcast(spec: DataFrame, limit: int = MAX_BROADCAST_RULES) -> DataFrame:
-    n = spec.count()
-    if n > limit:
-        raise ValueError(f"role spec has {n} rules; more than {limit} cannot be broadcast "
+    """Broadcast ``spec`` after proving it has at most ``limit`` rows (the
+    count stops at ``limit + 1``, so a huge spec is not scanned to the end)."""
+    if spec.limit(limit + 1).count() > limit:
+        raise ValueError(f"role spec has more than {limit} rules, too many to broadcast "
                          "for pattern resolution — split the spec by role and resolve in parts")
     return F.broadcast(spec)
 

@@ -40,3 +40,12 @@ def test_applying_delta_empties_next_delta(spark, sf):
 def test_like_underscore_is_a_wildcard(spark):
     df = spark.createDataFrame([("XSCYDB_X_RO_AR",)], "g string")
     assert df.filter(F.expr("g like '_SC_%_RO_AR'")).count() == 1
+
+
+def test_spec_broadcast_is_size_checked(spark):
+    import pytest
+    from ledgerline.operators.access import _checked_broadcast
+    spec = spark.range(11)
+    assert _checked_broadcast(spec, limit=11) is not None
+    with pytest.raises(ValueError):
+        _checked_broadcast(spec, limit=10)
