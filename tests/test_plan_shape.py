@@ -20,6 +20,7 @@ def test_tieout_plans_have_no_cross_or_nested_loop_join(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(PLANS))
 def test_python_only_where_similarity_needs_it(spark, sf, name):
     plan = _plan(spark, sf, name)
+    assert "CartesianProduct" not in plan, name
     has_python = "ArrowEvalPython" in plan or "BatchEvalPython" in plan
     assert has_python == (name in ("sum_detail", "value_similarity")), name
     assert "BatchEvalPython" not in plan  # never a row-at-a-time UDF
