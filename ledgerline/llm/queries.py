@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm import exact, packing, sharding
 from ledgerline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -17,5 +18,17 @@ def query(fn):
 
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerline.llm.sharding import shard_documents
-    return shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
+
+
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+ORACLES["op3_exact_dedup"] = exact.ORACLE
