@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact, langid, packing, secretscan, sharding
+from ledgerline.llm import exact, langid, packing, secretscan, sharding, warc
 from ledgerline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -41,4 +41,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 ORACLES["op3_exact_dedup"] = exact.ORACLE
+ORACLES["op7_warc"] = warc.ORACLE
