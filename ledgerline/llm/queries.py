@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact, langid, packing, secretscan, sharding, warc
+from ledgerline.llm import exact, langid, neardup, packing, secretscan, sharding, warc
 from ledgerline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -47,5 +47,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 ORACLES["op3_exact_dedup"] = exact.ORACLE
 ORACLES["op7_warc"] = warc.ORACLE
