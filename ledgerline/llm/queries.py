@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact, langid, neardup, packing, secretscan, sharding, warc
+from ledgerline.llm import exact, langid, mixing, neardup, packing, rules, secretscan, sharding, warc
 from ledgerline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -47,6 +47,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return rules.judge(read_table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dedup(read_table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -54,3 +65,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_exact_dedup"] = exact.ORACLE
 ORACLES["op7_warc"] = warc.ORACLE
+ORACLES["op9_mixing"] = mixing.ORACLE
