@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerline.llm.arrowtext import coded_words, text_slices
 from ledgerline.llm.common import attach, c, cut
 
 BANDS, ROWS = 28, 4
@@ -39,7 +40,6 @@ ESTIMATE = 0.55
 GROUP = 4_096  # comparisons with one leader that share a task
 BLOCK = 512  # members of a mixed bucket compared at once
 BROADCAST_NODES = 100_000  # rows of 32 bytes
-SLICE = 4_000_000  # characters shingled at once, except for longer single texts
 
 
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -59,27 +59,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int):
     """The sorted array of distinct 64-bit shingle hashes of each text."""
-    texts = pc.fill_null(texts, "")
-    sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-    row = 0
-    while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + SLICE, "right")))
-        yield from _slice_sets(texts.slice(row, stop - row), width)
-        row = stop
+    for _, part in text_slices(texts):
+        yield from _slice_sets(part, width)
 
 
 def _slice_sets(texts: pa.Array, width: int):
     import xxhash
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
+    distinct, code, ends = coded_words(pc.ascii_lower(texts))
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in distinct), np.uint64, len(distinct))
-    code = coded.indices.to_numpy()
-    real = np.fromiter((w != "" for w in distinct), bool, len(distinct))[code]
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-    ends = np.concatenate([[0], np.cumsum(real)])[ends]
-    word = hashes[code[real]]
+    word = hashes[code]
     joined = word.copy()
     for k in range(1, width):
         joined[:len(word) - k] = _mix(joined[:len(word) - k]) + word[k:]
@@ -320,3 +309,13 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str =
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged: of each component
+    the document with the smallest id."""
+    gone = near_dedup(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(
+        F.col("doc_id").alias("_gone")).distinct()
+    marked = docs.withColumn("_id", c(id_col).cast("long"))
+    return marked.join(cut(gone), F.col("_id") == F.col("_gone"), "left_anti").select(*[c(n) for n in docs.columns])

@@ -22,9 +22,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ledgerline.llm.arrowtext import coded_words, text_slices
 from ledgerline.llm.common import c, cut
 
 PIECES_PER_BLOCK = 16_384
@@ -49,7 +49,6 @@ class WordIds:
     """
 
     FULL = 400_000
-    SLICE = 4_000_000  # characters handled at once, except for longer single texts
     # The pre-tokenizer's split pattern, a fixed value of the tokenizer, for
     # characters below U+0250 (there the numbers are the digits and these six).
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+"
@@ -102,29 +101,17 @@ class WordIds:
             out.append(ids)
         return out
 
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        code, ids = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end (from 0)."""
+        distinct, code, word_ends = coded_words(texts)
+        ids = self._ids(distinct)
         sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         size = sizes[code]
         end = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(first[code] - end[:-1], size)
         at += np.arange(len(at))
-        counts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        return flat[at], end[counts]
-
-    def slices(self, texts: pa.Array):
-        """(first row, ids of some rows, where each row's ids start and end)."""
-        texts = pc.fill_null(texts, "")
-        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-        row = 0
-        while row < len(texts):
-            start = sizes[row - 1] if row else 0
-            stop = max(row + 1, int(np.searchsorted(sizes, start + self.SLICE, "right")))
-            yield row, *self._encode(texts.slice(row, stop - row))
-            row = stop
+        return flat[at], end[word_ends]
 
 
 def worker_words(path: str) -> WordIds:
@@ -150,7 +137,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
         ids_of = worker_words(tokenizer)
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for first, flat, ends in ids_of.slices(batch.column(1)):
+            for first, texts in text_slices(batch.column(1)):
+                flat, ends = ids_of.encode(texts)
                 out = []
                 for k in range(len(ends) - 1):
                     ids = np.concatenate([flat[ends[k]:ends[k + 1]], end])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact, langid, mixing, neardup, packing, rules, secretscan, sharding, warc
+from ledgerline.llm import exact, langid, mixing, neardup, packing, quality, rules, secretscan, sharding, warc
 from ledgerline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"), min_bytes=0).select(

@@ -27,7 +27,7 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 16_384
 UNIT = 1_000_000
 TRUSTED = 100_000
-LEAST = -0.1
+LEAST = -0.08
 
 
 def base_counts(text: Column, word: Column, word_hash: Column) -> list[Column]:
