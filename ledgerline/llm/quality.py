@@ -180,7 +180,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, vectors, most: int) -> tup
     rows = docs.select(c("doc_id"), c("text")).join(F.broadcast(few), "doc_id").select(
         "doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x array<double>")
     found = rows.toArrow().sort_by("doc_id")
-    x = np.array(found.column("x").to_pylist(), np.float64).reshape(found.num_rows, -1)
+    x = np.array(found.column("x").to_pylist(), np.float64).reshape(found.num_rows, 2 * DIMS + 3)
     # Ids in order would put neighbours into one fold; a fixed shuffle does not.
     order = np.random.Generator(np.random.PCG64(5)).permutation(found.num_rows)
     return x[order], found.column("quality").to_numpy().astype(np.float64)[order]
