@@ -1,37 +1,104 @@
-"""Column expressions for value comparison (null-safe, case-insensitive, null-as-blank)."""
+"""Column expressions for value comparison: one comparison form per column pair."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
+from pyspark.sql.types import (ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType)
 
+_NESTED = (ArrayType, MapType, StructType)
+# Timestamps inside JSON keep their microseconds.
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-def as_text(c: Column, dtype: DataType | None = None) -> Column:
-    """String form of a value; nested types go through JSON so they stay comparable."""
-    if isinstance(dtype, (MapType, StructType)):
-        return F.to_json(c)
+
+def same_type(a: DataType, b: DataType) -> bool:
+    return a.simpleString() == b.simpleString()
+
+
+def common_type(df: DataFrame, a: DataType, b: DataType) -> DataType | None:
+    """The type both values are compared in: the wider of two numbers, a
+    timestamp for a date, None (compare as text) if there is none or only one
+    of them is a string."""
+    if same_type(a, b):
+        return a
+    if isinstance(a, StringType) != isinstance(b, StringType):
+        return None
+    try:
+        both = df.select(F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)))
+    except AnalysisException:
+        return None
+    return both.schema[0].dataType
+
+
+def has_map(dtype: DataType) -> bool:
+    if isinstance(dtype, MapType):
+        return True
+    if isinstance(dtype, ArrayType):
+        return has_map(dtype.elementType)
+    return isinstance(dtype, StructType) and any(has_map(f.dataType) for f in dtype.fields)
+
+
+def comparable(c: Column, dtype: DataType) -> Column:
+    """A form of the value that can be grouped and compared: maps become entries
+    sorted by key, at any depth; everything else stays typed as it is."""
+    if not has_map(dtype):
+        return c
+    if isinstance(dtype, MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(
+            comparable(e["key"], dtype.keyType).alias("k"), comparable(e["value"], dtype.valueType).alias("v")))
+        return F.array_sort(entries)
     if isinstance(dtype, ArrayType):
-        return F.to_json(c)
+        return F.transform(c, lambda x: comparable(x, dtype.elementType))
+    fields = [comparable(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+    return F.when(c.isNotNull(), F.struct(*fields))
+
+
+def as_text(c: Column, dtype: DataType) -> Column:
+    """Display form: nested values as JSON, negative zero as zero."""
+    if isinstance(dtype, _NESTED):
+        return F.to_json(c, JSON_OPTIONS)
     if isinstance(dtype, StringType):
         return c
-    return c.cast("string")
+    return positive_zero(c, dtype).cast("string")
+
+
+def as_json(c: Column) -> Column:
+    """The value as JSON: null for NULL, numbers bare, text quoted."""
+    wrapped = F.to_json(F.struct(c.alias("v")), JSON_OPTIONS)
+    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+
+
+def positive_zero(c: Column, dtype: DataType) -> Column:
+    return c + F.lit(0.0).cast(dtype) if isinstance(dtype, (FloatType, DoubleType)) else c
+
+
+def compare_type(common: DataType | None, case_insensitive: bool, null_as_blank: bool) -> DataType | None:
+    """The common type when values are compared as they are, None for text."""
+    return None if case_insensitive or null_as_blank else common
 
 
-def compare_value(c: Column, dtype: DataType | None, case_insensitive: bool,
-                  null_as_blank: bool, force_text: bool = False) -> Column:
-    """The value a column is compared on.
+def compare_value(c: Column, dtype: DataType, common: DataType | None, case_insensitive: bool,
+                  null_as_blank: bool) -> Column:
+    """The value a column is compared on, the same form wherever it is compared.
 
-    * plain: the value itself (null-safe equality later), or its text form when
-      the two sides' types differ / the type is not orderable (maps);
-    * case-insensitive: ``upper`` of the text form;
+    * plain: the value in the common type of both sides (null-safe equality later),
+      its text only if there is no common type;
+    * case-insensitive: ``upper`` of the common form's text;
     * null-as-blank: ``coalesce(text, '')`` — a cast is needed first, because a
       blank string cannot be coerced to a number or date under ANSI mode.
     """
-    needs_text = case_insensitive or null_as_blank or force_text or isinstance(dtype, MapType)
-    if needs_text and isinstance(dtype, (FloatType, DoubleType)):
-        c = c + F.lit(0.0)  # -0.0 + 0.0 = 0.0: text equality then matches typed equality
-    v = as_text(c, dtype) if needs_text else c
+    if common is not None:
+        c = c if same_type(dtype, common) else c.cast(common)
+        dtype = common
+    v = comparable(c, dtype)
+    if compare_type(common, case_insensitive, null_as_blank) is not None:
+        return v
+    if isinstance(dtype, _NESTED):
+        v = v.cast("string")
+    elif not isinstance(dtype, StringType):
+        v = positive_zero(v, dtype).cast("string")
     if null_as_blank:
         v = F.coalesce(v, F.lit(""))
     if case_insensitive:

@@ -48,7 +48,7 @@ def sum_detail(overview: DataFrame, detail: DataFrame, similarity: bool = True)
     o = overview.select("name", "overlap_rowcount")
     g = (detail.join(F.broadcast(o), "name", "inner")
          .groupBy("name", "overlap_rowcount", "col_nm", "key_vals", "from_val", "to_val")
-         .agg(F.sum("diff_cnt").cast("bigint").alias("col_diff_cnt")))
+         .agg(F.sum("diff_cnt").cast("decimal(38,0)").alias("col_diff_cnt")))
     g = g.withColumn("col_diff_pct", pct(F.col("col_diff_cnt"), F.col("overlap_rowcount")))
     if similarity:
         score = jaro_winkler_similarity(F.col("from_val"), F.col("to_val"))
@@ -63,6 +63,6 @@ def sum_field(sum_col: DataFrame) -> DataFrame:
     """V8: per validation, fields compared, fields differing and their shares."""
     return (sum_col.groupBy("name")
             .agg(F.sum("overlap_rowcount").cast("bigint").alias("tot_fields"),
-                 F.sum("col_diff_cnt").cast("bigint").alias("tot_diff"))
+                 F.sum("col_diff_cnt").cast("decimal(38,0)").alias("tot_diff"))
             .withColumn("diff_pct", pct(F.col("tot_diff"), F.col("tot_fields")))
             .withColumn("tot_pct", F.lit(100.0) - F.col("diff_pct")))

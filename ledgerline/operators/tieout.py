@@ -6,21 +6,27 @@ Plan shape (per validation):
   ``(key, from_cnt, to_cnt)``. Partial aggregation runs map-side, so a hot key
   collapses before the shuffle. Duplicate keys, row counts, one-sided keys and
   the overlap all come from this one frame.
-* **clean keys** (exactly one row on each side) — one inner join of the two
-  tables on the key carrying *every* shared column; per-column difference
-  flags, one aggregate for all column counts, one ``explode(filter(...))`` for
-  the detail rows. The reference re-joins both tables once per column.
-* **duplicate keys with few pairs** (``m*n <= pair_limit``) — counted pair by
-  pair in the same join, each differing pair weighted ``m*n`` (reference) or 1.
-* **hot keys** (``m*n > pair_limit``) — never expanded into row pairs. Each
-  side is unpivoted to ``(key, column, value)`` and counted; with ``m``
-  from-rows, ``n`` to-rows and per-value counts ``cF(v)``, ``cT(v)`` the
-  differing pairs of a key are ``m*n - sum_v cF(v)*cT(v)``. The reference
-  counts every differing pair ``m*n`` times (its shared-key CTE is not
-  distinct); ``multiplicity='reference'`` keeps that, ``'pairs'`` counts once.
-* **detail** — unique keys come straight from the join; every duplicate key
-  goes through the value counts and yields one row per distinct differing
-  value pair, its multiplicity in ``diff_cnt``, instead of repeated rows.
+* **unique keys** (one row on each side) — each side is grouped by key to its
+  row count and one row, a hot key again collapsing map-side; one join of the
+  two compares every shared column at once. The reference re-joins both tables
+  once per column.
+* **duplicate keys** — never expanded into row pairs. The rows of a side that
+  belong to them meet the key's counts in a salted join (SALTS groups per key,
+  so a hot key is shared by SALTS tasks), are unpivoted and counted per (key,
+  column, value): partial counts leave each task before the exchange on all
+  three. With ``m`` from-rows, ``n`` to-rows and per-value counts ``cF(v)``,
+  ``cT(v)`` the differing pairs of a key are ``m*n - sum_v cF(v)*cT(v)``. The
+  reference counts every differing pair ``m*n`` times (its shared-key CTE is
+  not distinct); ``multiplicity='reference'`` keeps that, ``'pairs'`` counts
+  once. Weights are decimals: four factors of a hot key exceed a BIGINT.
+* **detail** — one row per distinct differing value pair of a key, its
+  multiplicity in ``diff_cnt``. ``value_counts`` is the form for columns with
+  many values under one key: per value its counts on both sides, no pairs.
+
+A column pair is compared in one form everywhere: typed, in the common type of
+both sides, maps as sorted entries; as text only where there is no common type.
+Helper columns carry the prefix ``__tie_``, so key and value columns may have
+any other name.
 """
 
 from __future__ import annotations
@@ -33,13 +39,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ledgerline.functions.compare import as_text, compare_value, differs
+from ledgerline.functions.compare import (JSON_OPTIONS, as_json, as_text, common_type, compare_type, compare_value,
+                                          differs)
 
 MULTIPLICITIES = ("reference", "pairs")
-# Keys whose m*n row pairs stay at or below this are compared pair by pair in
-# the main join; larger (hot) keys go through the pair-free value counts.
-# Both paths are exact; the limit only bounds the pairs any one key emits.
-DEFAULT_PAIR_LIMIT = 64
+SALTS = 16
+WEIGHT = "decimal(38,0)"
+REPEAT = 10_000  # rows one explode adds when detail rows are repeated
+
+
+def column(name: str) -> Column:
+    """A top-level column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 @dataclass(frozen=True)
@@ -65,7 +76,7 @@ def _resolve(df: DataFrame, names: Iterable[str], what: str) -> list[str]:
 
 
 def _all_not_null(cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    return reduce(lambda a, b: a & b, [column(c).isNotNull() for c in cols])
 
 
 def key_profile(from_df: DataFrame, to_df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -73,11 +84,12 @@ def key_profile(from_df: DataFrame, to_df: DataFrame, key: Sequence[str]) -> Dat
 
     NULL key parts group together (null-safe), as GROUP BY and set operations do.
     """
-    f = from_df.select(*key, F.lit(1).alias("_f"), F.lit(0).alias("_t"))
-    t = to_df.select(*key, F.lit(0).alias("_f"), F.lit(1).alias("_t"))
-    return (f.unionByName(t).groupBy(*key)
-            .agg(F.sum("_f").cast("bigint").alias("from_cnt"),
-                 F.sum("_t").cast("bigint").alias("to_cnt")))
+    keys = [column(k) for k in key]
+    f = from_df.select(*keys, F.lit(1).alias("__tie_f"), F.lit(0).alias("__tie_t"))
+    t = to_df.select(*keys, F.lit(0).alias("__tie_f"), F.lit(1).alias("__tie_t"))
+    return (f.unionByName(t).groupBy(*keys)
+            .agg(F.sum("__tie_f").cast("bigint").alias("from_cnt"),
+                 F.sum("__tie_t").cast("bigint").alias("to_cnt")))
 
 
 def column_reconciliation(from_cols: Sequence[str], to_cols: Sequence[str],
@@ -101,14 +113,33 @@ def column_reconciliation(from_cols: Sequence[str], to_cols: Sequence[str],
     return sorted(rows, key=lambda r: r[1])
 
 
+def reconcile_columns(columns: DataFrame, from_schema: str, to_schema: str) -> DataFrame:
+    """S3 + T6 + T7 over a column catalog ``(table_schema, table_name, column_name)``:
+    for every table present in both schemas, each column with its source (FROM, TO,
+    BOTH), matched case-insensitively, and the schema that owns a one-sided one."""
+    def of(schema: str, side: str) -> DataFrame:
+        return columns.where(F.col("table_schema") == schema).select(
+            "table_name", F.lower("column_name").alias("low"), F.col("column_name").alias(side)).distinct()
+
+    f, t = of(from_schema, "f"), of(to_schema, "t")
+    tables = f.select("table_name").distinct().join(t.select("table_name").distinct(), "table_name", "left_semi")
+    both = f.join(t, ["table_name", "low"], "full_outer").join(tables, "table_name", "left_semi")
+    source = F.when(F.col("t").isNull(), "FROM").when(F.col("f").isNull(), "TO").otherwise("BOTH")
+    owner = F.when(F.col("t").isNull(), from_schema).when(F.col("f").isNull(), to_schema)
+    return both.select("table_name", F.coalesce("f", "t").alias("col_nm"), source.alias("source"), owner.alias("owner"))
+
+
 class Tieout:
-    """Lazily built tie-out of two DataFrames; every attribute is a DataFrame."""
+    """Lazily built tie-out of two DataFrames; every attribute is a DataFrame.
+
+    ``pair_limit`` is accepted for older callers and has no effect: every
+    duplicate key goes through the value counts, whatever its size.
+    """
 
     def __init__(self, from_df: DataFrame, to_df: DataFrame, key: Sequence[str], *,
                  name: str = "TIEOUT", from_tbl: str = "FROM", to_tbl: str = "TO",
                  ignore_cols: Sequence[str] = (), case_insensitive: bool = False,
-                 null_as_blank: bool = False, multiplicity: str = "reference",
-                 pair_limit: int = DEFAULT_PAIR_LIMIT):
+                 null_as_blank: bool = False, multiplicity: str = "reference", pair_limit: int | None = None):
         if not key:
             raise ValueError("a tie-out needs at least one key column")
         if multiplicity not in MULTIPLICITIES:
@@ -116,7 +147,6 @@ class Tieout:
         self.name, self.from_tbl, self.to_tbl = name, from_tbl, to_tbl
         self.case_insensitive, self.null_as_blank = case_insensitive, null_as_blank
         self.multiplicity = multiplicity
-        self.pair_limit = max(1, int(pair_limit))
         fkey = _resolve(from_df, key, f"{name} from-table key")
         tkey = _resolve(to_df, key, f"{name} to-table key")
         # Canonical spelling = from side; rename the to side's key to match.
@@ -130,6 +160,10 @@ class Tieout:
         self._to_name = {c: tmap[c.lower()] for c in self.shared}
         self.from_df, self.to_df = from_df, to_df
         self._profile = None
+        ft = {f.name: f.dataType for f in from_df.schema.fields}
+        tt = {f.name: f.dataType for f in to_df.schema.fields}
+        self._types = [(ft[c], tt[self._to_name[c]]) for c in self.shared]
+        self._common = [common_type(from_df, a, b) for a, b in self._types]
 
     # -- keys ---------------------------------------------------------------
     @property
@@ -138,22 +172,21 @@ class Tieout:
             self._profile = key_profile(self.from_df, self.to_df, self.key)
         return self._profile
 
-    def _counts(self) -> list[Column]:
-        nn = _all_not_null(self.key)
-        return [
-            F.coalesce(F.sum(F.when(nn, F.col("from_cnt"))), F.lit(0)).cast("bigint").alias("from_rowcount"),
-            F.coalesce(F.sum(F.when(nn, F.col("to_cnt"))), F.lit(0)).cast("bigint").alias("to_rowcount"),
-            F.count(F.when(nn & (F.col("from_cnt") > 0) & (F.col("to_cnt") == 0), 1)).cast("bigint").alias("from_unique"),
-            F.count(F.when(nn & (F.col("to_cnt") > 0) & (F.col("from_cnt") == 0), 1)).cast("bigint").alias("to_unique"),
-            F.count(F.when(nn & (F.col("from_cnt") > 0) & (F.col("to_cnt") > 0), 1)).cast("bigint").alias("overlap_rowcount"),
-            F.count(F.when(F.col("from_cnt") > 1, 1)).cast("bigint").alias("from_dup_keys"),
-            F.count(F.when(F.col("to_cnt") > 1, 1)).cast("bigint").alias("to_dup_keys"),
-        ]
-
     @property
     def key_stats(self) -> DataFrame:
         """One row: row counts, one-sided keys, overlap, duplicate-key counts."""
-        return self.profile.agg(*self._counts())
+        whole = _all_not_null(self.key).alias("__tie_nn")
+        nn, f, t = F.col("__tie_nn"), F.col("from_cnt"), F.col("to_cnt")
+        p = self.profile.select(whole, *[self.profile[x] for x in ("from_cnt", "to_cnt")])
+        return p.agg(
+            F.coalesce(F.sum(F.when(nn, f)), F.lit(0)).cast("bigint").alias("from_rowcount"),
+            F.coalesce(F.sum(F.when(nn, t)), F.lit(0)).cast("bigint").alias("to_rowcount"),
+            F.count(F.when(nn & (f > 0) & (t == 0), 1)).cast("bigint").alias("from_unique"),
+            F.count(F.when(nn & (t > 0) & (f == 0), 1)).cast("bigint").alias("to_unique"),
+            F.count(F.when(nn & (f > 0) & (t > 0), 1)).cast("bigint").alias("overlap_rowcount"),
+            F.count(F.when(f > 1, 1)).cast("bigint").alias("from_dup_keys"),
+            F.count(F.when(t > 1, 1)).cast("bigint").alias("to_dup_keys"),
+        )
 
     @property
     def duplicate_keys(self) -> DataFrame:
@@ -182,81 +215,97 @@ class Tieout:
                              StructField("col_nm", StringType(), False)])
         return spark.createDataFrame(rows, schema)
 
-    def _types(self):
-        ft = dict((f.name, f.dataType) for f in self.from_df.schema.fields)
-        tt = dict((f.name, f.dataType) for f in self.to_df.schema.fields)
-        return ft, tt
-
-    def _cmp_pair(self, c: str, fcol: Column, tcol: Column) -> tuple[Column, Column]:
-        ft, tt = self._types()
-        fdt, tdt = ft[c], tt[self._to_name[c]]
-        force = fdt != tdt
-        return (compare_value(fcol, fdt, self.case_insensitive, self.null_as_blank, force),
-                compare_value(tcol, tdt, self.case_insensitive, self.null_as_blank, force))
-
-    def _shared_keys(self) -> DataFrame:
-        nn = _all_not_null(self.key)
-        return self.profile.filter(nn & (F.col("from_cnt") > 0) & (F.col("to_cnt") > 0))
-
-    def _sided(self, side: str) -> DataFrame:
-        """One side's rows of shared keys, carrying the key's (from_cnt, to_cnt).
+    # -- rows ---------------------------------------------------------------
+    @property
+    def _k(self) -> list[str]:
+        return [f"__tie_k{i}" for i in range(len(self.key))]
 
-        Both the clean and the duplicate path branch off this frame, so each
-        table is shuffled by key once and the exchange is reused.
-        """
+    def _rows(self, side: str) -> DataFrame:
+        """One side's rows with a complete key: __tie_k0.., __tie_v0..."""
         df = self.from_df if side == "f" else self.to_df
         names = self.shared if side == "f" else [self._to_name[c] for c in self.shared]
-        rows = df.select(*self.key, *[F.col(n).alias(f"{side}__{i}") for i, n in enumerate(names)])
-        return rows.join(self._shared_keys().select(*self.key, "from_cnt", "to_cnt"), self.key, "inner")
-
-    def _small(self, limit: int | None = None) -> Column:
-        limit = self.pair_limit if limit is None else limit
-        return (F.col("from_cnt") * F.col("to_cnt")) <= F.lit(limit)
-
-    def _pair_join(self, limit: int | None = None) -> DataFrame:
-        """Row pairs of keys with at most ``pair_limit`` pairs (m*n), both
-        sides' shared columns side by side, with the key's (from_cnt, to_cnt).
-        Unique keys (m = n = 1) are the common case: one row per key."""
-        f = self._sided("f").filter(self._small(limit))
-        t = self._sided("t").filter(self._small(limit)).drop("from_cnt", "to_cnt")
-        return f.join(t, self.key, "inner")
-
-    def _clean_flags(self, j: DataFrame) -> list[Column]:
-        flags = []
-        for i, c in enumerate(self.shared):
-            a, b = self._cmp_pair(c, F.col(f"f__{i}"), F.col(f"t__{i}"))
-            flags.append(differs(a, b))
-        return flags
-
-    def _long(self, side: str, with_raw: bool, limit: int | None = None) -> DataFrame:
-        """Unpivot one side's rows of big keys (m*n > pair_limit) to counts per
-        (key, idx, cmp[, raw]).
-
-        The key's (from_cnt, to_cnt) ride along so later steps need no re-join.
-        Partial aggregation collapses a hot key's repeated values map-side.
-        """
-        ft, tt = self._types()
+        rows = df.select(*[column(n).alias(k) for n, k in zip(self.key, self._k)],
+                         *[column(n).alias(f"__tie_v{i}") for i, n in enumerate(names)])
+        return rows.where(_all_not_null(self._k))
+
+    def _dtype(self, side: str, i: int):
+        return self._types[i][0 if side == "f" else 1]
+
+    def _cmp(self, side: str, i: int, value: Column) -> Column:
+        return compare_value(value, self._dtype(side, i), self._common[i], self.case_insensitive, self.null_as_blank)
+
+    def _unique_pairs(self) -> DataFrame:
+        """Keys with one row on each side: both rows as structs __tie_f, __tie_t."""
+        def one(side: str) -> DataFrame:
+            values = [F.col(f"__tie_v{i}") for i in range(len(self.shared))]
+            return self._rows(side).groupBy(*self._k).agg(
+                F.count(F.lit(1)).alias(f"__tie_n{side}"), F.any_value(F.struct(*values)).alias(f"__tie_{side}"))
+
+        return one("f").join(one("t"), self._k).where("__tie_nf = 1 and __tie_nt = 1")
+
+    def _unique_flags(self) -> list[Column]:
+        return [differs(self._cmp("f", i, F.col(f"__tie_f.__tie_v{i}")), self._cmp("t", i, F.col(f"__tie_t.__tie_v{i}")))
+                for i in range(len(self.shared))]
+
+    def _shared_counts(self, only_duplicates: bool) -> DataFrame:
+        """(key, __tie_m, __tie_n) of keys on both sides."""
+        p = self.profile.select(*[column(n).alias(k) for n, k in zip(self.key, self._k)],
+                                F.col("from_cnt").alias("__tie_m"), F.col("to_cnt").alias("__tie_n"))
+        p = p.where(_all_not_null(self._k)).where("__tie_m > 0 and __tie_n > 0")
+        return p.where("__tie_m > 1 or __tie_n > 1") if only_duplicates else p
+
+    def _slots(self) -> list[tuple[str, object]]:
+        """The distinct types columns are compared in, a helper column for each."""
+        kinds = {}
+        for i in range(len(self.shared)):
+            t = self._slot_type(i)
+            kinds.setdefault(t.simpleString(), t)
+        return [(f"__tie_c{n}", t) for n, t in enumerate(kinds.values())]
+
+    def _slot_type(self, i: int):
+        t = compare_type(self._common[i], self.case_insensitive, self.null_as_blank)
+        if t is None:
+            return StringType()
+        # What comparable() makes of the type: maps become sorted entries.
+        value = self._rows("f").select(self._cmp("f", i, F.col(f"__tie_v{i}")))
+        return value.schema[0].dataType
+
+    def _counts(self, side: str, with_raw: bool, only_duplicates: bool = True) -> DataFrame:
+        """Counts per (key, column, value) of one side: key, __tie_i, the value in
+        the slot of its type, [text and JSON form], __tie_c, __tie_m, __tie_n."""
+        slots = self._slots()
         items = []
-        for i, c in enumerate(self.shared):
-            dt = ft[c] if side == "f" else tt[self._to_name[c]]
-            v = F.col(f"{side}__{i}")
-            fields = [F.lit(i).alias("idx"),
-                      compare_value(v, dt, self.case_insensitive, self.null_as_blank, True).alias("cmp")]
+        for i in range(len(self.shared)):
+            v, own = F.col(f"__tie_v{i}"), self._slot_type(i).simpleString()
+            fields = [F.lit(i).alias("__tie_i")]
+            fields += [(self._cmp(side, i, v) if t.simpleString() == own else F.lit(None)).cast(t).alias(n) for n, t in slots]
             if with_raw:
-                fields.append(as_text(v, dt).alias("raw"))
+                fields += [as_text(v, self._dtype(side, i)).alias("__tie_raw"), as_json(v).alias("__tie_js")]
             items.append(F.struct(*fields))
-        rows = self._sided(side).filter(~self._small(limit))
-        group = [*self.key, "idx", "cmp"] + (["raw"] if with_raw else [])
-        return (rows.select(*self.key, "from_cnt", "to_cnt", F.explode(F.array(*items)).alias("_v"))
-                .select(*self.key, "from_cnt", "to_cnt", "_v.*")
-                .groupBy(*group)
-                .agg(F.count(F.lit(1)).alias("c"), F.max("from_cnt").alias("m"),
-                     F.max("to_cnt").alias("n")))
+        # Rows meet their key's counts over SALTS groups per key; the salt is the
+        # row's own hash and its partition, the same on a retry.
+        values = [F.col(f"__tie_v{i}") for i in range(len(self.shared)) if not _hashless(self._dtype(side, i))]
+        salted = self._rows(side).withColumn("__tie_salt", F.pmod(
+            F.xxhash64(*values, F.spark_partition_id()), F.lit(SALTS)))
+        keys = self._shared_counts(only_duplicates).withColumn("__tie_salt", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        rows = salted.join(keys, [*self._k, "__tie_salt"]).select(
+            *self._k, "__tie_m", "__tie_n", F.explode(F.array(*items)).alias("__tie_x"))
+        group = [*self._k, "__tie_i", *[n for n, _ in slots]] + (["__tie_raw", "__tie_js"] if with_raw else [])
+        return (rows.select(*self._k, "__tie_m", "__tie_n", "__tie_x.*").groupBy(*group)
+                .agg(F.count(F.lit(1)).alias("__tie_c"), F.max("__tie_m").alias("__tie_m"),
+                     F.max("__tie_n").alias("__tie_n")))
 
     def _weight(self, m: Column, n: Column) -> Column:
         if self.multiplicity == "reference":
-            return m * n
-        return F.lit(1).cast("bigint")
+            return _big(m) * _big(n)
+        return F.lit(1).cast("decimal(1,0)")
+
+    def _same_value(self) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n, _ in self._slots()])
+
+    def _same_key(self) -> list[Column]:
+        return [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*self._k, "__tie_i"]]
 
     # -- per-column summary -----------------------------------------------
     def _columns_frame(self) -> DataFrame:
@@ -273,46 +322,69 @@ class Tieout:
         """
         cols = self._columns_frame()
         if not self.shared:
-            return cols.select(F.lit(self.name).alias("name"), "col_nm",
-                               F.lit(0).cast("bigint").alias("col_diff_cnt"))
-        # Keys with few pairs: one join, every column compared per pair, each
-        # differing pair weighted like the reference (m*n) or once.
-        j = self._pair_join()
-        flags = self._clean_flags(j)
-        w = self._weight(F.col("from_cnt"), F.col("to_cnt"))
-        wide = j.agg(*[F.coalesce(F.sum(F.when(d, w)), F.lit(0)).alias(f"d{i}") for i, d in enumerate(flags)])
-        paired = wide.select(F.explode(F.array(*[
-            F.struct(F.lit(i).cast("bigint").alias("idx"), F.col(f"d{i}").cast("bigint").alias("n"))
+            return cols.select(F.lit(self.name).alias("name"), "col_nm", F.lit(0).cast(WEIGHT).alias("col_diff_cnt"))
+        flags = self._unique_flags()
+        wide = self._unique_pairs().agg(*[F.count(F.when(d, 1)).alias(f"d{i}") for i, d in enumerate(flags)])
+        unique = wide.select(F.explode(F.array(*[
+            F.struct(F.lit(i).cast("bigint").alias("idx"), F.col(f"d{i}").alias("n"))
             for i in range(len(self.shared))])).alias("x")).select("x.idx", "x.n")
 
-        # Big keys: differing pairs = m*n - sum_v cF(v)*cT(v) per key and
-        # column. Since sum_v cF(v) = m, the from-side counts left-joined to
-        # the to-side counts on (key, idx, value) give both terms per column
-        # in one aggregate: sum(w*cF*n) - sum(w*cF*cT).
-        fv = self._long("f", with_raw=False).alias("a")
-        tv = self._long("t", with_raw=False).select(*self.key, "idx", "cmp", "c").alias("b")
-        cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
-                + [F.col("a.idx") == F.col("b.idx"), F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])
-        w = self._weight(F.col("a.m"), F.col("a.n"))
-        big = (fv.join(tv, cond, "left")
-               .groupBy(F.col("a.idx").cast("bigint").alias("idx"))
-               .agg(F.sum(w * F.col("a.c") * (F.col("a.n") - F.coalesce(F.col("b.c"), F.lit(0))))
-                    .alias("dn")))
-        return (cols.join(F.broadcast(paired), "idx", "left")
-                .join(F.broadcast(big), "idx", "left")
+        # Differing pairs = m*n - sum_v cF(v)*cT(v) per key and column. Since
+        # sum_v cF(v) = m, the from-side counts left-joined to the to-side counts
+        # give both terms in one aggregate: sum(w*cF*(n - cT)).
+        fv = self._counts("f", with_raw=False).alias("a")
+        tv = self._counts("t", with_raw=False).alias("b")
+        missing = F.col("a.__tie_n") - F.coalesce(F.col("b.__tie_c"), F.lit(0))
+        pairs = _big(F.col("a.__tie_c")) * _big(missing)
+        duplicate = (fv.join(tv, [*self._same_key(), self._same_value()], "left")
+                     .groupBy(F.col("a.__tie_i").cast("bigint").alias("idx"))
+                     .agg(F.sum((self._weight(F.col("a.__tie_m"), F.col("a.__tie_n")) * pairs).cast(WEIGHT)).alias("dn")))
+        return (cols.join(unique, "idx", "left").join(duplicate, "idx", "left")
                 .select(F.lit(self.name).alias("name"), "col_nm",
-                        (F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("dn"), F.lit(0)))
-                        .cast("bigint").alias("col_diff_cnt")))
+                        (F.coalesce(F.col("n").cast(WEIGHT), F.lit(0)) + F.coalesce(F.col("dn"), F.lit(0)))
+                        .cast(WEIGHT).alias("col_diff_cnt")))
 
     def summary_from_detail(self, detail: DataFrame) -> DataFrame:
         """K2 derived from already written K3 rows (sum of diff_cnt per column)."""
-        cols = self._columns_frame()
         per = detail.groupBy("col_nm").agg(F.sum("diff_cnt").alias("n"))
-        return (cols.join(F.broadcast(per), "col_nm", "left")
+        return (self._columns_frame().join(per, "col_nm", "left")
                 .select(F.lit(self.name).alias("name"), "col_nm",
-                        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("col_diff_cnt")))
+                        F.coalesce(F.col("n"), F.lit(0)).cast(WEIGHT).alias("col_diff_cnt")))
 
     # -- per-value detail ---------------------------------------------------
+    def _differences(self) -> DataFrame:
+        """Every differing value pair: __tie_k.., col_nm, from and to value as text
+        and as JSON, diff_cnt."""
+        flags = self._unique_flags()
+        items = []
+        for i, c in enumerate(self.shared):
+            f, t = F.col(f"__tie_f.__tie_v{i}"), F.col(f"__tie_t.__tie_v{i}")
+            items.append(F.struct(
+                F.lit(c).alias("col_nm"), as_text(f, self._types[i][0]).alias("from_val"),
+                as_text(t, self._types[i][1]).alias("to_val"), as_json(f).alias("__tie_fj"),
+                as_json(t).alias("__tie_tj"), flags[i].alias("__tie_d")))
+        unique = (self._unique_pairs()
+                  .select(*self._k, F.explode(F.filter(F.array(*items), lambda x: x["__tie_d"])).alias("x"))
+                  .select(*self._k, "x.col_nm", "x.from_val", "x.to_val", "x.__tie_fj", "x.__tie_tj",
+                          F.lit(1).cast(WEIGHT).alias("diff_cnt")))
+        # A hot key's values on the from side are shared by SALTS tasks.
+        salt = F.pmod(F.xxhash64("__tie_raw"), F.lit(SALTS)).alias("__tie_salt")
+        fl = self._counts("f", with_raw=True).select("*", salt).alias("a")
+        tl = self._counts("t", with_raw=True).withColumn("__tie_salt", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))).alias("b")
+        names = F.array(*[F.lit(c) for c in self.shared])
+        counts = _big(F.col("a.__tie_c")) * _big(F.col("b.__tie_c"))
+        duplicate = (fl.join(tl, [*self._same_key(), F.col("a.__tie_salt") == F.col("b.__tie_salt"), ~self._same_value()])
+                     .select(*[F.col(f"a.{k}").alias(k) for k in self._k],
+                             F.element_at(names, F.col("a.__tie_i") + 1).alias("col_nm"),
+                             F.col("a.__tie_raw").alias("from_val"), F.col("b.__tie_raw").alias("to_val"),
+                             F.col("a.__tie_js").alias("__tie_fj"), F.col("b.__tie_js").alias("__tie_tj"),
+                             (self._weight(F.col("a.__tie_m"), F.col("a.__tie_n")) * counts).cast(WEIGHT).alias("diff_cnt")))
+        return unique.unionByName(duplicate)
+
+    def _named_keys(self) -> list[Column]:
+        return [F.col(k).alias(n) for n, k in zip(self.key, self._k)]
+
     def detail_rows(self) -> DataFrame:
         """``(key..., col_nm, from_val, to_val, diff_cnt)`` for every differing pair.
 
@@ -320,60 +392,74 @@ class Tieout:
         or with NULL as blank. ``diff_cnt`` is how many detail rows the reference
         would repeat for this value pair.
         """
-        spark = self.from_df.sparkSession
-        ft, tt = self._types()
         if not self.shared:
-            schema = StructType([self.from_df.schema[k] for k in self.key] + [
-                StructField("col_nm", StringType()), StructField("from_val", StringType()),
-                StructField("to_val", StringType()), StructField("diff_cnt", LongType())])
-            return spark.createDataFrame([], schema)
-        # Detail pairs only unique keys (one row per key and column, nothing to
-        # merge); every duplicate key goes through the value counts, which
-        # emit each distinct value pair once instead of m*n row pairs.
-        j = self._pair_join(limit=1)
-        flags = self._clean_flags(j)
-        items = [F.struct(F.lit(c).alias("col_nm"),
-                          as_text(F.col(f"f__{i}"), ft[c]).alias("from_val"),
-                          as_text(F.col(f"t__{i}"), tt[self._to_name[c]]).alias("to_val"),
-                          flags[i].alias("d"))
-                 for i, c in enumerate(self.shared)]
-        small = (j.select(*self.key, F.explode(F.filter(F.array(*items), lambda x: x["d"])).alias("x"))
-                 .select(*self.key, "x.col_nm", "x.from_val", "x.to_val", F.lit(1).cast("bigint").alias("diff_cnt")))
-
-        fl = self._long("f", with_raw=True, limit=1).alias("a")
-        tl = self._long("t", with_raw=True, limit=1).select(*self.key, "idx", "cmp", "raw", "c").alias("b")
+            return self._no_rows([("col_nm", "string"), ("from_val", "string"), ("to_val", "string"), ("diff_cnt", WEIGHT)])
+        return self._differences().select(*self._named_keys(), "col_nm", "from_val", "to_val", "diff_cnt")
+
+    def value_counts(self) -> DataFrame:
+        """``(key..., col_nm, value, from_cnt, to_cnt)`` for every value whose number
+        of rows differs between the sides, for all shared keys: rows grow with the
+        values of a key, not with their pairs."""
+        if not self.shared:
+            return self._no_rows([("col_nm", "string"), ("value", "string"), ("from_cnt", "bigint"), ("to_cnt", "bigint")])
+
+        def side(s: str) -> DataFrame:
+            group = [*self._k, "__tie_i", *[n for n, _ in self._slots()]]
+            return self._counts(s, with_raw=True, only_duplicates=False).groupBy(*group).agg(
+                F.min("__tie_raw").alias("__tie_raw"), F.sum("__tie_c").alias("__tie_c"))
+
+        fl, tl = side("f").alias("a"), side("t").alias("b")
+        both = fl.join(tl, [*self._same_key(), self._same_value()], "full_outer")
+        f, t = (F.coalesce(F.col(f"{x}.__tie_c"), F.lit(0)).cast("bigint") for x in "ab")
         names = F.array(*[F.lit(c) for c in self.shared])
-        cond = ([F.col(f"a.{k}") == F.col(f"b.{k}") for k in self.key]
-                + [F.col("a.idx") == F.col("b.idx"), ~F.col("a.cmp").eqNullSafe(F.col("b.cmp"))])
-        big = (fl.join(tl, cond, "inner")
-               .select(*[F.col(f"a.{k}").alias(k) for k in self.key],
-                       F.element_at(names, F.col("a.idx") + 1).alias("col_nm"),
-                       F.col("a.raw").alias("from_val"), F.col("b.raw").alias("to_val"),
-                       (self._weight(F.col("a.m"), F.col("a.n")) * F.col("a.c") * F.col("b.c"))
-                       .cast("bigint").alias("diff_cnt")))
-        return small.unionByName(big)
+        return both.where(f != t).select(
+            *[F.coalesce(f"a.{k}", f"b.{k}").alias(n) for n, k in zip(self.key, self._k)],
+            F.element_at(names, F.coalesce("a.__tie_i", "b.__tie_i") + 1).alias("col_nm"),
+            F.coalesce("a.__tie_raw", "b.__tie_raw").alias("value"), f.alias("from_cnt"), t.alias("to_cnt"))
+
+    def _no_rows(self, extra) -> DataFrame:
+        types = {f.name: f.dataType for f in self.from_df.schema.fields}
+        schema = StructType([StructField(k, types[k]) for k in self.key])
+        for n, t in extra:
+            schema = schema.add(n, t)
+        return self.from_df.sparkSession.createDataFrame([], schema)
 
     def detail(self, expand: bool = False) -> DataFrame:
         """K3 rows: name, col_nm, key_vals (key *names*), data_vals JSON, values, count.
 
-        ``data_vals`` keeps NULLs: ``{"k": 1, "__to_val": null, "__from_val": "A"}``.
+        ``data_vals`` keeps NULLs and types: ``{"k": 1, "__to_val": null, "__from_val": "A"}``.
         ``expand=True`` repeats each row ``diff_cnt`` times like the reference.
         """
-        d = self.detail_rows()
-        out = d.select(
-            F.lit(self.name).alias("name"), "col_nm",
-            F.array(*[F.lit(k) for k in self.key]).alias("key_vals"),
-            F.to_json(F.struct(*[F.col(k) for k in self.key],
-                               F.col("to_val").alias("__to_val"),
-                               F.col("from_val").alias("__from_val")),
-                      {"ignoreNullFields": "false"}).alias("data_vals"),
-            "from_val", "to_val", "diff_cnt")
+        if not self.shared:
+            rows = self._no_rows([]).select(*[column(n).alias(k) for n, k in zip(self.key, self._k)], *[
+                F.lit(None).cast(t).alias(n) for n, t in (
+                    ("col_nm", "string"), ("from_val", "string"), ("to_val", "string"), ("__tie_fj", "string"),
+                    ("__tie_tj", "string"), ("diff_cnt", WEIGHT))])
+        else:
+            rows = self._differences()
+        keys = F.to_json(F.struct(*self._named_keys()), JSON_OPTIONS)
+        doc = F.concat(F.substring(keys, F.lit(1), F.length(keys) - 1), F.lit(',"__to_val":'), F.col("__tie_tj"),
+                       F.lit(',"__from_val":'), F.col("__tie_fj"), F.lit("}"))
+        out = rows.select(F.lit(self.name).alias("name"), "col_nm", F.array(*[F.lit(k) for k in self.key]).alias("key_vals"),
+                          doc.alias("data_vals"), "from_val", "to_val", "diff_cnt")
         if expand:
-            out = (out.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("diff_cnt").cast("int"))))
-                   .drop("_r").withColumn("diff_cnt", F.lit(1).cast("bigint")))
+            # In two steps, so that no array grows with the square of a key's rows.
+            blocks = F.ceil(F.col("diff_cnt") / REPEAT).cast("bigint")
+            out = out.withColumn("__tie_b", F.explode(F.sequence(F.lit(1).cast("bigint"), blocks)))
+            left = F.least(F.lit(REPEAT).cast(WEIGHT), F.col("diff_cnt") - (F.col("__tie_b") - 1) * REPEAT).cast("bigint")
+            out = (out.withColumn("__tie_r", F.explode(F.sequence(F.lit(1).cast("bigint"), left)))
+                   .drop("__tie_b", "__tie_r").withColumn("diff_cnt", F.lit(1).cast(WEIGHT)))
         return out
 
 
+def _big(c: Column) -> Column:
+    return c.cast("decimal(19,0)")
+
+
+def _hashless(dtype) -> bool:
+    return "map<" in dtype.simpleString() or "variant" in dtype.simpleString()
+
+
 def run_validations(spark, tables: dict[str, DataFrame], validations: Sequence[Validation],
                     **options) -> dict[str, DataFrame]:
     """All validations of one target, each output unioned across them.

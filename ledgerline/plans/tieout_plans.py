@@ -30,6 +30,12 @@ def _tieout(spark, sf_dir, v: Validation, **opts) -> Tieout:
                   ignore_cols=v.ignore_cols, **opts)
 
 
+def _int(df, *names):
+    """Difference counts as BIGINT: they fit for these tables, and the engine's
+    exact decimals and the oracle's integers are then the same type."""
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names or ("col_diff_cnt",)})
+
+
 def _tables(spark, sf_dir):
     return {k: fixture(spark, sf_dir, v) for k, v in _FIX.items()}
 
@@ -156,12 +162,12 @@ def tieout_columns_skipped(spark, sf_dir):
 
 @register("tieout_columns_summary", CTE + "\n" + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to"))
 def tieout_columns_summary(spark, sf_dir):
-    return _tieout(spark, sf_dir, ORD).summary
+    return _int(_tieout(spark, sf_dir, ORD).summary)
 
 
 @register("tieout_summary_duplicate_keys", CTE + "\n" + _summary_sql(DUP, DUP_COLS, "dup_from", "dup_to"))
 def tieout_summary_duplicate_keys(spark, sf_dir):
-    return _tieout(spark, sf_dir, DUP).summary
+    return _int(_tieout(spark, sf_dir, DUP).summary)
 
 
 _PAIRS = "\nunion all\n".join(
@@ -172,40 +178,40 @@ _PAIRS = "\nunion all\n".join(
 
 @register("tieout_summary_pairs", CTE + "\n" + _PAIRS)
 def tieout_summary_pairs(spark, sf_dir):
-    return _tieout(spark, sf_dir, DUP, multiplicity="pairs").summary
+    return _int(_tieout(spark, sf_dir, DUP, multiplicity="pairs").summary)
 
 
 @register("tieout_columns_multi", CTE + "\n" + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to")
           + "\nunion all\n" + _summary_sql(DUP, DUP_COLS, "dup_from", "dup_to"))
 def tieout_columns_multi(spark, sf_dir):
-    return run_validations(spark, _tables(spark, sf_dir), [ORD, DUP])["summary"]
+    return _int(run_validations(spark, _tables(spark, sf_dir), [ORD, DUP])["summary"])
 
 
 @register("tieout_case_insensitive", CTE + "\n" + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to", "ci"))
 def tieout_case_insensitive(spark, sf_dir):
-    return _tieout(spark, sf_dir, ORD, case_insensitive=True).summary
+    return _int(_tieout(spark, sf_dir, ORD, case_insensitive=True).summary)
 
 
 @register("tieout_null_as_blank", CTE + "\n" + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to", "nb"))
 def tieout_null_as_blank(spark, sf_dir):
-    return _tieout(spark, sf_dir, ORD, null_as_blank=True).summary
+    return _int(_tieout(spark, sf_dir, ORD, null_as_blank=True).summary)
 
 
 @register("tieout_ci_null_blank", CTE + "\n" + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to", "cinb"))
 def tieout_ci_null_blank(spark, sf_dir):
-    return _tieout(spark, sf_dir, ORD, case_insensitive=True, null_as_blank=True).summary
+    return _int(_tieout(spark, sf_dir, ORD, case_insensitive=True, null_as_blank=True).summary)
 
 
 @register("tieout_columns_detail", CTE + "\n" + _detail_sql(ORD, ORD_COLS, "tie_from", "tie_to"))
 def tieout_columns_detail(spark, sf_dir):
-    d = _tieout(spark, sf_dir, ORD).detail()
+    d = _int(_tieout(spark, sf_dir, ORD).detail(), "diff_cnt")
     return d.select("name", "col_nm", F.get_json_object("data_vals", "$.o_orderkey").cast("bigint")
                     .alias("o_orderkey"), "from_val", "to_val", "diff_cnt")
 
 
 @register("tieout_detail_duplicate_keys", CTE + "\n" + _detail_sql(DUP, DUP_COLS, "dup_from", "dup_to"))
 def tieout_detail_duplicate_keys(spark, sf_dir):
-    return (_tieout(spark, sf_dir, DUP).detail_rows()
+    return (_int(_tieout(spark, sf_dir, DUP).detail_rows(), "diff_cnt")
             .select(F.lit("DUP").alias("name"), "col_nm", "l_orderkey", "l_linenumber",
                     "from_val", "to_val", "diff_cnt"))
 
@@ -262,7 +268,7 @@ select ov.name, sm.col_nm, ov.overlap_rowcount, sm.col_diff_cnt,
 @register("sum_column", _OVERVIEW_CTE + _SUM_COLUMN_SQL)
 def sum_column(spark, sf_dir):
     o, s, _ = _multi(spark, sf_dir)
-    return reports.sum_column(o, s)
+    return _int(reports.sum_column(o, s))
 
 
 @register("sum_field", _OVERVIEW_CTE + ",\nsc as (" + _SUM_COLUMN_SQL + """)
@@ -272,7 +278,7 @@ select name, cast(sum(overlap_rowcount) as bigint) as tot_fields, cast(sum(col_d
   from sc group by name""")
 def sum_field(spark, sf_dir):
     o, s, _ = _multi(spark, sf_dir)
-    return reports.sum_field(reports.sum_column(o, s))
+    return _int(reports.sum_field(reports.sum_column(o, s)), "tot_diff")
 
 
 @register("sum_detail", _OVERVIEW_CTE + ",\ndt as (" + _detail_sql(ORD, ORD_COLS, "tie_from", "tie_to").replace(
@@ -291,7 +297,7 @@ select dt.name, ov.overlap_rowcount, dt.col_nm,
     "SDX_FROM", _soundex_sql("dt.from_val")).replace("SDX_TO", _soundex_sql("dt.to_val")))
 def sum_detail(spark, sf_dir):
     o, _, d = _multi(spark, sf_dir)
-    r = reports.sum_detail(o, d)
+    r = _int(reports.sum_detail(o, d))
     return r.select("name", "overlap_rowcount", "col_nm", F.concat_ws(",", "key_vals").alias("key_names"),
                     "from_val", "to_val", "col_diff_cnt", "col_diff_pct", "jarowinkler_score",
                     "jarowinkler_similarity", "editdistance", "soundex")
@@ -353,4 +359,4 @@ kk as (select f.l_orderkey, f.m, t.n
 def tieout_hot_key_summary(spark, sf_dir):
     """A third of all rows under one key: counted without emitting its pairs."""
     f, t = fixture(spark, sf_dir, "hot_from"), fixture(spark, sf_dir, "hot_to")
-    return Tieout(f, t, ["l_orderkey"], name="HOT", multiplicity="pairs").summary
+    return _int(Tieout(f, t, ["l_orderkey"], name="HOT", multiplicity="pairs").summary)
