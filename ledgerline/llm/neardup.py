@@ -5,18 +5,23 @@ verification, connected components by alternating large-star and small-star.
    BANDS * ROWS universal hash minima. Equal sets are one class (one node):
    copies cost one row each from here on.
 2. Nodes that share a band's minima share a bucket. Every member of a bucket
-   is compared with the bucket's smallest node only, a number of pairs linear
-   in the members; pairs pass the signature estimate and are then confirmed on
-   the full sets of the whole texts. Components follow.
-3. Buckets whose members still lie in several components are finished exactly:
-   members of different components are compared by signature in blocks of
-   bounded size (the bucket's largest component against the others, and the
-   others among themselves), and what passes is confirmed on full sets. No
-   pair that shares a bucket goes untested, whatever the bucket's size, and
-   pairs already joined cost nothing.
+   is compared by signature with the bucket's smallest node only, a number of
+   pairs linear in the members. Members with an estimate of LOOSE or more join
+   that leader's family; members below FIRM go on to another round with the
+   next leader. (Distance is a metric: a member at FIRM or more and one below
+   LOOSE differ by more than a link allows.) Pairs that pass ESTIMATE are
+   confirmed on the full sets of the whole texts, and components follow.
+3. Families that still hold several components are finished exactly: members
+   are dealt into cells of bounded size (the largest component against the
+   others, the others among themselves); a cell intersects the full sets of all
+   its pairs at once and returns a spanning forest of the links it finds.
+4. What no leader took in after ROUNDS rounds (texts that share a passage, not
+   their bulk) meets in cells of its bucket by signature, and what passes is
+   confirmed on full sets. No pair that shares a bucket goes untested, whatever
+   the bucket's size.
 
 At a similarity of 0.8, 28 bands of 4 rows miss a pair once in 2.5 million;
-the signature estimate of 0.55 drops one in 50 million.
+the signature estimate of 0.55 drops one in 30 million.
 
 Defined results: words are runs outside [\\x20\\x09-\\x0D] after lower-casing
 A-Z; a text with fewer words than a shingle is one shingle; a text without
@@ -36,9 +41,12 @@ from ledgerline.llm.arrowtext import coded_words, text_slices
 from ledgerline.llm.common import attach, c, cut
 
 BANDS, ROWS = 28, 4
-ESTIMATE = 0.55
+ESTIMATE = 0.55  # share of equal minima below which a pair cannot be a link
+LOOSE, FIRM = 0.3, 0.6  # of a leader's family; of members that need no other leader
+ROUNDS = 2
 GROUP = 4_096  # comparisons with one leader that share a task
-BLOCK = 512  # members of a mixed bucket compared at once
+BLOCK = 512  # members of a family or bucket compared at once
+COLUMNS = 4_096  # shingles intersected at once in a cell
 BROADCAST_NODES = 100_000  # rows of 32 bytes
 
 
@@ -133,54 +141,59 @@ def band_rows(nodes: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, values: DataFrame, kind: str, keep) -> DataFrame:
-    """The (a, b) rows of ``pairs`` for which ``keep`` holds.
+    """The (a, b) rows of ``pairs`` with their score, unless it is negative.
 
     ``values`` has node and value (of SQL type ``kind``). A task gets a leader
     b once and then its members a, at most about GROUP of them: leaders with
     more are dealt over several groups. ``keep(values)`` is a factory called
     once per task; it returns load(array of values) -> prepared values and
-    test(leader, member) -> bool.
+    test(leader, member) -> score.
     """
     n = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP))
     dealt = pairs.join(n, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"))
     lead = n.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
     rows = (dealt.join(values, dealt.a == values.node).select("b", "part", "a", "value")
             .unionByName(lead.join(values, lead.b == values.node).select("b", "part", "a", "value")))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
         load, test = keep()
         current, leader = None, None
         for batch in batches:
-            out = ([], [])
+            out = ([], [], [])
             b, part, a = (batch.column(i).to_pylist() for i in range(3))
             for i, value in enumerate(load(batch.column(3))):
                 if a[i] is None:
                     current, leader = (b[i], part[i]), value
-                elif current == (b[i], part[i]) and test(leader, value):
-                    out[0].append(a[i])
-                    out[1].append(b[i])
+                elif current == (b[i], part[i]) and (score := test(leader, value)) >= 0:
+                    for column, x in zip(out, (a[i], b[i], score)):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, "a long, b long, score long"))
 
 
-def by_signature():
-    least = int(np.ceil(ESTIMATE * BANDS * ROWS))
+def minima(estimate: float) -> int:
+    """The number of equal minima that makes an estimate."""
+    return int(np.ceil(estimate * BANDS * ROWS))
+
 
+def by_signature():
+    """Scores a pair by its equal minima."""
     def load(values):
         return [np.frombuffer(x, "<u4") for x in values.to_pylist()]
 
-    return load, lambda a, b: int((a == b).sum()) >= least
+    return load, lambda a, b: int((a == b).sum())
 
 
 def by_sets(width: int, percent: int):
+    """Keeps the pairs of texts that are links."""
     def keep():
         def test(a, b):
             shared = len(np.intersect1d(a, b, assume_unique=True))
-            return 100 * shared >= percent * (len(a) + len(b) - shared)
+            return 0 if 100 * shared >= percent * (len(a) + len(b) - shared) else -1
 
         return lambda values: shingle_sets(values, width), test
 
@@ -209,43 +222,121 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def mixed_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the signature
-    estimate, found in blocks of bounded size."""
-    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def families(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b, score) of members and the leaders whose family they join, the
+    (key, node) rows that need cells of their bucket), from the (key, node) rows
+    of buckets."""
+    sigs = nodes.select("node", F.col("sig").alias("value"))
+    rest, edges = members, None
+    for _ in range(ROUNDS):
+        lead = rest.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        stars = cut(rest.join(lead, "key").where("node <> b"))
+        scored = cut(compare(stars.select(F.col("node").alias("a"), "b").distinct(), sigs, "binary", by_signature))
+        found = scored.where(F.col("score") >= minima(LOOSE))
+        edges = found if edges is None else edges.unionByName(found)
+        rest = cut(stars.withColumnRenamed("node", "a").join(scored, ["a", "b"])
+                   .where(F.col("score") < minima(FIRM)).select("key", F.col("a").alias("node")))
+    return cut(edges.groupBy("a", "b").agg(F.max("score").alias("score"))), rest
+
+
+def cells(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Deal the (key, node) rows of each key into cells (key, i, j) of about two
+    BLOCKs, so that two members of different groups of ``groups`` (node, root)
+    meet in one: blocks of the largest group meet the others, and the others meet
+    each other. Keys with one group are done."""
+    labelled = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(
+    mixed = sizes.groupBy("key").agg(
         F.count("*").alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")
     ).where("roots > 1").select(
         "key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
-    rows = labelled.join(buckets, "key")
+    rows = labelled.join(mixed, "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    # Blocks of the largest component meet the others; the others meet each other.
     among = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     against = F.transform(F.sequence(F.lit(0), F.col("top_blocks") - 1), lambda i: F.struct(
         i.alias("i"), F.lit(-1).cast("long").alias("j")))
     home = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("top_blocks")).alias("i"), F.lit(-1).cast("long").alias("j")))
-    cells = (rows.withColumn("cell", F.explode(F.when(F.col("root") == F.col("top"), home)
-                                               .otherwise(F.concat(against, among))))
-             .select("key", "cell.i", "cell.j", "node", "root")
-             .join(nodes.select("node", "sig"), "node"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    least = int(np.ceil(ESTIMATE * BANDS * ROWS))
+    return (rows.withColumn("cell", F.explode(F.when(F.col("root") == F.col("top"), home)
+                                              .otherwise(F.concat(against, among))))
+            .select("key", "cell.i", "cell.j", "node", "root"))
 
-    def run(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(node), -1)
-        out = ([], [])
-        for i in range(len(node) - 1):
-            near = np.flatnonzero((root[i + 1:] != root[i]) & ((sig[i + 1:] == sig[i]).sum(1) >= least)) + i + 1
-            out[0].append(np.maximum(node[near], node[i]))
-            out[1].append(np.minimum(node[near], node[i]))
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in cols], schema=schema)
 
-    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def near_in_cell(node: np.ndarray, root: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
+    """For each row but the last, the later rows of another group that pass the estimate."""
+    least = minima(ESTIMATE)
+    return [np.flatnonzero((root[i + 1:] != root[i]) & ((sig[i + 1:] == sig[i]).sum(1) >= least)) + i + 1
+            for i in range(len(node) - 1)]
+
+
+def _cell(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(table.num_rows, -1)
+    return table.column("node").to_numpy(), table.column("root").to_numpy(), sig
+
+
+def pairs_in_cells(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups that pass the signature estimate."""
+    def run(table: pa.Table) -> pa.Table:
+        node, root, sig = _cell(table)
+        near = near_in_cell(node, root, sig)
+        left = np.repeat(node[:-1], [len(x) for x in near])
+        right = node[np.concatenate(near)] if near else left
+        return pa.table({"a": np.maximum(left, right), "b": np.minimum(left, right)})
+
+    return dealt.join(nodes.select("node", "sig"), "node").groupBy("key", "i", "j").applyInArrow(
+        run, "a long, b long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = uses[column] > 1
+    row, column = row[several], (np.cumsum(uses > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        out += dense @ dense.T
+    return out.astype(np.int64)
+
+
+def links_in_cells(dealt: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links between different groups in each cell;
+    ``sets`` has node and shingles (sorted 64-bit hashes)."""
+    def run(table: pa.Table) -> pa.Table:
+        node, root, sig = _cell(table)
+        near = near_in_cell(node, root, sig)
+        some = np.unique(np.concatenate([[i, *x] for i, x in enumerate(near) if len(x)] or [[]])).astype(int)
+        out = []
+        if len(some):
+            chosen = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles").take(pa.array(some))]
+            shared, size = shared_counts(chosen), np.array([len(x) for x in chosen])
+            link = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+            place = np.full(len(node), -1)
+            place[some] = np.arange(len(some))
+            top = {r: r for r in root.tolist()}
+
+            def find(r):
+                while top[r] != r:
+                    top[r] = r = top[top[r]]
+                return r
+
+            for i, later in enumerate(near):
+                if len(later):
+                    for j in later[link[place[i], place[later]]].tolist():
+                        x, y = find(int(root[i])), find(int(root[j]))
+                        if x != y:
+                            top[x] = y
+                            out.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    rows = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
@@ -257,25 +348,32 @@ def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "do
         F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")
     ).withColumn("node", F.monotonically_increasing_id()))
     bands = cut(band_rows(nodes))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b")).where("n > 1")
-    members = cut(bands.join(shared.select("key", "b"), "key").select("key", "node", "b"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = cut(bands.join(shared, "key").select("key", "node"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+    def own_texts(wanted: DataFrame) -> DataFrame:
+        """(node, value): a text with the node's set, for the nodes of ``wanted``."""
+        ends = cut(wanted.select("node").distinct().join(
             nodes.select("node", F.col("min_id").alias("_id"), "digest"), "node"))
         if ends.count() <= BROADCAST_NODES:
             ends = F.broadcast(ends)
         texts = docs.select(c(id_col).cast("long").alias("_id"), c(text_col).alias("value"))
         found = texts.join(ends, texts["_id"].eqNullSafe(ends["_id"])).select("node", "digest", "value")
-        return cut(compare(pairs, _own_text(found, width), "string", by_sets(width, percent)))
+        return _own_text(found, width)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        return cut(compare(pairs, own_texts(wanted), "string", by_sets(width, percent)).select("a", "b"))
 
-    stars = members.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    near = cut(compare(stars, nodes.select("node", F.col("sig").alias("value")), "binary", by_signature))
-    links = confirm(near)
+    edges, rest = families(members, nodes)
+    links = confirm(edges.where(F.col("score") >= minima(ESTIMATE)).select("a", "b"))
     roots = cut(components(links))
-    rest = cut(mixed_pairs(members.select("key", "node"), roots, nodes).join(
-        near, ["a", "b"], "left_anti"))  # what the stars have tested and refused
-    more = confirm(rest)
+    family = cut(components(edges))
+    dealt = cut(cells(family.select(F.col("root").alias("key"), "node"), roots))
+    sets = _sets(own_texts(dealt), width)
+    inside = cut(links_in_cells(dealt, nodes, sets, percent))
+    outside = confirm(cut(pairs_in_cells(cells(rest, family), nodes)))
+    more = inside.unionByName(outside)
     if more.take(1):
         roots = cut(components(links.unionByName(more)))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -301,6 +399,18 @@ def _own_text(found: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "node long, value string")
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, value) texts to (node, shingles); one row per node."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            found = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=schema)
+
+    return cut(texts.mapInArrow(run, "node long, shingles binary")).dropDuplicates(["node"])
+
+
 def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept per document."""
