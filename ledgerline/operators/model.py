@@ -1,13 +1,15 @@
 """Privilege-model expansion: roles, edges and grants per object, as rows.
 
-``model`` rows: (obj_type, ar_prefix, pos, role, privilege, kind) — the role
-hierarchy (``pos`` 0 = highest) crossed with each level's permissions; a NULL
-``kind`` marks a level without direct privileges. ``objects`` rows:
-(obj_type, db_nm, sc_nm) with obj_type DATABASE / SCHEMA / WAREHOUSE (a
-warehouse's name sits in ``db_nm``).
-
-The model is configuration-sized (a few dozen rows), so it is broadcast into
-joins with the object list, which is what grows.
+``model`` rows: (obj_type, ar_prefix, role_owner, pos, role, privilege, kind) —
+the role hierarchy (``pos`` 0 = highest) crossed with each level's permissions;
+a NULL ``kind`` marks a level without direct privileges; ``role_owner`` owns the
+objects and roles of its type. ``objects`` rows: (obj_type, db_nm, sc_nm) with
+obj_type DATABASE / SCHEMA / WAREHOUSE (a warehouse's name sits in ``db_nm``).
+
+Every output is made in two steps: the model alone is turned into *templates*,
+one row per thing that exists for every object of a type; objects, which is
+what grows, then meet all templates of their type in one join, and names are
+filled in by expressions.
 """
 
 from __future__ import annotations
@@ -32,10 +34,14 @@ SINGULAR_KIND = {
     "PROCEDURES": "PROCEDURE",
     "TASKS": "TASK",
 }
-ROLE_OWNER = "SYSADMIN"
 # An object is dropped after all of its roles (sorts after any level).
 OBJECT_DROP_POS = 1_000_000
 
+# Columns of a template; the ones a kind of template does not use are NULL.
+TEMPLATE = {"what": "string", "obj_type": "string", "ar_prefix": "string", "role_owner": "string", "pos": "int",
+            "level": "string", "privilege": "string", "kind": "string", "scope": "string", "other_prefix": "string",
+            "other_level": "string"}
+
 
 def object_name(obj_type: Column, db: Column, sc: Column) -> Column:
     """DATABASE → db, SCHEMA → db.sc, WAREHOUSE → name."""
@@ -48,159 +54,161 @@ def _role_name(prefix: Column, obj_type: Column, db: Column, sc: Column, level:
     return F.concat(prefix, base, F.lit("_"), level, F.lit("_AR"))
 
 
+def _template(df: DataFrame, what: str, **columns) -> DataFrame:
+    given = {"what": F.lit(what), **columns}
+    return df.select(*[(given[n] if n in given else F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n)
+                       for n, t in TEMPLATE.items()])
+
+
 def levels(model: DataFrame) -> DataFrame:
-    return model.select("obj_type", "ar_prefix", "pos", "role").distinct()
+    return model.select("obj_type", "ar_prefix", "role_owner", F.col("pos").cast("int").alias("pos"),
+                        F.col("role").alias("level")).distinct()
 
 
-def roles(model: DataFrame, objects: DataFrame) -> DataFrame:
-    """One access role per object and hierarchy level."""
-    lv = F.broadcast(levels(model))
-    return (objects.join(lv, "obj_type", "inner")
-            .select("obj_type", "db_nm", "sc_nm",
-                    object_name(F.col("obj_type"), F.col("db_nm"), F.col("sc_nm")).alias("object_name"),
-                    "pos", F.col("role").alias("level"),
-                    _role_name(F.col("ar_prefix"), F.col("obj_type"), F.col("db_nm"), F.col("sc_nm"),
-                               F.col("role")).alias("role_name")))
+def role_templates(model: DataFrame) -> DataFrame:
+    """A role per level."""
+    return _template(levels(model), "ROLE")
 
 
-def edges(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
-    """P2 + P3: role-to-role grants (see :func:`_edges`)."""
-    return _edges(model, objects, owner).drop("pos")
+def edge_templates(model: DataFrame) -> DataFrame:
+    """Each level is granted to the next higher one, the top one to the
+    type's owner. P3: each schema role to the database role of its level."""
+    lv = levels(model)
+    higher = lv.select("obj_type", (F.col("pos") + 1).alias("pos"), F.col("level").alias("higher"))
+    up = lv.join(higher, ["obj_type", "pos"], "left")
+    hierarchy = _template(up, "EDGE", scope=F.lit("HIERARCHY"), other_prefix=F.when(
+        F.col("higher").isNotNull(), F.col("ar_prefix")), other_level=F.col("higher"))
+    db = lv.where("obj_type = 'DATABASE'").select(F.col("ar_prefix").alias("db_prefix"), "level")
+    across = lv.where("obj_type = 'SCHEMA'").join(db, "level")
+    return hierarchy.unionByName(_template(across, "EDGE", scope=F.lit("SCHEMA_TO_DATABASE"),
+                                           other_prefix=F.col("db_prefix"), other_level=F.col("level")))
 
 
-def _edges(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
-    """P2 + P3: role-to-role grants, with the granted role's level ``pos``.
+def privilege_templates(model: DataFrame) -> DataFrame:
+    """P4 + P5 + P7. Scope OBJECT: on the object itself (database / warehouse
+    kinds); ALL and FUTURE: on all existing / future objects of ``kind`` inside a
+    database or schema (a SCHEMA kind at database level is not supported and
+    yields nothing, as in the reference); BASE: USAGE on the database and the
+    schema for the lowest schema level."""
+    named = model.where(F.col("kind").isNotNull()).withColumn("level", F.col("role"))
+    itself = ((F.col("obj_type") == "DATABASE") & (F.col("kind") == "DATABASE")) | (F.col("obj_type") == "WAREHOUSE")
+    inside = ((F.col("obj_type") == "DATABASE") & ~F.col("kind").isin("DATABASE", "SCHEMA")) | (F.col("obj_type") == "SCHEMA")
+    scopes = F.when(itself, F.array(F.lit("OBJECT"))).when(inside, F.array(F.lit("ALL"), F.lit("FUTURE")))
+    direct = named.withColumn("scope", F.explode(scopes))
+    schema_levels = levels(model).where("obj_type = 'SCHEMA'")
+    lowest = schema_levels.agg(F.max(F.struct("pos", "level", "ar_prefix", "role_owner")).alias("x")).where("x is not null")
+    base = lowest.select("x.*", F.lit("SCHEMA").alias("obj_type"),
+                         F.explode(F.array(F.lit("DATABASE"), F.lit("SCHEMA"))).alias("kind"))
+    return _template(direct, "PRIVILEGE").unionByName(
+        _template(base, "PRIVILEGE", privilege=F.lit("USAGE"), scope=F.lit("BASE")))
+
+
+def create_templates(model: DataFrame) -> DataFrame:
+    """CREATE <singular kind> on each schema, once per kind, for the lowest
+    level whose ALL privilege covers that kind."""
+    kinds = F.create_map(*[x for k, v in SINGULAR_KIND.items() for x in (F.lit(k), F.lit(v))])
+    every = (model.where((F.col("obj_type") == "SCHEMA") & (F.col("privilege") == "ALL") & F.col("kind").isNotNull())
+             .withColumn("create_kind", F.try_element_at(kinds, F.col("kind"))).where("create_kind is not null"))
+    lowest = every.groupBy("create_kind").agg(F.max(F.struct(
+        F.col("pos").cast("int").alias("pos"), F.col("role").alias("level"), "ar_prefix", "role_owner")).alias("x"))
+    return _template(lowest.select("create_kind", "x.*"), "CREATE", obj_type=F.lit("SCHEMA"), scope=F.lit("CREATE"),
+                     privilege=F.concat(F.lit("CREATE "), F.col("create_kind")), kind=F.col("create_kind"))
+
+
+def owner_templates(model: DataFrame) -> DataFrame:
+    """One row per object type, with its owner."""
+    return _template(model.select("obj_type", "role_owner").distinct(), "OBJECT")
+
+
+def expand(objects: DataFrame, *templates: DataFrame) -> DataFrame:
+    """All objects with all templates of their type, names filled in."""
+    every = reduce(lambda a, b: a.unionByName(b), templates)
+    t, db, sc = F.col("obj_type"), F.col("db_nm"), F.col("sc_nm")
+    other = (F.when(F.col("what") != "EDGE", F.lit(None))
+             .when(F.col("other_level").isNull(), F.col("role_owner"))
+             .when(F.col("scope") == "SCHEMA_TO_DATABASE",
+                   F.concat("other_prefix", db, F.lit("_"), "other_level", F.lit("_AR")))
+             .otherwise(_role_name(F.col("other_prefix"), t, db, sc, F.col("other_level"))))
+    whole = object_name(t, db, sc)
+    # Base usage of a schema's lowest role also covers the schema's database.
+    target = F.when((F.col("scope") == "BASE") & (F.col("kind") == "DATABASE"), db).otherwise(whole)
+    return objects.select("obj_type", "db_nm", "sc_nm").join(every, "obj_type").select(
+        "what", "obj_type", "db_nm", "sc_nm", target.alias("object_name"), "pos", "level", "privilege", "kind", "scope",
+        "role_owner", _role_name(F.col("ar_prefix"), t, db, sc, F.col("level")).alias("role_name"),
+        other.alias("grantee_role"))
 
-    HIERARCHY: each level granted to the next higher level of the same object,
-    the top level to the owner role. SCHEMA_TO_DATABASE: each schema role to
-    the database role of the same level.
-    """
-    r = roles(model, objects)
-    # The next higher level (pos - 1) of the same object type, from the model;
-    # a broadcast join instead of a window, so no shuffle of the objects.
-    up_lv = F.broadcast(levels(model).select("obj_type", (F.col("pos") + 1).alias("pos"),
-                                             F.col("role").alias("higher")))
-    higher = _role_name(F.col("ar_prefix"), F.col("obj_type"), F.col("db_nm"), F.col("sc_nm"), F.col("higher"))
-    hier = (r.join(F.broadcast(levels(model).select("obj_type", "pos", "ar_prefix")), ["obj_type", "pos"], "inner")
-            .join(up_lv, ["obj_type", "pos"], "left")
-            .select("obj_type", "object_name", F.col("role_name").alias("granted_role"),
-                    F.when(F.col("higher").isNull(), F.lit(owner)).otherwise(higher).alias("grantee_role"),
-                    F.lit("HIERARCHY").alias("edge"), "pos"))
-    dbp = F.broadcast(levels(model).filter(F.col("obj_type") == "DATABASE")
-                      .select(F.col("ar_prefix").alias("db_prefix"), F.col("role").alias("level")))
-    up = (r.filter(F.col("obj_type") == "SCHEMA").join(dbp, "level", "inner")
-          .select("obj_type", "object_name", F.col("role_name").alias("granted_role"),
-                  F.concat(F.col("db_prefix"), F.col("db_nm"), F.lit("_"), F.col("level"), F.lit("_AR"))
-                  .alias("grantee_role"),
-                  F.lit("SCHEMA_TO_DATABASE").alias("edge"), "pos"))
-    return hier.unionByName(up)
 
+def roles(model: DataFrame, objects: DataFrame) -> DataFrame:
+    """One access role per object and hierarchy level."""
+    return expand(objects, role_templates(model)).select(
+        "obj_type", "db_nm", "sc_nm", "object_name", "pos", "level", "role_name")
 
-def privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
-    """P4 + P5 + P7: object privileges per role (see :func:`_privileges`)."""
-    return _privileges(model, objects).drop("pos")
 
+def edges(model: DataFrame, objects: DataFrame) -> DataFrame:
+    """P2 + P3: role-to-role grants."""
+    return expand(objects, edge_templates(model)).select(
+        "obj_type", "object_name", F.col("role_name").alias("granted_role"), "grantee_role", F.col("scope").alias("edge"))
 
-def _privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
-    """P4 + P5 + P7: object privileges per role, with the role's level ``pos``.
 
-    scope OBJECT: on the object itself (database / warehouse kinds);
-    scope ALL / FUTURE: on all existing / future objects of ``kind`` inside a
-    database or schema (a SCHEMA kind at database level is not supported and
-    yields nothing, as in the reference); BASE: USAGE on the database and the
-    schema for the lowest schema level.
-    """
-    perms = F.broadcast(model.filter(F.col("kind").isNotNull()))
-    r = roles(model, objects)
-    j = r.join(perms.select("obj_type", F.col("role").alias("level"), "privilege", "kind"),
-               ["obj_type", "level"], "inner")
-    on_self = ((F.col("obj_type") == "DATABASE") & (F.col("kind") == "DATABASE")) | (F.col("obj_type") == "WAREHOUSE")
-    inside = ((F.col("obj_type") == "DATABASE") & ~F.col("kind").isin("DATABASE", "SCHEMA")) | (F.col("obj_type") == "SCHEMA")
-    cols = ["obj_type", "object_name", "role_name", "privilege", "kind", "pos"]
-    own = j.filter(on_self).select(*cols, F.lit("OBJECT").alias("scope"))
-    scoped = (j.filter(inside).select(*cols, F.explode(F.array(F.lit("ALL"), F.lit("FUTURE"))).alias("scope")))
-    lowest = F.broadcast(levels(model).filter(F.col("obj_type") == "SCHEMA").agg(F.max("pos").alias("pos")))
-    low = r.filter(F.col("obj_type") == "SCHEMA").join(lowest, "pos", "left_semi")
-    base = (low.select("obj_type", F.col("db_nm").alias("object_name"), "role_name",
-                       F.lit("USAGE").alias("privilege"), F.lit("DATABASE").alias("kind"), "pos",
-                       F.lit("BASE").alias("scope"))
-            .unionByName(low.select("obj_type", "object_name", "role_name", F.lit("USAGE").alias("privilege"),
-                                    F.lit("SCHEMA").alias("kind"), "pos", F.lit("BASE").alias("scope"))))
-    return own.unionByName(scoped).unionByName(base)
+def privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
+    """P4 + P5 + P7: object privileges per role."""
+    return expand(objects, privilege_templates(model)).select(
+        "obj_type", "object_name", "role_name", "privilege", "kind", "scope")
 
 
 def create_privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
-    """CREATE <singular kind> on each schema, once per kind, given to the
-    lowest level whose ALL privilege covers that kind."""
-    return _create_privileges(model, objects).drop("pos")
+    """P6."""
+    return expand(objects, create_templates(model)).select(
+        "obj_type", "object_name", "role_name", "privilege", F.col("kind").alias("create_kind"))
 
 
-def _create_privileges(model: DataFrame, objects: DataFrame) -> DataFrame:
-    kinds = F.create_map(*[x for k, v in SINGULAR_KIND.items() for x in (F.lit(k), F.lit(v))])
-    all_rows = (model.filter((F.col("obj_type") == "SCHEMA") & (F.col("privilege") == "ALL") & F.col("kind").isNotNull())
-                .select(F.col("role").alias("level"), "pos", kinds[F.col("kind")].alias("create_kind"))
-                .filter(F.col("create_kind").isNotNull()))
-    pick = (all_rows.groupBy("create_kind").agg(F.max("pos").alias("pos")))
-    chosen = F.broadcast(pick.join(all_rows.select("create_kind", "pos", "level").distinct(), ["create_kind", "pos"]))
-    r = roles(model, objects).filter(F.col("obj_type") == "SCHEMA")
-    return (r.join(chosen, ["pos", "level"], "inner")
-            .select("obj_type", "object_name", "role_name", F.concat(F.lit("CREATE "), F.col("create_kind")).alias("privilege"),
-                    "create_kind", "pos"))
-
-
-def ownership(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
-    """The owner role owns every object and every access role, and holds
+def ownership(model: DataFrame, objects: DataFrame) -> DataFrame:
+    """The type's owner owns every object and every access role, and holds
     ALL PRIVILEGES on each object."""
-    obj = objects.select("obj_type", object_name(F.col("obj_type"), F.col("db_nm"), F.col("sc_nm")).alias("target"))
-    own_obj = obj.select(F.col("obj_type").alias("target_type"), "target", F.lit("OWNERSHIP").alias("privilege"))
-    all_obj = obj.select(F.col("obj_type").alias("target_type"), "target", F.lit("ALL PRIVILEGES").alias("privilege"))
-    own_role = roles(model, objects).select(F.lit("ROLE").alias("target_type"), F.col("role_name").alias("target"),
-                                            F.lit("OWNERSHIP").alias("privilege"))
-    return own_obj.unionByName(all_obj).unionByName(own_role).withColumn("owner", F.lit(owner))
+    x = expand(objects, owner_templates(model), role_templates(model))
+    is_role = F.col("what") == "ROLE"
+    held = F.when(is_role, F.array(F.lit("OWNERSHIP"))).otherwise(F.array(F.lit("OWNERSHIP"), F.lit("ALL PRIVILEGES")))
+    return x.select(F.when(is_role, F.lit("ROLE")).otherwise(F.col("obj_type")).alias("target_type"),
+                    F.when(is_role, F.col("role_name")).otherwise(F.col("object_name")).alias("target"),
+                    F.explode(held).alias("privilege"), F.col("role_owner").alias("owner"))
 
 
-def reverse_plan(model: DataFrame, objects: DataFrame, owner: str = ROLE_OWNER) -> DataFrame:
+def reverse_plan(model: DataFrame, objects: DataFrame) -> DataFrame:
     """What dropping the objects undoes. Ordered by ``(phase, pos)``:
     phase 1 revokes object privileges, phase 2 revokes role edges, phase 3
     drops the roles and then the object; within a phase the highest level
     (``pos`` 0) goes first — the creation order reversed."""
-    null = F.lit(None).cast("string")
-    p = _privileges(model, objects).unionByName(
-        _create_privileges(model, objects).drop("create_kind").withColumn("kind", null)
-        .withColumn("scope", F.lit("CREATE")))
-    rev_priv = p.select(F.lit(1).alias("phase"), "pos", F.lit("REVOKE").alias("action"), "role_name", "privilege",
-                        "kind", "scope", "object_name", null.alias("from_role"))
-    e = _edges(model, objects, owner)
-    rev_edge = e.select(F.lit(2).alias("phase"), "pos", F.lit("REVOKE ROLE").alias("action"),
-                        F.col("granted_role").alias("role_name"), null.alias("privilege"),
-                        null.alias("kind"), F.col("edge").alias("scope"), "object_name",
-                        F.col("grantee_role").alias("from_role"))
-    drop_role = roles(model, objects).select(F.lit(3).alias("phase"), "pos", F.lit("DROP ROLE").alias("action"),
-                                             "role_name", null.alias("privilege"), null.alias("kind"),
-                                             null.alias("scope"), "object_name", null.alias("from_role"))
-    drop_obj = objects.select(F.lit(3).alias("phase"), F.lit(OBJECT_DROP_POS).alias("pos"),
-                              F.concat(F.lit("DROP "), F.col("obj_type")).alias("action"),
-                              null.alias("role_name"), null.alias("privilege"), null.alias("kind"), null.alias("scope"),
-                              object_name(F.col("obj_type"), F.col("db_nm"), F.col("sc_nm")).alias("object_name"),
-                              null.alias("from_role"))
-    return reduce(lambda a, b: a.unionByName(b), [rev_priv, rev_edge, drop_role, drop_obj])
+    x = expand(objects, privilege_templates(model), create_templates(model), edge_templates(model),
+               role_templates(model), owner_templates(model))
+    what = F.col("what")
+    phase = F.when(what.isin("PRIVILEGE", "CREATE"), 1).when(what == "EDGE", 2).otherwise(3)
+    action = (F.when(phase == 1, "REVOKE").when(phase == 2, "REVOKE ROLE").when(what == "ROLE", "DROP ROLE")
+              .otherwise(F.concat(F.lit("DROP "), F.col("obj_type"))))
+    return x.select(
+        phase.alias("phase"), F.coalesce("pos", F.lit(OBJECT_DROP_POS)).alias("pos"), action.alias("action"), "role_name",
+        "privilege", F.when(what == "PRIVILEGE", F.col("kind")).alias("kind"), "scope", "object_name",
+        F.col("grantee_role").alias("from_role"))
 
 
 def audit(model: DataFrame, objects: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
           wh_grants: DataFrame) -> DataFrame:
-    """P10: access roles the model defines per object vs the roles the
-    materialised grant tables show for it — OK, MISSING (model only) or EXTRA
-    (grants only)."""
-    expected = roles(model, objects).select("obj_type", "object_name", "role_name").withColumn("_e", F.lit(True))
-    actual = (db_grants.select(F.lit("DATABASE").alias("obj_type"), F.col("db_name").alias("object_name"),
-                               F.col("grantee_name").alias("role_name"))
-              .unionByName(sc_grants.select(F.lit("SCHEMA").alias("obj_type"),
-                                            F.concat(F.col("db_name"), F.lit("."), F.col("sc_name")).alias("object_name"),
-                                            F.col("grantee_name").alias("role_name")))
-              .unionByName(wh_grants.select(F.lit("WAREHOUSE").alias("obj_type"), F.col("wh_name").alias("object_name"),
-                                            F.col("grantee_name").alias("role_name")))
-              .distinct().withColumn("_a", F.lit(True)))
-    keys = ["obj_type", "object_name", "role_name"]
-    return (expected.distinct().join(actual, keys, "full_outer")
-            .select(*keys, F.when(F.col("_e") & F.col("_a"), F.lit("OK"))
-                    .when(F.col("_e"), F.lit("MISSING")).otherwise(F.lit("EXTRA")).alias("status")))
+    """P10: the grants the model asks for against the materialised ones, privilege
+    by privilege: OK, MISSING (model only) or EXTRA (grants only).
+
+    Future grants of databases and schemas, direct grants of warehouses. A wrong
+    privilege on an existing role shows as one MISSING and one EXTRA row.
+    """
+    keys = ["obj_type", "object_name", "role_name", "privilege", "kind"]
+    due = privileges(model, objects).where(
+        "scope = 'FUTURE' or (scope = 'OBJECT' and obj_type = 'WAREHOUSE')").select(*keys).distinct()
+
+    def held(grants: DataFrame, obj_type: str, name: Column, kind: Column) -> DataFrame:
+        return grants.select(F.lit(obj_type).alias("obj_type"), name.alias("object_name"),
+                             F.col("grantee_name").alias("role_name"), "privilege", kind.alias("kind"))
+
+    there = (held(db_grants, "DATABASE", F.col("db_name"), F.col("kind"))
+             .unionByName(held(sc_grants, "SCHEMA", F.concat_ws(".", "db_name", "sc_name"), F.col("kind")))
+             .unionByName(held(wh_grants, "WAREHOUSE", F.col("wh_name"), F.lit("WAREHOUSE"))).distinct())
+    both = due.withColumn("_due", F.lit(True)).join(there.withColumn("_held", F.lit(True)), keys, "full_outer")
+    return both.select(*keys, F.when(F.col("_due") & F.col("_held"), F.lit("OK"))
+                       .when(F.col("_due"), F.lit("MISSING")).otherwise(F.lit("EXTRA")).alias("status"))

@@ -14,13 +14,13 @@ CTE = oracle_cte("future_grants_db", "databases", "future_grants_schema", "schem
 _GRANTS_SQL = """,
 dbg as (select * from future_grants_db
          where db_name in (select database_name from databases where database_owner not in ('ACCOUNTADMIN'))),
-scg as (select g.db_name, g.sc_name, g.db_name || '.' || g.sc_name as db_sc, g.grantee_name
+scg as (select g.db_name, g.sc_name, g.db_name || '.' || g.sc_name as db_sc, g.grantee_name, g.privilege, g.kind
           from future_grants_schema g
          where exists (select 1 from schemata s where s.catalog_name = g.db_name and s.schema_name = g.sc_name
                          and s.schema_owner not in ('ACCOUNTADMIN') and s.schema_name not like '%-%'
                          and s.schema_name not in ('INTERNAL', 'PUBLIC', 'INFORMATION_SCHEMA')
                          and s.catalog_name not in ('DEMO_DB') and s.deleted is null)),
-whg as (select name as wh_name, name, granted_on, deleted_on, grantee_name from grants_to_roles
+whg as (select name as wh_name, name, granted_on, deleted_on, grantee_name, privilege from grants_to_roles
          where deleted_on is null and granted_on = 'WAREHOUSE')"""
 
 
@@ -79,7 +79,7 @@ def future_grants_db(spark, sf_dir):
 
 @register("future_grants_schema", CTE + _GRANTS_SQL + "\nselect * from scg")
 def future_grants_schema(spark, sf_dir):
-    return _inputs(spark, sf_dir)["sc_grants"].select("db_name", "sc_name", "db_sc", "grantee_name")
+    return _inputs(spark, sf_dir)["sc_grants"].select("db_name", "sc_name", "db_sc", "grantee_name", "privilege", "kind")
 
 
 @register("warehouse_grants", CTE + _GRANTS_SQL + "\nselect * from whg")

@@ -10,11 +10,11 @@ from ledgerline.sources.fixtures import fixture, oracle_cte
 CTE = oracle_cte("privilege_model", "model_objects")
 
 _ROLES_SQL = """,
-lv as (select distinct obj_type, ar_prefix, pos, role from privilege_model),
+lv as (select distinct obj_type, ar_prefix, role_owner, pos, role from privilege_model),
 r as (
 select o.obj_type, o.db_nm, o.sc_nm,
        case when o.obj_type = 'SCHEMA' then o.db_nm || '.' || o.sc_nm else o.db_nm end as object_name,
-       lv.pos, lv.role as level,
+       lv.pos, lv.role as level, lv.role_owner,
        lv.ar_prefix || case when o.obj_type = 'SCHEMA' then o.db_nm || '_' || o.sc_nm else o.db_nm end
          || '_' || lv.role || '_AR' as role_name
   from model_objects o join lv on o.obj_type = lv.obj_type)"""
@@ -22,7 +22,7 @@ select o.obj_type, o.db_nm, o.sc_nm,
 _EDGES_SQL = """,
 e as (
 select obj_type, object_name, role_name as granted_role,
-       coalesce(lag(role_name) over (partition by obj_type, db_nm, sc_nm order by pos), 'SYSADMIN') as grantee_role,
+       coalesce(lag(role_name) over (partition by obj_type, db_nm, sc_nm order by pos), role_owner) as grantee_role,
        'HIERARCHY' as edge, pos
   from r
 union all
@@ -66,7 +66,7 @@ def _inputs(spark, sf_dir):
     return fixture(spark, sf_dir, "privilege_model"), fixture(spark, sf_dir, "model_objects")
 
 
-@register("model_roles", CTE + _ROLES_SQL + "\nselect * from r")
+@register("model_roles", CTE + _ROLES_SQL + "\nselect * exclude (role_owner) from r")
 def model_roles(spark, sf_dir):
     return model.roles(*_inputs(spark, sf_dir))
 
@@ -91,10 +91,11 @@ def model_create_privileges(spark, sf_dir):
 
 @register("model_ownership", CTE + _ROLES_SQL + """
 select obj_type as target_type, case when obj_type = 'SCHEMA' then db_nm || '.' || sc_nm else db_nm end as target,
-       p.privilege, 'SYSADMIN' as owner
+       p.privilege, o.role_owner as owner
   from model_objects cross join (select 'OWNERSHIP' as privilege union all select 'ALL PRIVILEGES') p
+  join (select distinct obj_type as kept, role_owner from privilege_model) o on kept = obj_type
 union all
-select 'ROLE', role_name, 'OWNERSHIP', 'SYSADMIN' from r""")
+select 'ROLE', role_name, 'OWNERSHIP', role_owner from r""")
 def model_ownership(spark, sf_dir):
     return model.ownership(*_inputs(spark, sf_dir))
 
@@ -120,25 +121,23 @@ _AUDIT_CTE = oracle_cte("privilege_model", "model_objects", "future_grants_db",
                         "future_grants_schema", "schemata", "grants_to_roles")
 
 
-@register("model_audit", _AUDIT_CTE + _ROLES_SQL + """,
+@register("model_audit", _AUDIT_CTE + _ROLES_SQL + _PRIV_SQL + """,
 dbg as (select * from future_grants_db
          where db_name in (select database_name from databases where database_owner not in ('ACCOUNTADMIN'))),
-scg as (select g.db_name, g.sc_name, g.grantee_name from future_grants_schema g
+scg as (select g.* from future_grants_schema g
          where exists (select 1 from schemata s where s.catalog_name = g.db_name and s.schema_name = g.sc_name
                          and s.schema_owner not in ('ACCOUNTADMIN') and s.schema_name not like '%-%'
                          and s.schema_name not in ('INTERNAL', 'PUBLIC', 'INFORMATION_SCHEMA')
                          and s.catalog_name not in ('DEMO_DB') and s.deleted is null)),
-whg as (select name as wh_name, grantee_name from grants_to_roles where deleted_on is null and granted_on = 'WAREHOUSE'),
-act as (select 'DATABASE' as obj_type, db_name as object_name, grantee_name as role_name from dbg
-        union select 'SCHEMA', db_name || '.' || sc_name, grantee_name from scg
-        union select 'WAREHOUSE', wh_name, grantee_name from whg),
-ex as (select distinct obj_type, object_name, role_name from r)
-select coalesce(ex.obj_type, act.obj_type) as obj_type, coalesce(ex.object_name, act.object_name) as object_name,
-       coalesce(ex.role_name, act.role_name) as role_name,
-       case when ex.role_name is not null and act.role_name is not null then 'OK'
-            when ex.role_name is not null then 'MISSING' else 'EXTRA' end as status
-  from ex full outer join act on ex.obj_type = act.obj_type and ex.object_name = act.object_name
-                             and ex.role_name = act.role_name""")
+whg as (select name as wh_name, grantee_name, privilege from grants_to_roles where deleted_on is null and granted_on = 'WAREHOUSE'),
+act as (select 'DATABASE' as obj_type, db_name as object_name, grantee_name as role_name, privilege, kind from dbg
+        union select 'SCHEMA', db_name || '.' || sc_name, grantee_name, privilege, kind from scg
+        union select 'WAREHOUSE', wh_name, grantee_name, privilege, 'WAREHOUSE' from whg),
+due as (select distinct obj_type, object_name, role_name, privilege, kind from pv
+         where scope = 'FUTURE' or (scope = 'OBJECT' and obj_type = 'WAREHOUSE'))
+select *, 'OK' as status from (from due intersect from act)
+union all select *, 'MISSING' from (from due except from act)
+union all select *, 'EXTRA' from (from act except from due)""")
 def model_audit(spark, sf_dir):
     fx = lambda n: fixture(spark, sf_dir, n)
     db = access.future_grants_db(fx("future_grants_db"), fx("databases"))

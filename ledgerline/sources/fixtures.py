@@ -3,9 +3,10 @@
 The reference ships no data, so the catalog-shaped inputs the operators need
 (two tables to reconcile, a table catalog with lineage, grants, role specs,
 catalog objects, a manifest, names) are derived from the TPC-H-style tables.
-Each fixture is one SQL text that runs unchanged on Spark (base tables bound as
-DataFrame arguments) and on DuckDB (base tables as views), so the oracle and
-the Spark job read identical inputs. Every fixture reads whole tables and keeps
+Each fixture is one SQL text that runs on Spark (base tables bound as DataFrame
+arguments) and on DuckDB (base tables as views), so the oracle and the Spark
+job read identical inputs; only the one-row-per-level generator is spelt for
+each of them. Every fixture reads whole tables and keeps
 every row: rows a *to* side should be missing get a NULL key instead of being
 filtered out — NULL keys are never counted, shared or joined, so they are
 missing to the reconciliation while the job still reads and shuffles them.
@@ -19,8 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import BASE_TABLES, read_table
 
-_ROLES4_DB = ("(select 'ADM' as role union all select 'RW' union all select 'RX' "
-              "union all select 'RO')")
+# Access levels of the sample account, highest first.
+LEVELS = {"db": ("OWN", "EDT", "RUN", "VEW"), "wh": ("OWN", "TUN", "WAT", "OPR")}
+
+
+def _model_sql(types) -> str:
+    """Rows (obj_type, ar_prefix, role_owner, pos, role, privilege, kind) of a model;
+    a level without privileges keeps one row without."""
+    rows = []
+    for obj_type, prefix, owner, levels, grants in types:
+        for pos, role in enumerate(levels):
+            pairs = [(p, k) for p, kinds in grants[role].items() for k in kinds] or [(None, None)]
+            rows += [(obj_type, prefix, owner, pos, role, p, k) for p, k in pairs]
+    text = [", ".join("cast(null as string)" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) for r in rows]
+    return ("select * from (values " + ",\n".join(f"({t})" for t in text)
+            + ") as m(obj_type, ar_prefix, role_owner, pos, role, privilege, kind)")
+
 
 FIXTURE_SQL: dict[str, str] = {
     # --- tie-out, unique key ------------------------------------------------
@@ -104,41 +119,43 @@ select case when l_orderkey % 2 = 0 then 'TEST_DB.SC_1' else 'TEST_DB.SC_2' end
        l_linenumber, l_quantity, l_returnflag
   from {lineitem}""",
     # --- access roles -------------------------------------------------------
-    "future_grants_schema": f"""
+    "future_grants_schema": """
 select n_name as db_name, 'SC_' || cast(c_custkey as string) as sc_name,
        n_name || '.SC_' || cast(c_custkey as string) as db_sc,
        '_SC_' || n_name || '_SC_' || cast(c_custkey as string) || '_' || r.role || '_AR'
-         as grantee_name
-  from {{customer}} join {{nation}} on c_nationkey = n_nationkey
-  cross join {_ROLES4_DB} r""",
+         as grantee_name,
+       case r.role when 'VEW' then 'SELECT' when 'RUN' then 'USAGE'
+            else case when c_custkey % 12 = 5 then 'MODIFY' else 'ALL' end end as privilege,
+       case r.role when 'OWN' then 'STAGES' when 'RUN' then 'SCHEMA' else 'TABLES' end as kind
+  from {customer} join {nation} on c_nationkey = n_nationkey {each_db}""",
     "role_grants": """
 select 'TEAM_' || cast(c_custkey % 25 as string) || '_FR' as role_name,
        case when c_custkey % 40 = 0 then 'OWNERSHIP' when c_custkey % 41 = 0 then 'MONITOR'
             else 'USAGE' end as privilege,
        case when c_custkey % 13 = 0 then 'TEAM_' || cast(c_custkey % 7 as string) || '_FR'
             else '_SC_' || n_name || '_SC_' || cast(c_custkey as string)
-                 || case when c_custkey % 2 = 0 then '_RO_AR' else '_RW_AR' end end
+                 || case when c_custkey % 2 = 0 then '_VEW_AR' else '_EDT_AR' end end
          as granted_name
   from {customer} join {nation} on c_nationkey = n_nationkey""",
     "role_spec": """
 select 'TEAM_' || cast(n_nationkey as string) || '_FR' as role_name, 'INCLUDE' as rule,
-       n_name as db_pattern, 'SC_1%' as sc_pattern, 'RO' as role_type
+       n_name as db_pattern, 'SC_1%' as sc_pattern, 'VEW' as role_type
   from {nation}
 union all
 select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'EXCLUDE', n_name, '%7', null
   from {nation}""",
-    "future_grants_db": f"""
-select n_name as db_name, '_DB_' || n_name || '_' || r.role || '_AR' as grantee_name
-  from {{nation}} cross join {_ROLES4_DB} r""",
+    "future_grants_db": """
+select n_name as db_name, '_DB_' || n_name || '_' || r.role || '_AR' as grantee_name,
+       case when n_nationkey % 4 = 1 then 'INSERT' else 'SELECT' end as privilege, 'TABLES' as kind
+  from {nation} {each_db}""",
     "grants_to_roles": """
 select 'WH_' || cast(s_suppkey as string) as name,
        case when s_suppkey % 5 = 2 then 'TABLE' else 'WAREHOUSE' end as granted_on,
        case when s_suppkey % 7 = 3 then timestamp '2024-01-01 00:00:00' else null end
          as deleted_on,
-       '_WH_WH_' || cast(s_suppkey as string) || '_' || r.role || '_AR' as grantee_name
-  from {supplier}
-  cross join (select 'ADM' as role union all select 'MOD' union all select 'MON'
-              union all select 'USE') r""",
+       '_WH_WH_' || cast(s_suppkey as string) || '_' || r.role || '_AR' as grantee_name,
+       case r.role when 'OWN' then 'ALL' when 'TUN' then 'MODIFY' when 'WAT' then 'USAGE' else 'OPERATE' end as privilege
+  from {supplier} {each_wh}""",
     "roles": """
 select 'TEAM_' || cast(n_nationkey as string)
          || case when n_nationkey % 3 = 0 then '_AR' else '_FR' end as name,
@@ -164,19 +181,19 @@ select n_name as database_name,
     "role_spec_all": """
 select 'TEAM_' || cast(n_nationkey as string) || '_FR' as role_name, 'INCLUDE' as rule,
        'SCHEMA' as obj_type, n_name as db_pattern, 'SC_1%' as sc_pattern,
-       cast(null as string) as wh_pattern, cast(null as string) as role_pattern, 'RO' as role_type
+       cast(null as string) as wh_pattern, cast(null as string) as role_pattern, 'VEW' as role_type
   from {nation}
 union all
 select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'EXCLUDE', 'SCHEMA', n_name, '%7', null, null, null
   from {nation}
 union all
 select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'INCLUDE', 'DATABASE', n_name, null, null, null,
-       case when n_nationkey % 5 = 0 then 'XX' else 'RX' end
+       case when n_nationkey % 5 = 0 then 'XX' else 'RUN' end
   from {nation}
 union all
 select 'TEAM_' || cast(s_suppkey % 30 as string) || '_FR', 'INCLUDE', 'WAREHOUSE', null, null,
        'WH_' || cast(s_suppkey as string), null,
-       case when s_suppkey % 4 = 0 then 'MON' else 'USE' end
+       case when s_suppkey % 4 = 0 then 'WAT' else 'OPR' end
   from {supplier}
 union all
 select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'EXCLUDE', 'WAREHOUSE', null, null,
@@ -192,26 +209,25 @@ select 'TEAM_' || cast(c_custkey % 25 as string) || '_FR' as role_name,
        case when c_custkey % 3 = 0 then 'CUSTOM_EXCLUDE' else 'CUSTOM_INCLUDE' end as rule,
        case when c_custkey % 5 = 0 then 'TEAM_' || cast(c_custkey % 9 as string) || '_FR'
             when c_custkey % 5 = 1 then 'LOOSE_' || cast(c_custkey as string)
-            else '_SC_' || n_name || '_SC_' || cast(c_custkey as string) || '_RW_AR' end
+            else '_SC_' || n_name || '_SC_' || cast(c_custkey as string) || '_EDT_AR' end
          as role_ref
   from {customer} join {nation} on c_nationkey = n_nationkey""",
     # --- privilege model ----------------------------------------------------
-    "privilege_model": """
-select 'DATABASE' as obj_type, '_DB_' as ar_prefix, 0 as pos, 'ADM' as role,
-       'ALL' as privilege, 'DATABASE' as kind
-union all select 'DATABASE', '_DB_', 1, 'RW', 'MODIFY', null
-union all select 'DATABASE', '_DB_', 2, 'RX', 'USAGE', null
-union all select 'DATABASE', '_DB_', 3, 'RO', 'USAGE,MONITOR', 'DATABASE'
-union all select 'SCHEMA', '_SC_', 0, 'ADM', 'ALL', null
-union all select 'SCHEMA', '_SC_', 1, 'RW', 'ALL', 'TABLES'
-union all select 'SCHEMA', '_SC_', 1, 'RW', 'ALL', 'EXTERNAL TABLES'
-union all select 'SCHEMA', '_SC_', 1, 'RW', 'ALL', 'VIEWS'
-union all select 'SCHEMA', '_SC_', 2, 'RX', 'READ, WRITE', 'STAGES'
-union all select 'SCHEMA', '_SC_', 3, 'RO', 'SELECT', 'TABLES'
-union all select 'WAREHOUSE', '_WH_', 0, 'ADM', 'ALL', 'WAREHOUSE'
-union all select 'WAREHOUSE', '_WH_', 1, 'MOD', 'MODIFY', 'WAREHOUSE'
-union all select 'WAREHOUSE', '_WH_', 2, 'MON', 'MONITOR', 'WAREHOUSE'
-union all select 'WAREHOUSE', '_WH_', 3, 'USE', 'USAGE, OPERATE', 'WAREHOUSE'""",
+    # Three object types with owners of their own; every schema kind is named.
+    # RUN has no direct privileges at schema level.
+    "privilege_model": _model_sql([
+        ("DATABASE", "_DB_", "DB_KEEPER", LEVELS["db"], {
+            "OWN": {"ALL": ["DATABASE"]}, "EDT": {"CREATE SCHEMA": ["DATABASE"]},
+            "RUN": {"USAGE": ["DATABASE"]}, "VEW": {"MONITOR": ["DATABASE"], "SELECT": ["TABLES"]}}),
+        ("SCHEMA", "_SC_", "SC_KEEPER", LEVELS["db"], {
+            "OWN": {"ALL": ["STAGES", "TASKS", "PIPES"]},
+            "EDT": {"ALL": ["TABLES", "EXTERNAL TABLES", "SEQUENCES", "STREAMS", "PROCEDURES"]},
+            "RUN": {},
+            "VEW": {"ALL": ["VIEWS", "MATERIALIZED VIEWS", "FILE FORMATS", "FUNCTIONS"], "SELECT": ["TABLES"]}}),
+        ("WAREHOUSE", "_WH_", "WH_KEEPER", LEVELS["wh"], {
+            "OWN": {"ALL": ["WAREHOUSE"]}, "TUN": {"MODIFY": ["WAREHOUSE"]}, "WAT": {"MONITOR": ["WAREHOUSE"]},
+            "OPR": {"OPERATE": ["WAREHOUSE"], "USAGE": ["WAREHOUSE"]}}),
+    ]),
     # Objects the model is expanded over: one database per nation, one schema
     # per customer (the live schemata above).
     "model_objects": """
@@ -274,15 +290,27 @@ select p_partkey as id,
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
+def _each(levels: tuple[str, ...], spark: bool) -> str:
+    """One row per level beside every row, as r(role): a generator, no join, in Spark."""
+    values = ", ".join(f"'{x}'" for x in levels)
+    return f"lateral view explode(array({values})) r as role" if spark else f"cross join (select unnest([{values}]) as role) r"
+
+
+def _text(name: str, spark: bool) -> str:
+    sql = FIXTURE_SQL[name]
+    for kind, levels in LEVELS.items():
+        sql = sql.replace(f"{{each_{kind}}}", _each(levels, spark))
+    return sql
+
+
 def fixture_tables(name: str) -> list[str]:
-    return sorted(set(_PLACEHOLDER.findall(FIXTURE_SQL[name])))
+    return sorted(set(_PLACEHOLDER.findall(_text(name, True))))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named fixture as a lazy DataFrame over the parquet tables in sf_dir."""
-    sql = FIXTURE_SQL[name]
     tables = {t: read_table(spark, sf_dir, t) for t in fixture_tables(name)}
-    return spark.sql(sql, **tables)
+    return spark.sql(_text(name, True), **tables)
 
 
 def fixtures(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -291,8 +319,5 @@ def fixtures(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def oracle_cte(*names: str) -> str:
     """`with a as (...), b as (...)` over the pre-registered base-table views."""
-    parts = []
-    for n in names:
-        sql = FIXTURE_SQL[n].format(**{t: t for t in BASE_TABLES})
-        parts.append(f"{n} as ({sql.strip()})")
+    parts = [f"{n} as ({_text(n, False).format(**{t: t for t in BASE_TABLES}).strip()})" for n in names]
     return "with " + ",\n".join(parts)
