@@ -34,10 +34,9 @@ def tieout_target(spark: SparkSession, validations: Sequence[Validation],
     touts = [Tieout(resolve(v.from_tbl), resolve(v.to_tbl), list(v.key), name=v.name, from_tbl=v.from_tbl,
                     to_tbl=v.to_tbl, ignore_cols=v.ignore_cols, **options) for v in validations]
     base = os.path.join(output_root, prefix)
-    paths = sinks.write_tieouts(spark, touts, base)
-    overview = spark.read.parquet(paths["1_OVERVIEW"])
-    summary = spark.read.parquet(paths["2_COLUMNS_SUMMARY"])
-    detail = spark.read.parquet(paths["3_COLUMNS_DETAIL"])
+    frames = sinks.write_tieout_frames(spark, touts, base)
+    paths = {k: os.path.join(base, k) for k in frames}
+    overview, summary, detail = (frames[k] for k in ("1_OVERVIEW", "2_COLUMNS_SUMMARY", "3_COLUMNS_DETAIL"))
     sum_col = reports.sum_column(overview, summary)
     outs = {
         "5_SUM_OVERVIEW": reports.sum_overview(overview),
@@ -60,50 +59,83 @@ def tieout_from_yaml(spark: SparkSession, yaml_paths: Sequence[str], target: str
 
 
 def refresh_copies(tables: DataFrame, metrics: DataFrame, from_db: str, from_sc: str, to_db: str, to_sc: str,
-                   read: Callable[[str, str], DataFrame] | None = None,
-                   write: Callable[[DataFrame, str, str], None] | None = None,
-                   dry_run: bool = True, scope: str = "target", max_parallel: int = 4):
+                   data_path: str | None = None, dry_run: bool = True, scope: str = "target"):
     """Plan the refresh of drifted copies; unless ``dry_run``, rewrite them.
 
-    Returns (plan DataFrame, list of rewritten tables). The decision runs on
-    the catalog frames only; table data is touched only for REFRESH rows.
+    Returns (plan, data): the plan, and after a refresh the dataset as it now is.
+    ``data_path`` holds all tables as partitions (db_sc, table_name) of one dataset;
+    every refreshed copy is replaced in one job, and a copy whose source is empty
+    comes out empty.
     """
     plan = drift.refresh_plan(tables, metrics, from_db, from_sc, to_db, to_sc, scope)
     if dry_run:
-        return plan, []
-    if read is None or write is None:
-        raise ValueError("read and write are needed unless dry_run")
-    return plan, drift.refresh_apply(plan, read, write, max_parallel)
+        return plan, None
+    if data_path is None:
+        raise ValueError("data_path is needed unless dry_run")
+    return plan, drift.refresh_dataset(plan, data_path)
+
+
+def first_copy(tables: DataFrame, metrics: DataFrame, from_db: str, from_sc: str, to_db: str, to_sc: str,
+               data_path: str, delete_existing: bool = False) -> DataFrame:
+    """Copy every eligible table of a schema for the first time; refuses when a name
+    is taken in the target, unless ``delete_existing``. The dataset as it now is."""
+    plan = drift.first_copy_plan(tables, metrics, from_db, from_sc, to_db, to_sc, delete_existing)
+    taken = [r.table_name for r in plan.where("collision").select("table_name").limit(10).collect()]
+    if taken and not delete_existing:
+        raise ValueError(f"tables exist in {to_db}.{to_sc} already: {', '.join(taken)}")
+    todo = plan.select(F.col("source_db_sc").alias("src_db_sc"), F.col("target_db_sc").alias("clone_db_sc"),
+                       "table_name", F.lit("REFRESH").alias("action"))
+    return drift.refresh_dataset(todo, data_path)
+
+
+def remove_copies(tables: DataFrame, metrics: DataFrame, from_db: str, from_sc: str, to_db: str, to_sc: str,
+                  data_path: str) -> DataFrame:
+    """Drop every copy in the target that descends from the source. The dataset as it now is."""
+    return drift.drop_tables(drift.removal_plan(tables, metrics, from_db, from_sc, to_db, to_sc), data_path)
+
+
+VERSIONS = "version string, manifest string"
 
 
 def export_snapshot(spark: SparkSession, objects: DataFrame, manifest: DataFrame, output_root: str,
                     run_ts: Column | None = None, delete: bool = False,
                     scope: DataFrame | None = None) -> dict[str, str]:
-    """Write content for new and changed objects, then the next manifest.
+    """Store the content of new and changed objects, then the next manifest.
 
-    The manifest is written aside under a new version folder and only then
-    named as current (``_CURRENT`` text file), so an interrupted run leaves
-    the previous manifest in force.
+    Content is added as a version of its own; the manifest says for each file
+    which version holds it, so unchanged files stay where they are. The manifest
+    is written aside and named last, by one appended row: the newest named one
+    counts, so an interrupted run leaves the previous one in force.
     """
     run_ts = run_ts if run_ts is not None else F.current_timestamp().cast("timestamp_ntz")
-    changes = snapshot.changes(objects, manifest, delete=delete, scope=scope)
-    changes_path = sinks.write_table(changes, os.path.join(output_root, "changes"))
-    written = spark.read.parquet(changes_path)
-    todo = written.filter(F.col("status").isin("NEW", "CHANGED"))
-    content_path = sinks.write_snapshot(snapshot.content(snapshot.in_scope(objects, scope), todo),
-                                        os.path.join(output_root, "content"))
-    nxt = snapshot.next_manifest(written, run_ts, delete=delete)
-    version = os.path.join(output_root, "manifest", f"v{time.strftime('%Y%m%d%H%M%S')}_{uuid.uuid4().hex[:8]}")
-    sinks.write_table(nxt, version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(output_root, "manifest", "_CURRENT"))
-    return {"changes": changes_path, "content": content_path, "manifest": version}
+    version = f"v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    changed = sinks.write_and_read(snapshot.changes(objects, manifest, delete=delete, scope=scope),
+                                   os.path.join(output_root, "changes", version))
+    todo = changed.filter(F.col("status").isin("NEW", "CHANGED"))
+    content_path = os.path.join(output_root, "content")
+    sinks.write_snapshot(snapshot.content_parts(snapshot.in_scope(objects, scope), todo), content_path, version)
+    following = snapshot.next_manifest(changed, run_ts, version)
+    if scope is not None:  # what lies outside the scope stays listed as it was
+        outside = manifest.join(scope.select("db_nm", "sc_nm"), ["db_nm", "sc_nm"], "left_anti")
+        following = following.unionByName(outside, allowMissingColumns=True)
+    path = os.path.join(output_root, "manifest", version)
+    sinks.write_table(following, path)
+    spark.createDataFrame([(version, path)], VERSIONS).coalesce(1).write.mode("append").json(
+        os.path.join(output_root, "versions"))
+    return {"changes": os.path.join(output_root, "changes", version), "content": content_path, "manifest": path}
 
 
 def current_manifest(spark: SparkSession, output_root: str) -> DataFrame:
     """The manifest the last completed :func:`export_snapshot` run named."""
-    path = spark.read.text(os.path.join(output_root, "manifest", "_CURRENT")).first()[0]
-    return spark.read.parquet(path)
+    named = spark.read.schema(VERSIONS).json(os.path.join(output_root, "versions"))
+    return spark.read.parquet(named.agg(F.max_by("manifest", "version")).first()[0])
+
+
+def current_content(spark: SparkSession, output_root: str) -> DataFrame:
+    """(db_nm, sc_nm, file_nm, content, n_parts) of every file the current manifest lists."""
+    parts = sinks.read_snapshot(spark, os.path.join(output_root, "content"))
+    listed = current_manifest(spark, output_root).select(*snapshot.KEYS, "version")
+    return snapshot.file_text(parts.join(listed, [*snapshot.KEYS, "version"], "left_semi"))
 
 
 def materialise_grants(spark: SparkSession, raw_db: DataFrame, databases: DataFrame, raw_sc: DataFrame,

@@ -12,8 +12,11 @@ Inputs (one row per grant / role / rule):
 * ``custom(role_name, rule, role_ref)`` — CUSTOM_INCLUDE / CUSTOM_EXCLUDE entries.
 
 Patterns are SQL LIKE patterns (``_`` is a wildcard too, also inside the
-``_SC_`` prefix). Resolution is one theta join per object kind against the
-broadcast spec (size-checked), not one query per pattern.
+``_SC_`` prefix). They are resolved against the distinct object names by an
+equi-join: a pattern is looked up under its literal text if it has no wildcard,
+else under its literal beginning, else under its literal end, and LIKE runs on
+what meets there. Includes and excludes of all object kinds go through the same
+three joins; only a pattern that begins and ends with a wildcard meets all names.
 """
 
 from __future__ import annotations
@@ -28,18 +31,8 @@ AR_PREFIX = {"DATABASE": "_DB_", "SCHEMA": "_SC_", "WAREHOUSE": "_WH_"}
 AR_SUFFIX = r"_(\w{2,3})_AR$"
 FR_SUFFIX = r"_FR$"
 
-# A spec is a configuration document; beyond this many rules the broadcast
-# theta join is refused instead of silently broadcasting something large.
-MAX_BROADCAST_RULES = 200_000
-
-
-def _checked_broadcast(spec: DataFrame, limit: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Broadcast ``spec`` after proving it has at most ``limit`` rows (the
-    count stops at ``limit + 1``, so a huge spec is not scanned to the end)."""
-    if spec.limit(limit + 1).count() > limit:
-        raise ValueError(f"role spec has more than {limit} rules, too many to broadcast "
-                         "for pattern resolution — split the spec by role and resolve in parts")
-    return F.broadcast(spec)
+# Letters of a pattern's literal beginning or end that are used for the lookup.
+LOOKUP = 32
 
 
 # --- A1-A3: materialised grant tables ---------------------------------------
@@ -87,43 +80,62 @@ def functional_roles(roles: DataFrame) -> DataFrame:
 
 
 # --- A4-A7: resolve rules to granted names ------------------------------------
-def _grantee_like(obj_type: str) -> Column:
-    """grantee_name LIKE '<prefix>%_<role>_AR' (wildcards as in the reference)."""
-    return F.expr(f"g.grantee_name like concat('{AR_PREFIX[obj_type]}%_', s.role_type, '_AR')")
+def pattern_token(pattern: Column) -> Column:
+    """The lookup key of a LIKE pattern."""
+    start = F.left(F.regexp_extract(pattern, r"\A([^%_]*)", 1), F.lit(LOOKUP))
+    end = F.right(F.regexp_extract(pattern, r"([^%_]*)\z", 1), F.lit(LOOKUP))
+    return (F.when(~pattern.rlike("[%_]"), F.concat(F.lit("="), pattern))
+            .when(start != "", F.concat(F.lit("<"), start))
+            .when(end != "", F.concat(F.lit(">"), end))
+            .otherwise(F.lit("*")))
 
 
-def resolve_rules(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
-                  wh_grants: DataFrame, roles: DataFrame, rule: str, checked: bool = False) -> DataFrame:
-    """``(role_name, kind, granted_name)`` matched by INCLUDE or EXCLUDE rules.
+def name_tokens(name: Column) -> Column:
+    """Every key under which a pattern that matches ``name`` can be looked up."""
+    lengths = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.least(F.length(name), F.lit(LOOKUP)))).otherwise(
+        F.array().cast("array<int>"))
+    return F.concat(F.array(F.concat(F.lit("="), name), F.lit("*")),
+                    F.transform(lengths, lambda n: F.concat(F.lit("<"), F.left(name, n))),
+                    F.transform(lengths, lambda n: F.concat(F.lit(">"), F.right(name, n))))
+
+
+def resolved(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame, wh_grants: DataFrame,
+             roles: DataFrame) -> DataFrame:
+    """``(role_name, rule, kind, granted_name)`` matched by INCLUDE and EXCLUDE rules.
 
     INCLUDE also requires the grantee to be an access role of the rule's level;
     EXCLUDE does not, so it removes every level of the matched object.
     kind is AR for access roles, FR for roles matched by ROLE rules.
     """
-    # One broadcast of the whole spec, reused by every join below; the cheap
-    # equalities come first in each condition so LIKE only runs on rules of
-    # the right rule and kind.
-    s = (F.broadcast(spec) if checked else _checked_broadcast(spec)).alias("s")
-    include = rule == "INCLUDE"
-    parts = []
-    conds = {
-        "DATABASE": (db_grants, "g.db_name like s.db_pattern"),
-        "SCHEMA": (sc_grants, "g.db_name like s.db_pattern and g.sc_name like s.sc_pattern"),
-        "WAREHOUSE": (wh_grants, "g.wh_name like s.wh_pattern"),
-    }
-    for obj_type, (grants, cond) in conds.items():
-        c = (F.col("s.rule") == rule) & (F.col("s.obj_type") == obj_type) & F.expr(cond)
-        if include:
-            c = c & _grantee_like(obj_type)
-        parts.append(grants.select("*").alias("g").join(s, c, "inner")
-                     .select(F.col("s.role_name").alias("role_name"), F.lit("AR").alias("kind"),
-                             F.col("g.grantee_name").alias("granted_name")))
-    r = live_roles(roles).alias("g")
-    c = (F.col("s.rule") == rule) & (F.col("s.obj_type") == "ROLE") & F.expr("g.name like s.role_pattern")
-    parts.append(r.join(s, c, "inner")
-                 .select(F.col("s.role_name").alias("role_name"), F.lit("FR").alias("kind"),
-                         F.col("g.name").alias("granted_name")))
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    def things(df: DataFrame, obj_type: str, name: Column, part: Column, granted: Column) -> DataFrame:
+        return df.select(F.lit(obj_type).alias("obj_type"), name.alias("name"), part.alias("part"), granted.alias("granted_name"))
+
+    none = F.lit(None).cast("string")
+    granted = reduce(lambda a, b: a.unionByName(b), [
+        things(db_grants, "DATABASE", F.col("db_name"), none, F.col("grantee_name")),
+        things(sc_grants, "SCHEMA", F.col("db_name"), F.col("sc_name"), F.col("grantee_name")),
+        things(wh_grants, "WAREHOUSE", F.col("wh_name"), none, F.col("grantee_name")),
+        things(live_roles(roles), "ROLE", F.col("name"), none, F.col("name"))]).distinct()
+    of_type = (F.when(F.col("obj_type").isin("DATABASE", "SCHEMA"), F.col("db_pattern"))
+               .when(F.col("obj_type") == "WAREHOUSE", F.col("wh_pattern")).when(F.col("obj_type") == "ROLE", F.col("role_pattern")))
+    rules = spec.select("role_name", "rule", "obj_type", of_type.alias("pattern"), "sc_pattern", "role_type").where(
+        "pattern is not null")
+    patterns = rules.select("obj_type", "pattern").distinct().withColumn("token", pattern_token(F.col("pattern")))
+    names = granted.select("obj_type", "name").distinct().withColumn("token", F.explode(name_tokens(F.col("name"))))
+    matches = patterns.join(names, ["obj_type", "token"]).where("name like pattern").select("obj_type", "pattern", "name")
+    prefix = F.create_map(*[x for k, v in AR_PREFIX.items() for x in (F.lit(k), F.lit(v))])
+    level = F.concat(F.try_element_at(prefix, F.col("obj_type")), F.lit("%_"), "role_type", F.lit("_AR"))
+    whole = (F.col("obj_type") != "SCHEMA") | F.like("part", F.col("sc_pattern"))
+    due = (F.col("rule") != "INCLUDE") | (F.col("obj_type") == "ROLE") | F.like("granted_name", level)
+    return (rules.join(matches, ["obj_type", "pattern"]).join(granted, ["obj_type", "name"]).where(whole & due)
+            .select("role_name", "rule", F.when(F.col("obj_type") == "ROLE", "FR").otherwise("AR").alias("kind"), "granted_name")
+            .distinct())
+
+
+def resolve_rules(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame,
+                  wh_grants: DataFrame, roles: DataFrame, rule: str) -> DataFrame:
+    """``(role_name, kind, granted_name)`` matched by the INCLUDE or EXCLUDE rules."""
+    return resolved(spec.where(F.col("rule") == rule), db_grants, sc_grants, wh_grants, roles).drop("rule")
 
 
 def custom_rules(custom: DataFrame, rule: str) -> DataFrame:
@@ -135,15 +147,23 @@ def custom_rules(custom: DataFrame, rule: str) -> DataFrame:
             .filter(F.col("kind").isNotNull()))
 
 
+GRANT_KEYS = ["role_name", "kind", "granted_name"]
+
+
+def _flagged(spec, db_grants, sc_grants, wh_grants, roles, custom=None) -> DataFrame:
+    """Rows (role_name, kind, granted_name, inc, exc) of all rules and custom lists."""
+    rows = resolved(spec, db_grants, sc_grants, wh_grants, roles)
+    if custom is not None:
+        for rule in ("INCLUDE", "EXCLUDE"):
+            rows = rows.unionByName(custom_rules(custom, rule).withColumn("rule", F.lit(rule)))
+    return rows.select(*GRANT_KEYS, (F.col("rule") == "INCLUDE").alias("inc"), (F.col("rule") == "EXCLUDE").alias("exc"))
+
+
 def wanted(spec, db_grants, sc_grants, wh_grants, roles, custom=None) -> DataFrame:
     """(include ∪ custom include) − (exclude ∪ custom exclude), per kind."""
-    _checked_broadcast(spec)
-    inc = resolve_rules(spec, db_grants, sc_grants, wh_grants, roles, "INCLUDE", checked=True)
-    exc = resolve_rules(spec, db_grants, sc_grants, wh_grants, roles, "EXCLUDE", checked=True)
-    if custom is not None:
-        inc = inc.unionByName(custom_rules(custom, "INCLUDE"))
-        exc = exc.unionByName(custom_rules(custom, "EXCLUDE"))
-    return inc.distinct().join(exc, ["role_name", "kind", "granted_name"], "left_anti")
+    rows = _flagged(spec, db_grants, sc_grants, wh_grants, roles, custom)
+    return rows.groupBy(*GRANT_KEYS).agg(F.bool_or("inc").alias("inc"), F.bool_or("exc").alias("exc")).where(
+        "inc and not exc").select(*GRANT_KEYS)
 
 
 def existing(role_grants: DataFrame, spec_roles: DataFrame | None = None) -> DataFrame:
@@ -177,15 +197,17 @@ def missing_roles(roles_in_spec: DataFrame, role_grants: DataFrame) -> DataFrame
 
 
 def role_delta(spec, db_grants, sc_grants, wh_grants, roles, role_grants, custom=None) -> DataFrame:
-    """GRANT (wanted − existing), REVOKE (existing − wanted), CREATE (no grants)."""
-    want = wanted(spec, db_grants, sc_grants, wh_grants, roles, custom)
-    sr = spec_roles(spec, custom)
-    have = existing(role_grants, sr).distinct()
-    keys = ["role_name", "kind", "granted_name"]
-    add = want.join(have, keys, "left_anti").withColumn("action", F.lit("GRANT"))
-    rem = have.join(want, keys, "left_anti").withColumn("action", F.lit("REVOKE"))
-    return (add.unionByName(rem).unionByName(missing_roles(sr, role_grants))
-            .select("role_name", "action", "kind", "granted_name"))
+    """GRANT (wanted − existing), REVOKE (existing − wanted), CREATE (no grants).
+
+    Rules, custom lists and present grants meet in one grouping."""
+    no, sr = F.lit(False), spec_roles(spec, custom)
+    due = _flagged(spec, db_grants, sc_grants, wh_grants, roles, custom).withColumn("held", no)
+    have = existing(role_grants, sr).select(*GRANT_KEYS, no.alias("inc"), no.alias("exc"), F.lit(True).alias("held"))
+    both = due.unionByName(have).groupBy(*GRANT_KEYS).agg(*[F.bool_or(x).alias(x) for x in ("inc", "exc", "held")])
+    want = F.col("inc") & ~F.col("exc")
+    action = F.when(want & ~F.col("held"), "GRANT").when(~want & F.col("held"), "REVOKE")
+    return (both.withColumn("action", action).where("action is not null").select("role_name", "action", "kind", "granted_name")
+            .unionByName(missing_roles(sr, role_grants)))
 
 
 # --- A15-A20: reverse a spec from present grants -------------------------------
@@ -254,11 +276,11 @@ def lint_spec(spec: DataFrame, hierarchy: DataFrame) -> DataFrame:
     ``hierarchy(obj_type, role)`` lists the levels of each object type.
     """
     levels = hierarchy.select(F.col("obj_type").alias("h_type"), F.col("role").alias("h_role")).distinct()
-    s = spec.join(F.broadcast(levels),
+    s = spec.join(levels,
                   (spec["obj_type"] == levels["h_type"]) & (spec["role_type"] == levels["h_role"]), "left")
     inc = F.col("rule") == "INCLUDE"
     checks = [
-        (~F.col("obj_type").isin("DATABASE", "SCHEMA", "WAREHOUSE"), "invalid TYPE"),
+        (F.col("obj_type").isNull() | ~F.col("obj_type").isin("DATABASE", "SCHEMA", "WAREHOUSE"), "invalid TYPE"),
         (inc & F.col("role_type").isNull(), "missing ROLE"),
         (inc & F.col("obj_type").isin("DATABASE", "SCHEMA", "WAREHOUSE") & F.col("role_type").isNotNull()
          & F.col("h_role").isNull(), "ROLE not in hierarchy"),
@@ -277,7 +299,8 @@ SPEC_LIST_KEYS = ("INCLUDE", "EXCLUDE", "CUSTOM_INCLUDE", "CUSTOM_EXCLUDE", "SCI
 
 
 def lint_spec_documents(docs: DataFrame) -> DataFrame:
-    """A21, document level: per role, missing keys and keys that are not lists.
+    """A21, document level: per role, missing keys, keys that are not lists and
+    rules that are not objects.
 
     ``docs(doc STRING)`` holds role-spec JSON documents. Each role entry is
     parsed as key → raw JSON text, so a wrong shape is reported instead of
@@ -287,4 +310,18 @@ def lint_spec_documents(docs: DataFrame) -> DataFrame:
     checks = [F.when(~F.map_contains_key("entry", k), F.lit(f"missing {k}")) for k in SPEC_KEYS]
     checks += [F.when(F.map_contains_key("entry", k) & ~F.ltrim(F.col("entry")[k]).startswith("["),
                       F.lit(f"{k} is not a list")) for k in SPEC_LIST_KEYS]
+    for k in ("INCLUDE", "EXCLUDE"):
+        rules = F.from_json(F.try_element_at(F.col("entry"), F.lit(k)), "array<string>")
+        checks.append(F.when(F.exists(rules, lambda x: ~F.ltrim(x).startswith("{")), F.lit(f"{k} holds an entry that is no object")))
     return (roles.select("role_name", F.explode(F.array_compact(F.array(*checks))).alias("violation")))
+
+
+def lint_hierarchies(model: DataFrame) -> DataFrame:
+    """Databases and schemas must have the same levels in the same order, since
+    schema roles are granted to the database role of their level. One row per level
+    that differs: pos, db_role, sc_role."""
+    def of(obj_type: str, name: str) -> DataFrame:
+        return model.where(F.col("obj_type") == obj_type).select("pos", F.col("role").alias(name)).distinct()
+
+    return of("DATABASE", "db_role").join(of("SCHEMA", "sc_role"), "pos", "full_outer").where(
+        ~F.col("db_role").eqNullSafe(F.col("sc_role")))

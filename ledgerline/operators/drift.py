@@ -9,15 +9,16 @@ Inputs are catalog frames, one row per table:
   stored as a parent pointer (``id == clone_group_id`` means an original).
 
 Everything is joins and column expressions on these frames; the data of the
-tables themselves is only touched by :func:`refresh_apply`.
+tables themselves is only touched by :func:`refresh_dataset` and :func:`drop_tables`.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from typing import Callable
+import os
+import time
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAME_COLS = ["table_catalog", "table_schema", "table_name"]
@@ -170,27 +171,6 @@ def removal_plan(tables: DataFrame, metrics: DataFrame, from_db: str, from_sc: s
             .select("clone_db_sc", "src_db_sc", "table_name", F.lit("DROP").alias("action")))
 
 
-def refresh_apply(plan: DataFrame, read: Callable[[str, str], DataFrame],
-                  write: Callable[[DataFrame, str, str], None], max_parallel: int = 4) -> list[str]:
-    """Rewrite every copy the plan marks REFRESH from its source.
-
-    The plan is catalog-sized (one row per drifted table), so it is collected;
-    each copy is then a full distributed rewrite ``write(read(src), clone)``.
-    Tables are independent, so a small driver thread pool runs several at once.
-    """
-    todo = [(r["src_db_sc"], r["clone_db_sc"], r["table_name"])
-            for r in plan.filter(F.col("action") == "REFRESH")
-            .select("src_db_sc", "clone_db_sc", "table_name").collect()]
-
-    def one(item):
-        src, dst, name = item
-        write(read(src, name), dst, name)
-        return f"{dst}.{name}"
-
-    with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
-        return list(pool.map(one, todo))
-
-
 def refresh_rows(plan: DataFrame, data: DataFrame, db_sc_col: str = "db_sc",
                  table_col: str = "table_name") -> DataFrame:
     """C10 for tables kept as partitions of one dataset ``(db_sc, table_name, ...)``:
@@ -206,8 +186,33 @@ def refresh_rows(plan: DataFrame, data: DataFrame, db_sc_col: str = "db_sc",
     return rows.select(F.col("_dst").alias(db_sc_col), *cols)
 
 
-def write_refreshed(rows: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> None:
-    """Replace only the refreshed copies' partitions (dynamic partition overwrite);
-    every other table in the dataset is left as it is."""
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(db_sc_col, table_col).parquet(path))
+def refresh_dataset(plan: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> DataFrame:
+    """C10 applied to a dataset of versions under ``path`` (see :func:`current_dataset`):
+    a new version holds every other table as it was and each refreshed copy with its
+    source's rows, so a copy of an emptied source is empty. Named last."""
+    data = current_dataset(plan.sparkSession, path)
+    gone = plan.filter(F.col("action") == "REFRESH").select(
+        F.col("clone_db_sc").alias(db_sc_col), F.col("table_name").alias(table_col)).distinct()
+    kept = data.join(gone, [db_sc_col, table_col], "left_anti")
+    return new_dataset(kept.unionByName(refresh_rows(plan, data, db_sc_col, table_col)), path)
+
+
+def drop_tables(plan: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> DataFrame:
+    """C12 applied: a new version without the tables the plan drops."""
+    gone = plan.select(F.col("clone_db_sc").alias(db_sc_col), F.col("table_name").alias(table_col)).distinct()
+    return new_dataset(current_dataset(plan.sparkSession, path).join(gone, [db_sc_col, table_col], "left_anti"), path)
+
+
+def new_dataset(data: DataFrame, path: str) -> DataFrame:
+    """Write ``data`` as a new version under ``path`` and name it the current one."""
+    version = f"v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    where = os.path.join(path, version)
+    data.write.parquet(where)
+    data.sparkSession.createDataFrame([(version, where)], "version string, path string").coalesce(1).write.mode(
+        "append").json(os.path.join(path, "_versions"))
+    return data.sparkSession.read.schema(data.schema).parquet(where)
+
+
+def current_dataset(spark: SparkSession, path: str) -> DataFrame:
+    named = spark.read.schema("version string, path string").json(os.path.join(path, "_versions"))
+    return spark.read.parquet(named.agg(F.max_by("path", "version")).first()[0])

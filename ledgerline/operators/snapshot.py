@@ -4,9 +4,9 @@ since the last snapshot, and the content to write for them.
 The reference walks a local directory and fetches object source one by one.
 Here the previous run's manifest is a table ``(db_nm, sc_nm, file_nm,
 file_last_modified)`` and object source is a ``ddl`` column, so the whole
-decision is one aggregation, one full outer join and one grouped
-concatenation. Snapshot content is one *row* per file (``K7``; per part for a
-file with very many overloads), written partitioned by database and schema.
+decision is one aggregation and one full outer join. Stored content (``K7``) is
+one row per overload, in signature order, whatever their number; a file's text
+is the concatenation of its rows.
 """
 
 from __future__ import annotations
@@ -90,81 +90,83 @@ def with_overload_time(objects: DataFrame) -> DataFrame:
 
 
 def extension(obj_type: Column) -> Column:
-    """E3."""
+    """E3; a type without a fixed extension gets its own name as one, so that its
+    files are written and found again like any other."""
     m = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))])
-    return m[obj_type]
+    return F.coalesce(F.try_element_at(m, obj_type), F.concat(F.lit("."), F.lower(F.replace(obj_type, F.lit(" "), F.lit("_")))))
 
 
 def in_scope(objects: DataFrame, scope: DataFrame | None) -> DataFrame:
     """Restrict to the schemas in ``scope(db_nm, sc_nm)`` (None = all)."""
     if scope is None:
         return objects
-    return objects.join(F.broadcast(scope.select("db_nm", "sc_nm").distinct()), ["db_nm", "sc_nm"], "left_semi")
+    return objects.join(scope.select("db_nm", "sc_nm"), ["db_nm", "sc_nm"], "left_semi")
 
 
 def object_files(objects: DataFrame) -> DataFrame:
-    """One row per file: (db_nm, sc_nm, file_nm, obj_type, obj_name, obj_last_altered)."""
+    """One row per file: (db_nm, sc_nm, file_nm, obj_type, obj_name, obj_last_altered,
+    no_source). no_source: the source text of an overload could not be fetched."""
+    missing = F.col("ddl").isNull() if "ddl" in objects.columns else F.lit(False)
     return (objects.groupBy("db_nm", "sc_nm", "obj_type", "obj_name")
-            .agg(F.max("last_altered").alias("obj_last_altered"))
+            .agg(F.max("last_altered").alias("obj_last_altered"), F.max(missing).alias("no_source"))
             .withColumn("file_nm", F.concat(F.col("obj_name"), extension(F.col("obj_type")))))
 
 
+KEYS = ["db_nm", "sc_nm", "file_nm"]
+
+
 def changes(objects: DataFrame, manifest: DataFrame, delete: bool = False,
             scope: DataFrame | None = None) -> DataFrame:
-    """E4 + E5: per file NEW, CHANGED, NO_CHANGE, or NOT_SEEN / DELETE.
+    """E4 + E5: per file NEW, CHANGED, NO_CHANGE, ERROR, or NOT_SEEN / DELETE.
 
     NO_CHANGE when the file is at least as new as the object's latest change;
-    a NULL change time never counts as unchanged.
+    a NULL change time never counts as unchanged. ERROR when the file should be
+    written but its source is missing: what was stored before stays.
     """
     files = object_files(in_scope(objects, scope)).alias("o")
     man = in_scope(manifest, scope).alias("m")
-    keys = ["db_nm", "sc_nm", "file_nm"]
-    j = files.join(man, keys, "full_outer")
+    j = files.join(man, KEYS, "full_outer")
     status = (F.when(F.col("obj_name").isNull(), F.lit("DELETE" if delete else "NOT_SEEN"))
-              .when(F.col("file_last_modified").isNull(), F.lit("NEW"))
               .when(F.col("file_last_modified") >= F.col("obj_last_altered"), F.lit("NO_CHANGE"))
+              .when(F.col("no_source"), F.lit("ERROR"))
+              .when(F.col("file_last_modified").isNull(), F.lit("NEW"))
               .otherwise(F.lit("CHANGED")))
-    return j.select(*keys, "obj_type", "obj_name", "obj_last_altered", "file_last_modified", status.alias("status"))
-
+    kept = [F.col("m.version").alias("version")] if "version" in manifest.columns else []
+    return j.select(*KEYS, "obj_type", "obj_name", "obj_last_altered", "file_last_modified", status.alias("status"), *kept)
 
-DEFAULT_MAX_PARTS = 1000
 
-
-def content(objects: DataFrame, files_to_write: DataFrame | None = None,
-            max_parts: int = DEFAULT_MAX_PARTS) -> DataFrame:
-    """The content of each file; overloads concatenated in signature order.
-
-    ``objects`` needs ``argument_signature`` (NULL for non-overloaded kinds)
-    and ``ddl``. ``files_to_write`` (db_nm, sc_nm, file_nm) limits the work to
-    files that changed — source text is only assembled for them.
-
-    Rows: (db_nm, sc_nm, file_nm, part, content, n_parts). A file with at most
-    ``max_parts`` overloads is one row (``part`` = '') holding the whole
-    content. A file with more is never gathered into one task: it comes out as
-    one row per overload, ``part`` = its signature, which is the order the
-    parts are written in. Either way every overload is present.
-    """
-    keys = ["db_nm", "sc_nm", "file_nm"]
+def content_parts(objects: DataFrame, files_to_write: DataFrame | None = None) -> DataFrame:
+    """E6 as it is stored: (db_nm, sc_nm, file_nm, part, content), one row per
+    overload; ``part`` is the signature, and a file's text is its rows in order of
+    ``part`` and content. ``files_to_write`` (db_nm, sc_nm, file_nm) limits the
+    work to files that changed: the source of the others is not moved."""
     o = objects.withColumn("file_nm", F.concat(F.col("obj_name"), extension(F.col("obj_type"))))
     if files_to_write is not None:
-        o = o.join(files_to_write.select(*keys), keys, "left_semi")
-    o = o.withColumn("sig", F.coalesce(F.col("argument_signature"), F.lit("")))
-    sizes = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    small = o.join(sizes.filter(F.col("n") <= max_parts).select(*keys), keys, "left_semi")
-    large = o.join(sizes.filter(F.col("n") > max_parts).select(*keys), keys, "left_semi")
-    parts = F.array_sort(F.collect_list(F.struct(F.col("sig"), F.col("ddl"))))
-    whole = (small.groupBy(*keys)
-             .agg(F.concat_ws("\n", F.transform(parts, lambda x: x["ddl"])).alias("content"),
-                  F.count(F.lit(1)).alias("n_parts"))
-             .select(*keys, F.lit("").alias("part"), "content", "n_parts"))
-    split = large.select(*keys, F.col("sig").alias("part"), F.col("ddl").alias("content"),
-                         F.lit(1).cast("bigint").alias("n_parts"))
-    return whole.unionByName(split)
-
-
-def next_manifest(changed: DataFrame, run_ts: Column, delete: bool = False) -> DataFrame:
-    """The manifest after this run: rewritten files get ``run_ts``, the
-    others keep their time; NOT_SEEN files stay listed unless deleted."""
-    keep = changed.filter(F.col("status") != "DELETE")
-    ts = F.when(F.col("status").isin("NEW", "CHANGED"), run_ts).otherwise(F.col("file_last_modified"))
-    return keep.select("db_nm", "sc_nm", "file_nm", ts.alias("file_last_modified"))
+        o = o.join(files_to_write.select(*KEYS), KEYS, "left_semi")
+    return o.select(*KEYS, F.coalesce("argument_signature", F.lit("")).alias("part"), F.col("ddl").alias("content"))
+
+
+def content(objects: DataFrame, files_to_write: DataFrame | None = None) -> DataFrame:
+    """The text of each file, overloads concatenated in signature order:
+    (db_nm, sc_nm, file_nm, content, n_parts)."""
+    return file_text(content_parts(objects, files_to_write))
+
+
+def file_text(parts: DataFrame) -> DataFrame:
+    """One row per file from its stored parts; the text of one file is one value."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "content")))
+    return parts.groupBy(*KEYS).agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["content"])).alias("content"),
+                                    F.count(F.lit(1)).alias("n_parts"))
+
+
+def next_manifest(changed: DataFrame, run_ts: Column, version: str | None = None) -> DataFrame:
+    """The manifest after this run: rewritten files get ``run_ts`` (and the
+    version that holds them), the others keep what they had; NOT_SEEN files stay
+    listed, deleted ones and errors that were never stored do not."""
+    keep = changed.filter((F.col("status") != "DELETE") & ~((F.col("status") == "ERROR") & F.col("file_last_modified").isNull()))
+    written = F.col("status").isin("NEW", "CHANGED")
+    out = [*KEYS, F.when(written, run_ts).otherwise(F.col("file_last_modified")).alias("file_last_modified")]
+    if version is not None:
+        before = F.col("version") if "version" in changed.columns else F.lit(None).cast("string")
+        out.append(F.when(written, F.lit(version)).otherwise(before).alias("version"))
+    return keep.select(*out)

@@ -118,8 +118,8 @@ def reconcile_columns(columns: DataFrame, from_schema: str, to_schema: str) -> D
     for every table present in both schemas, each column with its source (FROM, TO,
     BOTH), matched case-insensitively, and the schema that owns a one-sided one."""
     def of(schema: str, side: str) -> DataFrame:
-        return columns.where(F.col("table_schema") == schema).select(
-            "table_name", F.lower("column_name").alias("low"), F.col("column_name").alias(side)).distinct()
+        return columns.where(F.col("table_schema") == schema).groupBy(
+            "table_name", F.lower("column_name").alias("low")).agg(F.min("column_name").alias(side))
 
     f, t = of(from_schema, "f"), of(to_schema, "t")
     tables = f.select("table_name").distinct().join(t.select("table_name").distinct(), "table_name", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import access
 from ledgerline.plans.registry import register
+from ledgerline.sources import specs
 from ledgerline.sources.fixtures import fixture, oracle_cte
 
 CTE = oracle_cte("future_grants_db", "databases", "future_grants_schema", "schemata", "grants_to_roles",
@@ -219,7 +220,7 @@ def role_spec_json(spark, sf_dir):
 lv as (select distinct obj_type as h_type, role as h_role from privilege_model),
 s as (select * from role_spec_all left join lv on obj_type = h_type and role_type = h_role),
 v as (
-  select *, 'invalid TYPE' as violation from s where obj_type not in ('DATABASE', 'SCHEMA', 'WAREHOUSE')
+  select *, 'invalid TYPE' as violation from s where obj_type is null or obj_type not in ('DATABASE', 'SCHEMA', 'WAREHOUSE')
   union all select *, 'missing ROLE' from s where rule = 'INCLUDE' and role_type is null
   union all select *, 'ROLE not in hierarchy' from s
    where rule = 'INCLUDE' and obj_type in ('DATABASE', 'SCHEMA', 'WAREHOUSE') and role_type is not null and h_role is null
@@ -235,3 +236,25 @@ def role_spec_lint(spark, sf_dir):
 @register("role_functional", oracle_cte("roles") + "\nselect name, deleted_on from roles where name like '%_FR'")
 def role_functional(spark, sf_dir):
     return access.functional_roles(fixture(spark, sf_dir, "roles"))
+
+
+@register("role_spec_overlay", oracle_cte("spec_documents") + """,
+of_role as (select *, 'TEAM_' || (seq % 100)::varchar || '_FR' as role_name from spec_documents),
+latest as (select role_name, max(seq) as seq from of_role group by role_name)
+select role_name, 'INCLUDE' as rule, 'SCHEMA' as obj_type, json_extract_string(doc, '$.' || role_name || '.INCLUDE[0].DATABASE') as db_pattern,
+       'SC_' || seq::varchar as sc_pattern, 'VEW' as role_type
+  from latest join of_role using (role_name, seq)""")
+def role_spec_overlay(spark, sf_dir):
+    """Role-spec documents laid over each other, the last one of a role wins."""
+    rules, _ = specs.role_spec_rows(fixture(spark, sf_dir, "spec_documents"))
+    return rules.select("role_name", "rule", "obj_type", "db_pattern", "sc_pattern", "role_type")
+
+
+@register("role_spec_document_lint", oracle_cte("spec_documents_faulty") + """,
+r as (select seq, 'U_' || seq::varchar || '_FR' as role_name from spec_documents_faulty)
+select role_name, 'missing ORDER' as violation from r where seq % 2 = 1
+union all select role_name, 'INCLUDE is not a list' from r where seq % 3 = 1
+union all select role_name, 'INCLUDE holds an entry that is no object' from r where seq % 3 = 0""")
+def role_spec_document_lint(spark, sf_dir):
+    """A21 over whole documents."""
+    return access.lint_spec_documents(fixture(spark, sf_dir, "spec_documents_faulty"))

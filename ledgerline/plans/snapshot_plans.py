@@ -103,7 +103,7 @@ def snapshot_scope(spark, sf_dir):
 
 
 @register("snapshot_content", CTE + _OBJ_SQL + """
-select o.db_nm, o.sc_nm, o.obj_name || """ + _EXT_SQL.replace("obj_type", "o.obj_type") + """ as file_nm, '' as part,
+select o.db_nm, o.sc_nm, o.obj_name || """ + _EXT_SQL.replace("obj_type", "o.obj_type") + """ as file_nm,
        string_agg(o.ddl, chr(10) order by coalesce(o.argument_signature, ''), o.ddl) as content,
        count(*) as n_parts
   from objs o join chg c on o.db_nm = c.db_nm and o.sc_nm = c.sc_nm
@@ -130,3 +130,53 @@ def snapshot_manifest(spark, sf_dir):
 def snapshot_status_counts(spark, sf_dir):
     c = snapshot.changes(_objects(spark, sf_dir), fixture(spark, sf_dir, "export_manifest"))
     return c.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("snapshot_parts", CTE + _OBJ_SQL + """
+select o.db_nm, o.sc_nm, c.file_nm, coalesce(o.argument_signature, '') as part, o.ddl as content
+  from objs o join chg c on o.db_nm = c.db_nm and o.sc_nm = c.sc_nm and o.obj_type = c.obj_type and o.obj_name = c.obj_name
+ where c.status in ('NEW', 'CHANGED')""")
+def snapshot_parts(spark, sf_dir):
+    """The rows a run stores: one per overload of a new or changed file."""
+    objs = _objects(spark, sf_dir)
+    c = snapshot.changes(objs, fixture(spark, sf_dir, "export_manifest"))
+    return snapshot.content_parts(objs, c.filter(F.col("status").isin("NEW", "CHANGED")))
+
+
+# Between two runs, objects of one schema change: some are altered with a new text,
+# some are altered but their text cannot be fetched, some vanish.
+_LATER = "timestamp '2040-01-01 00:00:00'"
+
+
+@register("snapshot_two_runs", CTE + _OBJ_SQL + """,
+kinds as (select *, obj_name || """ + _EXT_SQL + """ as file_nm, length(obj_name) % 5 as fate from objs),
+stored as (
+  select k.db_nm, k.sc_nm, k.file_nm, k.argument_signature, k.fate,
+         case when c.status in ('NEW', 'CHANGED') then k.ddl end as first_text, k.ddl || ' v2' as second_text, c.status
+    from kinds k join chg c using (db_nm, sc_nm, file_nm)),
+texts as (
+  select db_nm, sc_nm, file_nm, argument_signature,
+         case when fate = 2 and sc_nm = 'SC_1' then second_text else first_text end as txt
+    from stored where not (fate = 4 and sc_nm = 'SC_1'))
+select db_nm, sc_nm, file_nm, string_agg(txt, chr(10) order by coalesce(argument_signature, ''), txt) as content, count(*) as n_parts
+  from texts where txt is not null group by db_nm, sc_nm, file_nm""")
+def snapshot_two_runs(spark, sf_dir):
+    """K5-K7, E4-E7 through the job: two runs into one folder, and all files as they
+    then are. Unchanged files keep their text, errors keep the old one, vanished go."""
+    import uuid
+
+    from ledgerline import jobs
+    from ledgerline.session import scratch_path
+
+    root = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    objs = _objects(spark, sf_dir)
+    jobs.export_snapshot(spark, objs, fixture(spark, sf_dir, "export_manifest"), root, run_ts=F.lit(RUN_TS).cast("timestamp_ntz"))
+    fate, here = F.length("obj_name") % 5, F.col("sc_nm") == "SC_1"
+    later = (objs.where(~(here & (fate == 4)))
+             .withColumn("last_altered", F.when(here & fate.isin(2, 3), F.expr(_LATER).cast(objs.schema["last_altered"].dataType))
+                         .otherwise(F.col("last_altered")))
+             .withColumn("ddl", F.when(here & (fate == 2), F.concat("ddl", F.lit(" v2")))
+                         .when(~(here & (fate == 3)), F.col("ddl"))))
+    jobs.export_snapshot(spark, later, jobs.current_manifest(spark, root), root, delete=True,
+                         run_ts=F.lit("2041-01-01 00:00:00").cast("timestamp_ntz"))
+    return jobs.current_content(spark, root)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import reports
+from ledgerline.operators import reports, tieout
 from ledgerline.operators.tieout import Tieout, Validation, run_validations
 from ledgerline.plans.registry import register
 from ledgerline.sources.fixtures import fixture, oracle_cte
@@ -146,18 +146,29 @@ def tieout_overview(spark, sf_dir):
 
 
 # --- column-level queries -----------------------------------------------------
-@register("tieout_columns_skipped", CTE + f"""
-select 'ORD' as name, '{ORD.from_tbl}' as tbl_nm, column_name as col_nm
-  from (select column_name from (describe tie_from)
-        except select column_name from (describe tie_to))
- where column_name not in ('_ignore_me', 'o_orderkey')
-union all
-select 'ORD', '{ORD.to_tbl}', column_name
-  from (select column_name from (describe tie_to)
-        except select column_name from (describe tie_from))
- where column_name not in ('_ignore_me', 'o_orderkey')""")
+_COLUMNS_SQL = oracle_cte("catalog_columns") + """,
+sided as (select table_name, lower(column_name) as low, table_schema, min(column_name) as column_name
+            from catalog_columns group by all),
+shared as (select table_name from sided group by table_name having count(distinct table_schema) = 2),
+paired as (select table_name, low, list(table_schema order by table_schema) as owners, arg_min(column_name, table_schema) as col_nm
+             from sided semi join shared using (table_name) group by table_name, low)"""
+
+
+@register("tieout_columns_reconciled", _COLUMNS_SQL + """
+select table_name, col_nm, case when len(owners) = 2 then 'BOTH' when owners[1] = 'SC_1' then 'FROM' else 'TO' end as source,
+       case when len(owners) = 1 then owners[1] end as owner
+  from paired""")
+def tieout_columns_reconciled(spark, sf_dir):
+    """S3 + T6 over a column catalog: all tables of two schemas at once."""
+    return tieout.reconcile_columns(fixture(spark, sf_dir, "catalog_columns"), "SC_1", "SC_2")
+
+
+@register("tieout_columns_skipped", _COLUMNS_SQL + """
+select table_name as name, owners[1] || '.' || table_name as tbl_nm, col_nm from paired where len(owners) = 1""")
 def tieout_columns_skipped(spark, sf_dir):
-    return _tieout(spark, sf_dir, ORD).skipped(spark)
+    """T7 + K4 rows: columns that only one side of a table pair has."""
+    c = tieout.reconcile_columns(fixture(spark, sf_dir, "catalog_columns"), "SC_1", "SC_2").where("source <> 'BOTH'")
+    return c.select(F.col("table_name").alias("name"), F.concat_ws(".", "owner", "table_name").alias("tbl_nm"), "col_nm")
 
 
 @register("tieout_columns_summary", CTE + "\n" + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to"))
@@ -360,3 +371,119 @@ def tieout_hot_key_summary(spark, sf_dir):
     """A third of all rows under one key: counted without emitting its pairs."""
     f, t = fixture(spark, sf_dir, "hot_from"), fixture(spark, sf_dir, "hot_to")
     return _int(Tieout(f, t, ["l_orderkey"], name="HOT", multiplicity="pairs").summary)
+
+
+# --- sinks: written, read back ----------------------------------------------------
+# Validation names that look like numbers or dates must stay text in partition folders.
+NAMES = ("01", "1", "2024-01-01", "ABC")
+
+
+def _written(spark, sf_dir, from_name: str, to_name: str):
+    """The four stored outputs of one validation run under several names."""
+    import uuid
+
+    from ledgerline.session import scratch_path
+    from ledgerline.sources.sinks import write_tieout_frames
+
+    f, t = fixture(spark, sf_dir, from_name), fixture(spark, sf_dir, to_name)
+    runs = [Tieout(f, t, list(ORD.key), name=n, from_tbl=ORD.from_tbl, to_tbl=ORD.to_tbl, ignore_cols=ORD.ignore_cols)
+            for n in NAMES]
+    return write_tieout_frames(spark, runs, scratch_path(spark, f"tieout-{uuid.uuid4().hex}"))
+
+
+def _stamped(df):
+    return df.withColumn("stamped", F.col("tieout_dt").isNotNull()).drop("tieout_dt")
+
+
+_NAMES_SQL = "(select unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) as run) names"
+
+
+@register("sink_overview", CTE + "," + _overlap_sql(ORD, "tie_from", "tie_to") + f"""
+select run as name, 'o_orderkey' as key_names, s.overlap_rowcount, '{ORD.from_tbl}' as from_tbl, s.from_rowcount,
+       s.from_unique, '{ORD.to_tbl}' as to_tbl, s.to_rowcount, s.to_unique, true as stamped
+  from ({_stats_select(ORD, "tie_from", "tie_to")}) s cross join {_NAMES_SQL}""")
+def sink_overview(spark, sf_dir):
+    """K1 + K5 + K8: the overview as read back."""
+    o = _stamped(_written(spark, sf_dir, "tie_from", "tie_to")["1_OVERVIEW"])
+    return o.withColumn("key_names", F.concat_ws(",", "key")).drop("key")
+
+
+@register("sink_summary", CTE + f"\nselect run as name, s.col_nm, s.col_diff_cnt, true as stamped from ("
+          + _summary_sql(ORD, ORD_COLS, "tie_from", "tie_to") + f") s cross join {_NAMES_SQL}")
+def sink_summary(spark, sf_dir):
+    """K2 + K8: the per-column summary as read back, derived from the stored detail."""
+    return _int(_stamped(_written(spark, sf_dir, "tie_from", "tie_to")["2_COLUMNS_SUMMARY"]))
+
+
+@register("sink_detail", CTE + f"\nselect run as name, s.col_nm, s.from_val, s.to_val, sum(s.diff_cnt)::bigint as diff_cnt from ("
+          + _detail_sql(ORD, ORD_COLS, "tie_from", "tie_to") + f") s cross join {_NAMES_SQL} group by all")
+def sink_detail(spark, sf_dir):
+    """K3: the stored detail, rolled up to value pairs."""
+    d = _written(spark, sf_dir, "tie_from", "tie_to")["3_COLUMNS_DETAIL"]
+    return _int(d.groupBy("name", "col_nm", "from_val", "to_val").agg(F.sum("diff_cnt").alias("diff_cnt")), "diff_cnt")
+
+
+@register("sink_skipped", CTE + f"""
+select run as name, tbl_nm, col_nm, o.n > 0 as stamped
+  from (select '{ORD.from_tbl}' as tbl_nm, column_name as col_nm from (describe tie_from)
+         where column_name not in (select column_name from (describe tie_to))
+        union all select '{ORD.to_tbl}', column_name from (describe tie_to)
+         where column_name not in (select column_name from (describe tie_from))) s
+  cross join {_NAMES_SQL} cross join (select count(*) as n from tie_from) o""")
+def sink_skipped(spark, sf_dir):
+    """K4 + K8."""
+    return _stamped(_written(spark, sf_dir, "tie_from", "tie_to")["4_COLUMNS_SKIPPED"])
+
+
+@register("sink_equal_tables", CTE + f"""
+select run as name, c.col_nm, 0::bigint as col_diff_cnt, count(o_orderkey) as overlap_rowcount, 0::bigint as detail_rows
+  from tie_from cross join {_NAMES_SQL} cross join (select unnest({[*ORD_COLS, 'from_extra']}) as col_nm) c
+ group by run, c.col_nm""")
+def sink_equal_tables(spark, sf_dir):
+    """Two equal tables: nothing to store in the detail, and every report still there."""
+    out = _written(spark, sf_dir, "tie_from", "tie_from")
+    o = out["1_OVERVIEW"].select("name", "overlap_rowcount")
+    d = out["3_COLUMNS_DETAIL"].groupBy("name").agg(F.count(F.lit(1)).alias("detail_rows"))
+    return _int(out["2_COLUMNS_SUMMARY"].join(o, "name").join(d, "name", "left").select(
+        "name", "col_nm", "col_diff_cnt", "overlap_rowcount", F.coalesce("detail_rows", F.lit(0)).alias("detail_rows")))
+
+
+# --- widened types, nested values, hot keys -----------------------------------------
+TYPE_CTE = oracle_cte("typed_from", "typed_to")
+TYPED_COLS = ["a_int", "b_dec", "c_date", "d_map", "e_text"]
+
+
+@register("tieout_widened_types", TYPE_CTE + "\n" + "\nunion all\n".join(
+    f"select 'TYPED' as name, '{c}' as col_nm, count(*) as col_diff_cnt from typed_from f join typed_to t using (o_orderkey) "
+    f"where f.{c} is distinct from {'t.d_map' if c == 'd_map' else 't.' + c}" for c in TYPED_COLS))
+def tieout_widened_types(spark, sf_dir):
+    """int against double, decimals of two scales, a date against a timestamp, maps."""
+    f, t = fixture(spark, sf_dir, "typed_from"), fixture(spark, sf_dir, "typed_to")
+    return _int(Tieout(f, t, ["o_orderkey"], name="TYPED").summary)
+
+
+_HOT_REF = _hot_sql().replace("cast(coalesce(sum(kk.m * kk.n - coalesce(eq.e, 0)), 0) as bigint)",
+                              "cast(coalesce(sum(kk.m::hugeint * kk.n * (kk.m::hugeint * kk.n - coalesce(eq.e, 0))), 0) as bigint)")
+
+
+@register("tieout_hot_key_reference", _HOT_REF)
+def tieout_hot_key_reference(spark, sf_dir):
+    """The hot key with the default multiplicity: every differing pair m*n times."""
+    f, t = fixture(spark, sf_dir, "hot_from"), fixture(spark, sf_dir, "hot_to")
+    s = Tieout(f, t, ["l_orderkey"], name="HOT").summary
+    return s.withColumn("col_diff_cnt", F.expr("try_cast(col_diff_cnt as bigint)"))
+
+
+@register("tieout_value_counts", oracle_cte("hot_from", "hot_to") + """,
+both_keys as (select l_orderkey from hot_from where l_orderkey is not null intersect select l_orderkey from hot_to)"""
+          + "\n" + "\nunion all\n".join(f"""
+select coalesce(f.l_orderkey, t.l_orderkey) as l_orderkey, '{c}' as col_nm, coalesce(f.v, t.v) as value,
+       coalesce(f.n, 0) as from_cnt, coalesce(t.n, 0) as to_cnt
+  from (select l_orderkey, cast({c} as varchar) as v, count(*) as n from hot_from semi join both_keys using (l_orderkey) group by 1, 2) f
+  full join (select l_orderkey, cast({c} as varchar) as v, count(*) as n from hot_to semi join both_keys using (l_orderkey) group by 1, 2) t
+    on f.l_orderkey = t.l_orderkey and f.v is not distinct from t.v
+ where coalesce(f.n, 0) <> coalesce(t.n, 0)""" for c in ("l_linestatus", "l_returnflag")))
+def tieout_value_counts(spark, sf_dir):
+    """T15 without pairs: per value its rows on both sides, where they differ."""
+    f, t = (fixture(spark, sf_dir, n).drop("l_quantity") for n in ("hot_from", "hot_to"))
+    return Tieout(f, t, ["l_orderkey"], name="HOT").value_counts()

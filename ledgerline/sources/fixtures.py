@@ -91,6 +91,24 @@ select case when o_orderkey % 50 = 3 then null when o_orderkey % 97 = 0 then o_o
        case when o_orderkey % 7 = 0 then lower(o_orderpriority) else o_orderpriority end
          as o_orderpriority
   from {orders}""",
+    # --- tie-out of columns whose types differ ------------------------------
+    "typed_from": """
+select o_orderkey, cast(o_custkey as int) as a_int, cast(o_orderkey % 100 as decimal(10, 2)) as b_dec,
+       cast(o_orderdate as date) as c_date, map({list}'a', 'b'{end}, {list}o_orderkey % 7, 2{end}) as d_map, o_orderstatus as e_text
+  from {orders}""",
+    "typed_to": """
+select o_orderkey, cast(o_custkey + case when o_orderkey % 8 = 0 then 1 else 0 end as double) as a_int,
+       cast(o_orderkey % 100 as decimal(14, 4)) + cast(case when o_orderkey % 6 = 0 then 0.0001 else 0 end as decimal(5, 4)) as b_dec,
+       cast(cast(o_orderdate as date) as timestamp) + interval '1' microsecond * (case when o_orderkey % 5 = 0 then 1 else 0 end) as c_date,
+       map({list}'b', 'a'{end}, {list}case when o_orderkey % 9 = 0 then 3 else 2 end, o_orderkey % 7{end}) as d_map, o_orderstatus as e_text
+  from {orders}""",
+    # One table per order (its number halved), with a column per line; the tables
+    # of even and odd orders lie in two schemas.
+    "catalog_columns": """
+select case when l_orderkey % 2 = 0 then 'SC_1' else 'SC_2' end as table_schema,
+       'T_' || cast(cast(floor(l_orderkey / 2) as bigint) as string) as table_name,
+       case when l_partkey % 3 = 0 then 'col_' else 'COL_' end || cast(l_linenumber as string) as column_name
+  from {lineitem}""",
     # --- copy drift ---------------------------------------------------------
     "cat_tables": """
 select 'TEST_DB' as table_catalog,
@@ -202,7 +220,24 @@ select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'EXCLUDE', 'WAREHOUSE',
 union all
 select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'INCLUDE', 'ROLE', null, null, null,
        'TEAM_' || cast((n_nationkey + 1) % 25 as string) || '%', null
-  from {nation}""",
+  from {nation}
+union all
+select 'TEAM_' || cast(n_nationkey as string) || '_FR', 'INCLUDE', null, n_name, null, null, null, 'VEW'
+  from {nation} where n_nationkey % 3 = 1""",
+    # Role-spec documents, one per customer; a role named by several is the last one's.
+    "spec_documents": """
+select c_custkey as seq, chr(123) || '"TEAM_' || cast(c_custkey % 100 as string) || '_FR":' || chr(123)
+       || '"ORDER":"INCEXC","INCLUDE":[' || chr(123) || '"TYPE":"SCHEMA","DATABASE":"' || n_name || '","SCHEMA":"SC_'
+       || cast(c_custkey as string) || '","ROLE":"VEW"' || chr(125) || '],"EXCLUDE":[],"CUSTOM_INCLUDE":["X_FR"],'
+       || '"CUSTOM_EXCLUDE":[],"SCIM_ROLES":[]' || chr(125) || chr(125) as doc
+  from {customer} join {nation} on c_nationkey = n_nationkey""",
+    # Documents with faults: keys missing, rules that are no object or no list.
+    "spec_documents_faulty": """
+select c_custkey as seq, chr(123) || '"U_' || cast(c_custkey as string) || '_FR":' || chr(123)
+       || case when c_custkey % 2 = 0 then '"ORDER":"INCEXC",' else '' end
+       || '"INCLUDE":' || case c_custkey % 3 when 0 then '["x"]' when 1 then '"x"' else '[]' end
+       || ',"EXCLUDE":[],"CUSTOM_INCLUDE":[],"CUSTOM_EXCLUDE":[],"SCIM_ROLES":[]' || chr(125) || chr(125) as doc
+  from {customer}""",
     # Per-customer functional-role spec rows (custom lists): grows with customer.
     "role_custom": """
 select 'TEAM_' || cast(c_custkey % 25 as string) || '_FR' as role_name,
@@ -300,6 +335,8 @@ def _text(name: str, spark: bool) -> str:
     sql = FIXTURE_SQL[name]
     for kind, levels in LEVELS.items():
         sql = sql.replace(f"{{each_{kind}}}", _each(levels, spark))
+    for mark, ours, theirs in (("{list}", "array(", "["), ("{end}", ")", "]")):
+        sql = sql.replace(mark, ours if spark else theirs)
     return sql
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,34 +32,42 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), stam
     return path
 
 
+def write_and_read(df: DataFrame, path: str, partition_by: Sequence[str] = (), stamp: bool = False) -> DataFrame:
+    """Write as :func:`write_table` does and read back under the written schema: an
+    empty result reads back empty and partition values keep their type (a
+    validation named ``01`` stays text)."""
+    if stamp:
+        df = df.withColumn("tieout_dt", F.current_timestamp())
+    write_table(df, path, partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tieouts(spark: SparkSession, tieouts: Sequence[Tieout], base: str) -> dict[str, str]:
-    """Write the four tie-out outputs for all validations of one target.
+    """Write the four tie-out outputs for all validations of one target; the paths."""
+    return {k: os.path.join(base, k) for k in write_tieout_frames(spark, tieouts, base)}
+
+
+def write_tieout_frames(spark: SparkSession, tieouts: Sequence[Tieout], base: str) -> dict[str, DataFrame]:
+    """Write the four outputs and return them as read back.
 
     Detail (K3) is written first, once, partitioned by validation and column;
     the per-column summary (K2) is then derived from the written detail, so
     the compared tables are joined once, not once per output.
     """
-    paths = {k: os.path.join(base, k) for k in TIEOUT_OUTPUTS}
-    details = [t.detail() for t in tieouts]
-    detail = details[0]
-    for d in details[1:]:
-        detail = detail.unionByName(d)
-    write_table(detail, paths["3_COLUMNS_DETAIL"], ("name", "col_nm"), stamp=True)
-    written = spark.read.parquet(paths["3_COLUMNS_DETAIL"])
-    summary = None
-    overview = None
-    skipped = None
-    for t in tieouts:
-        s = t.summary_from_detail(written.filter(F.col("name") == t.name))
-        summary = s if summary is None else summary.unionByName(s)
-        o = t.overview
-        overview = o if overview is None else overview.unionByName(o)
-        k = t.skipped(spark)
-        skipped = k if skipped is None else skipped.unionByName(k)
-    write_table(overview, paths["1_OVERVIEW"], stamp=True)
-    write_table(summary, paths["2_COLUMNS_SUMMARY"], stamp=True)
-    write_table(skipped, paths["4_COLUMNS_SKIPPED"], stamp=True)
-    return paths
+    def union(frames) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), frames)
+
+    def write(df: DataFrame, k: str, partition_by: Sequence[str] = ()) -> DataFrame:
+        return write_and_read(df, os.path.join(base, k), partition_by, stamp=True)
+
+    detail = write(union(t.detail() for t in tieouts), "3_COLUMNS_DETAIL", ("name", "col_nm"))
+    return {
+        "1_OVERVIEW": write(union(t.overview for t in tieouts), "1_OVERVIEW"),
+        "2_COLUMNS_SUMMARY": write(union(t.summary_from_detail(detail.filter(F.col("name") == t.name)) for t in tieouts),
+                                   "2_COLUMNS_SUMMARY"),
+        "3_COLUMNS_DETAIL": detail,
+        "4_COLUMNS_SKIPPED": write(union(t.skipped(spark) for t in tieouts), "4_COLUMNS_SKIPPED"),
+    }
 
 
 def swap_in(spark: SparkSession, df: DataFrame, name: str) -> str:
@@ -73,7 +82,16 @@ def swap_in(spark: SparkSession, df: DataFrame, name: str) -> str:
     return version
 
 
-def write_snapshot(content: DataFrame, path: str) -> str:
-    """K7: one row per object file (file_nm, content) — or per part of a very
-    large file, ordered by ``part`` — partitioned by db and schema."""
-    return write_table(content.select("db_nm", "sc_nm", "file_nm", "part", "content"), path, ("db_nm", "sc_nm"))
+PARTS = "db_nm string, sc_nm string, file_nm string, part string, content string, version string"
+
+
+def write_snapshot(parts: DataFrame, path: str, version: str) -> DataFrame:
+    """K7: add the parts of this version beside those of earlier ones; what is
+    stored already is not touched. A folder per version."""
+    stored = parts.select("db_nm", "sc_nm", "file_nm", "part", "content", F.lit(version).alias("version"))
+    stored.write.mode("append").partitionBy("version").parquet(path)
+    return read_snapshot(parts.sparkSession, path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PARTS).parquet(path)

@@ -8,6 +8,7 @@ level / permission, which is the shape the operators join on.
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,10 @@ def read_validations(paths: Iterable[str], target: str) -> tuple[dict, list[Vali
 
 
 def _json_text(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(paths).select(F.col("value").alias("doc"))
+    """One row per file with its place in the list; the list is a few files long."""
+    read = spark.read.option("wholetext", "true")
+    docs = [read.text(p).select(F.col("value").alias("doc"), F.lit(i).alias("seq")) for i, p in enumerate(paths)]
+    return reduce(lambda a, b: a.unionByName(b), docs)
 
 
 def role_spec_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +66,13 @@ def role_spec_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wh_pattern, role_pattern, role_type. For TYPE ROLE the ROLE field is the
     role-name pattern; otherwise it is the access level.
     custom: role_name, rule (CUSTOM_INCLUDE/CUSTOM_EXCLUDE), role_ref.
+
+    With a ``seq`` column, a role named by several documents is taken whole from
+    the one with the largest ``seq``.
     """
-    roles = (docs.select(F.explode(F.from_json("doc", ROLE_SPEC_SCHEMA)).alias("role_name", "s")))
+    order = F.col("seq") if "seq" in docs.columns else F.lit(0)
+    roles = (docs.select(order.alias("seq"), F.explode(F.from_json("doc", ROLE_SPEC_SCHEMA)).alias("role_name", "s"))
+             .groupBy("role_name").agg(F.max_by("s", "seq").alias("s")))
     parts = []
     for rule in ("INCLUDE", "EXCLUDE"):
         r = roles.select("role_name", F.lit(rule).alias("rule"), F.explode_outer(f"s.{rule}").alias("x"))
@@ -103,4 +112,4 @@ def read_privilege_model(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def docs_frame(spark: SparkSession, docs: Iterable[dict]) -> DataFrame:
     """In-memory documents (already parsed) as a ``docs`` frame."""
-    return spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string")
+    return spark.createDataFrame([(json.dumps(d), i) for i, d in enumerate(docs)], "doc string, seq int")

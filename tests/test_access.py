@@ -42,10 +42,28 @@ def test_like_underscore_is_a_wildcard(spark):
     assert df.filter(F.expr("g like '_SC_%_RO_AR'")).count() == 1
 
 
-def test_spec_broadcast_is_size_checked(spark):
-    import pytest
-    from ledgerline.operators.access import _checked_broadcast
-    spec = spark.range(11)
-    assert _checked_broadcast(spec, limit=11) is not None
-    with pytest.raises(ValueError):
-        _checked_broadcast(spec, limit=10)
+def test_many_rules_resolve_without_a_cap(spark):
+    rows = [(f"R_{i}_FR", "INCLUDE", "WAREHOUSE", None, None, f"WH_{i}", None, "OPR") for i in range(250_000)]
+    spec = spark.createDataFrame(rows, "role_name string, rule string, obj_type string, db_pattern string, sc_pattern string, "
+                                       "wh_pattern string, role_pattern string, role_type string")
+    wh = spark.createDataFrame([(f"WH_{i}", f"_WH_WH_{i}_OPR_AR") for i in range(0, 250_000, 1000)], "wh_name string, grantee_name string")
+    none = spark.createDataFrame([], "db_name string, sc_name string, grantee_name string")
+    roles = spark.createDataFrame([], "name string, deleted_on timestamp")
+    got = access.resolve_rules(spec, none, none, wh, roles, "INCLUDE")
+    # "_" is a wildcard: WH_1 also matches a name like WHx1, of which there is none.
+    assert got.count() == 250
+
+
+def test_patterns_meet_every_name_they_match(spark):
+    from itertools import product
+
+    patterns = ["AB", "A%", "%B", "%", "_B", "A_", "%A%", "A%B", "", "AB%CD", "_%_"]
+    names = ["AB", "A", "B", "", "XB", "AXB", "ABxxCD", "BA", "Ax" * 40, "x" * 40 + "B"]
+    p = spark.createDataFrame([(x,) for x in patterns], "pattern string").withColumn("t", access.pattern_token(F.col("pattern")))
+    n = spark.createDataFrame([(x,) for x in names], "name string").withColumn("t", F.explode(access.name_tokens(F.col("name"))))
+    got = {tuple(r) for r in p.join(n, "t").where("name like pattern").select("pattern", "name").collect()}
+    import fnmatch
+    want = {(a, b) for a, b in product(patterns, names) if fnmatch.fnmatchcase(b, a.replace("%", "*").replace("_", "?"))}
+    assert got == want
+
+

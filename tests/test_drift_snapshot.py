@@ -1,9 +1,11 @@
 """Copy drift plan counts, refresh apply, and snapshot re-run stability."""
 
-import os
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import jobs
 from ledgerline.operators import drift, snapshot
 from ledgerline.session import scratch_path
 from ledgerline.sources.fixtures import fixture
@@ -18,18 +20,32 @@ def test_refresh_plan_counts(spark, sf):
     assert (trap.count(), trap.filter("action = 'SKIP'").count()) == (60, 1)
 
 
-def test_refresh_apply_copies_source(spark):
-    base = scratch_path(spark, "refresh_apply")
-    src = spark.range(100).withColumn("v", F.col("id") * 2)
-    src.write.mode("overwrite").parquet(os.path.join(base, "SRC.SC", "T_1"))
-    spark.range(5).write.mode("overwrite").parquet(os.path.join(base, "DST.SC", "T_1"))
-    plan = spark.createDataFrame([("DST.SC", "SRC.SC", "T_1", "REFRESH"), ("DST.SC", "SRC.SC", "T_2", "SKIP")],
+def test_refresh_empties_the_copy_of_an_emptied_source(spark):
+    path = scratch_path(spark, f"refresh_{uuid.uuid4().hex}")
+    rows = [("SRC.SC", "T_1", 1), ("DST.SC", "T_1", 9), ("DST.SC", "T_2", 8), ("DST.SC", "T_3", 7)]
+    drift.new_dataset(spark.createDataFrame(rows, "db_sc string, table_name string, v int"), path)
+    plan = spark.createDataFrame([("DST.SC", "SRC.SC", "T_1", "REFRESH"), ("DST.SC", "SRC.SC", "T_2", "REFRESH"),
+                                  ("DST.SC", "SRC.SC", "T_3", "SKIP")],
                                  "clone_db_sc string, src_db_sc string, table_name string, action string")
-    done = drift.refresh_apply(plan, lambda s, n: spark.read.parquet(os.path.join(base, s, n)),
-                               lambda df, d, n: df.write.mode("overwrite").parquet(os.path.join(base, d, n)))
-    assert done == ["DST.SC.T_1"]
-    out = spark.read.parquet(os.path.join(base, "DST.SC", "T_1"))
-    assert out.exceptAll(src).count() == 0 and src.exceptAll(out).count() == 0
+    drift.refresh_dataset(plan, path)
+    assert sorted(map(tuple, drift.current_dataset(spark, path).collect())) == [
+        ("DST.SC", "T_1", 1), ("DST.SC", "T_3", 7), ("SRC.SC", "T_1", 1)]
+    drift.drop_tables(plan.where("table_name = 'T_3'"), path)
+    assert drift.current_dataset(spark, path).where("table_name = 'T_3'").count() == 0
+
+
+def test_first_copy_refuses_collisions(spark, sf):
+    t, m = fixture(spark, sf, "cat_tables"), fixture(spark, sf, "storage_metrics")
+    path = scratch_path(spark, f"first_{uuid.uuid4().hex}")
+    drift.new_dataset(fixture(spark, sf, "table_data"), path)
+    names = ("TEST_DB", "SC_1", "TEST_DB", "SC_2")
+    with pytest.raises(ValueError, match="exist"):
+        jobs.first_copy(t, m, *names, path)
+    done = jobs.first_copy(t, m, *names, path, delete_existing=True)
+    one = drift.first_copy_plan(t, m, *names, delete_existing=True).first().table_name
+    cols = ["l_linenumber", "l_quantity", "l_returnflag"]
+    a, b = (done.where(f"db_sc = 'TEST_DB.{sc}' and table_name = '{one}'").select(*cols) for sc in ("SC_1", "SC_2"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_second_snapshot_run_is_unchanged(spark, sf):
@@ -51,10 +67,9 @@ def test_partition_refresh_replaces_only_refreshed_copies(spark, sf):
     t, m = fixture(spark, sf, "cat_tables"), fixture(spark, sf, "storage_metrics")
     plan = drift.refresh_plan(t, m, "TEST_DB", "SC_1", "TEST_DB", "SC_2")
     data = fixture(spark, sf, "table_data")
-    path = scratch_path(spark, "partition_refresh")
-    data.write.mode("overwrite").partitionBy("db_sc", "table_name").parquet(path)
-    drift.write_refreshed(drift.refresh_rows(plan, data), path)
-    after = spark.read.parquet(path)
+    path = scratch_path(spark, f"partition_refresh_{uuid.uuid4().hex}")
+    drift.new_dataset(data, path)
+    after = drift.refresh_dataset(plan, path)
     cols = ["l_linenumber", "l_quantity", "l_returnflag"]
     refreshed = plan.filter("action = 'REFRESH'").first().table_name
     src = data.filter(f"db_sc = 'TEST_DB.SC_1' and table_name = '{refreshed}'").select(*cols)
@@ -66,12 +81,23 @@ def test_partition_refresh_replaces_only_refreshed_copies(spark, sf):
     assert before.exceptAll(kept).count() == 0 and kept.exceptAll(before).count() == 0
 
 
-def test_large_files_split_into_ordered_parts(spark, sf):
+def test_parts_in_order_are_the_whole_file(spark, sf):
     objs = fixture(spark, sf, "catalog_objects")
     whole = {(r.file_nm): r.content for r in snapshot.content(objs).collect()}
-    split = snapshot.content(objs, max_parts=1)
-    assert split.filter("part = ''").count() == split.filter("n_parts = 1 and part = ''").count()
     rebuilt = {}
-    for r in sorted(split.collect(), key=lambda r: (r.file_nm, r.part, r.content)):
+    for r in sorted(snapshot.content_parts(objs).collect(), key=lambda r: (r.file_nm, r.part, r.content)):
         rebuilt.setdefault(r.file_nm, []).append(r.content)
     assert {k: "\n".join(v) for k, v in rebuilt.items()} == whole
+
+
+def test_missing_source_and_unknown_types(spark):
+    objs = spark.createDataFrame(
+        [("D", "S", "TABLE", "A", None, None), ("D", "S", "EVENT TABLE", "B", None, "create B"), ("D", "S", "VIEW", "C", None, None)],
+        "db_nm string, sc_nm string, obj_type string, obj_name string, argument_signature string, ddl string"
+    ).withColumn("last_altered", F.lit("2024-01-02").cast("timestamp_ntz"))
+    man = spark.createDataFrame([("D", "S", "C.vw")], "db_nm string, sc_nm string, file_nm string").withColumn(
+        "file_last_modified", F.lit("2024-01-01").cast("timestamp_ntz"))
+    c = snapshot.changes(objs, man)
+    assert {r.file_nm: r.status for r in c.collect()} == {"A.tbl": "ERROR", "B.event_table": "NEW", "C.vw": "ERROR"}
+    kept = {r.file_nm: r.file_last_modified.year for r in snapshot.next_manifest(c, F.lit("2030-01-01").cast("timestamp_ntz")).collect()}
+    assert kept == {"B.event_table": 2030, "C.vw": 2024}
