@@ -15,8 +15,6 @@ ignored whatever their names. Ties in length keep the order of the block.
 
 from __future__ import annotations
 
-import sys
-import types
 import unicodedata
 import zlib
 
@@ -48,7 +46,7 @@ class WordIds:
     the tokenizer's model; anything else goes through the whole tokenizer.
     """
 
-    FULL = 400_000
+    FULL = 250_000
     # The pre-tokenizer's split pattern, a fixed value of the tokenizer, for
     # characters below U+0250 (there the numbers are the digits and these six).
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+"
@@ -114,15 +112,6 @@ class WordIds:
         return flat[at], end[word_ends]
 
 
-def worker_words(path: str) -> WordIds:
-    """One WordIds per Python worker process, kept between its tasks."""
-    kept = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker"))
-    store = kept.__dict__.setdefault("word_ids", {})
-    if path not in store:
-        store[path] = WordIds(path)
-    return store[path]
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                           ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -134,9 +123,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        ids_of = worker_words(tokenizer)
+        ids_of = WordIds(tokenizer)  # of this task: its store goes with it
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            docs, flat, ends, texts = batch.column(0).to_pylist(), None, None, None
             for first, texts in text_slices(batch.column(1)):
                 flat, ends = ids_of.encode(texts)
                 out = []
@@ -146,6 +135,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
                             for p, at in enumerate(range(0, len(ids), capacity))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, f.type) for x, f in zip(zip(*out), PIECES_ARROW)], schema=PIECES_ARROW)
+            del flat, ends, texts
+        pa.default_memory_pool().release_unused()
 
     return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).alias("text")).mapInArrow(run, PIECES)
 
