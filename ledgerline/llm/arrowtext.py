@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4_000_000  # characters handled at once, except for longer single texts
+SLICE = 1_000_000  # characters handled at once, except for longer single texts
+ROWS = 1_000  # rows of a batch between Spark and a worker while texts go through it
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE):
@@ -32,3 +35,29 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     # White space at either end of a text leaves an empty string, which is no word.
     real = np.fromiter((w != "" for w in distinct), bool, len(distinct))[code]
     return distinct, code[real], np.concatenate([[0], np.cumsum(real)])[ends]
+
+
+@contextlib.contextmanager
+def small_batches(spark):
+    """Arrow batches of ROWS rows for what is run inside: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def tidy(run):
+    """``run`` over a task's batches; then give freed memory back to the system, since
+    the worker process stays for later tasks."""
+    def whole(batches):
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerline.llm.arrowtext import small_batches
 from ledgerline.session import scratch_path
 
 # The six ASCII white-space characters of the class [\x20\x09-\x0D].
@@ -29,7 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

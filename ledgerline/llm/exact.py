@@ -22,6 +22,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerline.llm.arrowtext import tidy
 from ledgerline.llm.common import SPACES, attach, c, cut, digest
 
 # Live digests an index may hold before a map task hands its partial rows on,
@@ -174,10 +175,10 @@ def keepers(rows: DataFrame) -> DataFrame:
     keep_id, ties (rows equal to the best in both), group_size. A written table."""
     single = rows.select("digest", F.col("n_code_points").alias("keep_len"), F.col("doc_id").alias("keep_id"),
                          F.lit(1).cast("long").alias("ties"), F.lit(1).cast("long").alias("group_size"))
-    partial = cut(single.mapInArrow(_fold(flush=True), PARTIAL))
+    partial = cut(single.mapInArrow(tidy(_fold(flush=True)), PARTIAL))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-partial.count() // INDEX_ROWS))
-    return cut(partial.repartition(parts, "digest").mapInArrow(_fold(flush=False), PARTIAL))
+    return cut(partial.repartition(parts, "digest").mapInArrow(tidy(_fold(flush=False)), PARTIAL))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

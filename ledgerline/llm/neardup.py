@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm.arrowtext import coded_words, text_slices
+from ledgerline.llm.arrowtext import coded_words, text_slices, tidy
 from ledgerline.llm.common import attach, c, cut
 
 BANDS, ROWS = 28, 4
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
                 [batch.column(0), *(pa.array(x, f.type) for x, f in zip(out, list(schema)[1:]))], schema=schema)
 
     return cut(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sig binary"))
+        tidy(run), "doc_id long, n_shingles long, digest binary, sig binary"))
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def compare(pairs: DataFrame, values: DataFrame, kind: str, keep) -> DataFrame:
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-            .mapInArrow(run, "a long, b long, score long"))
+            .mapInArrow(tidy(run), "a long, b long, score long"))
 
 
 def minima(estimate: float) -> int:
@@ -351,26 +351,26 @@ def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "do
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(bands.join(shared, "key").select("key", "node"))
 
-    def own_texts(wanted: DataFrame) -> DataFrame:
-        """(node, value): a text with the node's set, for the nodes of ``wanted``."""
+    def own(wanted: DataFrame, as_sets: bool) -> DataFrame:
+        """(node, value): a text with the node's set, or the set, for the nodes of ``wanted``."""
         ends = cut(wanted.select("node").distinct().join(
             nodes.select("node", F.col("min_id").alias("_id"), "digest"), "node"))
         if ends.count() <= BROADCAST_NODES:
             ends = F.broadcast(ends)
         texts = docs.select(c(id_col).cast("long").alias("_id"), c(text_col).alias("value"))
         found = texts.join(ends, texts["_id"].eqNullSafe(ends["_id"])).select("node", "digest", "value")
-        return _own_text(found, width)
+        return _own(found, width, as_sets)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        return cut(compare(pairs, own_texts(wanted), "string", by_sets(width, percent)).select("a", "b"))
+        return cut(compare(pairs, own(wanted, False), "string", by_sets(width, percent)).select("a", "b"))
 
     edges, rest = families(members, nodes)
     links = confirm(edges.where(F.col("score") >= minima(ESTIMATE)).select("a", "b"))
     roots = cut(components(links))
     family = cut(components(edges))
     dealt = cut(cells(family.select(F.col("root").alias("key"), "node"), roots))
-    sets = _sets(own_texts(dealt), width)
+    sets = cut(own(dealt, True)).withColumnRenamed("value", "shingles").dropDuplicates(["node"])
     inside = cut(links_in_cells(dealt, nodes, sets, percent))
     outside = confirm(cut(pairs_in_cells(cells(rest, family), nodes)))
     more = inside.unionByName(outside)
@@ -382,33 +382,26 @@ def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "do
     return rows, classes
 
 
-def _own_text(found: DataFrame, width: int) -> DataFrame:
-    """(node, value) where the text has the node's own set: ids may repeat."""
-    schema = pa.schema([("node", pa.int64()), ("value", pa.string())])
+def _own(found: DataFrame, width: int, as_sets: bool) -> DataFrame:
+    """(node, value) where the text has the node's own set (ids may repeat): the text,
+    or its shingles."""
+    schema = pa.schema([("node", pa.int64()), ("value", pa.binary() if as_sets else pa.string())])
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            want = batch.column(1).to_pylist()
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == want[i]
-                    for i, s in enumerate(shingle_sets(batch.column(2), width))]
+            want, same, sets = batch.column(1).to_pylist(), [], []
+            for i, s in enumerate(shingle_sets(batch.column(2), width)):
+                raw = s.tobytes()
+                same.append(xxhash.xxh3_128_digest(raw) == want[i])
+                if as_sets and same[-1]:
+                    sets.append(raw)
             kept = batch.filter(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], schema=schema)
+            value = pa.array(sets, pa.binary()) if as_sets else kept.column(2)
+            yield pa.RecordBatch.from_arrays([kept.column(0), value], schema=schema)
 
-    return found.mapInArrow(run, "node long, value string")
-
-
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, value) texts to (node, shingles); one row per node."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=schema)
-
-    return cut(texts.mapInArrow(run, "node long, shingles binary")).dropDuplicates(["node"])
+    return found.mapInArrow(tidy(run), f"node long, value {'binary' if as_sets else 'string'}")
 
 
 def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id",

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerline.llm.arrowtext import coded_words, text_slices
+from ledgerline.llm.arrowtext import coded_words, text_slices, tidy
 from ledgerline.llm.common import c, cut
 
 PIECES_PER_BLOCK = 16_384
@@ -125,7 +125,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
     def run(batches):
         ids_of = WordIds(tokenizer)  # of this task: its store goes with it
         for batch in batches:
-            docs, flat, ends, texts = batch.column(0).to_pylist(), None, None, None
+            docs = batch.column(0).to_pylist()
             for first, texts in text_slices(batch.column(1)):
                 flat, ends = ids_of.encode(texts)
                 out = []
@@ -135,10 +135,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
                             for p, at in enumerate(range(0, len(ids), capacity))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, f.type) for x, f in zip(zip(*out), PIECES_ARROW)], schema=PIECES_ARROW)
-            del flat, ends, texts
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

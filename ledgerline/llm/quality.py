@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm.arrowtext import coded_words, text_slices
+from ledgerline.llm.arrowtext import coded_words, text_slices, tidy
 from ledgerline.llm.common import c, cut
 from ledgerline.llm.langid import held_out
 
@@ -90,7 +90,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         return pa.table({"slot": [table.column("slot")[0].as_py() // FAN], "chunk": [table.column("chunk")[0].as_py()],
                          "part": [zlib.compress(total.tobytes(), 1)]}, schema=PART)
 
-    level = cut(docs.select(c(text_col).alias("text")).mapInArrow(count, "slot long, chunk int, part binary"))
+    level = cut(docs.select(c(text_col).alias("text")).mapInArrow(tidy(count), "slot long, chunk int, part binary"))
     while (level.agg(F.max("slot")).first()[0] or 0) > 0:
         level = cut(level.groupBy("chunk", F.floor(F.col("slot") / FAN)).applyInArrow(
             lambda _, table: add(table), "slot long, chunk int, part binary"))

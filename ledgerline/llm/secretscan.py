@@ -25,6 +25,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerline.llm.arrowtext import tidy
 from ledgerline.llm.common import attach, c, cut, digest
 
 
@@ -114,7 +115,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
                 [batch.column(0), pa.array(names, schema.field(1).type), pa.array(found, schema.field(2).type)],
                 schema=schema)
 
-    return todo.select("blob", "text", "rules").mapInArrow(run, LEDGER)
+    return todo.select("blob", "text", "rules").mapInArrow(tidy(run), LEDGER)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
