@@ -1,16 +1,14 @@
-"""String similarity scalars for difference reports.
+"""String similarity scalars for difference reports, all as column expressions.
 
-Edit distance and soundex are Spark built-ins. Jaro-Winkler is not, so it is
-an Arrow-batched pandas UDF; callers apply it to *grouped* value pairs (one row
-per distinct from/to pair), never to raw rows.
+Edit distance and soundex are Spark built-ins. Jaro-Winkler is a fold over the
+characters of one string; callers apply it to *grouped* value pairs (one row per
+distinct from/to pair), never to raw rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 # Fixed values of the Winkler modification (standard definition).
 WINKLER_PREFIX_SCALE = 0.1
@@ -18,65 +16,68 @@ WINKLER_MAX_PREFIX = 4
 WINKLER_BOOST_THRESHOLD = 0.7
 
 
-def jaro(a: str, b: str) -> float:
-    la, lb = len(a), len(b)
-    if la == 0 or lb == 0:
-        return 0.0
-    if a == b:
-        return 1.0
-    window = max(max(la, lb) // 2 - 1, 0)
-    a_hit = [False] * la
-    b_hit = [False] * lb
-    matches = 0
-    for i, ch in enumerate(a):
-        lo, hi = max(0, i - window), min(lb, i + window + 1)
-        for j in range(lo, hi):
-            if not b_hit[j] and b[j] == ch:
-                a_hit[i] = b_hit[j] = True
-                matches += 1
-                break
-    if matches == 0:
-        return 0.0
-    k = transposed = 0
-    for i in range(la):
-        if a_hit[i]:
-            while not b_hit[k]:
-                k += 1
-            if a[i] != b[k]:
-                transposed += 1
-            k += 1
-    t = transposed // 2
-    return (matches / la + matches / lb + (matches - t) / matches) / 3.0
-
-
-def jaro_winkler(a: str, b: str) -> float:
-    sim = jaro(a, b)
-    if sim <= WINKLER_BOOST_THRESHOLD:
-        return sim
-    prefix = 0
-    for x, y in zip(a[:WINKLER_MAX_PREFIX], b[:WINKLER_MAX_PREFIX]):
-        if x != y:
-            break
-        prefix += 1
-    return sim + prefix * WINKLER_PREFIX_SCALE * (1.0 - sim)
-
-
-def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [None if (x is None or y is None) else jaro_winkler(x, y)
-           for x, y in zip(a.astype(object).where(a.notna(), None),
-                           b.astype(object).where(b.notna(), None))]
-    return pd.Series(out, dtype="float64")
-
-
-_UDF = None
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chars(c: Column) -> Column:
+    """The characters of a string; none of the empty string."""
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _matched_places(a: Column, b: Column, window: Column) -> Column:
+    """For each character of ``a`` in order, the place in ``b`` it is matched with: the
+    first equal character within ``window`` that no earlier one has taken."""
+    def step(taken: Column, at: Column) -> Column:
+        low = F.greatest(F.lit(0), at - window)
+        high = F.least(F.size(b) - 1, at + window)
+        near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        free = F.filter(near, lambda j: (F.get(b, j) == F.get(a, at)) & ~F.array_contains(taken["places"], j))
+        found = F.get(free, F.lit(0))
+        return F.struct(
+            F.when(found.isNull(), taken["places"]).otherwise(F.concat(taken["places"], F.array(found))).alias("places"),
+            F.when(found.isNull(), taken["from"]).otherwise(F.concat(taken["from"], F.array(at))).alias("from"))
+
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("places"), none.alias("from"))
+    places = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(none)
+    return F.aggregate(places, start, step)
+
+
+def _jaro(a: Column, b: Column) -> Column:
+    """Jaro similarity of two character arrays."""
+    la, lb = F.size(a), F.size(b)
+    window = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
+
+    def score(hit: Column) -> Column:
+        m = F.size(hit["places"])
+        order = F.array_sort(hit["places"])
+        # Matched characters of both strings in their own order that differ.
+        out = F.size(F.filter(F.arrays_zip(hit["from"].alias("x"), order.alias("y")),
+                              lambda p: F.get(a, p["x"]) != F.get(b, p["y"])))
+        t = F.floor(out / 2)
+        return F.when(m == 0, F.lit(0.0)).otherwise((m / la + m / lb + (m - t) / m) / 3.0)
+
+    return F.when((la == 0) | (lb == 0), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(
+        _let(_matched_places(a, b, window), score))
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:
-    """0..1 similarity; NULL when either side is NULL (Arrow-batched pandas UDF)."""
-    global _UDF
-    if _UDF is None:
-        _UDF = pandas_udf(_jaro_winkler_batch, "double")
-    return _UDF(a.cast("string"), b.cast("string"))
+    """0..1 similarity; NULL when either side is NULL."""
+    def score(x: Column, y: Column) -> Column:
+        def boosted(sim: Column) -> Column:
+            same = [F.coalesce(F.get(x, F.lit(i)) == F.get(y, F.lit(i)), F.lit(False)) for i in range(WINKLER_MAX_PREFIX)]
+            prefix, whole = F.lit(0), F.lit(True)
+            for s in same:
+                whole = whole & s
+                prefix = prefix + F.when(whole, 1).otherwise(0)
+            return F.when(sim <= WINKLER_BOOST_THRESHOLD, sim).otherwise(sim + prefix * WINKLER_PREFIX_SCALE * (1.0 - sim))
+
+        return _let(_jaro(x, y), boosted)
+
+    a, b = a.cast("string"), b.cast("string")
+    return F.when(a.isNotNull() & b.isNotNull(), _let(_chars(a), lambda x: _let(_chars(b), lambda y: score(x, y))))
 
 
 def edit_distance(a: Column, b: Column) -> Column:

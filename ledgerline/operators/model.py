@@ -110,8 +110,8 @@ def create_templates(model: DataFrame) -> DataFrame:
     every = (model.where((F.col("obj_type") == "SCHEMA") & (F.col("privilege") == "ALL") & F.col("kind").isNotNull())
              .withColumn("create_kind", F.try_element_at(kinds, F.col("kind"))).where("create_kind is not null"))
     lowest = every.groupBy("create_kind").agg(F.max(F.struct(
-        F.col("pos").cast("int").alias("pos"), F.col("role").alias("level"), "ar_prefix", "role_owner")).alias("x"))
-    return _template(lowest.select("create_kind", "x.*"), "CREATE", obj_type=F.lit("SCHEMA"), scope=F.lit("CREATE"),
+        F.col("pos").cast("int").alias("pos"), F.col("role").alias("level"), "ar_prefix", "role_owner", "obj_type")).alias("x"))
+    return _template(lowest.select("create_kind", "x.*"), "CREATE", scope=F.lit("CREATE"),
                      privilege=F.concat(F.lit("CREATE "), F.col("create_kind")), kind=F.col("create_kind"))
 
 

@@ -27,8 +27,3 @@ def audit_names(names: DataFrame, col: str = "name") -> DataFrame:
         parsed["error"].alias("parse_error"),
         sch["db"].alias("schema_db"), sch["sc"].alias("schema_sc"), sch["error"].alias("schema_error"))
 
-
-def invalid_names(names: DataFrame, col: str = "name") -> DataFrame:
-    """Names that are neither a valid identifier nor a valid db.schema pair."""
-    a = audit_names(names, col)
-    return a.filter(~F.col("is_unquoted") & ~F.col("is_quoted") & F.col("split_db").isNull())

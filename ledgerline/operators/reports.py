@@ -30,7 +30,7 @@ def sum_overview(overview: DataFrame) -> DataFrame:
 def sum_column(overview: DataFrame, summary: DataFrame) -> DataFrame:
     """V6: per column, share of matching keys and PERFECT / IMPERFECT."""
     o = overview.select("name", "overlap_rowcount")
-    return (summary.join(F.broadcast(o), "name", "inner")
+    return (summary.join(o, "name", "inner")
             .select("name", "col_nm", "overlap_rowcount", "col_diff_cnt",
                     F.round(F.lit(100.0) - F.try_divide(F.col("col_diff_cnt").cast("double") * F.lit(100.0),
                                                         F.col("overlap_rowcount").cast("double")), 3)
@@ -46,7 +46,7 @@ def sum_detail(overview: DataFrame, detail: DataFrame, similarity: bool = True)
     pair); the scalars then run once per distinct pair.
     """
     o = overview.select("name", "overlap_rowcount")
-    g = (detail.join(F.broadcast(o), "name", "inner")
+    g = (detail.join(o, "name", "inner")
          .groupBy("name", "overlap_rowcount", "col_nm", "key_vals", "from_val", "to_val")
          .agg(F.sum("diff_cnt").cast("decimal(38,0)").alias("col_diff_cnt")))
     g = g.withColumn("col_diff_pct", pct(F.col("col_diff_cnt"), F.col("overlap_rowcount")))

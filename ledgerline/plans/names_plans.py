@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerline.functions.identifiers import NAME, UNQUOTED
 from ledgerline.operators.names import audit_names
 from ledgerline.plans.registry import register
 from ledgerline.sources.fixtures import fixture, oracle_cte
 
 CTE = oracle_cte("names")
 
+# The rules again, for the oracle alone: a letter or underscore and up to 254 more
+# letters, digits, underscores or dollar signs; or 1 to 253 printable ASCII
+# characters, quotes included, between quotes.
+UNQUOTED = "[[:alpha:]_][[:alnum:]_$]{0,254}"
+NAME = f'{UNQUOTED}|"[ -~]{{1,253}}"'
+
 
 def _unq(x: str) -> str:
     return f"coalesce(position('\"' in {x}) = 0 and regexp_full_match({x}, '{UNQUOTED}'), false)"

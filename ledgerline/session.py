@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,13 +53,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and build-aside tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins
-    (it is a core setting, read from the session, never overwritten). Only
-    when it is unset (local tests) one scratch folder is created per process.
+    (it is a core setting, read from the session, never overwritten), then a
+    folder set with ``setCheckpointDir``. Where neither is set, one scratch
+    folder is created per process in local mode, where there is one machine; on
+    a cluster that is an error, since executors could not see it.
     """
     global _LOCAL_CHECKPOINT_DIR
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+               or sc.getCheckpointDir())
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_CHECKPOINT_DIR is None:
             _LOCAL_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         current = _LOCAL_CHECKPOINT_DIR
