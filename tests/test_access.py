@@ -67,3 +67,11 @@ def test_patterns_meet_every_name_they_match(spark):
     assert got == want
 
 
+
+
+def test_hierarchies_must_agree(spark):
+    rows = [("DATABASE", 0, "OWN"), ("DATABASE", 1, "VEW"), ("SCHEMA", 0, "OWN"), ("SCHEMA", 1, "EDT"), ("SCHEMA", 2, "VEW")]
+    model = spark.createDataFrame(rows, "obj_type string, pos int, role string")
+    assert sorted(map(tuple, access.lint_hierarchies(model).collect())) == [(1, "VEW", "EDT"), (2, None, "VEW")]
+    same = model.where("pos = 0")
+    assert access.lint_hierarchies(same).count() == 0

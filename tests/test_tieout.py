@@ -137,3 +137,36 @@ def test_negative_zero_equals_zero_on_both_paths(spark):
     t = spark.createDataFrame(rows_t, "k int, x double")
     assert _summary(Tieout(f, t, ["k"], pair_limit=1)) == {"x": 0}
     assert _summary(Tieout(f, t, ["k"], pair_limit=100)) == {"x": 0}
+
+
+def test_column_names_may_be_anything(spark):
+    f = spark.createDataFrame([(1, "x", 2, 3, 4, 5)], "`a.b` int, idx string, c int, m int, n int, cmp int")
+    t = spark.createDataFrame([(1, "y", 2, 3, 4, 6)], "`a.b` int, idx string, c int, m int, n int, cmp int")
+    assert _summary(Tieout(f, t, ["a.b"])) == {"idx": 1, "c": 0, "m": 0, "n": 0, "cmp": 1}
+    assert _summary(Tieout(f, t, ["c", "m"])) == {"a.b": 0, "idx": 1, "n": 0, "cmp": 1}
+    row = Tieout(f, t, ["a.b"]).detail().where("col_nm = 'cmp'").first()
+    assert row.data_vals == '{"a.b":1,"__to_val":6,"__from_val":5}'
+
+
+def test_hot_key_weight_exceeds_a_bigint(spark):
+    f = spark.range(60_000).select(F.lit(1).alias("k"), F.lit("a").alias("v"))
+    t = spark.range(60_000).select(F.lit(1).alias("k"), F.lit("b").alias("v"))
+    assert _summary(Tieout(f, t, ["k"])) == {"v": 60_000 ** 4}
+
+
+def test_unlike_types_are_compared_by_value(spark):
+    f = spark.sql("select 1 as k, cast(1.5 as decimal(10,2)) as d, 1 as i, date'2024-01-02' as t, "
+                  "map('a', 1, 'b', 2) as m, struct(timestamp'2024-01-01 00:00:00.000001' as x) as s, 1.0f as r")
+    t = spark.sql("select 1 as k, cast(1.5 as decimal(12,4)) as d, 1.0d as i, timestamp'2024-01-02 00:00:00' as t, "
+                  "map('b', 2, 'a', 1) as m, struct(timestamp'2024-01-01 00:00:00.000002' as x) as s, cast('1' as string) as r")
+    want = {"d": 0, "i": 0, "t": 0, "m": 0, "s": 1, "r": 1}  # 1.0 and the text 1 have no common type
+    assert _summary(Tieout(f, t, ["k"])) == want
+    twice = [x.union(x) for x in (f, t)]
+    assert _summary(Tieout(*twice, ["k"], multiplicity="pairs")) == {k: 4 * v for k, v in want.items()}
+
+
+def test_value_counts_of_a_hot_key(spark):
+    f = spark.createDataFrame([(1, f"v{i}") for i in range(1000)] + [(2, "a"), (3, "a")], "k int, v string")
+    t = spark.createDataFrame([(1, f"v{i + 1}") for i in range(1000)] + [(2, "b"), (4, "a")], "k int, v string")
+    got = sorted(tuple(r) for r in Tieout(f, t, ["k"]).value_counts().collect())
+    assert got == [(1, "v", "v0", 1, 0), (1, "v", "v1000", 0, 1), (2, "v", "a", 1, 0), (2, "v", "b", 0, 1)]
