@@ -49,6 +49,14 @@ def small_batches(spark):
         spark.conf.set(name, was)
 
 
+def text_batches(spark) -> None:
+    """Let the session pass whole texts to Python in batches of ROWS rows, unless its
+    batch size has been set: for results whose Python stage runs in the caller's write."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(ROWS))
+
+
 def tidy(run):
     """``run`` over a task's batches; then give freed memory back to the system, since
     the worker process stays for later tasks."""

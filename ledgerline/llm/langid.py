@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerline.llm.arrowtext import text_batches
 from ledgerline.llm.common import c
 
 ORDER = 3
@@ -220,6 +221,7 @@ def predictor(spark, trees: ContextTrees | None):
     if trees is None:
         return lambda text: F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(trees)
+    text_batches(spark)
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:

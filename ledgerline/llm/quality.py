@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm.arrowtext import coded_words, text_slices, tidy
+from ledgerline.llm.arrowtext import coded_words, text_batches, text_slices, tidy
 from ledgerline.llm.common import c, cut
 from ledgerline.llm.langid import held_out
 
@@ -195,6 +195,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000, cut_at
         score = F.lit(float(y.mean()) if len(y) else 0.5)
     else:
         network = spark.sparkContext.broadcast(Network(x, y))
+        text_batches(spark)
 
         @F.arrow_udf("double")
         def predict(texts: pa.Array) -> pa.Array:
