@@ -60,8 +60,7 @@ def main(argv) -> int:
                  f"Generated by `python -m ledgerline.plans.explain {sf_dir}` (initial adaptive plans).\n"
                  "Shuffle = hash / single-partition exchanges; scans list the columns read and the\n"
                  "filters pushed into parquet. Broadcasts on these sizes are Catalyst's choice below\n"
-                 "`spark.sql.autoBroadcastJoinThreshold`, except the explicit, size-checked ones\n"
-                 "(role-spec rules, privilege model, column lists, one-row aggregates).\n\n"
+                 "`spark.sql.autoBroadcastJoinThreshold`; no hint forces one.\n\n"
                  "| query | shuffles | broadcasts | joins | other operators | scans |\n"
                  "| --- | --- | --- | --- | --- | --- |\n")
         fh.write("\n".join(rows) + "\n")
