@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerline.functions.compare import (JSON_OPTIONS, as_json, as_text, common_type, compare_type, compare_value,
-                                          differs)
+                                          differs, has_map)
 
 MULTIPLICITIES = ("reference", "pairs")
 SALTS = 16
@@ -266,6 +266,8 @@ class Tieout:
         t = compare_type(self._common[i], self.case_insensitive, self.null_as_blank)
         if t is None:
             return StringType()
+        if not has_map(t):
+            return t
         # What comparable() makes of the type: maps become sorted entries.
         value = self._rows("f").select(self._cmp("f", i, F.col(f"__tie_v{i}")))
         return value.schema[0].dataType
