@@ -12,9 +12,10 @@ verification, connected components by alternating large-star and small-star.
    LOOSE differ by more than a link allows.) Pairs that pass ESTIMATE are
    confirmed on the full sets of the whole texts, and components follow.
 3. Families that still hold several components are finished exactly: members
-   are dealt into cells of bounded size (the largest component against the
-   others, the others among themselves); a cell intersects the full sets of all
-   its pairs at once and returns a spanning forest of the links it finds.
+   are dealt into cells of two blocks (a block of the largest component against
+   a block of the others, the others' blocks among themselves); a cell intersects
+   the full sets of its pairs at once and returns a spanning forest of the links
+   it finds.
 4. What no leader took in after ROUNDS rounds (texts that share a passage, not
    their bulk) meets in cells of its bucket by signature, and what passes is
    confirmed on full sets. No pair that shares a bucket goes untested, whatever
@@ -242,8 +243,10 @@ def families(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
 def cells(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Deal the (key, node) rows of each key into cells (key, i, j) of about two
     BLOCKs, so that two members of different groups of ``groups`` (node, root)
-    meet in one: blocks of the largest group meet the others, and the others meet
-    each other. Keys with one group are done."""
+    meet in one: block i of the largest group meets block k of the others in
+    (i, -1 - k), and blocks i and j of the others meet in (i, j). Rows of a cell
+    with the same ``side`` are not compared: in the first kind that is all of the
+    others, in the second a group. Keys with one group are done."""
     labelled = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(
@@ -252,34 +255,37 @@ def cells(members: DataFrame, groups: DataFrame) -> DataFrame:
         "key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
     rows = labelled.join(mixed, "key")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    own, home = (F.pmod(F.xxhash64("node"), F.col(n)) for n in ("blocks", "top_blocks"))
     among = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-        F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.col("root").alias("side")))
     against = F.transform(F.sequence(F.lit(0), F.col("top_blocks") - 1), lambda i: F.struct(
-        i.alias("i"), F.lit(-1).cast("long").alias("j")))
-    home = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("top_blocks")).alias("i"), F.lit(-1).cast("long").alias("j")))
-    return (rows.withColumn("cell", F.explode(F.when(F.col("root") == F.col("top"), home)
+        i.alias("i"), (-1 - own).alias("j"), F.lit(-1).cast("long").alias("side")))
+    top = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+        home.alias("i"), (-1 - k).alias("j"), F.col("root").alias("side")))
+    return (rows.withColumn("cell", F.explode(F.when(F.col("root") == F.col("top"), top)
                                               .otherwise(F.concat(against, among))))
-            .select("key", "cell.i", "cell.j", "node", "root"))
+            .select("key", "cell.i", "cell.j", "cell.side", "node", "root"))
 
 
-def near_in_cell(node: np.ndarray, root: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
-    """For each row but the last, the later rows of another group that pass the estimate."""
-    least = minima(ESTIMATE)
-    return [np.flatnonzero((root[i + 1:] != root[i]) & ((sig[i + 1:] == sig[i]).sum(1) >= least)) + i + 1
-            for i in range(len(node) - 1)]
+def near_in_cell(side: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
+    """For each row but the last, the later rows of another side that pass the estimate."""
+    least, out = minima(ESTIMATE), []
+    for i in range(len(side) - 1):
+        later = np.flatnonzero(side[i + 1:] != side[i]) + i + 1
+        out.append(later[(sig[later] == sig[i]).sum(1) >= least])
+    return out
 
 
-def _cell(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cell(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, roots and the near rows of each of a cell."""
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(table.num_rows, -1)
-    return table.column("node").to_numpy(), table.column("root").to_numpy(), sig
+    return table.column("node").to_numpy(), table.column("root").to_numpy(), near_in_cell(table.column("side").to_numpy(), sig)
 
 
 def pairs_in_cells(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different groups that pass the signature estimate."""
     def run(table: pa.Table) -> pa.Table:
-        node, root, sig = _cell(table)
-        near = near_in_cell(node, root, sig)
+        node, root, near = _cell(table)
         left = np.repeat(node[:-1], [len(x) for x in near])
         right = node[np.concatenate(near)] if near else left
         return pa.table({"a": np.maximum(left, right), "b": np.minimum(left, right)})
@@ -309,8 +315,7 @@ def links_in_cells(dealt: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
     """A spanning forest (a, b) of the links between different groups in each cell;
     ``sets`` has node and shingles (sorted 64-bit hashes)."""
     def run(table: pa.Table) -> pa.Table:
-        node, root, sig = _cell(table)
-        near = near_in_cell(node, root, sig)
+        node, root, near = _cell(table)
         some = np.unique(np.concatenate([[i, *x] for i, x in enumerate(near) if len(x)] or [[]])).astype(int)
         out = []
         if len(some):

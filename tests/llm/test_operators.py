@@ -542,3 +542,16 @@ def test_keep_one_each_of_near_copies(make_docs):
     kept = neardup.keep_one_each(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {top for _, top in brute_components(rows, 5, 80).values()}
+
+
+@pytest.mark.parametrize("largest", [1, 200])
+def test_cells_are_bounded_and_hold_every_pair(spark, monkeypatch, largest):
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    members = spark.range(700).selectExpr("cast(5 as long) as key", "id as node")
+    groups = spark.range(largest).selectExpr("id as node", "cast(0 as long) as root")  # the others stand alone
+    held = defaultdict(list)
+    for r in neardup.cells(members, groups).collect():
+        held[r.key, r.i, r.j].append((r.node, r.side))
+    assert max(map(len, held.values())) <= 4 * neardup.BLOCK
+    met = {frozenset((a, b)) for cell in held.values() for a, x in cell for b, y in cell if x != y}
+    assert met == {frozenset((a, b)) for a in range(700) for b in range(max(a + 1, largest), 700)}
