@@ -8,8 +8,9 @@ document's score is the mean weight of its n-grams; it is kept if no base rule
 fails it and the score is at least ``least`` (a fixed threshold: the verdict
 of a document depends on the weights and its own text alone).
 
-The target is named by ids; at most ``trusted`` of them are used, those of
-smallest hash (the bound of the broadcast). Raw counts cover all documents.
+The target is named by ids, and every document with one of them counts: ids and
+documents meet in a join, documents as their bucket numbers (two bytes each).
+Raw counts cover all documents.
 
 Defined results: a null text has no words (n_words 0, base_failed true);
 repeated rows and ids are judged each; an empty table gives no rows; extra
@@ -26,7 +27,6 @@ from ledgerline.llm.common import SPACES, c, cut, let, words
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 16_384
 UNIT = 1_000_000
-TRUSTED = 100_000
 LEAST = -0.08
 
 
@@ -90,14 +90,15 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("word_hash", F.transform("word", lambda w: F.xxhash64(w)))
 
 
-def weights(docs: DataFrame, trusted_ids: DataFrame, trusted: int = TRUSTED, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
+def weights(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, weight) for all BUCKETS: the log-likelihood ratio, in 1/UNIT."""
-    few = trusted_ids.select(c(id_col).alias("doc_id")).where("doc_id is not null").distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(trusted)
-    marked = hashed(docs, id_col, text_col).join(
-        F.broadcast(few.withColumn("_target", F.lit(1))), "doc_id", "left")
-    grams = marked.select(F.coalesce("_target", F.lit(0)).alias("target"), F.explode(buckets(F.col("word_hash"))).alias("bucket"))
+    target = trusted_ids.select(c(id_col).alias("doc_id")).where("doc_id is not null").distinct()
+    # Bucket numbers, below 2^15, cross the exchange instead of texts.
+    rows = hashed(docs, id_col, text_col).select("doc_id", buckets(F.col("word_hash")).cast("array<smallint>").alias("buckets"))
+    marked = rows.join(target.withColumn("_target", F.lit(1)), "doc_id", "left")
+    # Outer: a plain explode has the optimizer test size(buckets) below, with every word hashed anew for
+    # each gram. The null bucket of a text without words joins nothing.
+    grams = marked.select(F.coalesce("_target", F.lit(0)).alias("target"), F.explode_outer("buckets").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = cut(every.join(counts, "bucket", "left").select(
@@ -107,10 +108,10 @@ def weights(docs: DataFrame, trusted_ids: DataFrame, trusted: int = TRUSTED, id_
     return full.select("bucket", F.round(ratio * UNIT).cast("long").alias("weight"))
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, trusted: int = TRUSTED, least: float = LEAST,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, trusted_ids: DataFrame, least: float = LEAST, id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, kept, score per document."""
-    table = {r.bucket: r.weight for r in weights(docs, trusted_ids, trusted, id_col, text_col).collect()}
+    table = {r.bucket: r.weight for r in weights(docs, trusted_ids, id_col, text_col).collect()}
     weight = F.split(F.lit(",".join(str(table[b]) for b in range(BUCKETS))), ",").cast("array<bigint>")
     rows = hashed(docs, id_col, text_col)
     total = F.aggregate(buckets(F.col("word_hash")), F.lit(0).cast("long"), lambda s, b: s + F.get(weight, b))

@@ -440,6 +440,12 @@ def test_scores_against_brute_force(make_docs, spark):
         assert r.score is None if not g else r.score == pytest.approx(sum(weight) / 1e6 / len(g), abs=1e-6)
 
 
+def test_every_trusted_document_counts(spark):
+    # More ids than a bound of 100,000 would take: target and raw corpus are the same.
+    docs = spark.range(110_000).selectExpr("id as doc_id", "concat('w', id % 5000) as text")
+    assert {r.weight for r in rules.weights(docs, docs.select("doc_id")).collect()} == {0}
+
+
 # -- 9 mixing -------------------------------------------------------------------------------------
 
 def water_fill(sizes):
