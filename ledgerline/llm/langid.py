@@ -10,8 +10,9 @@ bits, and scoring adds table entries, which makes sums exact and independent
 of batches. The language with the shortest code wins; ties go to the smaller
 name.
 
-Training reads whole texts of at most ``per_lang`` labelled documents of each
-language (those with the smallest text hash): the bound of what is fitted.
+Training reads whole texts of each language, at most ``per_lang`` distinct ones
+(those with the smallest text hash): the bound of what is fitted. Copies of a
+text count once.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text when nothing was learned. ``score`` is the winner's share
@@ -159,17 +160,18 @@ class ContextTrees:
 
 
 def bounded_sample(labelled: DataFrame, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` rows of each language, those of smallest text hash."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
+    """At most ``per_lang`` distinct texts of each language, those of smallest text hash."""
+    rank = F.xxhash64("text")
+    counts = labelled.select("lang", rank.alias("rank")).distinct().groupBy("lang").agg(
+        F.count("*").alias("n")).collect()  # one row per language
     if not counts:
         return labelled
-    rank = F.xxhash64("text")
     # A first cut by hash, so that the exact one below ranks few rows in a task.
     near = reduce(lambda a, b: a | b, [
         (F.col("lang") == r.lang) & (F.pmod(rank, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.25 * per_lang / r.n)))
         for r in counts])
     order = Window.partitionBy("lang").orderBy(F.pmod(rank, F.lit(1 << 30)), "text")
-    return labelled.where(near).withColumn("_rank", F.row_number().over(order)).where(
+    return labelled.where(near).select("lang", "text").distinct().withColumn("_rank", F.row_number().over(order)).where(
         F.col("_rank") <= per_lang).drop("_rank")
 
 

@@ -112,6 +112,12 @@ def test_training_sample_is_bounded(make_docs):
     assert all(0 < r["count"] <= 20 for r in kept) and len(kept) == 2
 
 
+def test_copies_count_once_in_the_training_sample(make_docs):
+    docs = make_docs([(i, f"text {i % 30}", "en") for i in range(600)])
+    texts = [r.text for r in langid.bounded_sample(docs.select("lang", "text"), 40).collect()]
+    assert sorted(texts) == sorted({f"text {i}" for i in range(30)})
+
+
 # -- 2 sharding --------------------------------------------------------------------
 
 def test_longest_first_uses_the_least_loaded_shard():
