@@ -7,7 +7,7 @@ each stage's result to the shared checkpoint folder before the next reads it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm import exact, langid, mixing, neardup, packing
 from ledgerline.llm.common import c, cut
@@ -15,10 +15,13 @@ from ledgerline.sources.tables import read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter, or text, go."""
-    guess = langid.predictor(spark, langid.learn(docs.where(~langid.held_out())))
-    found = docs.withColumn("_found", guess(c("text")))
-    return found.where("_found.lang_pred <> 'und'").select(*[c(n) for n in docs.columns])
+    """Documents whose bytes a learned language codes in fewer than 8 bits each; those
+    without a letter, or text, go. With nothing learned, all with a letter stay."""
+    trees = langid.learn(docs.where(~langid.held_out()))
+    lettered = F.coalesce(c("text").rlike(r"\p{L}"), F.lit(False))
+    unlike = langid.unlike_any(spark, trees)
+    return docs.where(lettered).withColumn("_unlike", unlike(c("text"))).where(~F.col("_unlike")).select(
+        *[c(n) for n in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

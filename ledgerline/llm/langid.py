@@ -34,6 +34,7 @@ from ledgerline.llm.common import c
 ORDER = 3
 UNIT = 4096  # code lengths are kept in 1/UNIT bits
 START = 10  # the byte that stands before a text, ORDER times
+UNIFORM = 8  # bits a byte of the code that knows no language
 SLICE = 2_000_000  # bytes scored at once
 
 
@@ -247,6 +248,23 @@ def predictor(spark, trees: ContextTrees | None):
     return column
 
 
+def unlike_any(spark, trees: ContextTrees | None):
+    """Column function: text -> whether its code under every learned language is no
+    shorter than its bytes (UNIFORM bits each). False where nothing was learned."""
+    if trees is None:
+        return lambda text: F.lit(False)
+    shared = spark.sparkContext.broadcast(trees)
+    text_batches(spark)
+
+    @F.arrow_udf("boolean")
+    def unlike(texts: pa.Array) -> pa.Array:
+        raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        size = np.array([len(t) for t in raw], np.int64)
+        return pa.array(shared.value.code_lengths(raw).min(1) >= UNIFORM * UNIT * size)
+
+    return unlike
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows kept from training: crc32 of the id as text, remainder 2 of 4."""
     return F.coalesce(F.crc32(c(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -118,6 +118,26 @@ def test_copies_count_once_in_the_training_sample(make_docs):
     assert sorted(texts) == sorted({f"text {i}" for i in range(30)})
 
 
+def test_the_pipeline_keeps_what_a_language_explains(make_docs, spark):
+    import corpus_pipeline
+    clean = [("the cat sat on the mat and the dog ran to the house", "en"),
+             ("der Hund und die Katze sind über die Straße gelaufen", "de")] * 8
+    other = [("η γάτα κάθισε στο χαλί", None), ("1234", None), (None, None)]
+    docs = make_docs([(i, t, x) for i, (t, x) in enumerate(clean + other)])
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(16))
+    bare = make_docs([(i, t, None) for i, (t, _) in enumerate(clean + other)])
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, bare, "").collect()) == list(range(17))
+
+
+def test_no_given_document_in_a_language_is_rejected(spark, sf):
+    import corpus_pipeline
+    from ledgerline.sources.tables import read_table
+    docs = read_table(spark, sf, "documents")
+    kept = corpus_pipeline.language_id(spark, docs, sf).count()
+    assert kept == docs.where(r"text rlike '\\p{L}'").count()
+
+
 # -- 2 sharding --------------------------------------------------------------------
 
 def test_longest_first_uses_the_least_loaded_shard():
