@@ -22,8 +22,9 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder, in folders ``by``
+    column values if any are named, and read it back.
 
     Cuts the lineage and survives lost executors; the schema is passed on, so
     an empty frame reads back empty.
@@ -31,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

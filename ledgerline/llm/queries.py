@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import exact, langid, mixing, neardup, packing, quality, rules, secretscan, sharding, warc
+from ledgerline.llm import (
+    exact, fim, langid, linedup, mixing, neardup, packing, quality, rules, search, secretscan, sharding, warc)
+from ledgerline.llm.common import cut
 from ledgerline.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -68,6 +70,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dedup(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linedup.drop_common_lines(read_table(spark, sf_dir, "documents"), least=10, min_chars=1)
+    return cut(kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(read_table(spark, sf_dir, "documents"))
+    return search.search(index, read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+    return cut(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                           F.sha2("output", 256).alias("output_sha256"),
+                           F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")))
+
+
 ORACLES["op3_exact_dedup"] = exact.ORACLE
 ORACLES["op7_warc"] = warc.ORACLE
 ORACLES["op9_mixing"] = mixing.ORACLE
+ORACLES["op11_line_dedup"] = linedup.ORACLE
+ORACLES["op12_ranked_search"] = search.ORACLE
+ORACLES["op13_fill_in_middle"] = fim.ORACLE
