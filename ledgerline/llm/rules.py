@@ -93,9 +93,10 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def weights(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, weight) for all BUCKETS: the log-likelihood ratio, in 1/UNIT."""
     target = trusted_ids.select(c(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    # Bucket numbers, below 2^15, cross the exchange instead of texts.
+    # Bucket numbers, below 2^15, cross the exchange instead of texts; one plan at
+    # all sizes, so few ids are not broadcast either.
     rows = hashed(docs, id_col, text_col).select("doc_id", buckets(F.col("word_hash")).cast("array<smallint>").alias("buckets"))
-    marked = rows.join(target.withColumn("_target", F.lit(1)), "doc_id", "left")
+    marked = rows.join(target.withColumn("_target", F.lit(1)).hint("merge"), "doc_id", "left")
     # Outer: a plain explode has the optimizer test size(buckets) below, with every word hashed anew for
     # each gram. The null bucket of a text without words joins nothing.
     grams = marked.select(F.coalesce("_target", F.lit(0)).alias("target"), F.explode_outer("buckets").alias("bucket"))
