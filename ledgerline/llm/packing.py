@@ -37,7 +37,7 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Texts to token ids, word by word, through a bounded store of words.
+    """Texts to token ids, word by word, through a bounded store of letter runs.
 
     The tokenizer's own pre-tokenizer drops white space and never joins across
     it, so the ids of a text are those of its words in order. A batch is split
@@ -46,7 +46,8 @@ class WordIds:
     the tokenizer's model; anything else goes through the whole tokenizer.
     """
 
-    FULL = 250_000
+    FULL = 200_000  # runs in the store, none longer than LONG characters: some 30 MB
+    LONG = 64
     # The pre-tokenizer's split pattern, a fixed value of the tokenizer, for
     # characters below U+0250 (there the numbers are the digits and these six).
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+"
@@ -61,7 +62,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.split = re.compile(self.SPLIT).findall
-        self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
         # Byte-level alphabet: printable Latin-1 stands for itself, the other
         # bytes for the code points from 256 on.
@@ -73,7 +73,9 @@ class WordIds:
         ids = self.runs.get(run)
         if ids is None:
             symbols = run if run.isascii() else "".join(self.alphabet[b] for b in run.encode())
-            ids = self.runs[run] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+            if len(run) <= self.LONG:
+                self.runs[run] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -86,18 +88,9 @@ class WordIds:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def _ids(self, distinct: list[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > self.FULL:
-            known.clear()
         if len(self.runs) > self.FULL:
             self.runs.clear()
-        out = []
-        for word in distinct:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            out.append(ids)
-        return out
+        return [self._word(word) if word else b"" for word in distinct]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids end (from 0)."""
