@@ -10,8 +10,6 @@ last written table, not from the compared tables.
 from __future__ import annotations
 
 import os
-import time
-import uuid
 from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +18,15 @@ from pyspark.sql import functions as F
 from ledgerline.operators import access, drift, reports, snapshot
 from ledgerline.operators.tieout import Tieout, Validation
 from ledgerline.sources import sinks, specs
+from ledgerline.sources.commits import CommitLog, Conflict, Folder
+from ledgerline.sources.datasets import new_version
 
 def tieout_target(spark: SparkSession, validations: Sequence[Validation],
                   tables: Mapping[str, DataFrame] | Callable[[str], DataFrame], output_root: str,
                   prefix: str = "TIEOUT", **options) -> dict[str, str]:
-    """Compare every validation of a target and write the eight outputs.
+    """Compare every validation of a target and write the eight outputs, which
+    replace those of the run before together (:class:`~ledgerline.sources.sinks.OutputSet`):
+    read them with :func:`~ledgerline.sources.sinks.current_outputs`. Their paths.
 
     ``tables`` maps the spec's table names to DataFrames, or is a function
     resolving a name (e.g. ``spark.table``). ``options`` go to :class:`Tieout`
@@ -33,20 +35,18 @@ def tieout_target(spark: SparkSession, validations: Sequence[Validation],
     resolve = tables if callable(tables) else tables.__getitem__
     touts = [Tieout(resolve(v.from_tbl), resolve(v.to_tbl), list(v.key), name=v.name, from_tbl=v.from_tbl,
                     to_tbl=v.to_tbl, ignore_cols=v.ignore_cols, **options) for v in validations]
-    base = os.path.join(output_root, prefix)
-    frames = sinks.write_tieout_frames(spark, touts, base)
-    paths = {k: os.path.join(base, k) for k in frames}
+    run = sinks.OutputSet(spark, os.path.join(output_root, prefix))
+    frames = sinks.write_tieout_frames(spark, touts, run.folder())
     overview, summary, detail = (frames[k] for k in ("1_OVERVIEW", "2_COLUMNS_SUMMARY", "3_COLUMNS_DETAIL"))
     sum_col = reports.sum_column(overview, summary)
-    outs = {
+    reported = {
         "5_SUM_OVERVIEW": reports.sum_overview(overview),
         "6_SUM_COLUMN": sum_col,
         "7_SUM_DETAIL": reports.sum_detail(overview, detail),
         "8_SUM_FIELD": reports.sum_field(sum_col),
     }
-    for k, df in outs.items():
-        paths[k] = sinks.write_table(df, os.path.join(base, k))
-    return paths
+    frames |= {k: sinks.write_and_read(df, os.path.join(run.folder(), k)) for k, df in reported.items()}
+    return run.publish(frames)
 
 
 def tieout_from_yaml(spark: SparkSession, yaml_paths: Sequence[str], target: str,
@@ -94,9 +94,6 @@ def remove_copies(tables: DataFrame, metrics: DataFrame, from_db: str, from_sc:
     return drift.drop_tables(drift.removal_plan(tables, metrics, from_db, from_sc, to_db, to_sc), data_path)
 
 
-VERSIONS = "version string, manifest string"
-
-
 def export_snapshot(spark: SparkSession, objects: DataFrame, manifest: DataFrame, output_root: str,
                     run_ts: Column | None = None, delete: bool = False,
                     scope: DataFrame | None = None) -> dict[str, str]:
@@ -104,11 +101,12 @@ def export_snapshot(spark: SparkSession, objects: DataFrame, manifest: DataFrame
 
     Content is added as a version of its own; the manifest says for each file
     which version holds it, so unchanged files stay where they are. The manifest
-    is written aside and named last, by one appended row: the newest named one
-    counts, so an interrupted run leaves the previous one in force.
+    is written aside and committed last, so an interrupted run leaves the previous
+    one in force and a run that another one overtook is refused.
     """
     run_ts = run_ts if run_ts is not None else F.current_timestamp().cast("timestamp_ntz")
-    version = f"v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    log = CommitLog(spark, os.path.join(output_root, "commits"))
+    began, version = log.current(), new_version()
     changed = sinks.write_and_read(snapshot.changes(objects, manifest, delete=delete, scope=scope),
                                    os.path.join(output_root, "changes", version))
     todo = changed.filter(F.col("status").isin("NEW", "CHANGED"))
@@ -120,15 +118,14 @@ def export_snapshot(spark: SparkSession, objects: DataFrame, manifest: DataFrame
         following = following.unionByName(outside, allowMissingColumns=True)
     path = os.path.join(output_root, "manifest", version)
     sinks.write_table(following, path)
-    spark.createDataFrame([(version, path)], VERSIONS).coalesce(1).write.mode("append").json(
-        os.path.join(output_root, "versions"))
+    log.commit({"manifest": version}, after=began.number)
     return {"changes": os.path.join(output_root, "changes", version), "content": content_path, "manifest": path}
 
 
 def current_manifest(spark: SparkSession, output_root: str) -> DataFrame:
     """The manifest the last completed :func:`export_snapshot` run named."""
-    named = spark.read.schema(VERSIONS).json(os.path.join(output_root, "versions"))
-    return spark.read.parquet(named.agg(F.max_by("manifest", "version")).first()[0])
+    now = CommitLog(spark, os.path.join(output_root, "commits")).current()
+    return spark.read.parquet(os.path.join(output_root, "manifest", now.state["manifest"]))
 
 
 def current_content(spark: SparkSession, output_root: str) -> DataFrame:
@@ -138,6 +135,55 @@ def current_content(spark: SparkSession, output_root: str) -> DataFrame:
     return snapshot.file_text(parts.join(listed, [*snapshot.KEYS, "version"], "left_semi"))
 
 
+def vacuum_snapshot(spark: SparkSession, output_root: str, small: int = 100_000) -> dict[str, list[str]]:
+    """K7, E5: give back what replaced and vanished files hold.
+
+    Stored parts meet the current manifest in one join, counted per version. A
+    version without a live part is removed; one that is partly dead, or holds fewer
+    than ``small`` parts, is rewritten: its live parts, with those of all others
+    like it, become one new version, the manifest is committed to name it, and only
+    then are the old folders removed, with the manifests and change lists before
+    it. Versions that are whole and large are not touched. Returns the versions
+    ``removed`` and the one ``written``. A run that commits meanwhile makes this one
+    raise Conflict, with nothing removed.
+    """
+    log = CommitLog(spark, os.path.join(output_root, "commits"))
+    began = log.current()
+    store = Folder(spark, os.path.join(output_root, "content"))
+    if not began.number or not store.names():
+        return {"removed": [], "written": []}
+    listed = current_manifest(spark, output_root)
+    parts = sinks.read_snapshot(spark, store.path)
+    held = {r.version: r for r in sinks.snapshot_usage(parts, listed).collect()}  # a row per run since the last vacuum
+    stored = [n.removeprefix("version=") for n in store.names() if n.startswith("version=")]
+    dead = [v for v in stored if v <= began.state["manifest"] and (v not in held or not held[v].n_live)]
+    again = [v for v, r in held.items() if 0 < r.n_live < r.n_parts or 0 < r.n_live < small]
+    if len(again) == 1 and held[again[0]].n_live == held[again[0]].n_parts:
+        again = []  # small, but whole and alone
+    version = new_version()
+    written = [version] if again else []
+    if again:
+        names = [*snapshot.KEYS, "version"]
+        live = parts.where(F.col("version").isin(again)).join(listed.select(names), names, "left_semi")
+        sinks.write_snapshot(live, store.path, version)
+        moved = F.when(F.col("version").isin(again), F.lit(version)).otherwise(F.col("version"))
+        listed = listed.withColumn("version", moved)
+        sinks.write_table(listed, os.path.join(output_root, "manifest", version))
+        try:
+            log.commit({"manifest": version}, after=began.number)
+        except Conflict:
+            store.remove(f"version={version}")
+            raise
+    for v in (*dead, *again):
+        store.remove(f"version={v}")
+    root = Folder(spark, output_root)
+    for old in log.last(1_000)[:-1]:
+        root.remove("manifest", old.state["manifest"])
+        root.remove("changes", old.state["manifest"])
+        log.forget(old.number)
+    return {"removed": [*dead, *again], "written": written}
+
+
 def materialise_grants(spark: SparkSession, raw_db: DataFrame, databases: DataFrame, raw_sc: DataFrame,
                        schemata: DataFrame, grants_to_roles: DataFrame, prefix: str = "") -> dict[str, str]:
     """A1-A3 with K6: each grant table built aside and swapped in as a view."""

@@ -14,13 +14,11 @@ tables themselves is only touched by :func:`refresh_dataset` and :func:`drop_tab
 
 from __future__ import annotations
 
-import os
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources.datasets import Dataset
+
 NAME_COLS = ["table_catalog", "table_schema", "table_name"]
 
 # Refresh reason texts, in the order they are reported.
@@ -187,32 +185,30 @@ def refresh_rows(plan: DataFrame, data: DataFrame, db_sc_col: str = "db_sc",
 
 
 def refresh_dataset(plan: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> DataFrame:
-    """C10 applied to a dataset of versions under ``path`` (see :func:`current_dataset`):
-    a new version holds every other table as it was and each refreshed copy with its
-    source's rows, so a copy of an emptied source is empty. Named last."""
-    data = current_dataset(plan.sparkSession, path)
-    gone = plan.filter(F.col("action") == "REFRESH").select(
-        F.col("clone_db_sc").alias(db_sc_col), F.col("table_name").alias(table_col)).distinct()
-    kept = data.join(gone, [db_sc_col, table_col], "left_anti")
-    return new_dataset(kept.unionByName(refresh_rows(plan, data, db_sc_col, table_col)), path)
+    """C10 applied to the dataset under ``path``: every refreshed copy is written anew
+    with its source's rows, and nothing else is. A copy of an emptied source is
+    listed, without rows. Returns the dataset as it now is."""
+    store = Dataset(plan.sparkSession, path, db_sc_col, table_col)
+    todo = plan.filter(F.col("action") == "REFRESH")
+    copies, sources = (todo.select(F.col(n).alias(db_sc_col), F.col("table_name").alias(table_col))
+                       for n in ("clone_db_sc", "src_db_sc"))
+    store.replace(lambda read: refresh_rows(plan, read(sources), db_sc_col, table_col), copies)
+    return store.read()
 
 
 def drop_tables(plan: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> DataFrame:
-    """C12 applied: a new version without the tables the plan drops."""
-    gone = plan.select(F.col("clone_db_sc").alias(db_sc_col), F.col("table_name").alias(table_col)).distinct()
-    return new_dataset(current_dataset(plan.sparkSession, path).join(gone, [db_sc_col, table_col], "left_anti"), path)
+    """C12 applied: the tables the plan drops leave the manifest; no row is written."""
+    store = Dataset(plan.sparkSession, path, db_sc_col, table_col)
+    store.replace(None, plan.select(F.col("clone_db_sc").alias(db_sc_col), F.col("table_name").alias(table_col)), drop=True)
+    return store.read()
 
 
 def new_dataset(data: DataFrame, path: str) -> DataFrame:
-    """Write ``data`` as a new version under ``path`` and name it the current one."""
-    version = f"v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
-    where = os.path.join(path, version)
-    data.write.parquet(where)
-    data.sparkSession.createDataFrame([(version, where)], "version string, path string").coalesce(1).write.mode(
-        "append").json(os.path.join(path, "_versions"))
-    return data.sparkSession.read.schema(data.schema).parquet(where)
+    """Write all tables of ``data`` to the dataset under ``path``."""
+    store = Dataset(data.sparkSession, path)
+    store.create(data)
+    return store.read()
 
 
 def current_dataset(spark: SparkSession, path: str) -> DataFrame:
-    named = spark.read.schema("version string, path string").json(os.path.join(path, "_versions"))
-    return spark.read.parquet(named.agg(F.max_by("path", "version")).first()[0])
+    return Dataset(spark, path).read()

@@ -88,6 +88,28 @@ def warehouse_grants(spark, sf_dir):
     return _inputs(spark, sf_dir)["wh_grants"]
 
 
+@register("grants_swapped", CTE + _GRANTS_SQL + "\nselect *, 2::bigint as versions_kept from whg")
+def grants_swapped(spark, sf_dir):
+    """K6 for A3: the grant table built aside and swapped in three times, the last
+    build read back through its name; a writer that was overtaken changes nothing."""
+    import uuid
+
+    from ledgerline.sources.commits import Conflict
+    from ledgerline.sources.sinks import Swap
+
+    name = f"allgrantswh_{uuid.uuid4().hex[:12]}"
+    grants = _inputs(spark, sf_dir)["wh_grants"]
+    swap, late = Swap(spark, name, keep=2), Swap(spark, name, keep=2)
+    stale = late.begin()
+    for build in (grants.limit(0), grants.where("wh_name is null"), grants):
+        swap.finish(build)
+    try:
+        late.finish(grants.limit(0), stale)
+    except Conflict:
+        pass
+    return spark.table(name).withColumn("versions_kept", F.lit(len(swap.versions())).cast("bigint"))
+
+
 def _resolve(spark, sf_dir, rule):
     i = _inputs(spark, sf_dir)
     return access.resolve_rules(i["spec"], i["db_grants"], i["sc_grants"], i["wh_grants"], i["roles"], rule)

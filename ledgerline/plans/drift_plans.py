@@ -152,3 +152,30 @@ def copy_refresh_apply(spark, sf_dir):
     t, m = _inputs(spark, sf_dir)
     plan = drift.refresh_plan(t, m, *SRC, *DST)
     return drift.refresh_rows(plan, fixture(spark, sf_dir, "table_data"))
+
+
+@register("copy_refresh_versions", "with p as (select * from (" + _plan_sql(True) + """) where action = 'REFRESH'),
+d as (select * from (""" + oracle_cte("table_data") + """ select * from table_data)),
+names as (select db_sc, table_name from d union select clone_db_sc, table_name from p)
+select names.db_sc, names.table_name, count(d.table_name) as n_rows, sum(d.l_quantity::bigint)::bigint as quantity,
+       any_value(p.table_name) is not null as rewritten
+  from names left join p on p.clone_db_sc = names.db_sc and p.table_name = names.table_name
+  left join d on d.db_sc = coalesce(p.src_db_sc, names.db_sc) and d.table_name = names.table_name
+ group by names.db_sc, names.table_name""")
+def copy_refresh_versions(spark, sf_dir):
+    """C10 through a stored dataset: every table after the refresh, and whether the
+    refresh wrote it (drifted copies only)."""
+    import uuid
+
+    from ledgerline.session import scratch_path
+    from ledgerline.sources.datasets import VERSION, Dataset
+
+    path = scratch_path(spark, f"dataset-{uuid.uuid4().hex}")
+    store = Dataset(spark, path)
+    first = store.create(fixture(spark, sf_dir, "table_data"))
+    rows = drift.refresh_dataset(drift.refresh_plan(*_inputs(spark, sf_dir), *SRC, *DST), path)
+    held = rows.groupBy("db_sc", "table_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    return store.tables().join(held, ["db_sc", "table_name"], "left").select(
+        "db_sc", "table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "quantity",
+        (F.col(VERSION) != first).alias("rewritten"))

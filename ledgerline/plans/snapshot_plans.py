@@ -148,7 +148,7 @@ def snapshot_parts(spark, sf_dir):
 _LATER = "timestamp '2040-01-01 00:00:00'"
 
 
-@register("snapshot_two_runs", CTE + _OBJ_SQL + """,
+_TWO_RUNS = CTE + _OBJ_SQL + """,
 kinds as (select *, obj_name || """ + _EXT_SQL + """ as file_nm, length(obj_name) % 5 as fate from objs),
 stored as (
   select k.db_nm, k.sc_nm, k.file_nm, k.argument_signature, k.fate,
@@ -159,10 +159,11 @@ texts as (
          case when fate = 2 and sc_nm = 'SC_1' then second_text else first_text end as txt
     from stored where not (fate = 4 and sc_nm = 'SC_1'))
 select db_nm, sc_nm, file_nm, string_agg(txt, chr(10) order by coalesce(argument_signature, ''), txt) as content, count(*) as n_parts
-  from texts where txt is not null group by db_nm, sc_nm, file_nm""")
-def snapshot_two_runs(spark, sf_dir):
-    """K5-K7, E4-E7 through the job: two runs into one folder, and all files as they
-    then are. Unchanged files keep their text, errors keep the old one, vanished go."""
+  from texts where txt is not null group by db_nm, sc_nm, file_nm"""
+
+
+def _two_runs(spark, sf_dir) -> str:
+    """Two runs into one folder, which is returned."""
     import uuid
 
     from ledgerline import jobs
@@ -179,4 +180,27 @@ def snapshot_two_runs(spark, sf_dir):
                          .when(~(here & (fate == 3)), F.col("ddl"))))
     jobs.export_snapshot(spark, later, jobs.current_manifest(spark, root), root, delete=True,
                          run_ts=F.lit("2041-01-01 00:00:00").cast("timestamp_ntz"))
-    return jobs.current_content(spark, root)
+    return root
+
+
+@register("snapshot_two_runs", _TWO_RUNS)
+def snapshot_two_runs(spark, sf_dir):
+    """K5-K7, E4-E7 through the job: two runs into one folder, and all files as they
+    then are. Unchanged files keep their text, errors keep the old one, vanished go."""
+    from ledgerline import jobs
+
+    return jobs.current_content(spark, _two_runs(spark, sf_dir))
+
+
+@register("snapshot_vacuumed", "with f as (" + _TWO_RUNS + """)
+select *, sum(n_parts) over ()::bigint as stored_parts from f""")
+def snapshot_vacuumed(spark, sf_dir):
+    """K7, E5: the same files after a vacuum, and how many parts are stored in all:
+    those of the files, nothing replaced or vanished."""
+    from ledgerline import jobs
+    from ledgerline.sources.sinks import read_snapshot
+
+    root = _two_runs(spark, sf_dir)
+    jobs.vacuum_snapshot(spark, root)
+    stored = read_snapshot(spark, f"{root}/content").count()
+    return jobs.current_content(spark, root).withColumn("stored_parts", F.lit(stored).cast("bigint"))

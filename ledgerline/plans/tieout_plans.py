@@ -487,3 +487,43 @@ def tieout_value_counts(spark, sf_dir):
     """T15 without pairs: per value its rows on both sides, where they differ."""
     f, t = (fixture(spark, sf_dir, n).drop("l_quantity") for n in ("hot_from", "hot_to"))
     return Tieout(f, t, ["l_orderkey"], name="HOT").value_counts()
+
+
+# --- the YAML target, published outputs, awkward key names ----------------------------
+@register("tieout_yaml_target", _OVERVIEW_CTE + _SUM_COLUMN_SQL)
+def tieout_yaml_target(spark, sf_dir):
+    """S15 + T18 + K5: the target of a YAML file, and the column report as read back
+    from the outputs published last."""
+    import os
+    import uuid
+
+    from ledgerline import jobs
+    from ledgerline.session import scratch_path
+    from ledgerline.sources.sinks import current_outputs
+
+    root = scratch_path(spark, f"target-{uuid.uuid4().hex}")
+    spec = os.path.join(os.path.dirname(__file__), "sample_validations.yaml")
+    jobs.tieout_from_yaml(spark, [spec], "SAMPLE", _tables(spark, sf_dir), root)
+    return _int(current_outputs(spark, f"{root}/TIEOUT_SAMPLE")["6_SUM_COLUMN"])
+
+
+_AWKWARD = oracle_cte("tie_from", "tie_to") + """,
+f as (select o_orderkey as from_cnt, o_custkey as to_cnt, o_orderstatus as name from tie_from),
+t as (select o_orderkey as from_cnt, o_custkey as to_cnt, o_orderstatus as name from tie_to)"""
+
+
+@register("tieout_awkward_names", _AWKWARD + """
+select (select count(*) from f where from_cnt is not null) as from_rowcount,
+       (select count(*) from t where from_cnt is not null) as to_rowcount,
+       (select count(*) from (select from_cnt from f intersect select from_cnt from t) where from_cnt is not null) as overlap_rowcount,
+       col_nm, col_diff_cnt
+  from (select 'to_cnt' as col_nm, count(*) as col_diff_cnt from f join t using (from_cnt) where f.to_cnt is distinct from t.to_cnt
+        union all select 'name', count(*) from f join t using (from_cnt) where f.name is distinct from t.name)""")
+def tieout_awkward_names(spark, sf_dir):
+    """T4: the key column is called from_cnt, a compared one to_cnt."""
+    f, t = (fixture(spark, sf_dir, n).select(
+        F.col("o_orderkey").alias("from_cnt"), F.col("o_custkey").alias("to_cnt"), F.col("o_orderstatus").alias("name"))
+        for n in ("tie_from", "tie_to"))
+    tie = Tieout(f, t, ["from_cnt"], name="K")
+    stats = tie.key_stats.select(F.lit("K").alias("name"), "from_rowcount", "to_rowcount", "overlap_rowcount")
+    return _int(tie.summary.join(stats, "name").drop("name"))
