@@ -6,19 +6,23 @@ Plan shape (per validation):
   ``(key, from_cnt, to_cnt)``. Partial aggregation runs map-side, so a hot key
   collapses before the shuffle. Duplicate keys, row counts, one-sided keys and
   the overlap all come from this one frame.
-* **unique keys** (one row on each side) — each side is grouped by key to its
-  row count and one row, a hot key again collapsing map-side; one join of the
-  two compares every shared column at once. The reference re-joins both tables
-  once per column.
-* **duplicate keys** — never expanded into row pairs. The rows of a side that
-  belong to them meet the key's counts in a salted join (SALTS groups per key,
-  so a hot key is shared by SALTS tasks), are unpivoted and counted per (key,
-  column, value): partial counts leave each task before the exchange on all
-  three. With ``m`` from-rows, ``n`` to-rows and per-value counts ``cF(v)``,
-  ``cT(v)`` the differing pairs of a key are ``m*n - sum_v cF(v)*cT(v)``. The
-  reference counts every differing pair ``m*n`` times (its shared-key CTE is
-  not distinct); ``multiplicity='reference'`` keeps that, ``'pairs'`` counts
-  once. Weights are decimals: four factors of a hot key exceed a BIGINT.
+* **rows meet their key's counts** — each side's rows are exchanged once, on the
+  key, and joined with the profile. Heavy keys (more than 1/HEAVY_SHARE of all
+  shared rows, so at most HEAVY_SHARE of them) are found from the profile and
+  broadcast; only their rows are dealt over salts, as many as the key's size
+  asks for, and only their profile rows are repeated. Every other key is joined
+  plainly, without a copy.
+* **small keys** (``m`` from-rows times ``n`` to-rows at most ``pair_limit``, the
+  unique ones among them) — the two sides, already partitioned by key, are joined
+  and every shared column is compared in that pass. The reference re-joins both
+  tables once per column.
+* **large keys** — never expanded into row pairs: unpivoted and counted per (key,
+  column, value), partial counts leaving each task before the exchange on all
+  three. With per-value counts ``cF(v)``, ``cT(v)`` the differing pairs of a key
+  are ``m*n - sum_v cF(v)*cT(v)``. The reference counts every differing pair
+  ``m*n`` times (its shared-key CTE is not distinct); ``multiplicity='reference'``
+  keeps that, ``'pairs'`` counts once. Weights of large keys are decimals: four
+  factors of a hot key exceed a BIGINT.
 * **detail** — one row per distinct differing value pair of a key, its
   multiplicity in ``diff_cnt``. ``value_counts`` is the form for columns with
   many values under one key: per value its counts on both sides, no pairs.
@@ -43,7 +47,9 @@ from ledgerline.functions.compare import (JSON_OPTIONS, as_json, as_text, common
                                           differs, has_map)
 
 MULTIPLICITIES = ("reference", "pairs")
-SALTS = 16
+HEAVY_SHARE = 1024  # a key with more than this part of all shared rows is dealt over salts
+PAIR_LIMIT = 64  # keys with at most so many row pairs are compared pair by pair
+VALUES_PER_SALT = 4096  # values of a key and column that one task pairs with the other side's
 WEIGHT = "decimal(38,0)"
 REPEAT = 10_000  # rows one explode adds when detail rows are repeated
 
@@ -85,11 +91,21 @@ def key_profile(from_df: DataFrame, to_df: DataFrame, key: Sequence[str]) -> Dat
     NULL key parts group together (null-safe), as GROUP BY and set operations do.
     """
     keys = [column(k) for k in key]
-    f = from_df.select(*keys, F.lit(1).alias("__tie_f"), F.lit(0).alias("__tie_t"))
-    t = to_df.select(*keys, F.lit(0).alias("__tie_f"), F.lit(1).alias("__tie_t"))
-    return (f.unionByName(t).groupBy(*keys)
-            .agg(F.sum("__tie_f").cast("bigint").alias("from_cnt"),
-                 F.sum("__tie_t").cast("bigint").alias("to_cnt")))
+    names = _key_names(key)
+    p = _profile(*[df.select(*[k.alias(n) for k, n in zip(keys, names)]) for df in (from_df, to_df)], names)
+    return p.select(*[F.col(n).alias(k) for n, k in zip(names, key)],
+                    F.col("__tie_m").alias("from_cnt"), F.col("__tie_n").alias("to_cnt"))
+
+
+def _key_names(key: Sequence[str]) -> list[str]:
+    return [f"__tie_k{i}" for i in range(len(key))]
+
+
+def _profile(f: DataFrame, t: DataFrame, names: list[str]) -> DataFrame:
+    """Row counts __tie_m, __tie_n of every value of the columns ``names``."""
+    both = f.withColumns({"__tie_m": F.lit(1), "__tie_n": F.lit(0)}).unionByName(
+        t.withColumns({"__tie_m": F.lit(0), "__tie_n": F.lit(1)}))
+    return both.groupBy(*names).agg(*[F.sum(n).cast("bigint").alias(n) for n in ("__tie_m", "__tie_n")])
 
 
 def column_reconciliation(from_cols: Sequence[str], to_cols: Sequence[str],
@@ -132,34 +148,39 @@ def reconcile_columns(columns: DataFrame, from_schema: str, to_schema: str) -> D
 class Tieout:
     """Lazily built tie-out of two DataFrames; every attribute is a DataFrame.
 
-    ``pair_limit`` is accepted for older callers and has no effect: every
-    duplicate key goes through the value counts, whatever its size.
+    ``pair_limit`` is the number of row pairs up to which a key is compared pair
+    by pair; it changes the work, not the result. A key column whose types have
+    no common type is compared as text, as other columns are.
     """
 
     def __init__(self, from_df: DataFrame, to_df: DataFrame, key: Sequence[str], *,
                  name: str = "TIEOUT", from_tbl: str = "FROM", to_tbl: str = "TO",
                  ignore_cols: Sequence[str] = (), case_insensitive: bool = False,
-                 null_as_blank: bool = False, multiplicity: str = "reference", pair_limit: int | None = None):
+                 null_as_blank: bool = False, multiplicity: str = "reference", pair_limit: int = PAIR_LIMIT):
         if not key:
             raise ValueError("a tie-out needs at least one key column")
         if multiplicity not in MULTIPLICITIES:
             raise ValueError(f"multiplicity must be one of {MULTIPLICITIES}")
         self.name, self.from_tbl, self.to_tbl = name, from_tbl, to_tbl
         self.case_insensitive, self.null_as_blank = case_insensitive, null_as_blank
-        self.multiplicity = multiplicity
+        self.multiplicity, self.pair_limit = multiplicity, pair_limit
         fkey = _resolve(from_df, key, f"{name} from-table key")
         tkey = _resolve(to_df, key, f"{name} to-table key")
         # Canonical spelling = from side; rename the to side's key to match.
         for fk, tk in zip(fkey, tkey):
             if fk != tk:
                 to_df = to_df.withColumnRenamed(tk, fk)
+            kinds = [df.select(column(fk)).schema[0].dataType for df in (from_df, to_df)]
+            if common_type(from_df, *kinds) is None:
+                from_df, to_df = (df.withColumn(fk, as_text(column(fk), kind)) for df, kind in zip((from_df, to_df), kinds))
         self.key = fkey
         self.columns = column_reconciliation(from_df.columns, to_df.columns, fkey, ignore_cols)
         self.shared = [c for s, c in self.columns if s == "BOTH"]
         tmap = {c.lower(): c for c in to_df.columns}
         self._to_name = {c: tmap[c.lower()] for c in self.shared}
         self.from_df, self.to_df = from_df, to_df
-        self._profile = None
+        self._k = _key_names(fkey)
+        self._counted = None
         ft = {f.name: f.dataType for f in from_df.schema.fields}
         tt = {f.name: f.dataType for f in to_df.schema.fields}
         self._types = [(ft[c], tt[self._to_name[c]]) for c in self.shared]
@@ -168,16 +189,20 @@ class Tieout:
     # -- keys ---------------------------------------------------------------
     @property
     def profile(self) -> DataFrame:
-        if self._profile is None:
-            self._profile = key_profile(self.from_df, self.to_df, self.key)
-        return self._profile
+        return key_profile(self.from_df, self.to_df, self.key)
+
+    def _all_keys(self) -> DataFrame:
+        """The profile under helper names: __tie_k0.., __tie_m, __tie_n."""
+        if self._counted is None:
+            sides = [df.select(*[column(n).alias(k) for n, k in zip(self.key, self._k)]) for df in (self.from_df, self.to_df)]
+            self._counted = _profile(*sides, self._k)
+        return self._counted
 
     @property
     def key_stats(self) -> DataFrame:
         """One row: row counts, one-sided keys, overlap, duplicate-key counts."""
-        whole = _all_not_null(self.key).alias("__tie_nn")
-        nn, f, t = F.col("__tie_nn"), F.col("from_cnt"), F.col("to_cnt")
-        p = self.profile.select(whole, *[self.profile[x] for x in ("from_cnt", "to_cnt")])
+        nn, f, t = F.col("__tie_nn"), F.col("__tie_m"), F.col("__tie_n")
+        p = self._all_keys().select(_all_not_null(self._k).alias("__tie_nn"), f, t)
         return p.agg(
             F.coalesce(F.sum(F.when(nn, f)), F.lit(0)).cast("bigint").alias("from_rowcount"),
             F.coalesce(F.sum(F.when(nn, t)), F.lit(0)).cast("bigint").alias("to_rowcount"),
@@ -216,10 +241,6 @@ class Tieout:
         return spark.createDataFrame(rows, schema)
 
     # -- rows ---------------------------------------------------------------
-    @property
-    def _k(self) -> list[str]:
-        return [f"__tie_k{i}" for i in range(len(self.key))]
-
     def _rows(self, side: str) -> DataFrame:
         """One side's rows with a complete key: __tie_k0.., __tie_v0..."""
         df = self.from_df if side == "f" else self.to_df
@@ -234,26 +255,42 @@ class Tieout:
     def _cmp(self, side: str, i: int, value: Column) -> Column:
         return compare_value(value, self._dtype(side, i), self._common[i], self.case_insensitive, self.null_as_blank)
 
-    def _unique_pairs(self) -> DataFrame:
-        """Keys with one row on each side: both rows as structs __tie_f, __tie_t."""
-        def one(side: str) -> DataFrame:
-            values = [F.col(f"__tie_v{i}") for i in range(len(self.shared))]
-            return self._rows(side).groupBy(*self._k).agg(
-                F.count(F.lit(1)).alias(f"__tie_n{side}"), F.any_value(F.struct(*values)).alias(f"__tie_{side}"))
-
-        return one("f").join(one("t"), self._k).where("__tie_nf = 1 and __tie_nt = 1")
-
-    def _unique_flags(self) -> list[Column]:
+    def _shared_keys(self) -> DataFrame:
+        """(key, __tie_m, __tie_n, __tie_salts) of the keys on both sides."""
+        rows = F.col("__tie_m") + F.col("__tie_n")
+        p = self._all_keys().where(_all_not_null(self._k)).where("__tie_m > 0 and __tie_n > 0")
+        # Keys up to pair_limit never have salts, so pairs meet in one place.
+        share = p.agg(F.greatest(F.sum(rows) / HEAVY_SHARE, F.lit(float(self.pair_limit + 1)))).scalar()
+        return p.withColumn("__tie_salts", F.ceil(rows / share).cast("int"))
+
+    def _keyed_rows(self, side: str) -> DataFrame:
+        """One side's rows with their key's counts: __tie_k.., __tie_salt, __tie_v.., __tie_m, __tie_n."""
+        keys = self._shared_keys()
+        heavy = F.broadcast(keys.where("__tie_salts > 1").select(*self._k, "__tie_salts"))  # at most HEAVY_SHARE
+        # The salt is the row's own hash and its partition, the same on a retry.
+        values = [F.col(f"__tie_v{i}") for i in range(len(self.shared)) if not _hashless(self._dtype(side, i))]
+        own = F.pmod(F.xxhash64(*values, F.spark_partition_id()), F.col("__tie_salts")).cast("int")
+        dealt = self._rows(side).join(heavy, self._k, "left").withColumn(
+            "__tie_salt", F.coalesce(own, F.lit(0))).drop("__tie_salts")
+        spread = keys.withColumn("__tie_salt", F.explode(F.sequence(F.lit(0), F.col("__tie_salts") - 1))).drop("__tie_salts")
+        return dealt.join(spread, [*self._k, "__tie_salt"])
+
+    def _small(self) -> Column:
+        return F.col("__tie_m") <= F.lit(float(self.pair_limit)) / F.col("__tie_n")
+
+    def _row_pairs(self) -> DataFrame:
+        """Every pair of rows of the small keys: both rows as structs __tie_f, __tie_t,
+        and __tie_w, how often the pair counts."""
+        values = F.struct(*[F.col(f"__tie_v{i}") for i in range(len(self.shared))])
+        weight = F.col("__tie_m") * F.col("__tie_n") if self.multiplicity == "reference" else F.lit(1).cast("bigint")
+        f = self._keyed_rows("f").where(self._small()).select(*self._k, "__tie_salt", values.alias("__tie_f"), weight.alias("__tie_w"))
+        t = self._keyed_rows("t").where(self._small()).select(*self._k, "__tie_salt", values.alias("__tie_t"))
+        return f.join(t, [*self._k, "__tie_salt"])
+
+    def _pair_flags(self) -> list[Column]:
         return [differs(self._cmp("f", i, F.col(f"__tie_f.__tie_v{i}")), self._cmp("t", i, F.col(f"__tie_t.__tie_v{i}")))
                 for i in range(len(self.shared))]
 
-    def _shared_counts(self, only_duplicates: bool) -> DataFrame:
-        """(key, __tie_m, __tie_n) of keys on both sides."""
-        p = self.profile.select(*[column(n).alias(k) for n, k in zip(self.key, self._k)],
-                                F.col("from_cnt").alias("__tie_m"), F.col("to_cnt").alias("__tie_n"))
-        p = p.where(_all_not_null(self._k)).where("__tie_m > 0 and __tie_n > 0")
-        return p.where("__tie_m > 1 or __tie_n > 1") if only_duplicates else p
-
     def _slots(self) -> list[tuple[str, object]]:
         """The distinct types columns are compared in, a helper column for each."""
         kinds = {}
@@ -272,9 +309,10 @@ class Tieout:
         value = self._rows("f").select(self._cmp("f", i, F.col(f"__tie_v{i}")))
         return value.schema[0].dataType
 
-    def _counts(self, side: str, with_raw: bool, only_duplicates: bool = True) -> DataFrame:
+    def _counts(self, side: str, with_raw: bool, only_large: bool = True) -> DataFrame:
         """Counts per (key, column, value) of one side: key, __tie_i, the value in
-        the slot of its type, [text and JSON form], __tie_c, __tie_m, __tie_n."""
+        the slot of its type, [text and JSON form], __tie_c, __tie_m, __tie_n; of
+        the large keys or of all shared ones."""
         slots = self._slots()
         items = []
         for i in range(len(self.shared)):
@@ -284,15 +322,10 @@ class Tieout:
             if with_raw:
                 fields += [as_text(v, self._dtype(side, i)).alias("__tie_raw"), as_json(v).alias("__tie_js")]
             items.append(F.struct(*fields))
-        # Rows meet their key's counts over SALTS groups per key; the salt is the
-        # row's own hash and its partition, the same on a retry.
-        values = [F.col(f"__tie_v{i}") for i in range(len(self.shared)) if not _hashless(self._dtype(side, i))]
-        salted = self._rows(side).withColumn("__tie_salt", F.pmod(
-            F.xxhash64(*values, F.spark_partition_id()), F.lit(SALTS)))
-        keys = self._shared_counts(only_duplicates).withColumn("__tie_salt", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        rows = salted.join(keys, [*self._k, "__tie_salt"]).select(
-            *self._k, "__tie_m", "__tie_n", F.explode(F.array(*items)).alias("__tie_x"))
+        rows = self._keyed_rows(side)
+        if only_large:
+            rows = rows.where(~self._small())
+        rows = rows.select(*self._k, "__tie_m", "__tie_n", F.explode(F.array(*items)).alias("__tie_x"))
         group = [*self._k, "__tie_i", *[n for n, _ in slots]] + (["__tie_raw", "__tie_js"] if with_raw else [])
         return (rows.select(*self._k, "__tie_m", "__tie_n", "__tie_x.*").groupBy(*group)
                 .agg(F.count(F.lit(1)).alias("__tie_c"), F.max("__tie_m").alias("__tie_m"),
@@ -325,9 +358,9 @@ class Tieout:
         cols = self._columns_frame()
         if not self.shared:
             return cols.select(F.lit(self.name).alias("name"), "col_nm", F.lit(0).cast(WEIGHT).alias("col_diff_cnt"))
-        flags = self._unique_flags()
-        wide = self._unique_pairs().agg(*[F.count(F.when(d, 1)).alias(f"d{i}") for i, d in enumerate(flags)])
-        unique = wide.select(F.explode(F.array(*[
+        wide = self._row_pairs().agg(*[F.sum(F.when(d, F.col("__tie_w"))).alias(f"d{i}")
+                                       for i, d in enumerate(self._pair_flags())])
+        small = wide.select(F.explode(F.array(*[
             F.struct(F.lit(i).cast("bigint").alias("idx"), F.col(f"d{i}").alias("n"))
             for i in range(len(self.shared))])).alias("x")).select("x.idx", "x.n")
 
@@ -338,10 +371,10 @@ class Tieout:
         tv = self._counts("t", with_raw=False).alias("b")
         missing = F.col("a.__tie_n") - F.coalesce(F.col("b.__tie_c"), F.lit(0))
         pairs = _big(F.col("a.__tie_c")) * _big(missing)
-        duplicate = (fv.join(tv, [*self._same_key(), self._same_value()], "left")
-                     .groupBy(F.col("a.__tie_i").cast("bigint").alias("idx"))
-                     .agg(F.sum((self._weight(F.col("a.__tie_m"), F.col("a.__tie_n")) * pairs).cast(WEIGHT)).alias("dn")))
-        return (cols.join(unique, "idx", "left").join(duplicate, "idx", "left")
+        large = (fv.join(tv, [*self._same_key(), self._same_value()], "left")
+                 .groupBy(F.col("a.__tie_i").cast("bigint").alias("idx"))
+                 .agg(F.sum((self._weight(F.col("a.__tie_m"), F.col("a.__tie_n")) * pairs).cast(WEIGHT)).alias("dn")))
+        return (cols.join(small, "idx", "left").join(large, "idx", "left")
                 .select(F.lit(self.name).alias("name"), "col_nm",
                         (F.coalesce(F.col("n").cast(WEIGHT), F.lit(0)) + F.coalesce(F.col("dn"), F.lit(0)))
                         .cast(WEIGHT).alias("col_diff_cnt")))
@@ -357,7 +390,7 @@ class Tieout:
     def _differences(self) -> DataFrame:
         """Every differing value pair: __tie_k.., col_nm, from and to value as text
         and as JSON, diff_cnt."""
-        flags = self._unique_flags()
+        flags = self._pair_flags()
         items = []
         for i, c in enumerate(self.shared):
             f, t = F.col(f"__tie_f.__tie_v{i}"), F.col(f"__tie_t.__tie_v{i}")
@@ -365,24 +398,25 @@ class Tieout:
                 F.lit(c).alias("col_nm"), as_text(f, self._types[i][0]).alias("from_val"),
                 as_text(t, self._types[i][1]).alias("to_val"), as_json(f).alias("__tie_fj"),
                 as_json(t).alias("__tie_tj"), flags[i].alias("__tie_d")))
-        unique = (self._unique_pairs()
-                  .select(*self._k, F.explode(F.filter(F.array(*items), lambda x: x["__tie_d"])).alias("x"))
-                  .select(*self._k, "x.col_nm", "x.from_val", "x.to_val", "x.__tie_fj", "x.__tie_tj",
-                          F.lit(1).cast(WEIGHT).alias("diff_cnt")))
-        # A hot key's values on the from side are shared by SALTS tasks.
-        salt = F.pmod(F.xxhash64("__tie_raw"), F.lit(SALTS)).alias("__tie_salt")
-        fl = self._counts("f", with_raw=True).select("*", salt).alias("a")
-        tl = self._counts("t", with_raw=True).withColumn("__tie_salt", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))).alias("b")
+        same = [*self._k, "col_nm", "from_val", "to_val", "__tie_fj", "__tie_tj"]
+        # Pairs lie where their key lies: summing equal ones moves nothing.
+        small = (self._row_pairs()
+                 .select(*self._k, "__tie_salt", "__tie_w", F.explode(F.filter(F.array(*items), lambda x: x["__tie_d"])).alias("x"))
+                 .select(*self._k, "__tie_salt", "__tie_w", "x.col_nm", "x.from_val", "x.to_val", "x.__tie_fj", "x.__tie_tj")
+                 .groupBy("__tie_salt", *same).agg(F.sum("__tie_w").cast(WEIGHT).alias("diff_cnt")).drop("__tie_salt"))
+        # A key with many values on the from side is shared by as many tasks as they fill.
+        salts = F.ceil(F.col("__tie_m") / VALUES_PER_SALT).cast("int")
+        fl = self._counts("f", with_raw=True).withColumn("__tie_salt", F.pmod(F.xxhash64("__tie_raw"), salts).cast("int")).alias("a")
+        tl = self._counts("t", with_raw=True).withColumn("__tie_salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("b")
         names = F.array(*[F.lit(c) for c in self.shared])
         counts = _big(F.col("a.__tie_c")) * _big(F.col("b.__tie_c"))
-        duplicate = (fl.join(tl, [*self._same_key(), F.col("a.__tie_salt") == F.col("b.__tie_salt"), ~self._same_value()])
-                     .select(*[F.col(f"a.{k}").alias(k) for k in self._k],
-                             F.element_at(names, F.col("a.__tie_i") + 1).alias("col_nm"),
-                             F.col("a.__tie_raw").alias("from_val"), F.col("b.__tie_raw").alias("to_val"),
-                             F.col("a.__tie_js").alias("__tie_fj"), F.col("b.__tie_js").alias("__tie_tj"),
-                             (self._weight(F.col("a.__tie_m"), F.col("a.__tie_n")) * counts).cast(WEIGHT).alias("diff_cnt")))
-        return unique.unionByName(duplicate)
+        large = (fl.join(tl, [*self._same_key(), F.col("a.__tie_salt") == F.col("b.__tie_salt"), ~self._same_value()])
+                 .select(*[F.col(f"a.{k}").alias(k) for k in self._k],
+                         F.element_at(names, F.col("a.__tie_i") + 1).alias("col_nm"),
+                         F.col("a.__tie_raw").alias("from_val"), F.col("b.__tie_raw").alias("to_val"),
+                         F.col("a.__tie_js").alias("__tie_fj"), F.col("b.__tie_js").alias("__tie_tj"),
+                         (self._weight(F.col("a.__tie_m"), F.col("a.__tie_n")) * counts).cast(WEIGHT).alias("diff_cnt")))
+        return small.unionByName(large)
 
     def _named_keys(self) -> list[Column]:
         return [F.col(k).alias(n) for n, k in zip(self.key, self._k)]
@@ -407,7 +441,7 @@ class Tieout:
 
         def side(s: str) -> DataFrame:
             group = [*self._k, "__tie_i", *[n for n, _ in self._slots()]]
-            return self._counts(s, with_raw=True, only_duplicates=False).groupBy(*group).agg(
+            return self._counts(s, with_raw=True, only_large=False).groupBy(*group).agg(
                 F.min("__tie_raw").alias("__tie_raw"), F.sum("__tie_c").alias("__tie_c"))
 
         fl, tl = side("f").alias("a"), side("t").alias("b")
