@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType)
+from pyspark.sql.types import (ArrayType, ByteType, DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType,
+                               MapType, ShortType, StringType, StructField, StructType)
 
 _NESTED = (ArrayType, MapType, StructType)
 # Timestamps inside JSON keep their microseconds.
@@ -17,12 +18,66 @@ def same_type(a: DataType, b: DataType) -> bool:
     return a.simpleString() == b.simpleString()
 
 
+# Digits of the exact number types; decimals up to 15 digits and integers up to 32
+# bits are different doubles if they differ.
+_DIGITS = {ByteType: 3, ShortType: 5, IntegerType: 10, LongType: 19}
+DOUBLE_DIGITS, DECIMAL_DIGITS = 15, 38
+
+
+def _exact(dtype: DataType) -> tuple[int, int] | None:
+    """(digits, of which after the point) of an exact number type."""
+    if isinstance(dtype, DecimalType):
+        return dtype.precision, dtype.scale
+    return (_DIGITS[type(dtype)], 0) if type(dtype) in _DIGITS else None
+
+
+def number_form(a: DataType, b: DataType) -> StructType | None:
+    """What two number types are compared in that no one number type holds without loss.
+
+    * A long decimal or bigint against a double: the nearest double, and the exact
+      number where it is not that double's value (neither in full nor as printed).
+    * Two exact types that need more than 38 digits together: the parts before and
+      after the point.
+    """
+    exact = [x for x in map(_exact, (a, b)) if x]
+    if len(exact) == 2:
+        (p, s), (q, t) = exact
+        if max(p - s, q - t) + max(s, t) <= DECIMAL_DIGITS:
+            return None
+        return StructType([StructField("floor", DecimalType(DECIMAL_DIGITS, 0)),
+                           StructField("rest", DecimalType(DECIMAL_DIGITS, DECIMAL_DIGITS))])
+    if len(exact) == 1 and any(isinstance(x, (FloatType, DoubleType)) for x in (a, b)) and exact[0][0] > DOUBLE_DIGITS:
+        return StructType([StructField("near", DoubleType()),
+                           StructField("unlike", DecimalType(DECIMAL_DIGITS, exact[0][1]))])
+    return None
+
+
+def in_number_form(c: Column, dtype: DataType, form: StructType) -> Column:
+    """A number in the form :func:`number_form` names: equal numbers, equal forms."""
+    first, second = form.fields
+    if first.name == "floor":
+        number = c.cast(DecimalType(*_exact(dtype)))
+        parts = F.floor(number).cast(first.dataType), (number % F.lit(1).cast("decimal(1,0)")).cast(second.dataType)
+    elif _exact(dtype) is None:
+        parts = c.cast("double") + F.lit(0.0), F.lit(None).cast(second.dataType)
+    else:
+        near = c.cast("double")
+        as_printed = near.try_cast(second.dataType)
+        # 2^63, no bigint itself, would become the largest one.
+        in_full = F.when(near < float(1 << 63), near.try_cast("bigint").cast("decimal(19,0)"))
+        same = F.coalesce(as_printed == c, F.lit(False)) | F.coalesce(in_full == c, F.lit(False))
+        parts = near + F.lit(0.0), F.when(~same, c.cast(second.dataType))
+    return F.when(c.isNotNull(), F.struct(parts[0].alias(first.name), parts[1].alias(second.name)))
+
+
 def common_type(df: DataFrame, a: DataType, b: DataType) -> DataType | None:
-    """The type both values are compared in: the wider of two numbers, a
-    timestamp for a date, None (compare as text) if there is none or only one
-    of them is a string."""
+    """The type both values are compared in: the wider of two numbers, or their
+    exact form where no type holds both, a timestamp for a date, None (compare as
+    text) if there is none or only one of them is a string."""
     if same_type(a, b):
         return a
+    if (form := number_form(a, b)) is not None:
+        return form
     if isinstance(a, StringType) != isinstance(b, StringType):
         return None
     try:
@@ -90,7 +145,10 @@ def compare_value(c: Column, dtype: DataType, common: DataType | None, case_inse
       blank string cannot be coerced to a number or date under ANSI mode.
     """
     if common is not None:
-        c = c if same_type(dtype, common) else c.cast(common)
+        if isinstance(common, StructType) and not isinstance(dtype, StructType):
+            c = in_number_form(c, dtype, common)
+        elif not same_type(dtype, common):
+            c = c.cast(common)
         dtype = common
     v = comparable(c, dtype)
     if compare_type(common, case_insensitive, null_as_blank) is not None:

@@ -1,8 +1,8 @@
 """String similarity scalars for difference reports, all as column expressions.
 
-Edit distance and soundex are Spark built-ins. Jaro-Winkler is a fold over the
-characters of one string; callers apply it to *grouped* value pairs (one row per
-distinct from/to pair), never to raw rows.
+Edit distance and soundex are Spark built-ins. Jaro-Winkler merges the place lists
+of each character in one fold, linear in the characters after a sort; callers apply
+it to *grouped* value pairs (one row per distinct from/to pair), never to raw rows.
 """
 
 from __future__ import annotations
@@ -26,23 +26,45 @@ def _chars(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
-def _matched_places(a: Column, b: Column, window: Column) -> Column:
-    """For each character of ``a`` in order, the place in ``b`` it is matched with: the
-    first equal character within ``window`` that no earlier one has taken."""
-    def step(taken: Column, at: Column) -> Column:
-        low = F.greatest(F.lit(0), at - window)
-        high = F.least(F.size(b) - 1, at + window)
-        near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        free = F.filter(near, lambda j: (F.get(b, j) == F.get(a, at)) & ~F.array_contains(taken["places"], j))
-        found = F.get(free, F.lit(0))
-        return F.struct(
-            F.when(found.isNull(), taken["places"]).otherwise(F.concat(taken["places"], F.array(found))).alias("places"),
-            F.when(found.isNull(), taken["from"]).otherwise(F.concat(taken["from"], F.array(at))).alias("from"))
+def _places(chars: Column) -> Column:
+    """(character, place) in the order of both: each character's places are a run."""
+    return F.sort_array(F.transform(chars, lambda x, i: F.struct(x.alias("c"), i.alias("at"))))
 
-    none = F.array().cast("array<int>")
-    start = F.struct(none.alias("places"), none.alias("from"))
-    places = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(none)
-    return F.aggregate(places, start, step)
+
+CHUNK = 64  # matches per inner array: an append copies no more than that
+
+
+def _matches(a: Column, b: Column, window: Column) -> Column:
+    """The (place in ``a``, place in ``b``) of matched characters.
+
+    Taking the characters of ``a`` in order, each is matched with the first equal one
+    of ``b`` within ``window`` that is still free. For one character these choices are
+    a merge of its two place lists: what lies before the window of a place lies before
+    those of all later ones. One fold over both sorted lists does all characters.
+    """
+    def merge(x: Column, y: Column) -> Column:
+        def step(now: Column, _: Column) -> Column:
+            p, q = F.get(x, now["p"]), F.get(y, now["q"])
+            behind = (p["c"] < q["c"]) | ((p["c"] == q["c"]) & (p["at"] + window < q["at"]))
+            ahead = (p["c"] > q["c"]) | ((p["c"] == q["c"]) & (p["at"] - window > q["at"]))
+            hit = ~behind & ~ahead
+            full = F.size(now["last"]) >= CHUNK
+            pair = F.array(F.struct(p["at"].alias("i"), q["at"].alias("j")))
+            moved = F.struct(
+                (now["p"] + F.when(ahead, 0).otherwise(1)).alias("p"),
+                (now["q"] + F.when(behind, 0).otherwise(1)).alias("q"),
+                F.when(hit & full, F.concat(now["done"], F.array(now["last"]))).otherwise(now["done"]).alias("done"),
+                F.when(~hit, now["last"]).when(full, pair).otherwise(F.concat(now["last"], pair)).alias("last"))
+            # A list has come to its end: nothing is left to match.
+            return F.when(p.isNull() | q.isNull(), now).otherwise(moved)
+
+        pairs = F.array().cast("array<struct<i:int,j:int>>")
+        start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"),
+                         F.array().cast("array<array<struct<i:int,j:int>>>").alias("done"), pairs.alias("last"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(x) + F.size(y)), start, step,
+                           lambda end: F.concat(F.flatten(end["done"]), end["last"]))
+
+    return _let(_places(a), lambda x: _let(_places(b), lambda y: merge(x, y)))
 
 
 def _jaro(a: Column, b: Column) -> Column:
@@ -50,17 +72,17 @@ def _jaro(a: Column, b: Column) -> Column:
     la, lb = F.size(a), F.size(b)
     window = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
 
-    def score(hit: Column) -> Column:
-        m = F.size(hit["places"])
-        order = F.array_sort(hit["places"])
+    def score(hits: Column) -> Column:
+        m = F.size(hits)
+        ours, theirs = (F.sort_array(F.transform(hits, lambda x: x[side])) for side in "ij")
         # Matched characters of both strings in their own order that differ.
-        out = F.size(F.filter(F.arrays_zip(hit["from"].alias("x"), order.alias("y")),
+        out = F.size(F.filter(F.arrays_zip(ours.alias("x"), theirs.alias("y")),
                               lambda p: F.get(a, p["x"]) != F.get(b, p["y"])))
         t = F.floor(out / 2)
         return F.when(m == 0, F.lit(0.0)).otherwise((m / la + m / lb + (m - t) / m) / 3.0)
 
     return F.when((la == 0) | (lb == 0), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(
-        _let(_matched_places(a, b, window), score))
+        _let(_matches(a, b, window), score))
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:

@@ -12,11 +12,13 @@ Inputs (one row per grant / role / rule):
 * ``custom(role_name, rule, role_ref)`` — CUSTOM_INCLUDE / CUSTOM_EXCLUDE entries.
 
 Patterns are SQL LIKE patterns (``_`` is a wildcard too, also inside the
-``_SC_`` prefix). They are resolved against the distinct object names by an
-equi-join: a pattern is looked up under its literal text if it has no wildcard,
-else under its literal beginning, else under its literal end, and LIKE runs on
-what meets there. Includes and excludes of all object kinds go through the same
-three joins; only a pattern that begins and ends with a wildcard meets all names.
+``_SC_`` prefix). They are resolved against the distinct object names by
+equi-joins: a pattern is looked up under its literal text if it has no wildcard,
+else under its literal beginning, else under its literal end, else under the
+rarest gram (up to three characters) of its literal pieces, and LIKE runs on what
+meets there. Includes and excludes of all object kinds go through the same joins;
+only a pattern without any literal, which nearly every name matches, meets all
+names, dealt over salts.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ FR_SUFFIX = r"_FR$"
 
 # Letters of a pattern's literal beginning or end that are used for the lookup.
 LOOKUP = 32
+GRAM = 3  # longest gram of the index for patterns that begin and end with a wildcard
+ANY_SALTS = 32  # names are dealt over so many for patterns without a literal
 
 
 # --- A1-A3: materialised grant tables ---------------------------------------
@@ -81,24 +85,66 @@ def functional_roles(roles: DataFrame) -> DataFrame:
 
 # --- A4-A7: resolve rules to granted names ------------------------------------
 def pattern_token(pattern: Column) -> Column:
-    """The lookup key of a LIKE pattern."""
+    """The lookup key of a LIKE pattern: ``~`` for one that is looked up by a gram,
+    ``*`` for one without a literal (or with an escape, left to LIKE)."""
     start = F.left(F.regexp_extract(pattern, r"\A([^%_]*)", 1), F.lit(LOOKUP))
     end = F.right(F.regexp_extract(pattern, r"([^%_]*)\z", 1), F.lit(LOOKUP))
-    return (F.when(~pattern.rlike("[%_]"), F.concat(F.lit("="), pattern))
+    return (F.when(~pattern.rlike(r"[^%_]") & (pattern != "") | pattern.contains("\\"), F.lit("*"))
+            .when(~pattern.rlike("[%_]"), F.concat(F.lit("="), pattern))
             .when(start != "", F.concat(F.lit("<"), start))
             .when(end != "", F.concat(F.lit(">"), end))
-            .otherwise(F.lit("*")))
+            .otherwise(F.lit("~")))
 
 
 def name_tokens(name: Column) -> Column:
-    """Every key under which a pattern that matches ``name`` can be looked up."""
+    """The keys under which a pattern with a literal text, beginning or end that
+    matches ``name`` can be looked up."""
     lengths = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.least(F.length(name), F.lit(LOOKUP)))).otherwise(
         F.array().cast("array<int>"))
-    return F.concat(F.array(F.concat(F.lit("="), name), F.lit("*")),
+    return F.concat(F.array(F.concat(F.lit("="), name)),
                     F.transform(lengths, lambda n: F.concat(F.lit("<"), F.left(name, n))),
                     F.transform(lengths, lambda n: F.concat(F.lit(">"), F.right(name, n))))
 
 
+def grams(text: Column, size: Column) -> Column:
+    """Every run of ``size`` characters of ``text``."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substr(text, i, size))
+
+
+def literal_grams(pattern: Column) -> Column:
+    """The grams that every name matching ``pattern`` holds: of its literal pieces, as
+    long as the longest piece allows, at most GRAM."""
+    pieces = F.filter(F.split(pattern, "[%_]+"), lambda x: x != "")
+    size = F.least(F.array_max(F.transform(pieces, lambda x: F.length(x))), F.lit(GRAM))
+    return F.array_distinct(F.flatten(F.transform(pieces, lambda x: grams(x, size))))
+
+
+def matching_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """(obj_type, pattern, name) of distinct ``patterns`` (obj_type, pattern) and
+    ``names`` (obj_type, name) that match, each pair once."""
+    keyed = patterns.withColumn("token", pattern_token(F.col("pattern")))
+    by_token = names.withColumn("token", F.explode(name_tokens(F.col("name"))))
+    found = keyed.where("token not in ('*', '~')").join(by_token, ["obj_type", "token"]).select("obj_type", "pattern", "name")
+
+    # The inverted index holds the grams that some pattern asks for.
+    asked = keyed.where("token = '~'").select("obj_type", "pattern", F.explode(literal_grams(F.col("pattern"))).alias("gram"))
+    every = F.array_distinct(F.concat(*[grams(F.col("name"), F.lit(n)) for n in range(1, GRAM + 1)]))
+    index = names.select("obj_type", "name", F.explode(every).alias("gram")).join(
+        asked.select("obj_type", "gram").distinct(), ["obj_type", "gram"], "left_semi")
+    holders = index.groupBy("obj_type", "gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = asked.join(holders, ["obj_type", "gram"], "left").groupBy("obj_type", "pattern").agg(
+        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("best"))
+    infix = rarest.select("obj_type", "pattern", F.col("best.gram").alias("gram")).join(
+        index, ["obj_type", "gram"]).select("obj_type", "pattern", "name")
+
+    salts = F.sequence(F.lit(0), F.lit(ANY_SALTS - 1))
+    anything = keyed.where("token = '*'").select("obj_type", "pattern", F.explode(salts).alias("salt")).join(
+        names.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(ANY_SALTS)).cast("int")), ["obj_type", "salt"])
+    return found.unionByName(infix).unionByName(anything.select("obj_type", "pattern", "name")).where("name like pattern")
+
+
 def resolved(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame, wh_grants: DataFrame,
              roles: DataFrame) -> DataFrame:
     """``(role_name, rule, kind, granted_name)`` matched by INCLUDE and EXCLUDE rules.
@@ -120,9 +166,7 @@ def resolved(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame, wh_gra
                .when(F.col("obj_type") == "WAREHOUSE", F.col("wh_pattern")).when(F.col("obj_type") == "ROLE", F.col("role_pattern")))
     rules = spec.select("role_name", "rule", "obj_type", of_type.alias("pattern"), "sc_pattern", "role_type").where(
         "pattern is not null")
-    patterns = rules.select("obj_type", "pattern").distinct().withColumn("token", pattern_token(F.col("pattern")))
-    names = granted.select("obj_type", "name").distinct().withColumn("token", F.explode(name_tokens(F.col("name"))))
-    matches = patterns.join(names, ["obj_type", "token"]).where("name like pattern").select("obj_type", "pattern", "name")
+    matches = matching_names(rules.select("obj_type", "pattern").distinct(), granted.select("obj_type", "name").distinct())
     prefix = F.create_map(*[x for k, v in AR_PREFIX.items() for x in (F.lit(k), F.lit(v))])
     level = F.concat(F.try_element_at(prefix, F.col("obj_type")), F.lit("%_"), "role_type", F.lit("_AR"))
     whole = (F.col("obj_type") != "SCHEMA") | F.like("part", F.col("sc_pattern"))

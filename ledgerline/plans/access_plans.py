@@ -280,3 +280,25 @@ union all select role_name, 'INCLUDE holds an entry that is no object' from r wh
 def role_spec_document_lint(spark, sf_dir):
     """A21 over whole documents."""
     return access.lint_spec_documents(fixture(spark, sf_dir, "spec_documents_faulty"))
+
+
+# A role per customer and a rule per role, wild at both ends and in the middle.
+_INFIX = """with named as (
+  select c_name as name, '%' || substr(c_name, 12, 3) || '_' || substr(c_name, 16, 3) || '%' as pattern from {customer})"""
+
+
+@register("role_infix_rules", _INFIX.format(customer="customer") + """
+select r.name as role_name, 'FR' as kind, n.name as granted_name from named r join named n on n.name like r.pattern""")
+def role_infix_rules(spark, sf_dir):
+    """A4, A5: as many infix patterns as names, resolved through the gram index."""
+    from ledgerline.sources.tables import read_table
+
+    named = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.concat(
+        F.lit("%"), F.substring("c_name", 12, 3), F.lit("_"), F.substring("c_name", 16, 3), F.lit("%")).alias("pattern"))
+    none = F.lit(None).cast("string")
+    spec = named.select(F.col("name").alias("role_name"), F.lit("INCLUDE").alias("rule"), F.lit("ROLE").alias("obj_type"),
+                        none.alias("db_pattern"), none.alias("sc_pattern"), none.alias("wh_pattern"),
+                        F.col("pattern").alias("role_pattern"), none.alias("role_type"))
+    i = _inputs(spark, sf_dir)
+    roles = named.select("name", F.lit(None).cast("timestamp").alias("deleted_on"))
+    return access.resolve_rules(spec, i["db_grants"], i["sc_grants"], i["wh_grants"], roles, "INCLUDE")

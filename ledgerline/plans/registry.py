@@ -32,5 +32,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from ledgerline.plans import (  # noqa: F401
-        tieout_plans, drift_plans, access_plans, model_plans, snapshot_plans, names_plans,
+        tieout_plans, drift_plans, access_plans, model_plans, snapshot_plans, names_plans, order_plans,
     )

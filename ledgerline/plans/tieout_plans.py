@@ -527,3 +527,24 @@ def tieout_awkward_names(spark, sf_dir):
     tie = Tieout(f, t, ["from_cnt"], name="K")
     stats = tie.key_stats.select(F.lit("K").alias("name"), "from_rowcount", "to_rowcount", "overlap_rowcount")
     return _int(tie.summary.join(stats, "name").drop("name"))
+
+
+# Numbers no one type holds without loss: bigints around 2^53 against doubles, and
+# decimals that need 58 digits together. Integers 2^53 + 1 and + 3 are no doubles.
+@register("tieout_exact_numbers", """
+select 'NUM' as name, 'big' as col_nm, count(*) filter (o_orderkey % 4 in (1, 3)) as col_diff_cnt from orders
+union all select 'NUM', 'wide', count(*) filter (o_orderkey % 3 = 0) from orders
+union all select 'NUM', 'part', count(*) filter (o_orderkey is null) from orders""")
+def tieout_exact_numbers(spark, sf_dir):
+    """2^53 + 1 is not the double 2^53, a last digit beyond 38 counts, and
+    numbers both types hold are equal."""
+    from ledgerline.sources.tables import read_table
+
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    key, big = F.col("o_orderkey"), F.lit(1 << 53) + F.col("o_orderkey") % 4
+    last = F.when(key % 3 == 0, F.lit("." + "0" * 19 + "1")).otherwise(F.lit(".0"))
+    f = o.select(key, big.alias("big"), key.cast("decimal(38,0)").alias("wide"),
+                 (key.cast("decimal(20,3)") / 8).cast("decimal(20,3)").alias("part"))
+    t = o.select(key, big.cast("double").alias("big"),
+                 F.concat(key.cast("string"), last).cast("decimal(38,20)").alias("wide"), (key.cast("double") / 8).alias("part"))
+    return _int(Tieout(f, t, ["o_orderkey"], name="NUM").summary)

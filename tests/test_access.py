@@ -59,9 +59,9 @@ def test_patterns_meet_every_name_they_match(spark):
 
     patterns = ["AB", "A%", "%B", "%", "_B", "A_", "%A%", "A%B", "", "AB%CD", "_%_"]
     names = ["AB", "A", "B", "", "XB", "AXB", "ABxxCD", "BA", "Ax" * 40, "x" * 40 + "B"]
-    p = spark.createDataFrame([(x,) for x in patterns], "pattern string").withColumn("t", access.pattern_token(F.col("pattern")))
-    n = spark.createDataFrame([(x,) for x in names], "name string").withColumn("t", F.explode(access.name_tokens(F.col("name"))))
-    got = {tuple(r) for r in p.join(n, "t").where("name like pattern").select("pattern", "name").collect()}
+    p = spark.createDataFrame([("ROLE", x) for x in patterns], "obj_type string, pattern string")
+    n = spark.createDataFrame([("ROLE", x) for x in names], "obj_type string, name string")
+    got = {(r.pattern, r.name) for r in access.matching_names(p, n).collect()}
     import fnmatch
     want = {(a, b) for a, b in product(patterns, names) if fnmatch.fnmatchcase(b, a.replace("%", "*").replace("_", "?"))}
     assert got == want
@@ -75,3 +75,34 @@ def test_hierarchies_must_agree(spark):
     assert sorted(map(tuple, access.lint_hierarchies(model).collect())) == [(1, "VEW", "EDT"), (2, None, "VEW")]
     same = model.where("pos = 0")
     assert access.lint_hierarchies(same).count() == 0
+
+
+def test_infix_patterns_meet_through_their_rarest_gram(spark):
+    import random
+    import re
+
+    draw = random.Random(4)
+    names = sorted({"".join(draw.choices("ABCDE_0", k=draw.randint(1, 9))) for _ in range(400)} | {"AAA", "B", "_", ""})
+    infix = {f"%{''.join(draw.choices('ABCDE0', k=draw.randint(1, 3)))}_{''.join(draw.choices('ABCDE0', k=draw.randint(1, 3)))}%"
+             for _ in range(10_000)}
+    patterns = sorted(infix | {"%", "_", "%%", "", "_A%", "%A_", "A%B", "%_B_%", "_%_", "ABC", "%\\_%", "A\\_%", "%é%"})
+    sides = [spark.createDataFrame([(t, x) for x in values for t in "RW"], f"obj_type string, {n} string")
+             for n, values in (("pattern", patterns), ("name", names))]
+    tokens = sides[0].select("pattern", access.pattern_token(F.col("pattern")).alias("token")).distinct().collect()
+    assert {r.pattern for r in tokens if r.token == "*"} == {"%", "_", "%%", "_%_", "%\\_%", "A\\_%"}
+
+    def regex(pattern):
+        out, i = "", 0
+        while i < len(pattern):
+            if pattern[i] == "\\":
+                i += 1
+                out += re.escape(pattern[i])
+            else:
+                out += {"%": ".*", "_": "."}.get(pattern[i], re.escape(pattern[i]))
+            i += 1
+        return re.compile(out + r"\Z", re.S)
+
+    want = sorted((p, n) for p in patterns for n in filter(regex(p).match, names))
+    got = access.matching_names(*sides).collect()
+    for kind in "RW":
+        assert sorted((r.pattern, r.name) for r in got if r.obj_type == kind) == want

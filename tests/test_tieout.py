@@ -170,3 +170,76 @@ def test_value_counts_of_a_hot_key(spark):
     t = spark.createDataFrame([(1, f"v{i + 1}") for i in range(1000)] + [(2, "b"), (4, "a")], "k int, v string")
     got = sorted(tuple(r) for r in Tieout(f, t, ["k"]).value_counts().collect())
     assert got == [(1, "v", "v0", 1, 0), (1, "v", "v1000", 0, 1), (2, "v", "a", 1, 0), (2, "v", "b", 0, 1)]
+
+
+def test_key_columns_may_be_called_like_the_counts(spark):
+    f = spark.createDataFrame([(1, 5, "a"), (2, 6, "b"), (2, 6, "b")], "from_cnt int, to_cnt int, name string")
+    t = spark.createDataFrame([(1, 5, "x"), (2, 7, "b")], "from_cnt int, to_cnt int, name string")
+    tie = Tieout(f, t, ["from_cnt", "to_cnt"])
+    r = tie.key_stats.first()
+    assert (r.from_rowcount, r.overlap_rowcount, r.from_unique, r.to_unique, r.from_dup_keys) == (3, 1, 1, 1, 1)
+    assert _summary(tie) == {"name": 1} and tie.detail().count() == 1
+    assert _summary(Tieout(f, t, ["from_cnt"])) == {"to_cnt": 4, "name": 1}  # two of key 2's pairs, twice each
+
+
+def test_keys_of_unlike_types_meet_as_text(spark):
+    f = spark.createDataFrame([("1", "a"), ("x", "b")], "k string, v string")
+    t = spark.createDataFrame([(1, "c"), (2, "b")], "k int, v string")
+    tie = Tieout(f, t, ["k"])
+    r = tie.key_stats.first()
+    assert (r.overlap_rowcount, r.from_unique, r.to_unique) == (1, 1, 1) and _summary(tie) == {"v": 1}
+
+
+def test_heavy_keys_are_dealt_over_salts_and_others_are_not(spark):
+    """A third of the rows under one key, many keys above and below the pair limit."""
+    f = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).cast("int").alias("k"),
+                                   (F.col("id") % 11).alias("v"))
+    t = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 900).cast("int").alias("k"),
+                                   (F.col("id") % 13).alias("v"))
+    tie = Tieout(f, t, ["k"], multiplicity="pairs")
+    salts = {r["__tie_k0"]: r["__tie_salts"] for r in tie._shared_keys().collect()}
+    assert salts[0] > 100 and sum(s > 1 for s in salts.values()) == 1
+    side = [df.groupBy("k", "v").count().collect() for df in (f, t)]
+    want = sum(a["count"] * b["count"] for a in side[0] for b in side[1] if a.k == b.k and a.v != b.v)
+    assert _summary(tie) == {"v": want}
+    assert tie.detail_rows().agg(F.sum("diff_cnt")).first()[0] == want
+    spread = tie._keyed_rows("f").where("__tie_k0 = 0").select("__tie_salt").distinct().count()
+    assert spread > 50 and tie._keyed_rows("f").count() == f.join(t.select("k").distinct(), "k", "left_semi").count()
+
+
+def test_exact_numbers_across_types(spark):
+    from decimal import Decimal as D
+
+    big, small = 1 << 53, D("0.10000000000000000001")
+    cases = [  # from type and value, to type and value, differs
+        ("bigint", big + 1, "double", float(big), True), ("bigint", big, "double", float(big), False),
+        ("bigint", 1 << 60, "double", float(1 << 60), False), ("bigint", (1 << 60) + 1, "double", float(1 << 60), True),
+        ("bigint", (1 << 63) - 1, "double", float(1 << 63), True), ("bigint", -(1 << 63), "double", -float(1 << 63), False),
+        ("decimal(20,2)", D("0.10"), "double", 0.1, False), ("decimal(20,2)", D("0.11"), "double", 0.1, True),
+        ("decimal(38,20)", small, "double", 0.1, True), ("decimal(38,0)", D(10**37), "decimal(38,20)", D("1E-20"), True),
+        ("decimal(38,0)", D(-7), "decimal(38,20)", D("-7"), False),
+        ("decimal(38,0)", D(-7), "decimal(38,20)", D("-7.00000000000000000001"), True),
+        ("bigint", -7, "decimal(38,30)", D("-7"), False), ("bigint", 3, "double", float("nan"), True),
+        ("bigint", None, "double", 0.0, True), ("bigint", None, "double", None, False),
+        ("bigint", 0, "double", -0.0, False), ("int", 5, "double", 5.0, False)]
+    sides = []
+    for kind, value in ((0, 1), (2, 3)):
+        names = ", ".join(f"c{i} {case[kind]}" for i, case in enumerate(cases))
+        sides.append(spark.createDataFrame([(1, *[case[value] for case in cases])], f"k int, {names}"))
+    want = {f"c{i}": int(case[4]) for i, case in enumerate(cases)}
+    assert _summary(Tieout(*sides, ["k"])) == want
+    twice = Tieout(*[x.union(x) for x in sides], ["k"], multiplicity="pairs", pair_limit=1)
+    assert _summary(twice) == {c: 4 * n for c, n in want.items()}
+    assert {r.col_nm for r in twice.detail_rows().collect()} == {c for c, n in want.items() if n}
+
+
+def test_positions_are_gapless_and_in_order(spark):
+    from ledgerline.operators.ordering import with_position
+
+    df = spark.range(5_000).select((F.col("id") * 7_919 % 5_003).alias("x"), (F.col("id") % 3).alias("y"))
+    got = with_position(df, F.desc("y"), "x").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, 5_001))
+    assert [(r.y, r.x) for r in got] == sorted(((r.y, r.x) for r in df.collect()), key=lambda r: (-r[0], r[1]))
+    assert with_position(df.where("false"), "x").count() == 0
+    plan = with_position(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
