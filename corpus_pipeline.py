@@ -40,8 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2,048 tokens, each with its place in a sequence."""
-    return packing.pack_documents(docs, capacity=2048, end_id=0)
+    """Pieces of at most 2,048 tokens, each with its place in a sequence. A small store of
+    words: executors still hold what the stages before have taken."""
+    return packing.pack_documents(docs, capacity=2048, end_id=0, stored_runs=50_000, chars=400_000)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerline.llm.arrowtext import coded_words, text_slices, tidy
+from ledgerline.llm.arrowtext import SLICE, coded_words, text_slices, tidy
 from ledgerline.llm.common import c, cut
 
 PIECES_PER_BLOCK = 16_384
@@ -46,16 +46,18 @@ class WordIds:
     the tokenizer's model; anything else goes through the whole tokenizer.
     """
 
-    FULL = 200_000  # runs in the store, none longer than LONG characters: some 30 MB
+    FULL = 200_000  # runs in the store, none longer than LONG characters: some 35 MB
     LONG = 64
     # The pre-tokenizer's split pattern, a fixed value of the tokenizer, for
     # characters below U+0250 (there the numbers are the digits and these six).
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, full: int = FULL):
         import os
         import re
 
+        self.full = full
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -88,7 +90,7 @@ class WordIds:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def _ids(self, distinct: list[str]) -> list[bytes]:
-        if len(self.runs) > self.FULL:
+        if len(self.runs) > self.full:
             self.runs.clear()
         return [self._word(word) if word else b"" for word in distinct]
 
@@ -111,15 +113,15 @@ PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
-               id_col: str, text_col: str) -> DataFrame:
-    """Documents to pieces of at most ``capacity`` ids."""
+               id_col: str, text_col: str, stored_runs: int = WordIds.FULL, chars: int = SLICE) -> DataFrame:
+    """Documents to pieces of at most ``capacity`` ids, ``chars`` characters at once."""
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        ids_of = WordIds(tokenizer)  # of this task: its store goes with it
+        ids_of = WordIds(tokenizer, stored_runs)  # of this task: its store goes with it
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch.column(1)):
+            for first, texts in text_slices(batch.column(1), chars):
                 flat, ends = ids_of.encode(texts)
                 out = []
                 for k in range(len(ends) - 1):
@@ -254,7 +256,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
-    pieces = cut_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, id_col, text_col)
+                   id_col: str = "doc_id", text_col: str = "text", stored_runs: int = WordIds.FULL,
+                   chars: int = SLICE) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece.
+
+    ``stored_runs`` and ``chars`` trade a worker's memory for time, not results.
+    """
+    pieces = cut_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, id_col, text_col, stored_runs, chars)
     return pack(pieces, capacity)
