@@ -9,15 +9,21 @@ and their own number, the last also the total length. Archives are written
 through Spark's own writer (gzip, ``\\r\\n\\r\\n`` after each record), so they
 may lie in any store Spark knows.
 
-Reader: archives are parsed by Content-Length. Unsegmented responses are
-decoded on the spot; continuation records are grouped by origin id, ordered by
-segment number, checked for gaps and total length, and decoded as one block.
-Every payload's SHA-1 is compared with the digest its record states.
+Reader: archives, our own or others', are parsed by Content-Length. Unsegmented
+responses are decoded on the spot; continuation records are grouped by origin
+id, ordered by segment number, checked for gaps and total length, and decoded
+as one block. Every payload's SHA-1 is compared with the digest its record
+states, if it states one. Record ids are texts of any form; the page a record
+belongs to is a field of its own and null where there is none. A record that
+cannot be read (no usable length, cut off, broken inflation) gives a row that is
+not intact, and reading goes on at the next record that can be found.
 
 Defined results: a null payload counts as empty; rows that repeat a page id
 and payload that is a response are responses each; a response that is
 incomplete or fails its digest has ``intact`` false and null payload columns;
 an empty table gives no rows; extra columns are ignored whatever their names.
+Records of kinds other than response, revisit and continuation are passed over.
+A file is read as one value, so it may hold 2 GB at most.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ from ledgerline.llm.common import attach, c, cut
 from ledgerline.session import scratch_path
 
 VERSION = b"WARC/1.1\r\n"
-RECORDS_PER_FILE = 2_000
+# Extension fields, which other readers pass over.
+PAGE_FIELD, REFERS_FIELD = "Page-ID", "Refers-To-Page-ID"
+RECORDS_PER_FILE = 2_000  # of a segment each at most: 130 MB before compression
 SEGMENT_BYTES = 65_536
 CHUNK_BYTES = 16_384
 
@@ -99,14 +107,15 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 def page_records(row, page, url, body, kind, digest, refers_to, segment_bytes) -> list[bytes]:
     """The record of a page, or its segments."""
     name = f"<urn:page:{'' if page is None else page}:{row}>"
+    own_page = [] if page is None else [(PAGE_FIELD, str(page))]
     target = "".join(ch if ch.isprintable() else "%20" for ch in url or "")
     fields = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Target-URI", target),
               ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"),
-              ("Content-Type", "application/http; msgtype=response")]
+              ("Content-Type", "application/http; msgtype=response"), *own_page]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if kind == "revisit":
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                   ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+                   ("WARC-Refers-To", f"<urn:page:{refers_to}>"), (REFERS_FIELD, str(refers_to))]
         return [_record(fields, head + b"\r\n")]
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(body)
     if len(block) <= segment_bytes:
@@ -115,7 +124,7 @@ def page_records(row, page, url, body, kind, digest, refers_to, segment_bytes) -
     for number, at in enumerate(range(segment_bytes, len(block), segment_bytes), 2):
         own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{number}>"),
                ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name),
-               ("WARC-Segment-Number", str(number))]
+               ("WARC-Segment-Number", str(number)), *own_page]
         if at + segment_bytes >= len(block):
             own.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append(_record(own, block[at:at + segment_bytes]))
@@ -152,6 +161,7 @@ class _Stream:
 
     def __init__(self, raw: bytes):
         self.raw, self.at, self.buffer = raw, 0, bytearray()
+        self.broken = self.begun = False  # inflation failed or stopped short; inside a member
         self.inflate = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
@@ -161,12 +171,16 @@ class _Stream:
             self.buffer += part
             return bool(part)
         if not part:
+            self.broken |= self.begun  # the last member has no end
             return False
-        while part:
-            self.buffer += self.inflate.decompress(part)
-            part = self.inflate.unused_data
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
+        try:
+            while part:
+                self.buffer += self.inflate.decompress(part)
+                self.begun, part = not self.inflate.eof, self.inflate.unused_data
+                if self.inflate.eof:
+                    self.inflate = zlib.decompressobj(31)
+        except zlib.error:
+            self.broken, self.begun, self.at = True, False, len(self.raw)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -189,20 +203,42 @@ class _Stream:
 
 
 def records(raw: bytes):
-    """(fields, block) of each record of an archive file."""
+    """(fields, block) of each record of an archive file; the block is None where it
+    cannot be delimited or is cut off."""
     stream = _Stream(raw)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         head = head.lstrip(b"\r\n")
         if not head:
             continue
-        fields = _fields(head)
-        yield fields, stream.take(int(fields[b"content-length"]))
+        fields, length = _fields(head), None
+        if head.startswith(b"WARC/"):
+            length = _number(fields.get(b"content-length"))
+        if length is None:
+            yield fields, None
+            if not stream.buffer.lstrip(b"\r\n").startswith(b"WARC/"):
+                if stream.until(b"\r\nWARC/") is None:
+                    break
+                stream.buffer[:0] = b"WARC/"
+            continue
+        block = stream.take(length)
+        if len(block) < length:  # the file ends here
+            yield fields, None
+            return
+        yield fields, block
+    if stream.broken or stream.buffer.strip():
+        yield {}, None
+
 
+def _number(text: bytes | None) -> int | None:
+    """A decimal field as a bigint."""
+    text = (text or b"").strip()
+    return int(text) if text.isdigit() and len(text) < 19 else None
 
-READ = ("origin string, page_id long, kind string, segment int, total long, stated string, refers_to long, "
+
+READ = ("origin string, page_id long, kind string, segment long, total long, stated string, refers_to long, "
         "payload_bytes long, payload_digest string, block binary")
 READ_ARROW = pa.schema([
-    ("origin", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("segment", pa.int32()),
+    ("origin", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("segment", pa.int64()),
     ("total", pa.int64()), ("stated", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
     ("payload_digest", pa.string()), ("block", pa.binary())])
 
@@ -218,28 +254,41 @@ def _measure(block: bytes | None) -> tuple[int | None, str | None]:
     return len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
 
 
-def _read_record(fields: dict[bytes, bytes], block: bytes) -> tuple | None:
-    def text(name: bytes) -> str:
-        return fields.get(name, b"").decode()
+def _read_record(fields: dict[bytes, bytes], block: bytes | None) -> tuple | None:
+    def text(name: bytes) -> str | None:
+        return fields[name].decode(errors="replace") if name in fields else None
+
+    def signed(name: str) -> int | None:
+        value = fields.get(name.lower().encode(), b"")
+        number = _number(value.removeprefix(b"-"))
+        return -number if number is not None and value[:1] == b"-" else number
 
-    kind = text(b"warc-type")
+    kind, name = text(b"warc-type"), text(b"warc-record-id")
+    if block is None:
+        return name, signed(PAGE_FIELD), "broken", None, None, None, None, None, None, None
     if kind not in ("response", "revisit", "continuation"):
         return None
-    segment = int(text(b"warc-segment-number") or 0) or None
-    total = int(text(b"warc-segment-total-length") or 0) or None
-    name = text(b"warc-record-id")
-    refers = text(b"warc-refers-to")[1:-1].removeprefix("urn:page:")
-    stated = text(b"warc-payload-digest").removeprefix("sha1:") or None
-    if segment is not None:
+    stated = _stated(text(b"warc-payload-digest"))
+    segment = _number(fields.get(b"warc-segment-number"))
+    if segment is not None or kind == "continuation":
         origin = name if segment == 1 else text(b"warc-segment-origin-id")
-        return origin, _page(origin), kind, segment, total, stated, None, None, None, block
+        total = _number(fields.get(b"warc-segment-total-length"))
+        return origin, signed(PAGE_FIELD), kind, segment or 0, total, stated, None, None, None, block
     size, digest = _measure(block) if kind == "response" else (None, None)
-    return name, _page(name), kind, None, None, stated, int(refers) if refers else None, size, digest, None
+    return name, signed(PAGE_FIELD), kind, None, None, stated, signed(REFERS_FIELD), size, digest, None
 
 
-def _page(name: str) -> int | None:
-    number = name[1:-1].split(":")[2]
-    return int(number) if number else None
+def _stated(digest: str | None) -> str | None:
+    """A stated SHA-1 in base32; None for none, or one of another kind."""
+    import base64
+
+    method, _, value = (digest or "").strip().partition(":")
+    if method.lower() != "sha1":
+        return None
+    try:
+        return base64.b32encode(bytes.fromhex(value)).decode() if len(value) == 40 else value.upper()
+    except ValueError:
+        return None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -249,7 +298,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def reassemble(table: pa.Table) -> pa.Table:
     """The segments of one origin id as one record; without a payload if a
     segment is missing or doubled or the total length differs."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
+    rows = sorted(table.to_pylist(), key=lambda r: (r["segment"], r["stated"] is None))
     numbers = [r["segment"] for r in rows]
     block = b"".join(r["block"] for r in rows)
     whole = numbers == list(range(1, len(rows) + 1)) and rows[-1]["total"] == len(block)
@@ -260,8 +309,8 @@ def reassemble(table: pa.Table) -> pa.Table:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page record: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, intact."""
+    """One row per page record: page_id, payload_bytes, payload_digest, record_type
+    (``broken``: a record that could not be read), refers_to, intact, record_id."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches):
@@ -280,22 +329,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = cut(files.mapInArrow(parse, READ))
     joined = found.where("segment is not null").groupBy("origin").applyInArrow(reassemble, READ)
     named = cut(found.where("segment is null").unionByName(joined).drop("segment", "total", "block"))
-    # A revisit's payload is that of the response it refers to.
-    revisits = named.where("kind = 'revisit'").select("page_id", "refers_to", F.col("stated").alias("digest"))
-    targets = named.where("kind = 'response'").where("payload_digest = stated").groupBy(
-        F.col("stated").alias("digest")).agg(F.first("payload_bytes").alias("payload_bytes"))
+    # A revisit's payload is that of the responses with the digest it states.
+    revisits = named.where("kind = 'revisit'").select("origin", "page_id", "refers_to", F.col("stated").alias("digest"))
+    whole = F.col("payload_digest").isNotNull() & (F.col("stated").isNull() | (F.col("payload_digest") == F.col("stated")))
+    targets = named.where("kind = 'response'").where(whole).groupBy(F.col("payload_digest").alias("digest")).agg(
+        F.first("payload_bytes").alias("payload_bytes"))
     uses = revisits.groupBy("digest").agg(F.count("*").alias("uses"))
     targets = cut(uses.join(targets, "digest", "left"))
     seen = attach(revisits, targets, "digest", "uses", salt_by="page_id")
     known = F.col("payload_bytes").isNotNull()
-    whole = F.col("payload_digest").eqNullSafe(F.col("stated"))
-    return named.where("kind = 'response'").select(
+    return named.where("kind <> 'revisit'").select(
         "page_id", F.when(whole, F.col("payload_bytes")).alias("payload_bytes"),
         F.when(whole, F.col("payload_digest")).alias("payload_digest"),
         F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), whole.alias("intact"),
+        F.col("origin").alias("record_id"),
     ).unionByName(seen.select(
         "page_id", "payload_bytes", F.when(known, F.col("digest")).alias("payload_digest"),
-        F.lit("revisit").alias("record_type"), "refers_to", known.alias("intact")))
+        F.lit("revisit").alias("record_type"), "refers_to", known.alias("intact"), F.col("origin").alias("record_id")))
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
