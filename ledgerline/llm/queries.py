@@ -92,7 +92,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_exact_dedup"] = exact.ORACLE
 ORACLES["op7_warc"] = warc.ORACLE
-ORACLES["op9_mixing"] = mixing.ORACLE
 ORACLES["op11_line_dedup"] = linedup.ORACLE
 ORACLES["op12_ranked_search"] = search.ORACLE
 ORACLES["op13_fill_in_middle"] = fim.ORACLE
