@@ -4,8 +4,8 @@ Documents are tokenised, closed with an end id and cut into pieces of at most
 one sequence. Pieces are dealt into blocks of bounded size; in a block they
 are placed largest first where they fit best, then improved: the emptiest
 sequences give up pieces by moves, one-for-one and two-for-one exchanges, each
-of which increases the sum of squared fills, until sequences fall empty or no
-exchange helps. What still lies in loosely filled sequences is dealt into new
+of which increases the sum of squared fills, until a pass over all of them
+empties none. What still lies in loosely filled sequences is dealt into new
 blocks and packed again, until one block holds the rest.
 
 Defined results: a null text counts as empty (the end id alone); repeated rows
@@ -27,7 +27,6 @@ from ledgerline.llm.common import c, cut
 
 PIECES_PER_BLOCK = 16_384
 LOOSE = 0.9  # sequences filled below this share are opened again in the next round
-TRIES = 20_000  # exchanges tried in a block; each accepted one raises the objective
 
 
 def default_tokenizer() -> str:
@@ -158,57 +157,111 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Empty the least filled bins by moves and exchanges that raise the sum of
-    squared fills; stops at the lower bound of bins or when nothing helps."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // capacity)
-    live = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    left, at = len(bins), 0
-    while left > fewest and at < len(live) and tries > 0:
-        victim = live[at]
-        changed = True
-        while bins[victim] and changed and tries > 0:
-            changed = False
-            for other in reversed(live):
-                if other == victim or not bins[other] or fill[other] < fill[victim]:
-                    continue
-                tries -= 1
-                if _exchange(bins, fill, lengths, capacity, victim, other):
-                    changed = True
-                    break
-                if tries <= 0:
-                    break
-        left -= not bins[victim]
-        at += 1
-    return [b for b in bins if b]
-
-
-def _exchange(bins, fill, lengths, capacity, low, high) -> bool:
-    """The best single move from ``low`` to the fuller ``high``: a piece, a
-    larger piece for a smaller one, or two pieces for one. Whatever raises
-    high's fill at low's cost raises the sum of squares."""
-    room, best = capacity - fill[high], (0, (), ())
-    ours = sorted(bins[low], key=lambda i: -lengths[i])[:64]
-    theirs = {lengths[i]: i for i in bins[high]}
-    sets = [((i,), lengths[i]) for i in ours]
-    sets += [((i, j), lengths[i] + lengths[j]) for n, i in enumerate(ours[:24]) for j in ours[n + 1:24]]
-    for give, size in sets:
-        if len(give) == 1 and best[0] < size <= room:
-            best = (size, give, ())
-        for length, item in theirs.items():
-            if best[0] < size - length <= room:
-                best = (size - length, give, (item,))
-    gain, give, take = best
-    if not gain:
-        return False
-    for src, dst, items in ((low, high, give), (high, low, take)):
-        for i in items:
-            bins[src].remove(i)
-            bins[dst].append(i)
-    fill[high] += gain
-    fill[low] -= gain
-    return True
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Empty bins by moves and exchanges, each of which raises the sum of squared fills.
+
+    Bins give up their items from the least filled one on, as long as any exchange
+    helps; what room there is gathers in few bins, which fall empty. Ends at the
+    lower bound of bins, or with a pass over all bins that empties none.
+    """
+    search = _Search(bins, lengths, capacity)
+    fewest = -(-sum(lengths) // capacity)
+    left, before = len(bins), None
+    while left > fewest and left != before:
+        before = left
+        for low in sorted(np.flatnonzero(search.fill < capacity).tolist(), key=lambda b: search.fill[b]):
+            held = len(search.bins[low])
+            while search.bins[low] and search.exchange(low):
+                pass
+            left -= held > 0 and not search.bins[low]
+            if left <= fewest:
+                break
+    return [b for b in search.bins if b]
+
+
+class _Search:
+    """The bins of a block, and for any of them the best exchange with a fuller one."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity = capacity
+        self.bins = [list(b) for b in bins]
+        self.size = np.array(lengths, np.int64)
+        self.home = np.empty(len(lengths), np.int64)
+        for b, items in enumerate(self.bins):
+            self.home[items] = b
+        self.fill = np.array([self.size[b].sum() for b in self.bins], np.int64)
+
+    def _upto(self, sums: np.ndarray) -> np.ndarray:
+        """For 0 to capacity, the largest of ``sums`` that is not larger (0: none)."""
+        best = np.zeros(self.capacity + 1, np.int64)
+        best[sums] = sums
+        return np.maximum.accumulate(best)
+
+    def exchange(self, low: int) -> bool:
+        """The exchange of ``low`` with a fuller bin that raises the sum of squares most:
+        a piece moves, replaces a smaller one, or two pieces replace a smaller one."""
+        own = np.unique(self.size[self.bins[low]])
+        one = self._upto(own)
+        open_bins = np.flatnonzero((self.fill >= self.fill[low]) & (self.fill < self.capacity))
+        open_bins = open_bins[open_bins != low]
+        if not len(open_bins):
+            return False
+        usable = np.zeros(len(self.fill), bool)
+        usable[open_bins] = True
+        items = np.flatnonzero(usable[self.home])
+        # The most that may come in place of an item: its own size and its bin's room.
+        most = self.size[items] + self.capacity - self.fill[self.home[items]]
+        moves = one[self.capacity - self.fill[open_bins]]
+        choices = [(self._gain(low, open_bins, moves), open_bins, moves, False),
+                   (self._gain(low, self.home[items], one[most] - self.size[items]), items, one[most], True)]
+        sums = self._pair_sums(low, own)
+        if len(sums):
+            two = self._upto(sums)[most]
+            choices.append((self._gain(low, self.home[items], two - self.size[items]), items, two, True))
+        (value, at), where, give, swap = max(choices, key=lambda x: x[0][0])
+        if value <= 0:
+            return False
+        total = int(give[at])
+        pieces = self._pieces(low, total, 2 if len(choices) == 3 and where is items and give is choices[2][2] else 1)
+        back = [int(where[at])] if swap else []
+        high = int(self.home[back[0]]) if swap else int(where[at])
+        for source, goal, moved in ((low, high, pieces), (high, low, back)):
+            for i in moved:
+                self.bins[source].remove(i)
+                self.bins[goal].append(i)
+                self.home[i] = goal
+        gain = total - int(self.size[back].sum())
+        self.fill[high] += gain
+        self.fill[low] -= gain
+        return True
+
+    def _gain(self, low: int, bins: np.ndarray, gain: np.ndarray) -> tuple[int, int]:
+        """(half the growth of the sum of squares, which) of the best of some exchanges."""
+        grows = np.where(gain > 0, gain * (self.fill[bins] - self.fill[low] + gain), 0)
+        at = int(np.argmax(grows))
+        return int(grows[at]), at
+
+    def _pair_sums(self, low: int, own: np.ndarray) -> np.ndarray:
+        """Sums of two pieces of a bin, up to capacity."""
+        if len(self.bins[low]) < 2:
+            return own[:0]
+        count = np.bincount(self.size[self.bins[low]])
+        apart = (own[:, None] + own[None, :])[~np.eye(len(own), dtype=bool)]
+        sums = np.unique(np.concatenate([apart, 2 * own[count[own] > 1]]))
+        return sums[sums <= self.capacity]
+
+    def _pieces(self, low: int, total: int, number: int) -> list[int]:
+        """Pieces of a bin, one or two, of ``total`` together."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.bins[low]:
+            by_size.setdefault(int(self.size[i]), []).append(i)
+        if number == 1:
+            return by_size[total][:1]
+        for size, first in by_size.items():
+            other = by_size.get(total - size, [])
+            if other and (total != 2 * size or len(first) > 1):
+                return [first[0], other[1] if total == 2 * size else other[0]]
+        raise AssertionError("a sum of two pieces that the bin does not hold")
 
 
 def _pack_block(capacity: int):

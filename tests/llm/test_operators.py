@@ -323,6 +323,28 @@ def test_exchanges_empty_bins():
         assert all(sum(lengths[i] for i in b) <= 100 for b in best)
 
 
+@pytest.mark.parametrize("low,high,n", [(300, 900, 3_000), (500, 1_100, 2_000), (100, 1_500, 3_000)])
+def test_search_saves_sequences_that_best_fit_needs(low, high, n):
+    lengths = [int(x) for x in np.random.default_rng(1).integers(low, high + 1, n)]
+    first = packing.best_fit(lengths, 2_048)
+    best = packing.improve(first, lengths, 2_048)
+    assert sorted(i for b in best for i in b) == list(range(n)) and max(sum(lengths[i] for i in b) for b in best) <= 2_048
+    assert -(-sum(lengths) // 2_048) <= len(best) < len(first)
+
+
+def test_every_exchange_raises_the_sum_of_squares():
+    draw = random.Random(9)
+    for _ in range(30):
+        lengths = [draw.randint(1, 70) for _ in range(120)]
+        search = packing._Search(packing.best_fit(lengths, 100), lengths, 100)
+        value = int((search.fill ** 2).sum())
+        for low in np.argsort(search.fill).tolist() * 2:
+            while search.bins[low] and search.exchange(low):
+                assert (now := int((search.fill ** 2).sum())) > value
+                value = now
+        assert [sum(lengths[i] for i in b) for b in search.bins] == search.fill.tolist() and search.fill.max() <= 100
+
+
 def test_packing_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_BLOCK", 50)
     draw = random.Random(2)
