@@ -18,11 +18,14 @@ verification, connected components by alternating large-star and small-star.
    it finds.
 4. What no leader took in after ROUNDS rounds (texts that share a passage, not
    their bulk) meets in cells of its bucket by signature, and what passes is
-   confirmed on full sets. No pair that shares a bucket goes untested, whatever
-   the bucket's size.
+   confirmed on full sets.
 
-At a similarity of 0.8, 28 bands of 4 rows miss a pair once in 2.5 million;
-the signature estimate of 0.55 drops one in 30 million.
+What may be missed, at a similarity of 0.8: 28 bands of 4 rows miss a pair once
+in 2.5 million, the signature estimate of 0.55 drops one in 30 million. A member
+at FIRM or more of a leader leaves a bucket's later rounds on an estimate of 112
+minima; a link to a member below LOOSE is then lost only if the two estimates err
+by 0.1 together (true values differ by 0.2 at most), about two and a half of their
+standard deviations, in every bucket the two share, and no other member joins them.
 
 Defined results: words are runs outside [\\x20\\x09-\\x0D] after lower-casing
 A-Z; a text with fewer words than a shingle is one shingle; a text without
@@ -48,7 +51,7 @@ ROUNDS = 2
 GROUP = 4_096  # comparisons with one leader that share a task
 BLOCK = 512  # members of a family or bucket compared at once
 COLUMNS = 4_096  # shingles intersected at once in a cell
-BROADCAST_NODES = 100_000  # rows of 32 bytes
+LEAST_PERCENT = 80  # what the bands and thresholds above are set for
 
 
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -356,15 +359,17 @@ def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "do
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(bands.join(shared, "key").select("key", "node"))
 
+    # The texts cross one exchange, by id and at every size alike; those of the members,
+    # one or few a node, are kept for all that follows.
+    several = nodes.select("node", F.col("min_id").alias("_id"), "digest").join(
+        members.select("node").distinct(), "node", "left_semi").hint("shuffle_hash")
+    texts = docs.select(c(id_col).cast("long").alias("_id"), c(text_col).alias("value"))
+    kept = cut(texts.join(several, texts["_id"].eqNullSafe(several["_id"])).select("node", "digest", "value"))
+
     def own(wanted: DataFrame, as_sets: bool) -> DataFrame:
         """(node, value): a text with the node's set, or the set, for the nodes of ``wanted``."""
-        ends = cut(wanted.select("node").distinct().join(
-            nodes.select("node", F.col("min_id").alias("_id"), "digest"), "node"))
-        if ends.count() <= BROADCAST_NODES:
-            ends = F.broadcast(ends)
-        texts = docs.select(c(id_col).cast("long").alias("_id"), c(text_col).alias("value"))
-        found = texts.join(ends, texts["_id"].eqNullSafe(ends["_id"])).select("node", "digest", "value")
-        return _own(found, width, as_sets)
+        ends = cut(wanted.select("node").distinct())
+        return _own(kept.join(ends.hint("shuffle_hash"), "node", "left_semi"), width, as_sets)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -411,7 +416,9 @@ def _own(found: DataFrame, width: int, as_sets: bool) -> DataFrame:
 
 def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per document."""
+    """doc_id, n_shingles, component_id, kept per document. ``percent`` is 80 or more."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"bands and thresholds are set for {LEAST_PERCENT} percent and more, not {percent}")
     rows, classes = near_components(docs, width, percent, id_col, text_col)
     found = attach(rows.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", salt_by="doc_id")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -355,6 +355,11 @@ def test_packing_over_several_blocks(spark, monkeypatch):
     assert check_places(rows, 100) <= 1.05 * len(at_once)
 
 
+def test_near_dedup_refuses_what_it_is_not_set_for(odd_docs):
+    with pytest.raises(ValueError, match="80 percent"):
+        neardup.near_dedup(odd_docs, percent=50)
+
+
 # -- 6 quality classifier ---------------------------------------------------------------
 
 def test_classifier_on_held_out_rows(make_docs, spark):
