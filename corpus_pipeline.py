@@ -53,7 +53,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-# SQL cannot express language ID or packing; tests hold run() against brute force.
+# SQL cannot express language ID or packing; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
