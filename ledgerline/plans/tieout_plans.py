@@ -244,12 +244,11 @@ def _soundex_sql(x: str) -> str:
 
 
 # --- reports ------------------------------------------------------------------
-def _multi(spark, sf_dir):
+def _multi(spark, sf_dir, *wanted):
+    """The outputs named (overview, summary, detail) of both validations."""
     ts = [_tieout(spark, sf_dir, v) for v in (ORD, DUP)]
-    overview = ts[0].overview.unionByName(ts[1].overview)
-    summary = ts[0].summary.unionByName(ts[1].summary)
-    detail = ts[0].detail().unionByName(ts[1].detail())
-    return overview, summary, detail
+    of = {"overview": lambda t: t.overview, "summary": lambda t: t.summary, "detail": lambda t: t.detail()}
+    return [of[w](ts[0]).unionByName(of[w](ts[1])) for w in wanted]
 
 
 _OVERVIEW_CTE = (CTE + "," + _overlap_sql(ORD, "tie_from", "tie_to") + "," + _overlap_sql(DUP, "dup_from", "dup_to")
@@ -266,7 +265,7 @@ select name, overlap_rowcount, from_unique,
        round(cast(to_unique as double) * 100 / nullif(overlap_rowcount, 0), 3) as to_pct
   from ov""")
 def sum_overview(spark, sf_dir):
-    return reports.sum_overview(_multi(spark, sf_dir)[0])
+    return reports.sum_overview(*_multi(spark, sf_dir, "overview"))
 
 
 _SUM_COLUMN_SQL = """
@@ -278,7 +277,7 @@ select ov.name, sm.col_nm, ov.overlap_rowcount, sm.col_diff_cnt,
 
 @register("sum_column", _OVERVIEW_CTE + _SUM_COLUMN_SQL)
 def sum_column(spark, sf_dir):
-    o, s, _ = _multi(spark, sf_dir)
+    o, s = _multi(spark, sf_dir, "overview", "summary")
     return _int(reports.sum_column(o, s))
 
 
@@ -288,7 +287,7 @@ select name, cast(sum(overlap_rowcount) as bigint) as tot_fields, cast(sum(col_d
        100 - round(cast(sum(col_diff_cnt) as double) * 100 / nullif(sum(overlap_rowcount), 0), 3) as tot_pct
   from sc group by name""")
 def sum_field(spark, sf_dir):
-    o, s, _ = _multi(spark, sf_dir)
+    o, s = _multi(spark, sf_dir, "overview", "summary")
     return _int(reports.sum_field(reports.sum_column(o, s)), "tot_diff")
 
 
@@ -307,7 +306,7 @@ select dt.name, ov.overlap_rowcount, dt.col_nm,
  group by dt.name, ov.overlap_rowcount, dt.col_nm, dt.from_val, dt.to_val""".replace(
     "SDX_FROM", _soundex_sql("dt.from_val")).replace("SDX_TO", _soundex_sql("dt.to_val")))
 def sum_detail(spark, sf_dir):
-    o, _, d = _multi(spark, sf_dir)
+    o, d = _multi(spark, sf_dir, "overview", "detail")
     r = _int(reports.sum_detail(o, d))
     return r.select("name", "overlap_rowcount", "col_nm", F.concat_ws(",", "key_vals").alias("key_names"),
                     "from_val", "to_val", "col_diff_cnt", "col_diff_pct", "jarowinkler_score",
@@ -513,20 +512,19 @@ t as (select o_orderkey as from_cnt, o_custkey as to_cnt, o_orderstatus as name
 
 
 @register("tieout_awkward_names", _AWKWARD + """
-select (select count(*) from f where from_cnt is not null) as from_rowcount,
-       (select count(*) from t where from_cnt is not null) as to_rowcount,
-       (select count(*) from (select from_cnt from f intersect select from_cnt from t) where from_cnt is not null) as overlap_rowcount,
-       col_nm, col_diff_cnt
-  from (select 'to_cnt' as col_nm, count(*) as col_diff_cnt from f join t using (from_cnt) where f.to_cnt is distinct from t.to_cnt
-        union all select 'name', count(*) from f join t using (from_cnt) where f.name is distinct from t.name)""")
+select 'from_rowcount' as what, count(*) as n from f where from_cnt is not null
+union all select 'to_rowcount', count(*) from t where from_cnt is not null
+union all select 'overlap_rowcount', count(*) from (select from_cnt from f intersect select from_cnt from t) where from_cnt is not null
+union all select 'to_cnt', count(*) from f join t using (from_cnt) where f.to_cnt is distinct from t.to_cnt
+union all select 'name', count(*) from f join t using (from_cnt) where f.name is distinct from t.name""")
 def tieout_awkward_names(spark, sf_dir):
     """T4: the key column is called from_cnt, a compared one to_cnt."""
     f, t = (fixture(spark, sf_dir, n).select(
         F.col("o_orderkey").alias("from_cnt"), F.col("o_custkey").alias("to_cnt"), F.col("o_orderstatus").alias("name"))
         for n in ("tie_from", "tie_to"))
     tie = Tieout(f, t, ["from_cnt"], name="K")
-    stats = tie.key_stats.select(F.lit("K").alias("name"), "from_rowcount", "to_rowcount", "overlap_rowcount")
-    return _int(tie.summary.join(stats, "name").drop("name"))
+    stats = tie.key_stats.unpivot([], ["from_rowcount", "to_rowcount", "overlap_rowcount"], "what", "n")
+    return stats.unionByName(_int(tie.summary).select(F.col("col_nm").alias("what"), F.col("col_diff_cnt").alias("n")))
 
 
 # Numbers no one type holds without loss: bigints around 2^53 against doubles, and
