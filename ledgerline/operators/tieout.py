@@ -394,14 +394,15 @@ class Tieout:
         items = []
         for i, c in enumerate(self.shared):
             f, t = F.col(f"__tie_f.__tie_v{i}"), F.col(f"__tie_t.__tie_v{i}")
-            items.append(F.struct(
+            # Only values that differ are written out as text and JSON.
+            items.append(F.when(flags[i], F.struct(
                 F.lit(c).alias("col_nm"), as_text(f, self._types[i][0]).alias("from_val"),
                 as_text(t, self._types[i][1]).alias("to_val"), as_json(f).alias("__tie_fj"),
-                as_json(t).alias("__tie_tj"), flags[i].alias("__tie_d")))
+                as_json(t).alias("__tie_tj"))))
         same = [*self._k, "col_nm", "from_val", "to_val", "__tie_fj", "__tie_tj"]
         # Pairs lie where their key lies: summing equal ones moves nothing.
         small = (self._row_pairs()
-                 .select(*self._k, "__tie_salt", "__tie_w", F.explode(F.filter(F.array(*items), lambda x: x["__tie_d"])).alias("x"))
+                 .select(*self._k, "__tie_salt", "__tie_w", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
                  .select(*self._k, "__tie_salt", "__tie_w", "x.col_nm", "x.from_val", "x.to_val", "x.__tie_fj", "x.__tie_tj")
                  .groupBy("__tie_salt", *same).agg(F.sum("__tie_w").cast(WEIGHT).alias("diff_cnt")).drop("__tie_salt"))
         # A key with many values on the from side is shared by as many tasks as they fill.
