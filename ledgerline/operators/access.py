@@ -123,26 +123,29 @@ def literal_grams(pattern: Column) -> Column:
 
 def matching_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(obj_type, pattern, name) of distinct ``patterns`` (obj_type, pattern) and
-    ``names`` (obj_type, name) that match, each pair once."""
-    keyed = patterns.withColumn("token", pattern_token(F.col("pattern")))
-    by_token = names.withColumn("token", F.explode(name_tokens(F.col("name"))))
-    found = keyed.where("token not in ('*', '~')").join(by_token, ["obj_type", "token"]).select("obj_type", "pattern", "name")
-
-    # The inverted index holds the grams that some pattern asks for.
-    asked = keyed.where("token = '~'").select("obj_type", "pattern", F.explode(literal_grams(F.col("pattern"))).alias("gram"))
-    every = F.array_distinct(F.concat(*[grams(F.col("name"), F.lit(n)) for n in range(1, GRAM + 1)]))
-    index = names.select("obj_type", "name", F.explode(every).alias("gram")).join(
-        asked.select("obj_type", "gram").distinct(), ["obj_type", "gram"], "left_semi")
-    holders = index.groupBy("obj_type", "gram").agg(F.count(F.lit(1)).alias("names"))
-    rarest = asked.join(holders, ["obj_type", "gram"], "left").groupBy("obj_type", "pattern").agg(
-        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("best"))
-    infix = rarest.select("obj_type", "pattern", F.col("best.gram").alias("gram")).join(
-        index, ["obj_type", "gram"]).select("obj_type", "pattern", "name")
-
-    salts = F.sequence(F.lit(0), F.lit(ANY_SALTS - 1))
-    anything = keyed.where("token = '*'").select("obj_type", "pattern", F.explode(salts).alias("salt")).join(
-        names.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(ANY_SALTS)).cast("int")), ["obj_type", "salt"])
-    return found.unionByName(infix).unionByName(anything.select("obj_type", "pattern", "name")).where("name like pattern")
+    ``names`` (obj_type, name) that match, each pair once: one join on the token. The
+    names' grams are part of it only if a pattern needs them, which is asked first."""
+    token = pattern_token(F.col("pattern"))
+    infix = bool(patterns.where(token == "~").take(1))
+    salt = F.concat(F.lit("*"), F.pmod(F.xxhash64("name"), F.lit(ANY_SALTS)).cast("string"))
+    tokens = [name_tokens(F.col("name")), F.array(salt)]
+    if infix:
+        held = F.array_distinct(F.concat(*[grams(F.col("name"), F.lit(n)) for n in range(1, GRAM + 1)]))
+        tokens.append(F.transform(held, lambda g: F.concat(F.lit("~"), g)))
+    by_token = names.withColumn("token", F.explode(F.concat(*tokens)))
+    asked = F.transform(literal_grams(F.col("pattern")), lambda g: F.concat(F.lit("~"), g))
+    salts = F.transform(F.sequence(F.lit(0), F.lit(ANY_SALTS - 1)), lambda i: F.concat(F.lit("*"), i.cast("string")))
+    keyed = patterns.withColumn("token", F.explode(
+        F.when(token == "~", asked).when(token == "*", salts).otherwise(F.array(token))))
+    if not infix:
+        return keyed.join(by_token, ["obj_type", "token"]).where("name like pattern").select("obj_type", "pattern", "name")
+    # Of a pattern's grams, the one that the fewest names hold; the others are left out.
+    holders = by_token.where("token like '~%'").groupBy("obj_type", "token").agg(F.count(F.lit(1)).alias("names"))
+    is_gram = F.col("token").like("~%")
+    rarest = (keyed.where(is_gram).join(holders, ["obj_type", "token"], "left").groupBy("obj_type", "pattern")
+              .agg(F.min_by("token", F.struct(F.coalesce("names", F.lit(0)), "token")).alias("token")))
+    wanted = keyed.where(~is_gram).unionByName(rarest)
+    return wanted.join(by_token, ["obj_type", "token"]).where("name like pattern").select("obj_type", "pattern", "name")
 
 
 def resolved(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame, wh_grants: DataFrame,
