@@ -12,13 +12,16 @@ Inputs (one row per grant / role / rule):
 * ``custom(role_name, rule, role_ref)`` — CUSTOM_INCLUDE / CUSTOM_EXCLUDE entries.
 
 Patterns are SQL LIKE patterns (``_`` is a wildcard too, also inside the
-``_SC_`` prefix). They are resolved against the distinct object names by
-equi-joins: a pattern is looked up under its literal text if it has no wildcard,
-else under its literal beginning, else under its literal end, else under the
-rarest gram (up to three characters) of its literal pieces, and LIKE runs on what
-meets there. Includes and excludes of all object kinds go through the same joins;
-only a pattern without any literal, which nearly every name matches, meets all
-names, dealt over salts.
+``_SC_`` prefix). They are resolved against the distinct object names by one
+equi-join. Between its ``%`` a pattern has segments of fixed width; a segment's
+*shape* is where it is anchored and which of its places are holes (``_``). Names
+are cut to the shapes that the patterns ask for, with the same holes, so that a
+name meets a pattern only where all literal places of a segment agree, and LIKE
+runs on what meets. Of several segments the rarest is used. Beyond SHAPES shapes,
+the rest is looked up by the rarest of its literal beginning, its literal end and
+the grams (up to three characters) of its literal pieces. Includes and excludes of
+all object kinds go through the same join; only a pattern without any literal,
+which nearly every name matches, meets all names, dealt over salts.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ AR_PREFIX = {"DATABASE": "_DB_", "SCHEMA": "_SC_", "WAREHOUSE": "_WH_"}
 AR_SUFFIX = r"_(\w{2,3})_AR$"
 FR_SUFFIX = r"_FR$"
 
-# Letters of a pattern's literal beginning or end that are used for the lookup.
+# Places of a segment that are used for the lookup.
 LOOKUP = 32
-GRAM = 3  # longest gram of the index for patterns that begin and end with a wildcard
+SHAPES = 64  # shapes that names are cut to, the most asked for
+GRAM = 3  # longest gram of the index for patterns of other shapes
 ANY_SALTS = 32  # names are dealt over so many for patterns without a literal
 
 
@@ -84,26 +88,87 @@ def functional_roles(roles: DataFrame) -> DataFrame:
 
 
 # --- A4-A7: resolve rules to granted names ------------------------------------
+SEGMENT = "struct<kind: string, at: int, size: int, body: string>"
+
+
+def _segment(kind: Column, at: Column, size: Column, body: Column) -> Column:
+    return F.struct(kind.alias("kind"), at.cast("int").alias("at"), size.cast("int").alias("size"), body.alias("body"))
+
+
+def segments(pattern: Column) -> Column:
+    """What a LIKE pattern can be looked up by, one entry per segment with a literal.
+
+    kind: ``=`` the whole name (of ``size`` characters), ``<`` its beginning, ``>``
+    its end, ``~`` anywhere, ``!`` a pattern without a wildcard, ``*`` one without a
+    literal (or with an escape, left to LIKE). body: the segment from its first to
+    its last literal, at most LOOKUP characters, ``at`` characters from its anchor."""
+    parts, mark, none = F.split(pattern, "%"), F.lit("_"), F.lit(0)
+
+    def segment(part: Column, i: Column) -> Column:
+        kind = (F.when(F.size(parts) == 1, "=").when(i == 0, "<").when(i == F.size(parts) - 1, ">").otherwise("~"))
+        lead, trail = F.ltrim(part, mark), F.rtrim(part, mark)
+        body = F.when(kind == ">", F.ltrim(F.right(trail, F.lit(LOOKUP)), mark)).otherwise(
+            F.rtrim(F.left(lead, F.lit(LOOKUP)), mark))
+        at = F.when(kind == "~", none).otherwise(F.length(part) - F.length(F.when(kind == ">", trail).otherwise(lead)))
+        return _segment(kind, at, F.when(kind == "=", F.length(part)).otherwise(none), body)
+
+    every = F.filter(F.transform(parts, segment), lambda s: s["body"] != "")
+    return (F.when(~pattern.rlike(r"[^%_]") & (pattern != "") | pattern.contains("\\"),
+                   F.array(_segment(F.lit("*"), none, none, F.lit(""))))
+            .when(~pattern.rlike("[%_]"), F.array(_segment(F.lit("!"), none, none, pattern)))
+            .otherwise(every).cast(f"array<{SEGMENT}>"))
+
+
+def shape(segment: Column) -> Column:
+    """A segment's kind, place, width and holes, as one text."""
+    holes = F.when(segment["kind"] == "!", F.lit("")).otherwise(F.regexp_replace(segment["body"], "[^_]", "x"))
+    return F.concat_ws(" ", segment["kind"], segment["at"].cast("string"), segment["size"].cast("string"), holes)
+
+
 def pattern_token(pattern: Column) -> Column:
-    """The lookup key of a LIKE pattern: ``~`` for one that is looked up by a gram,
-    ``*`` for one without a literal (or with an escape, left to LIKE)."""
+    """The first lookup key of a pattern: a shape and a text, or ``*``."""
+    first = segments(pattern)[0]
+    return F.when(first["kind"] == "*", F.lit("*")).otherwise(F.concat_ws(" ", shape(first), first["body"]))
+
+
+def rest_segments(pattern: Column) -> Column:
+    """The lookup of patterns whose own shapes are not kept: their literal beginning
+    and end, and the grams of their literal pieces."""
     start = F.left(F.regexp_extract(pattern, r"\A([^%_]*)", 1), F.lit(LOOKUP))
     end = F.right(F.regexp_extract(pattern, r"([^%_]*)\z", 1), F.lit(LOOKUP))
-    return (F.when(~pattern.rlike(r"[^%_]") & (pattern != "") | pattern.contains("\\"), F.lit("*"))
-            .when(~pattern.rlike("[%_]"), F.concat(F.lit("="), pattern))
-            .when(start != "", F.concat(F.lit("<"), start))
-            .when(end != "", F.concat(F.lit(">"), end))
-            .otherwise(F.lit("~")))
+    none = F.lit(0)
+    entry = lambda kind: lambda body: _segment(F.lit(kind), none, none, body)
+    every = F.concat(F.array(entry("<")(start), entry(">")(end)), F.transform(literal_grams(pattern), entry("~")))
+    return F.filter(every, lambda s: s["body"] != "")
 
 
-def name_tokens(name: Column) -> Column:
-    """The keys under which a pattern with a literal text, beginning or end that
-    matches ``name`` can be looked up."""
-    lengths = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.least(F.length(name), F.lit(LOOKUP)))).otherwise(
-        F.array().cast("array<int>"))
-    return F.concat(F.array(F.concat(F.lit("="), name)),
-                    F.transform(lengths, lambda n: F.concat(F.lit("<"), F.left(name, n))),
-                    F.transform(lengths, lambda n: F.concat(F.lit(">"), F.right(name, n))))
+# The shapes of rest_segments, and the two that need no cutting.
+REST_SHAPES = [*[f"{kind} 0 0 {'x' * n}" for kind, longest in (("<", LOOKUP), (">", LOOKUP), ("~", GRAM))
+                 for n in range(1, longest + 1)], "! 0 0 ", "* 0 0 "]
+
+
+def name_texts(name: Column, shapes: list[str]) -> Column:
+    """``name`` cut to every shape that fits: an array of (place of the shape in
+    ``shapes``, text)."""
+    def spelt(i: int, text: str) -> Column:
+        kind, at, size, holes = text.split(" ")
+        return F.struct(F.lit(i).alias("shape"), F.lit(kind).alias("kind"), F.lit(int(at)).alias("at"),
+                        F.lit(int(size)).alias("size"), F.lit(len(holes)).alias("width"),
+                        F.array(*[F.lit(n + 1) for n, c in enumerate(holes) if c == "_"]).cast("array<int>").alias("holes"))
+
+    def cut(s: Column) -> Column:
+        last = F.length(name) - s["width"] + 1
+        starts = (F.when(s["kind"] == "~", F.sequence(F.lit(1), last)).when(s["kind"] == ">", F.array(last - s["at"]))
+                  .otherwise(F.array(s["at"] + 1)))
+        texts = F.transform(starts, lambda p: F.aggregate(
+            s["holes"], F.substr(name, p, s["width"]), lambda text, hole: F.overlay(text, F.lit("_"), hole, F.lit(1))))
+        salt = F.pmod(F.xxhash64(name), F.lit(ANY_SALTS)).cast("string")
+        whole = F.when(s["kind"] == "!", F.array(name)).when(s["kind"] == "*", F.array(salt))
+        return F.transform(whole.otherwise(F.array_distinct(texts)), lambda t: F.struct(s["shape"].alias("shape"), t.alias("text")))
+
+    fits = F.filter(F.array(*[spelt(i, text) for i, text in enumerate(shapes)]), lambda s: F.when(
+        s["kind"] == "=", F.length(name) == s["size"]).otherwise(F.length(name) >= s["at"] + s["width"]))
+    return F.flatten(F.transform(fits, cut))
 
 
 def grams(text: Column, size: Column) -> Column:
@@ -121,31 +186,47 @@ def literal_grams(pattern: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, lambda x: grams(x, size))))
 
 
+def meetings(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """(obj_type, pattern, name) that LIKE has to look at, each pair once: all that
+    match, and those that agree in the segment the pattern is looked up by. Which
+    shapes the patterns have is asked first. Neither side is ever broadcast: their
+    sizes before the names are cut say nothing about them."""
+    asked = patterns.withColumn("segments", segments(F.col("pattern")))
+    seen = (asked.select(F.size("segments").alias("n"), F.explode("segments").alias("s"))
+            .groupBy(shape(F.col("s")).alias("shape")).agg(F.count(F.lit(1)).alias("patterns"), F.max("n").alias("n"))
+            .orderBy(F.desc("patterns"), "shape").limit(SHAPES + 1).collect())
+    shapes, more = [r["shape"] for r in seen[:SHAPES]], len(seen) > SHAPES
+    if more:
+        shapes += [x for x in REST_SHAPES if x not in shapes]
+    if not shapes:
+        return patterns.join(names.limit(0), "obj_type")
+    place = F.create_map(*[x for i, text in enumerate(shapes) for x in (F.lit(text), F.lit(i))])
+    keys = lambda found: F.filter(F.transform(found, lambda s: F.struct(
+        F.try_element_at(place, shape(s)).alias("shape"), s["body"].alias("text"))), lambda k: k["shape"].isNotNull())
+    own = keys(F.col("segments"))
+    if more:
+        own = F.when(F.size(own) > 0, own).otherwise(keys(rest_segments(F.col("pattern"))))
+    salts = F.transform(F.sequence(F.lit(0), F.lit(ANY_SALTS - 1)), lambda i: F.struct(
+        F.lit(shapes.index("* 0 0 ") if "* 0 0 " in shapes else -1).alias("shape"), i.cast("string").alias("text")))
+    anything = F.col("segments")[0]["kind"] == "*"
+    keyed = asked.select("obj_type", "pattern", F.explode(F.when(anything, salts).otherwise(own)).alias("k"), anything.alias("anything")
+                         ).select("obj_type", "pattern", "anything", "k.*")
+    by_text = names.select("obj_type", "name", F.explode(name_texts(F.col("name"), shapes)).alias("k")).select("obj_type", "name", "k.*")
+    text = ["obj_type", "shape", "text"]
+    if more or any(r["n"] > 1 for r in seen):
+        # Of a pattern's segments, the one that the fewest names hold; the others are left out.
+        holders = by_text.groupBy(*text).agg(F.count(F.lit(1)).alias("names"))
+        rarest = (keyed.where("not anything").hint("merge").join(holders, text, "left").groupBy("obj_type", "pattern")
+                  .agg(F.min_by(F.struct("shape", "text"), F.struct(F.coalesce("names", F.lit(0)), "shape", "text")).alias("k"))
+                  .select("obj_type", "pattern", "k.*"))
+        keyed = keyed.where("anything").select("obj_type", "pattern", "shape", "text").unionByName(rarest)
+    return keyed.hint("merge").join(by_text, text).select("obj_type", "pattern", "name")
+
+
 def matching_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(obj_type, pattern, name) of distinct ``patterns`` (obj_type, pattern) and
-    ``names`` (obj_type, name) that match, each pair once: one join on the token. The
-    names' grams are part of it only if a pattern needs them, which is asked first."""
-    token = pattern_token(F.col("pattern"))
-    infix = bool(patterns.where(token == "~").take(1))
-    salt = F.concat(F.lit("*"), F.pmod(F.xxhash64("name"), F.lit(ANY_SALTS)).cast("string"))
-    tokens = [name_tokens(F.col("name")), F.array(salt)]
-    if infix:
-        held = F.array_distinct(F.concat(*[grams(F.col("name"), F.lit(n)) for n in range(1, GRAM + 1)]))
-        tokens.append(F.transform(held, lambda g: F.concat(F.lit("~"), g)))
-    by_token = names.withColumn("token", F.explode(F.concat(*tokens)))
-    asked = F.transform(literal_grams(F.col("pattern")), lambda g: F.concat(F.lit("~"), g))
-    salts = F.transform(F.sequence(F.lit(0), F.lit(ANY_SALTS - 1)), lambda i: F.concat(F.lit("*"), i.cast("string")))
-    keyed = patterns.withColumn("token", F.explode(
-        F.when(token == "~", asked).when(token == "*", salts).otherwise(F.array(token))))
-    if not infix:
-        return keyed.join(by_token, ["obj_type", "token"]).where("name like pattern").select("obj_type", "pattern", "name")
-    # Of a pattern's grams, the one that the fewest names hold; the others are left out.
-    holders = by_token.where("token like '~%'").groupBy("obj_type", "token").agg(F.count(F.lit(1)).alias("names"))
-    is_gram = F.col("token").like("~%")
-    rarest = (keyed.where(is_gram).join(holders, ["obj_type", "token"], "left").groupBy("obj_type", "pattern")
-              .agg(F.min_by("token", F.struct(F.coalesce("names", F.lit(0)), "token")).alias("token")))
-    wanted = keyed.where(~is_gram).unionByName(rarest)
-    return wanted.join(by_token, ["obj_type", "token"]).where("name like pattern").select("obj_type", "pattern", "name")
+    ``names`` (obj_type, name) that match, each pair once."""
+    return meetings(patterns, names).where("name like pattern")
 
 
 def resolved(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame, wh_grants: DataFrame,
@@ -168,13 +249,14 @@ def resolved(spec: DataFrame, db_grants: DataFrame, sc_grants: DataFrame, wh_gra
     of_type = (F.when(F.col("obj_type").isin("DATABASE", "SCHEMA"), F.col("db_pattern"))
                .when(F.col("obj_type") == "WAREHOUSE", F.col("wh_pattern")).when(F.col("obj_type") == "ROLE", F.col("role_pattern")))
     rules = spec.select("role_name", "rule", "obj_type", of_type.alias("pattern"), "sc_pattern", "role_type").where(
-        "pattern is not null")
+        "pattern is not null").distinct()
     matches = matching_names(rules.select("obj_type", "pattern").distinct(), granted.select("obj_type", "name").distinct())
     prefix = F.create_map(*[x for k, v in AR_PREFIX.items() for x in (F.lit(k), F.lit(v))])
     level = F.concat(F.try_element_at(prefix, F.col("obj_type")), F.lit("%_"), "role_type", F.lit("_AR"))
     whole = (F.col("obj_type") != "SCHEMA") | F.like("part", F.col("sc_pattern"))
     due = (F.col("rule") != "INCLUDE") | (F.col("obj_type") == "ROLE") | F.like("granted_name", level)
-    return (rules.join(matches, ["obj_type", "pattern"]).join(granted, ["obj_type", "name"]).where(whole & due)
+    return (matches.hint("merge").join(granted, ["obj_type", "name"])
+            .join(rules.hint("merge"), ["obj_type", "pattern"]).where(whole & due)
             .select("role_name", "rule", F.when(F.col("obj_type") == "ROLE", "FR").otherwise("AR").alias("kind"), "granted_name")
             .distinct())
 

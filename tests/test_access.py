@@ -106,3 +106,40 @@ def test_infix_patterns_meet_through_their_rarest_gram(spark):
     got = access.matching_names(*sides).collect()
     for kind in "RW":
         assert sorted((r.pattern, r.name) for r in got if r.obj_type == kind) == want
+
+
+def _sides(spark, patterns, names):
+    return (spark.createDataFrame([("R", x) for x in patterns], "obj_type string, pattern string"),
+            spark.createDataFrame([("R", x) for x in names], "obj_type string, name string"))
+
+
+def test_patterns_with_a_common_beginning_do_not_meet_all_names(spark):
+    """``_`` in ``WH_17`` is a wildcard; the lookup reads the places after it, too."""
+    sides = _sides(spark, [f"WH_{i}" for i in range(2_000)], [f"WH_{i}" for i in range(2_000)])
+    assert access.meetings(*sides).count() == 2_000
+    infix = _sides(spark, [f"%{i // 1000 % 1000:03}_{i % 1000:03}%" for i in range(0, 90_000, 7)],
+                   [f"N#{i:09}" for i in range(0, 90_000, 7)])
+    met = access.meetings(*infix)
+    assert met.count() == met.where("name like pattern").count()
+
+
+def test_names_cut_to_shapes_are_not_broadcast(spark):
+    sides = _sides(spark, ["%A_C%", "WH_1"], ["XABCX", "WHx1"])
+    plan = access.matching_names(*sides)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_more_shapes_than_are_kept(spark):
+    import random
+    import re
+
+    draw = random.Random(9)
+    text = lambda most, letters: "".join(draw.choices(letters, k=draw.randint(1, most)))
+    patterns = sorted({text(7, "ABCD__%") for _ in range(1_500)} | {"%", "", "_", "AB", "é_%", "A\\_B"} | {"A" * 40 + "_%B"})
+    names = sorted({text(7, "ABCD_") for _ in range(300)} | {"", "é1", "A\nB", "A" * 41 + "CB", "A" * 41})
+    sides = _sides(spark, patterns, names)
+    shapes = sides[0].select(F.explode(access.segments(F.col("pattern"))).alias("s")).select(access.shape(F.col("s"))).distinct().count()
+    assert shapes > access.SHAPES
+    escaped = lambda p: re.escape(p).replace("%", ".*").replace("_", ".") if "\\" not in p else re.escape("A_B")
+    want = sorted((p, n) for p in patterns for n in names if re.fullmatch(escaped(p), n, re.S))
+    assert sorted((r.pattern, r.name) for r in access.matching_names(*sides).collect()) == want
