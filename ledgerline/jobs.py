@@ -114,7 +114,7 @@ def export_snapshot(spark: SparkSession, objects: DataFrame, manifest: DataFrame
     sinks.write_snapshot(snapshot.content_parts(snapshot.in_scope(objects, scope), todo), content_path, version)
     following = snapshot.next_manifest(changed, run_ts, version)
     if scope is not None:  # what lies outside the scope stays listed as it was
-        outside = manifest.join(scope.select("db_nm", "sc_nm"), ["db_nm", "sc_nm"], "left_anti")
+        outside = manifest.join(snapshot.named_schemas(scope), ["db_nm", "sc_nm"], "left_anti")
         following = following.unionByName(outside, allowMissingColumns=True)
     path = os.path.join(output_root, "manifest", version)
     sinks.write_table(following, path)

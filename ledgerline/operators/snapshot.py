@@ -97,10 +97,16 @@ def extension(obj_type: Column) -> Column:
 
 
 def in_scope(objects: DataFrame, scope: DataFrame | None) -> DataFrame:
-    """Restrict to the schemas in ``scope(db_nm, sc_nm)`` (None = all)."""
+    """Restrict to the schemas in ``scope(db_nm, sc_nm)`` (None = all). The scope,
+    a list of schemas that the caller names, goes to every task: dealt by schema, all
+    objects of a run over one schema would meet in one task."""
     if scope is None:
         return objects
-    return objects.join(scope.select("db_nm", "sc_nm"), ["db_nm", "sc_nm"], "left_semi")
+    return objects.join(named_schemas(scope), ["db_nm", "sc_nm"], "left_semi")
+
+
+def named_schemas(scope: DataFrame) -> DataFrame:
+    return F.broadcast(scope.select("db_nm", "sc_nm"))
 
 
 def object_files(objects: DataFrame) -> DataFrame:

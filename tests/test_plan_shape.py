@@ -52,3 +52,9 @@ def test_key_profile_reads_only_key_columns(spark, sf):
     scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln]
     assert scans and all("o_orderkey" in ln and "o_custkey" not in ln and "o_orderstatus" not in ln
                          for ln in scans)
+
+
+def test_a_scope_does_not_deal_objects_by_schema(spark, sf, big_tables):
+    """One schema's objects would lie in one task."""
+    plan = _plan(spark, sf, "snapshot_scope")
+    assert "LeftSemi" in plan and not re.search("SortMergeJoin .*LeftSemi", plan)
