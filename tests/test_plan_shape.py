@@ -58,3 +58,16 @@ def test_a_scope_does_not_deal_objects_by_schema(spark, sf, big_tables):
     """One schema's objects would lie in one task."""
     plan = _plan(spark, sf, "snapshot_scope")
     assert "LeftSemi" in plan and not re.search("SortMergeJoin .*LeftSemi", plan)
+
+
+def test_objects_are_not_dealt_by_type(spark, sf, big_tables):
+    """Nearly all objects of a privilege model are schemas."""
+    plan = _plan(spark, sf, "model_audit")
+    assert not re.search(r"SortMergeJoin \[obj_type#\d+\], \[obj_type#\d+\], Inner", plan)
+
+
+def test_audit_exchanges_before_it_groups(spark, sf, big_tables):
+    """Read from above: the grouping's exchange lies below both of its steps."""
+    plan = [ln.split("(")[0].strip(" :+-*") for ln in _plan(spark, sf, "model_audit").splitlines()]
+    plan = [ln for ln in plan if ln in ("HashAggregate", "SortAggregate", "Exchange hashpartitioning", "Union")]
+    assert plan[:4] == ["HashAggregate", "HashAggregate", "Exchange hashpartitioning", "Union"], plan
