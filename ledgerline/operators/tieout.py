@@ -23,6 +23,9 @@ Plan shape (per validation):
   ``m*n`` times (its shared-key CTE is not distinct); ``multiplicity='reference'``
   keeps that, ``'pairs'`` counts once. Weights of large keys are decimals: four
   factors of a hot key exceed a BIGINT.
+* **stored keys** — jobs that write results count the keys once (``store_keys``) and
+  ask whether any key is large. If none is, no salts and no counts are needed and the
+  to side's rows join the from side's plainly.
 * **detail** — one row per distinct differing value pair of a key, its
   multiplicity in ``diff_cnt``. ``value_counts`` is the form for columns with
   many values under one key: per value its counts on both sides, no pairs.
@@ -181,6 +184,7 @@ class Tieout:
         self.from_df, self.to_df = from_df, to_df
         self._k = _key_names(fkey)
         self._counted = None
+        self._large = True  # whether keys of more than pair_limit pairs may exist
         ft = {f.name: f.dataType for f in from_df.schema.fields}
         tt = {f.name: f.dataType for f in to_df.schema.fields}
         self._types = [(ft[c], tt[self._to_name[c]]) for c in self.shared]
@@ -198,6 +202,18 @@ class Tieout:
             self._counted = _profile(*sides, self._k)
         return self._counted
 
+    def store_keys(self, path: str) -> "Tieout":
+        """Write the key counts to ``path``, once for all outputs, and ask them whether
+        any shared key is large: what has nothing to do is then left out of the plans."""
+        p = self._all_keys()
+        if any("void" in f.dataType.simpleString() for f in p.schema.fields):
+            return self  # no table holds such a column
+        p.write.parquet(path)
+        self._counted = p.sparkSession.read.schema(p.schema).parquet(path)
+        large = self._shared().agg(F.max(~self._small())).first()[0]
+        self._large = bool(large)
+        return self
+
     @property
     def key_stats(self) -> DataFrame:
         """One row: row counts, one-sided keys, overlap, duplicate-key counts."""
@@ -255,16 +271,22 @@ class Tieout:
     def _cmp(self, side: str, i: int, value: Column) -> Column:
         return compare_value(value, self._dtype(side, i), self._common[i], self.case_insensitive, self.null_as_blank)
 
+    def _shared(self) -> DataFrame:
+        """(key, __tie_m, __tie_n) of the keys on both sides."""
+        return self._all_keys().where(_all_not_null(self._k)).where("__tie_m > 0 and __tie_n > 0")
+
     def _shared_keys(self) -> DataFrame:
-        """(key, __tie_m, __tie_n, __tie_salts) of the keys on both sides."""
+        """The same with __tie_salts."""
         rows = F.col("__tie_m") + F.col("__tie_n")
-        p = self._all_keys().where(_all_not_null(self._k)).where("__tie_m > 0 and __tie_n > 0")
+        p = self._shared()
         # Keys up to pair_limit never have salts, so pairs meet in one place.
         share = p.agg(F.greatest(F.sum(rows) / HEAVY_SHARE, F.lit(float(self.pair_limit + 1)))).scalar()
         return p.withColumn("__tie_salts", F.ceil(rows / share).cast("int"))
 
     def _keyed_rows(self, side: str) -> DataFrame:
         """One side's rows with their key's counts: __tie_k.., __tie_salt, __tie_v.., __tie_m, __tie_n."""
+        if not self._large:
+            return self._rows(side).join(self._shared().hint("merge"), self._k).withColumn("__tie_salt", F.lit(0))
         keys = self._shared_keys()
         heavy = F.broadcast(keys.where("__tie_salts > 1").select(*self._k, "__tie_salts"))  # at most HEAVY_SHARE
         # The salt is the row's own hash and its partition, the same on a retry.
@@ -283,6 +305,9 @@ class Tieout:
         and __tie_w, how often the pair counts."""
         values = F.struct(*[F.col(f"__tie_v{i}") for i in range(len(self.shared))])
         weight = F.col("__tie_m") * F.col("__tie_n") if self.multiplicity == "reference" else F.lit(1).cast("bigint")
+        if not self._large:
+            return (self._keyed_rows("f").select(*self._k, "__tie_salt", values.alias("__tie_f"), weight.alias("__tie_w"))
+                    .join(self._rows("t").select(*self._k, values.alias("__tie_t")), self._k))
         f = self._keyed_rows("f").where(self._small()).select(*self._k, "__tie_salt", values.alias("__tie_f"), weight.alias("__tie_w"))
         t = self._keyed_rows("t").where(self._small()).select(*self._k, "__tie_salt", values.alias("__tie_t"))
         return f.join(t, [*self._k, "__tie_salt"])
@@ -363,6 +388,9 @@ class Tieout:
         small = wide.select(F.explode(F.array(*[
             F.struct(F.lit(i).cast("bigint").alias("idx"), F.col(f"d{i}").alias("n"))
             for i in range(len(self.shared))])).alias("x")).select("x.idx", "x.n")
+        if not self._large:
+            return cols.join(small, "idx", "left").select(
+                F.lit(self.name).alias("name"), "col_nm", F.coalesce(F.col("n").cast(WEIGHT), F.lit(0)).cast(WEIGHT).alias("col_diff_cnt"))
 
         # Differing pairs = m*n - sum_v cF(v)*cT(v) per key and column. Since
         # sum_v cF(v) = m, the from-side counts left-joined to the to-side counts
@@ -401,10 +429,12 @@ class Tieout:
                 as_json(t).alias("__tie_tj"))))
         same = [*self._k, "col_nm", "from_val", "to_val", "__tie_fj", "__tie_tj"]
         # Pairs lie where their key lies: summing equal ones moves nothing.
-        small = (self._row_pairs()
-                 .select(*self._k, "__tie_salt", "__tie_w", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
+        small = (self._row_pairs().where(reduce(lambda a, b: a | b, flags))
+                 .select(*self._k, "__tie_salt", "__tie_w", F.explode(F.array(*items)).alias("x")).where("x is not null")
                  .select(*self._k, "__tie_salt", "__tie_w", "x.col_nm", "x.from_val", "x.to_val", "x.__tie_fj", "x.__tie_tj")
                  .groupBy("__tie_salt", *same).agg(F.sum("__tie_w").cast(WEIGHT).alias("diff_cnt")).drop("__tie_salt"))
+        if not self._large:
+            return small
         # A key with many values on the from side is shared by as many tasks as they fill.
         salts = F.ceil(F.col("__tie_m") / VALUES_PER_SALT).cast("int")
         fl = self._counts("f", with_raw=True).withColumn("__tie_salt", F.pmod(F.xxhash64("__tie_raw"), salts).cast("int")).alias("a")

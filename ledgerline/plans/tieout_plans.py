@@ -246,7 +246,13 @@ def _soundex_sql(x: str) -> str:
 # --- reports ------------------------------------------------------------------
 def _multi(spark, sf_dir, *wanted):
     """The outputs named (overview, summary, detail) of both validations."""
+    import uuid
+
+    from ledgerline.session import scratch_path
+
     ts = [_tieout(spark, sf_dir, v) for v in (ORD, DUP)]
+    if len(wanted) > 1:  # both need the keys' counts
+        ts = [t.store_keys(scratch_path(spark, f"keys-{uuid.uuid4().hex}")) for t in ts]
     of = {"overview": lambda t: t.overview, "summary": lambda t: t.summary, "detail": lambda t: t.detail()}
     return [of[w](ts[0]).unionByName(of[w](ts[1])) for w in wanted]
 

@@ -54,7 +54,8 @@ def write_tieouts(spark: SparkSession, tieouts: Sequence[Tieout], base: str) ->
 def write_tieout_frames(spark: SparkSession, tieouts: Sequence[Tieout], base: str) -> dict[str, DataFrame]:
     """Write the four outputs and return them as read back.
 
-    Detail (K3) is written first, once, partitioned by validation and column;
+    Keys are counted first and stored (0_KEYS, a table per validation) for all outputs.
+    Detail (K3) is written next, once, partitioned by validation and column;
     the per-column summary (K2) is then derived from the written detail, so
     the compared tables are joined once, not once per output.
     """
@@ -64,6 +65,7 @@ def write_tieout_frames(spark: SparkSession, tieouts: Sequence[Tieout], base: st
     def write(df: DataFrame, k: str, partition_by: Sequence[str] = ()) -> DataFrame:
         return write_and_read(df, os.path.join(base, k), partition_by, stamp=True)
 
+    tieouts = [t.store_keys(os.path.join(base, "0_KEYS", str(i))) for i, t in enumerate(tieouts)]
     detail = write(union(t.detail() for t in tieouts), "3_COLUMNS_DETAIL", ("name", "col_nm"))
     return {
         "1_OVERVIEW": write(union(t.overview for t in tieouts), "1_OVERVIEW"),

@@ -243,3 +243,20 @@ def test_positions_are_gapless_and_in_order(spark):
     assert with_position(df.where("false"), "x").count() == 0
     plan = with_position(df, "x")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_stored_keys_change_the_work_not_the_result(spark, tmp_path):
+    """Whether large keys exist is asked once; without any, each side is read once."""
+    rows = [(k, i % 3 if k == 1 else k % 2, f"x{i % 2}") for k in range(40) for i in range(20 if k == 1 else 1 + k % 2)]
+    f = spark.createDataFrame(rows, "k int, a int, b string")
+    t = spark.createDataFrame([(k if k != 7 else None, a + (k % 5 == 0), b) for k, a, b in rows], "k int, a int, b string")
+    for n, limit in enumerate((1, 64, 10_000)):
+        plain, stored = (Tieout(f, t, ["k"], pair_limit=limit) for _ in range(2))
+        stored.store_keys(str(tmp_path / str(n)))
+        for out in (lambda x: x.overview, lambda x: x.summary, lambda x: x.detail(), lambda x: x.value_counts()):
+            assert sorted(map(str, out(plain).collect())) == sorted(map(str, out(stored).collect())), limit
+        assert stored._large == (limit < 400)
+        scans = stored.detail()._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+        assert scans == (2 if limit == 10_000 else 4) or limit < 400
+    alone = Tieout(f, t.where("k is null"), ["k"]).store_keys(str(tmp_path / "none"))
+    assert alone.detail().count() == 0 and {r.col_diff_cnt for r in alone.summary.collect()} == {0}
