@@ -14,9 +14,12 @@ tables themselves is only touched by :func:`refresh_dataset` and :func:`drop_tab
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import scratch_path
 from ledgerline.sources.datasets import Dataset
 
 NAME_COLS = ["table_catalog", "table_schema", "table_name"]
@@ -187,12 +190,17 @@ def refresh_rows(plan: DataFrame, data: DataFrame, db_sc_col: str = "db_sc",
 def refresh_dataset(plan: DataFrame, path: str, db_sc_col: str = "db_sc", table_col: str = "table_name") -> DataFrame:
     """C10 applied to the dataset under ``path``: every refreshed copy is written anew
     with its source's rows, and nothing else is. A copy of an emptied source is
-    listed, without rows. Returns the dataset as it now is."""
-    store = Dataset(plan.sparkSession, path, db_sc_col, table_col)
-    todo = plan.filter(F.col("action") == "REFRESH")
+    listed, without rows. The plan is evaluated once and stored for its three uses.
+    Returns the dataset as it now is."""
+    spark = plan.sparkSession
+    store = Dataset(spark, path, db_sc_col, table_col)
+    todo = plan.filter(F.col("action") == "REFRESH").select("clone_db_sc", "src_db_sc", "table_name", "action")
+    stored = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
+    todo.write.parquet(stored)
+    todo = spark.read.schema(todo.schema).parquet(stored)
     copies, sources = (todo.select(F.col(n).alias(db_sc_col), F.col("table_name").alias(table_col))
                        for n in ("clone_db_sc", "src_db_sc"))
-    store.replace(lambda read: refresh_rows(plan, read(sources), db_sc_col, table_col), copies)
+    store.replace(lambda read: refresh_rows(todo, read(sources), db_sc_col, table_col), copies)
     return store.read()
 
 

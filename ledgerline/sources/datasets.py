@@ -64,10 +64,11 @@ class Dataset:
             listed = listed.join(wanted.select(*self.name_cols).distinct(), self.name_cols, "left_semi")
         return stored.join(listed, [*self.name_cols, VERSION], "left_semi").select(*[F.col(f"`{n}`") for n in schema.names])
 
-    def replace(self, rows, tables: DataFrame, drop: bool = False) -> str:
+    def replace(self, rows, tables: DataFrame | None, drop: bool = False) -> str:
         """Let ``tables`` (schema, name) hold exactly ``rows``, a frame or a function
         that makes one, given a reader of the dataset as it is (of all tables or
-        those a frame names); all other tables stay as they are. With
+        those a frame names); all other tables stay as they are. Without
+        ``tables`` those of the rows are listed, as read back from what was written. With
         ``drop`` they go instead and ``rows`` is not used. The version written.
         :class:`Conflict` if another writer committed meanwhile; then nothing changed."""
         now, version = self._log.current(), new_version()
@@ -78,10 +79,14 @@ class Dataset:
             names = [f"`{f['name']}`" for f in schema["fields"]]
             rows.select(*names, F.lit(version).alias(VERSION)).write.mode("append").partitionBy(
                 VERSION, self.name_cols[0]).parquet(self._files.child("rows"))
+        if tables is None:
+            stored = StructType([*StructType.fromJson(schema).fields, StructField(VERSION, StringType())])
+            tables = self.spark.read.schema(stored).parquet(self._files.child("rows")).where(F.col(VERSION) == version)
         named = tables.select(*self.name_cols).distinct()
-        listed = self._manifest(now).join(named, self.name_cols, "left_anti")
-        if not drop:
-            listed = listed.unionByName(named.withColumn(VERSION, F.lit(version)))
+        listed = named.withColumn(VERSION, F.lit(version))
+        if now.number or drop:  # else nothing is listed yet
+            others = self._manifest(now).join(named, self.name_cols, "left_anti")
+            listed = others if drop else others.unionByName(listed)
         listed.write.parquet(self._files.child("manifest", version))
         try:
             self._log.commit({"manifest": version, "schema": schema}, after=now.number)
@@ -92,7 +97,7 @@ class Dataset:
 
     def create(self, data: DataFrame) -> str:
         """All tables of ``data`` as the first or a new version of each."""
-        return self.replace(data, data.select(*self.name_cols))
+        return self.replace(data, None)
 
     def _remove(self, version: str) -> None:
         self._files.remove("rows", f"{VERSION}={version}")

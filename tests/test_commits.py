@@ -196,3 +196,27 @@ def test_vacuum_leaves_large_whole_versions_alone(spark, place):
     merged = jobs.vacuum_snapshot(spark, place, small=6)  # two small ones become one
     assert len(merged["removed"]) == 2 and len(merged["written"]) == 1
     assert jobs.current_content(spark, place).count() == 10
+
+
+def test_source_and_plan_are_evaluated_once(spark, tmp_path):
+    """Tables are listed from the rows that were written, and a refresh stores its plan."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators import drift
+    from ledgerline.sources.datasets import Dataset
+
+    def counted(df, seen):
+        # The accumulator counts rows as they are made.
+        return spark.createDataFrame(df.rdd.map(lambda r: (seen.add(1), r)[1]), df.schema)
+
+    data = spark.createDataFrame([("S", "T", 1), ("S", "U", 2), ("D", "T", 0), ("D", "U", 0)], "db_sc string, table_name string, v int")
+    made, planned = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    path = str(tmp_path / "data")
+    Dataset(spark, path).create(counted(data, made))
+    assert made.value == 4
+    plan = spark.createDataFrame([("D", "S", "T", "REFRESH"), ("D", "S", "U", "SKIP")],
+                                 "clone_db_sc string, src_db_sc string, table_name string, action string")
+    now = drift.refresh_dataset(counted(plan, planned), path)
+    assert planned.value == 2
+    assert sorted(map(tuple, now.collect())) == [("D", "T", 1), ("D", "U", 0), ("S", "T", 1), ("S", "U", 2)]
+    assert now.where(F.col("table_name") == "none").count() == 0
