@@ -132,7 +132,7 @@ def current_content(spark: SparkSession, output_root: str) -> DataFrame:
     """(db_nm, sc_nm, file_nm, content, n_parts) of every file the current manifest lists."""
     parts = sinks.read_snapshot(spark, os.path.join(output_root, "content"))
     listed = current_manifest(spark, output_root).select(*snapshot.KEYS, "version")
-    return snapshot.file_text(parts.join(listed, [*snapshot.KEYS, "version"], "left_semi"))
+    return snapshot.file_text(snapshot.of_files(parts, listed, [*snapshot.KEYS, "version"]))
 
 
 def vacuum_snapshot(spark: SparkSession, output_root: str, small: int = 100_000) -> dict[str, list[str]]:

@@ -11,6 +11,8 @@ is the concatenation of its rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -119,6 +121,29 @@ def object_files(objects: DataFrame) -> DataFrame:
 
 
 KEYS = ["db_nm", "sc_nm", "file_nm"]
+# Joins and groupings by file go by this number; names are compared where it is equal.
+# Rows are so sorted by one number, where all names of a catalog begin alike.
+ID = "file_id"
+
+
+def with_id(rows: DataFrame) -> DataFrame:
+    return rows if ID in rows.columns else rows.withColumn(ID, F.xxhash64(*KEYS))
+
+
+def same_file(a: str, b: str, names: Sequence[str] = KEYS) -> Column:
+    """Rows of the aliases ``a`` and ``b``, both with their id, agree in ``names``; names
+    that are NULL agree with nothing. Written as a lookup, not as equalities, which would
+    make Spark deal and sort by every name and compute derived ones again to drop NULLs."""
+    def row(x: str) -> Column:
+        return F.struct(*[F.col(f"{x}.{n}") for n in names])
+
+    return reduce(and_, [F.col(f"{b}.{n}").isNotNull() for n in names],
+                  F.col(f"{a}.{ID}") == F.col(f"{b}.{ID}")) & F.array_contains(F.array(row(b)), row(a))
+
+
+def of_files(rows: DataFrame, files: DataFrame, names: Sequence[str] = KEYS) -> DataFrame:
+    """The rows that agree with one of ``files`` in ``names``, with their file's id."""
+    return with_id(rows).alias("r").join(with_id(files.select(*names)).alias("f"), same_file("r", "f", names), "left_semi")
 
 
 def changes(objects: DataFrame, manifest: DataFrame, delete: bool = False,
@@ -129,16 +154,17 @@ def changes(objects: DataFrame, manifest: DataFrame, delete: bool = False,
     a NULL change time never counts as unchanged. ERROR when the file should be
     written but its source is missing: what was stored before stays.
     """
-    files = object_files(in_scope(objects, scope)).alias("o")
-    man = in_scope(manifest, scope).alias("m")
-    j = files.join(man, KEYS, "full_outer")
+    files = with_id(object_files(in_scope(objects, scope))).alias("o")
+    man = with_id(in_scope(manifest, scope)).alias("m")
+    j = files.join(man, same_file("o", "m"), "full_outer")
     status = (F.when(F.col("obj_name").isNull(), F.lit("DELETE" if delete else "NOT_SEEN"))
               .when(F.col("file_last_modified") >= F.col("obj_last_altered"), F.lit("NO_CHANGE"))
               .when(F.col("no_source"), F.lit("ERROR"))
               .when(F.col("file_last_modified").isNull(), F.lit("NEW"))
               .otherwise(F.lit("CHANGED")))
     kept = [F.col("m.version").alias("version")] if "version" in manifest.columns else []
-    return j.select(*KEYS, "obj_type", "obj_name", "obj_last_altered", "file_last_modified", status.alias("status"), *kept)
+    return j.select(*[F.coalesce(f"o.{k}", f"m.{k}").alias(k) for k in KEYS], "obj_type", "obj_name", "obj_last_altered",
+                    "file_last_modified", status.alias("status"), *kept)
 
 
 def content_parts(objects: DataFrame, files_to_write: DataFrame | None = None) -> DataFrame:
@@ -148,7 +174,7 @@ def content_parts(objects: DataFrame, files_to_write: DataFrame | None = None) -
     work to files that changed: the source of the others is not moved."""
     o = objects.withColumn("file_nm", F.concat(F.col("obj_name"), extension(F.col("obj_type"))))
     if files_to_write is not None:
-        o = o.join(files_to_write.select(*KEYS), KEYS, "left_semi")
+        o = of_files(o, files_to_write)
     return o.select(*KEYS, F.coalesce("argument_signature", F.lit("")).alias("part"), F.col("ddl").alias("content"))
 
 
@@ -161,8 +187,9 @@ def content(objects: DataFrame, files_to_write: DataFrame | None = None) -> Data
 def file_text(parts: DataFrame) -> DataFrame:
     """One row per file from its stored parts; the text of one file is one value."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "content")))
-    return parts.groupBy(*KEYS).agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["content"])).alias("content"),
-                                    F.count(F.lit(1)).alias("n_parts"))
+    return (with_id(parts).groupBy(ID, *KEYS)
+            .agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["content"])).alias("content"),
+                 F.count(F.lit(1)).alias("n_parts")).drop(ID))
 
 
 def next_manifest(changed: DataFrame, run_ts: Column, version: str | None = None) -> DataFrame:

@@ -170,9 +170,10 @@ PARTS = "db_nm string, sc_nm string, file_nm string, part string, content string
 
 def write_snapshot(parts: DataFrame, path: str, version: str) -> DataFrame:
     """K7: add the parts of this version beside those of earlier ones; what is
-    stored already is not touched. A folder per version."""
-    stored = parts.select("db_nm", "sc_nm", "file_nm", "part", "content", F.lit(version).alias("version"))
-    stored.write.mode("append").partitionBy("version").parquet(path)
+    stored already is not touched. A folder per version, which is named here:
+    ``partitionBy`` would sort all text by a constant."""
+    stored = parts.select("db_nm", "sc_nm", "file_nm", "part", "content")
+    stored.write.mode("append").parquet(os.path.join(path, f"version={version}"))
     return read_snapshot(parts.sparkSession, path)
 
 
