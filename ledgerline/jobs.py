@@ -163,8 +163,8 @@ def vacuum_snapshot(spark: SparkSession, output_root: str, small: int = 100_000)
     version = new_version()
     written = [version] if again else []
     if again:
-        names = [*snapshot.KEYS, "version"]
-        live = parts.where(F.col("version").isin(again)).join(listed.select(names), names, "left_semi")
+        old = F.col("version").isin(again)
+        live = snapshot.of_files(parts.where(old), listed.where(old), [*snapshot.KEYS, "version"])
         sinks.write_snapshot(live, store.path, version)
         moved = F.when(F.col("version").isin(again), F.lit(version)).otherwise(F.col("version"))
         listed = listed.withColumn("version", moved)

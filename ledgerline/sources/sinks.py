@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerline.operators import snapshot
 from ledgerline.operators.tieout import Tieout
 from ledgerline.sources.commits import Commit, CommitLog, Folder
 from ledgerline.sources.datasets import new_version
@@ -184,7 +185,8 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def snapshot_usage(parts: DataFrame, listed: DataFrame) -> DataFrame:
     """A row per stored version: version, n_parts, n_live (those of files that
     ``listed`` says this version holds), n_chars."""
-    live = listed.select("db_nm", "sc_nm", "file_nm", "version", F.lit(1).alias("live"))
-    return (parts.select("db_nm", "sc_nm", "file_nm", "version", F.length("content").alias("chars"))
-            .join(live, ["db_nm", "sc_nm", "file_nm", "version"], "left").groupBy("version")
-            .agg(F.count(F.lit(1)).alias("n_parts"), F.count("live").alias("n_live"), F.sum("chars").alias("n_chars")))
+    names = [*snapshot.KEYS, "version"]
+    stored = parts.groupBy("version").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.length("content")).alias("n_chars"))
+    live = (snapshot.of_files(parts.select(*names), listed, names).groupBy("version").agg(F.count(F.lit(1)).alias("n_live")))
+    return (stored.join(live, "version", "left")
+            .select("version", "n_parts", F.coalesce("n_live", F.lit(0)).alias("n_live"), "n_chars"))
