@@ -130,20 +130,28 @@ def with_id(rows: DataFrame) -> DataFrame:
     return rows if ID in rows.columns else rows.withColumn(ID, F.xxhash64(*KEYS))
 
 
-def same_file(a: str, b: str, names: Sequence[str] = KEYS) -> Column:
-    """Rows of the aliases ``a`` and ``b``, both with their id, agree in ``names``; names
-    that are NULL agree with nothing. Written as a lookup, not as equalities, which would
-    make Spark deal and sort by every name and compute derived ones again to drop NULLs."""
-    def row(x: str) -> Column:
-        return F.struct(*[F.col(f"{x}.{n}") for n in names])
+LISTED = "listed_"
 
-    return reduce(and_, [F.col(f"{b}.{n}").isNotNull() for n in names],
-                  F.col(f"{a}.{ID}") == F.col(f"{b}.{ID}")) & F.array_contains(F.array(row(b)), row(a))
+
+def as_listed(files: DataFrame, names: Sequence[str] = KEYS) -> DataFrame:
+    """``files`` with their id; it and ``names`` are renamed to stand beside those of the rows they are joined to."""
+    return with_id(files).withColumnsRenamed({n: LISTED + n for n in (ID, *names)})
+
+
+def same_file(names: Sequence[str] = KEYS) -> Column:
+    """A row, with its file's id, and a listed file agree in ``names``; names that are
+    NULL agree with nothing. Written as a lookup, not as equalities, which would make
+    Spark deal and sort by every name and compute derived ones again to drop NULLs."""
+    def row(prefix: str) -> Column:
+        return F.struct(*[F.col(prefix + n).alias(n) for n in names])
+
+    return reduce(and_, [F.col(LISTED + n).isNotNull() for n in names],
+                  F.col(ID) == F.col(LISTED + ID)) & F.array_contains(F.array(row(LISTED)), row(""))
 
 
 def of_files(rows: DataFrame, files: DataFrame, names: Sequence[str] = KEYS) -> DataFrame:
     """The rows that agree with one of ``files`` in ``names``, with their file's id."""
-    return with_id(rows).alias("r").join(with_id(files.select(*names)).alias("f"), same_file("r", "f", names), "left_semi")
+    return with_id(rows).join(as_listed(files.select(*names), names), same_file(names), "left_semi")
 
 
 def changes(objects: DataFrame, manifest: DataFrame, delete: bool = False,
@@ -154,16 +162,15 @@ def changes(objects: DataFrame, manifest: DataFrame, delete: bool = False,
     a NULL change time never counts as unchanged. ERROR when the file should be
     written but its source is missing: what was stored before stays.
     """
-    files = with_id(object_files(in_scope(objects, scope))).alias("o")
-    man = with_id(in_scope(manifest, scope)).alias("m")
-    j = files.join(man, same_file("o", "m"), "full_outer")
+    files = with_id(object_files(in_scope(objects, scope)))
+    j = files.join(as_listed(in_scope(manifest, scope)), same_file(), "full_outer")
     status = (F.when(F.col("obj_name").isNull(), F.lit("DELETE" if delete else "NOT_SEEN"))
               .when(F.col("file_last_modified") >= F.col("obj_last_altered"), F.lit("NO_CHANGE"))
               .when(F.col("no_source"), F.lit("ERROR"))
               .when(F.col("file_last_modified").isNull(), F.lit("NEW"))
               .otherwise(F.lit("CHANGED")))
-    kept = [F.col("m.version").alias("version")] if "version" in manifest.columns else []
-    return j.select(*[F.coalesce(f"o.{k}", f"m.{k}").alias(k) for k in KEYS], "obj_type", "obj_name", "obj_last_altered",
+    kept = ["version"] if "version" in manifest.columns else []
+    return j.select(*[F.coalesce(k, LISTED + k).alias(k) for k in KEYS], "obj_type", "obj_name", "obj_last_altered",
                     "file_last_modified", status.alias("status"), *kept)
 
 
@@ -172,23 +179,27 @@ def content_parts(objects: DataFrame, files_to_write: DataFrame | None = None) -
     overload; ``part`` is the signature, and a file's text is its rows in order of
     ``part`` and content. ``files_to_write`` (db_nm, sc_nm, file_nm) limits the
     work to files that changed: the source of the others is not moved."""
-    o = objects.withColumn("file_nm", F.concat(F.col("obj_name"), extension(F.col("obj_type"))))
+    return _parts_with_id(objects, files_to_write).drop(ID)
+
+
+def _parts_with_id(objects: DataFrame, files_to_write: DataFrame | None) -> DataFrame:
+    o = with_id(objects.withColumn("file_nm", F.concat(F.col("obj_name"), extension(F.col("obj_type")))))
     if files_to_write is not None:
         o = of_files(o, files_to_write)
-    return o.select(*KEYS, F.coalesce("argument_signature", F.lit("")).alias("part"), F.col("ddl").alias("content"))
+    return o.select(*KEYS, F.coalesce("argument_signature", F.lit("")).alias("part"), F.col("ddl").alias("content"), ID)
 
 
 def content(objects: DataFrame, files_to_write: DataFrame | None = None) -> DataFrame:
     """The text of each file, overloads concatenated in signature order:
     (db_nm, sc_nm, file_nm, content, n_parts)."""
-    return file_text(content_parts(objects, files_to_write))
+    return file_text(_parts_with_id(objects, files_to_write))
 
 
 def file_text(parts: DataFrame) -> DataFrame:
     """One row per file from its stored parts; the text of one file is one value."""
-    ordered = F.array_sort(F.collect_list(F.struct("part", "content")))
+    ordered = F.sort_array(F.collect_list(F.struct("part", "content")))
     return (with_id(parts).groupBy(ID, *KEYS)
-            .agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["content"])).alias("content"),
+            .agg(F.concat_ws("\n", ordered["content"]).alias("content"),
                  F.count(F.lit(1)).alias("n_parts")).drop(ID))
 
 

@@ -213,7 +213,7 @@ def test_usage_counts_every_part_once_and_by_a_number(spark):
         plan = usage._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
-    assert re.search(r"SortMergeJoin \[file_id#\d+L\], \[file_id#\d+L\], LeftSemi", plan)
+    assert re.search(r"SortMergeJoin \[file_id#\d+L\], \[listed_file_id#\d+L\], LeftSemi", plan)
     assert sorted((r.version, r.n_parts, r.n_live, r.n_chars) for r in usage.collect()) == [
         ("v0", 1, 0, 4), ("v1", 5, 3, 20), ("v2", 1, 1, 4)]
 

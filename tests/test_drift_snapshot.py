@@ -144,7 +144,7 @@ def test_stored_text_is_dealt_and_sorted_once_by_a_number(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert len(re.findall("Exchange hashpartitioning", plan)) == 2
-    assert re.search(r"SortMergeJoin \[file_id#\d+L\], \[file_id#\d+L\], LeftSemi", plan)
+    assert re.search(r"SortMergeJoin \[file_id#\d+L\], \[listed_file_id#\d+L\], LeftSemi", plan)
     assert sorted((r.file_nm, r.content) for r in now.collect()) == [("A.tbl", "x TABLE A"), ("B.vw", "x VIEW B")]
     # A run without changes stores nothing, and everything is still read.
     jobs.export_snapshot(spark, _named(spark, [("TABLE", "A"), ("VIEW", "B")], 1), jobs.current_manifest(spark, root), root)
