@@ -56,14 +56,16 @@ def total_of(groups: DataFrame, weight: str) -> int:
     return int(groups.agg(F.sum(c(weight))).first()[0] or 0)
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, salt_by: str) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, salt_by: str,
+           merge: bool = False) -> DataFrame:
     """Left-join ``rows`` with ``groups`` (one row per ``key``, ``weight`` = its
     row count) without sending a hot key to one task.
 
     The keys holding more than 1/1024 of all rows, at most 1024 of them, are
     broadcast; their rows are dealt over 32 salts by ``salt_by`` and their
     group row is repeated once per salt. ``groups`` should be a cut table. A
-    key that is null never matches.
+    key that is null never matches. With ``merge`` the groups themselves are
+    never broadcast, however small they look.
     """
     limit = F.lit(total_of(groups, weight) / HOT_SHARE)
     hot = groups.where(c(weight) > limit).select(c(key), F.lit(True).alias("_hot"))
@@ -75,4 +77,4 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, salt_by: s
     )
     copies = F.when(c(weight) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = groups.withColumn("_salt", F.explode(copies))
-    return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
+    return dealt.join(spread.hint("merge") if merge else spread, [key, "_salt"], "left").drop("_salt")

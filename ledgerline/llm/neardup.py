@@ -27,6 +27,10 @@ minima; a link to a member below LOOSE is then lost only if the two estimates er
 by 0.1 together (true values differ by 0.2 at most), about two and a half of their
 standard deviations, in every bucket the two share, and no other member joins them.
 
+Both sides of a join follow the input: joins are merged or hashed after an exchange at
+every size, so the driver never gathers a side for a broadcast (but the hot sets of the
+last join, 1,024 at most).
+
 Defined results: words are runs outside [\\x20\\x09-\\x0D] after lower-casing
 A-Z; a text with fewer words than a shingle is one shingle; a text without
 words, or null, has an empty set, links with nothing and is its own component;
@@ -154,10 +158,10 @@ def compare(pairs: DataFrame, values: DataFrame, kind: str, keep) -> DataFrame:
     test(leader, member) -> score.
     """
     n = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP))
-    dealt = pairs.join(n, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"))
+    dealt = pairs.join(n.hint("merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"))
     lead = n.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
-    rows = (dealt.join(values, dealt.a == values.node).select("b", "part", "a", "value")
-            .unionByName(lead.join(values, lead.b == values.node).select("b", "part", "a", "value")))
+    rows = (dealt.hint("merge").join(values, dealt.a == values.node).select("b", "part", "a", "value")
+            .unionByName(lead.hint("merge").join(values, lead.b == values.node).select("b", "part", "a", "value")))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
@@ -212,10 +216,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         edges = cut(small)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -234,11 +238,11 @@ def families(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     rest, edges = members, None
     for _ in range(ROUNDS):
         lead = rest.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        stars = cut(rest.join(lead, "key").where("node <> b"))
+        stars = cut(rest.join(lead.hint("merge"), "key").where("node <> b"))
         scored = cut(compare(stars.select(F.col("node").alias("a"), "b").distinct(), sigs, "binary", by_signature))
         found = scored.where(F.col("score") >= minima(LOOSE))
         edges = found if edges is None else edges.unionByName(found)
-        rest = cut(stars.withColumnRenamed("node", "a").join(scored, ["a", "b"])
+        rest = cut(stars.withColumnRenamed("node", "a").join(scored.hint("merge"), ["a", "b"])
                    .where(F.col("score") < minima(FIRM)).select("key", F.col("a").alias("node")))
     return cut(edges.groupBy("a", "b").agg(F.max("score").alias("score"))), rest
 
@@ -250,14 +254,14 @@ def cells(members: DataFrame, groups: DataFrame) -> DataFrame:
     (i, -1 - k), and blocks i and j of the others meet in (i, j). Rows of a cell
     with the same ``side`` are not compared: in the first kind that is all of the
     others, in the second a group. Keys with one group are done."""
-    labelled = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    labelled = members.join(groups.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(
         F.count("*").alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")
     ).where("roots > 1").select(
         "key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
-    rows = labelled.join(mixed, "key")
+    rows = labelled.join(mixed.hint("merge"), "key")
     own, home = (F.pmod(F.xxhash64("node"), F.col(n)) for n in ("blocks", "top_blocks"))
     among = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.col("root").alias("side")))
@@ -293,7 +297,7 @@ def pairs_in_cells(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
         right = node[np.concatenate(near)] if near else left
         return pa.table({"a": np.maximum(left, right), "b": np.minimum(left, right)})
 
-    return dealt.join(nodes.select("node", "sig"), "node").groupBy("key", "i", "j").applyInArrow(
+    return dealt.hint("merge").join(nodes.select("node", "sig"), "node").groupBy("key", "i", "j").applyInArrow(
         run, "a long, b long").distinct()
 
 
@@ -343,7 +347,7 @@ def links_in_cells(dealt: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
                             out.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    rows = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    rows = dealt.hint("merge").join(nodes.select("node", "sig"), "node").join(sets.hint("merge"), "node")
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -357,12 +361,12 @@ def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "do
     ).withColumn("node", F.monotonically_increasing_id()))
     bands = cut(band_rows(nodes))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut(bands.join(shared, "key").select("key", "node"))
+    members = cut(bands.join(shared.hint("merge"), "key").select("key", "node"))
 
     # The texts cross one exchange, by id and at every size alike; those of the members,
     # one or few a node, are kept for all that follows.
     several = nodes.select("node", F.col("min_id").alias("_id"), "digest").join(
-        members.select("node").distinct(), "node", "left_semi").hint("shuffle_hash")
+        members.select("node").distinct().hint("merge"), "node", "left_semi").hint("shuffle_hash")
     texts = docs.select(c(id_col).cast("long").alias("_id"), c(text_col).alias("value"))
     kept = cut(texts.join(several, texts["_id"].eqNullSafe(several["_id"])).select("node", "digest", "value"))
 
@@ -386,9 +390,9 @@ def near_components(docs: DataFrame, width: int, percent: int, id_col: str = "do
     more = inside.unionByName(outside)
     if more.take(1):
         roots = cut(components(links.unionByName(more)))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    classes = cut(placed.join(smallest, "root").select("digest", "copies", "component_id"))
+    classes = cut(placed.join(smallest.hint("merge"), "root").select("digest", "copies", "component_id"))
     return rows, classes
 
 
@@ -420,7 +424,8 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str =
     if percent < LEAST_PERCENT:
         raise ValueError(f"bands and thresholds are set for {LEAST_PERCENT} percent and more, not {percent}")
     rows, classes = near_components(docs, width, percent, id_col, text_col)
-    found = attach(rows.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", salt_by="doc_id")
+    found = attach(rows.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", salt_by="doc_id",
+                   merge=True)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
                         F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -656,3 +656,20 @@ def test_cells_are_bounded_and_hold_every_pair(spark, monkeypatch, largest):
     assert max(map(len, held.values())) <= 4 * neardup.BLOCK
     met = {frozenset((a, b)) for cell in held.values() for a, x in cell for b, y in cell if x != y}
     assert met == {frozenset((a, b)) for a in range(700) for b in range(max(a + 1, largest), 700)}
+
+
+def test_near_dedup_broadcasts_the_hot_sets_only(make_docs, spark, monkeypatch):
+    """The driver would hold each side that is broadcast; both sides of its joins follow the input."""
+    plans, cut = [], neardup.cut
+
+    def noted(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *by)
+
+    monkeypatch.setattr(neardup, "cut", noted)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"  # far above these tables
+    rows = near_rows(4)
+    found = neardup.near_dedup(make_docs(rows), 2, 80)
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows, 2, 80)
